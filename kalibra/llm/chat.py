@@ -175,7 +175,7 @@ def formatted_turns(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [turn(ROLES.get(r, r), t) for r, t in ((written(r.as_py()), written(t.as_py())) for r, t in zip(b.column(2), b.column(3)))]
+            texts = [turn(written(r.as_py()), written(t.as_py())) for r, t in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["conv_id", "turn", "formatted"])
 
     own = rows.select("conv_id", "turn", F.col(mapping.role).cast("string"), F.col(mapping.text).cast("string"))

@@ -1,60 +1,21 @@
-"""Scratch tables, connected components and small helpers of the operators."""
+"""Small helpers of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kalibra.operators.graph import connected_components
+from kalibra.storage import Scratch, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    and the session is a single local process does a folder of our own serve.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"/tmp/checkpoints/kalibra-{uuid.uuid4().hex}"
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
+__all__ = ["Scratch", "components", "fresh", "partitions", "shared_folder", "table", "worker_cache"]
 
-class Scratch:
-    """Tables written to the shared folder, which cut the lineage of later plans."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/kalibra-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.n}"
-        self.n += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._kalibra_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of write() that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._kalibra_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -79,26 +40,5 @@ def worker_cache() -> dict:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of the edges (a, b): one row (node, root) for each node but the roots.
-
-    Alternates the large-star and small-star steps until the edges no longer
-    change; each round is written to the shared folder.  Minima are combined
-    before the shuffle, so a hub costs no more than its edges.
-    """
-    now = scratch.write(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    )
-    mark = None
-    while True:
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).withColumn("m", F.least("k", "m"))
-        large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-        small = large.join(low, F.col("a") == F.col("k"))
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("k", "m"))
-        new = scratch.write(small.distinct())
-        seen = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        scratch.drop(now)
-        if seen == mark:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now, mark = new, seen
+    """(node, root) of all nodes of the edges (a, b) but the roots, the least of each component."""
+    return connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)

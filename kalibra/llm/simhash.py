@@ -200,12 +200,171 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# Beyond three bits
+#
+# Texts of a shingle similarity of 0.8 mostly differ in more than three bits of
+# one fingerprint.  For these the shingles are dealt into classes by their hash,
+# about GRAIN to a class, and the first CLASSES classes get a fingerprint each:
+# a few changed words leave most classes as they are.  All eight positional
+# bytes of a class are one posting, the shared postings of a pair are tallied,
+# and what reaches the minimum is verified by the exact similarity.
+
+SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SHARED, SMALL = 5, 0.8, 4, 24, 2, 8
+
+
+def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    from xxhash import xxh64_digest
+
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    whole = b" ".join(parts)
+    if len(parts) <= words:
+        found = xxh64_digest(whole, SEED)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        found = b"".join([xxh64_digest(whole[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())])
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+
+def class_prints(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """A posting for each class of shingles.
+
+    The number of classes is a power of two near len / GRAIN; texts near the next
+    power have both, so any two that can be similar have one in common.
+    """
+    n, out = len(hashes), []
+    if not n:
+        return np.empty(0, np.int64)
+    for level in sorted({max(0, int(np.ceil(np.log2(m / GRAIN)))) for m in (n, n / similarity)}):
+        cls = (hashes >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
+        kept = int(np.searchsorted(cls, CLASSES))
+        if not kept:
+            continue
+        at = np.flatnonzero(np.diff(cls[:kept], prepend=-1))
+        bits = np.unpackbits(hashes[:kept].astype(">u8").view(np.uint8).reshape(-1, BYTES), axis=1)
+        size = np.diff(np.append(at, kept))
+        found = np.packbits(2 * np.add.reduceat(bits, at, axis=0, dtype=np.int64) > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        tag = (cls[at] + CLASSES * level + 1).astype(np.uint64)
+        x = (found ^ tag * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((x ^ x >> np.uint64(31)).view(np.int64))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def in_lists(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Rows with a key column k dealt by it and given to run in its order."""
+    parts = partitions(rows.sparkSession)
+    return rows.repartition(parts, "k").sortWithinPartitions("k", *[c for c in rows.columns if c != "k"]).mapInArrow(run, schema)
+
+
+def long_batch(names: list[str], *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=names)
+
+
+def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between those rows (row, text) that are among (row), whose shingle sets have at least that Jaccard similarity.
+
+    In each posting list every row is paired with the list's centre, the row
+    that most other rows share postings with, and in a list of up to SMALL rows
+    with all.  Rows that a link absorbs leave their lists, which are then gone
+    through again with their new centres, until a round finds no link.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, keys = [], []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                own = class_prints(shingles(x.as_py(), words), similarity)
+                ids.append(np.full(len(own), i, np.int64))
+                keys.append(own)
+            if ids:
+                yield long_batch(["row", "k"], np.concatenate(ids), np.concatenate(keys))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k, row, n) of lists of several rows; the next list waits until its size is known."""
+        for k, rows in lists(batches):
+            if len(rows) > 1:
+                yield long_batch(["k", "row", "n"], np.full(len(rows), k), rows[:, 0], np.full(len(rows), len(rows)))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in lists(batches):
+            if len(rows) < 2:
+                continue
+            ids, weight = rows[:, 0], rows[:, 1]
+            if len(ids) <= SMALL:
+                ids = np.sort(ids)
+                i, j = np.triu_indices(len(ids), 1)
+                yield long_batch(["a", "b"], ids[j], ids[i])
+            else:
+                centre = ids[np.lexsort((ids, -weight))[0]]
+                rest = ids[ids != centre]
+                yield long_batch(["a", "b"], np.maximum(rest, centre), np.minimum(rest, centre))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for b in batches:
+            out = []
+            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if j != last:
+                    last, own = j, shingles(y.as_py(), words)
+                other = shingles(x.as_py(), words)
+                both = len(np.intersect1d(own, other, True))
+                if both and both >= similarity * (len(own) + len(other) - both):
+                    out.append((i, j))
+            if out:
+                yield long_batch(["a", "b"], *zip(*out))
+
+    posted = texts.select("row", "text").mapInArrow(post, "row long, k long")
+    posted = posted.join(among, "row", "left_semi")
+    live = scratch.write(in_lists(posted.select("k", "row"), shared, "k long, row long, n long"))
+    needed = live.select("row").distinct()
+    texts = scratch.write(texts.join(needed, "row", "left_semi"))
+    tried = found = None
+    while True:
+        weight = live.groupBy("row").agg(F.sum("n").alias("w"))
+        pairs = in_lists(live.join(weight, "row").select("k", "row", "w"), paired, "a long, b long")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        one = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
+        two = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+        new = scratch.write(both.mapInArrow(verified, "a long, b long"))
+        found = new if found is None else found.union(new)
+        if new.isEmpty():
+            return found
+        tried = pairs if tried is None else tried.union(pairs)
+        absorbed = new.select(F.col("a").alias("row")).distinct()
+        rest = live.join(absorbed, "row", "left_anti").select("k", "row")
+        live = scratch.write(in_lists(rest, shared, "k long, row long, n long"))
+
+
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of rows (k, ...) of longs in the order of k: each k with its rows."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.int64)
+        at = np.flatnonzero(np.diff(cols[:, 0])) + 1
+        for part in np.split(cols, at):
+            if now is not None and part[0, 0] != now:
+                yield now, np.concatenate(held)
+                held = []
+            now = int(part[0, 0])
+            held.append(part[:, 1:])
+    if held:
+        yield now, np.concatenate(held)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each group that with the smallest doc_id stays.
 
-    Rows that repeat a doc_id are one document: of several, one row stays.
-    Rows whose doc_id is null stay only if no other row of their group has one,
-    one row for each group.
+    Rows are near-duplicates if their fingerprints link, or if their five-word
+    shingles have a similarity of 0.8 or more, and groups are what such links
+    connect.  Rows that repeat a doc_id are rows of their own, of which one stays
+    if they are alike.  Rows whose doc_id is null come after all others.
     """
     row, key = fresh(docs, "row_", "key_")
     scratch = Scratch(docs.sparkSession)
@@ -214,5 +373,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col(row).alias("row")
     )
     found = near_duplicates(own.select(order.alias(key), "text"), key)
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(f"{key}.row").alias(row))
+    firsts = scratch.write(found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("key")))
+    left = firsts.select(F.col("key.row").alias("row"), "key")
+    texts = own.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    roots = scratch.write(components(similar(texts, left.select("row"), scratch), scratch))
+    every = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    keys = every.join(left, F.col("node") == F.col("row")).select("root", "row", "key")
+    lowest = keys.groupBy("root").agg(F.min("key").alias("lowest"))
+    gone = keys.join(lowest, "root").where(F.col("key") != F.col("lowest")).select("row")
+    kept = left.select("row").join(gone, "row", "left_anti").select(F.col("row").alias(row))
     return own.join(kept, row, "left_semi").drop(row)
