@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kalibra.storage import Scratch
+
 
 def average_rank(x: str, by: list[str]) -> Column:
     """Ranks from 1 where ties share their mean."""
@@ -14,6 +16,25 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
+def wide_average_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """df with average ranks, for few groups of very many rows; null values have no row.
+
+    Equal values are folded and dealt out in order, each task numbers its own,
+    and the tasks' few totals are added up, so no group is sorted in one task.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folded = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
+    folded = scratch.write(folded.repartitionByRange(parts, *by, x).withColumn("_task", F.spark_partition_id()))
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = folded.groupBy(*by, "_task").agg(F.sum("_n").alias("_n"))
+    totals = totals.withColumn("_base", upto(Window.partitionBy(*by).orderBy("_task"))).drop("_n")
+    own = folded.withColumn("_own", upto(Window.partitionBy(*by, "_task").orderBy(x))).join(totals, [*by, "_task"])
+    found = own.select(*by, x, (F.col("_base") + F.col("_own") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
+    return df.join(found, [*by, x])
+
+
 def min_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(F.desc(x)))
 

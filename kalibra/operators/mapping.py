@@ -69,9 +69,15 @@ def checked_join(a: DataFrame, b: DataFrame, keys: list[str], cardinality: str,
     return a.join(b, keys, how)
 
 
+def with_each(df: DataFrame, values: DataFrame) -> DataFrame:
+    """Every row of df with every distinct row of values, which are few: they become one array, and are unfolded in place."""
+    one = values.agg(F.collect_set(F.struct(*values.columns)).alias("_all"))
+    return df.crossJoin(one).select(*df.columns, F.explode("_all").alias("_one")).select(*df.columns, "_one.*")  # one row
+
+
 def grid(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every pair of two distinct sets, the second a small one."""
-    return a.distinct().crossJoin(F.broadcast(b.distinct()))
+    return with_each(a.distinct(), b)
 
 
 def on_universe(universe: DataFrame, values: DataFrame, keys: list[str], x: str, fill: float | None = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import average_rank, safe_divide, spearman, to_sum_one
+from kalibra.functions.ranks import safe_divide, spearman, to_sum_one, wide_average_rank
 
 
 def eligibility(members: DataFrame, universe: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
@@ -46,7 +46,8 @@ def differential(affinities: DataFrame, by: list[str], x: str = "affinity") -> D
 def percentile_modules(values: DataFrame, members: DataFrame, by: list[str], least: int = 15) -> DataFrame:
     """(by, module, n, raw, scaled): means of the features' percentiles, scaled to length 1 over the modules."""
     kept = values.where("value is not null")
-    ranked = kept.withColumn("value", average_rank("value", by) / (F.count("*").over(Window.partitionBy(*by)) + 1))
+    size = kept.groupBy(*by).agg(F.count("*").alias("_size"))
+    ranked = wide_average_rank(kept, "value", by, "_r").join(size, by).withColumn("value", F.col("_r") / (F.col("_size") + 1))
     rows = means(ranked, members, by, least).withColumnRenamed("mean", "raw")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*by)))
     return rows.withColumn("scaled", safe_divide(F.col("raw"), norm))

@@ -9,16 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kalibra.operators.mapping import with_each
+
 
 def random_key(seed: int, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts]))
 
 
+def with_each_rep(df: DataFrame, replicates: int) -> DataFrame:
+    """Every row once for each replicate, in the column rep."""
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+
+
 def quantile_bins(df: DataFrame, x: str, by: list[str], name: str = "bin", n: int = 4) -> DataFrame:
     """df with bins from 1 by linear quantiles, which keep ties together; equal edges are one, null values have no bin."""
     cuts = [i / n for i in range(1, n)]
     agg = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, cuts))).alias("_q"), F.min(x).alias("_lo"))
-    rows = df.join(F.broadcast(agg), by) if by else df.crossJoin(agg)  # one row, or one for each group
+    rows = df.join(agg, by) if by else df.crossJoin(agg)  # one row
     edges = F.array_distinct(F.filter("_q", lambda e: e > F.col("_lo")))
     found = F.when(F.col(x).isNotNull(), 1 + F.size(F.filter(edges, lambda e: F.col(x) > e)))
     return rows.withColumn(name, found).drop("_q", "_lo")
@@ -37,11 +44,10 @@ def permutations(universe: DataFrame, replicates: int, seed: int, by_profile: Da
     One permutation serves all profiles, or with by_profile, a table of
     profiles, each has its own, in a column more.
     """
-    reps = universe.sparkSession.range(replicates).select(F.col("id").alias("rep"))
     keys, parts = ["rep"], [F.col("rep")]
-    rows = universe.select(key, "stratum").crossJoin(F.broadcast(reps))  # as many rows as the null has by its meaning
+    rows = with_each_rep(universe.select(key, "stratum"), replicates)
     if by_profile is not None:
-        rows = rows.crossJoin(F.broadcast(by_profile.select("profile").distinct()))
+        rows = with_each(rows, by_profile.select("profile"))
         keys, parts = ["rep", "profile"], [F.col("rep"), F.col("profile")]
     w = Window.partitionBy(*keys, "stratum")
     own = rows.withColumn("n", F.row_number().over(w.orderBy(key)))
@@ -74,7 +80,7 @@ def contrasts(values: DataFrame, x: str, by: list[str] | None = None) -> DataFra
     by = by or []
     a = values.select(*by, F.col("profile").alias("first"), F.col(x).alias("a"))
     b = values.select(*by, F.col("profile").alias("second"), F.col(x).alias("b"))
-    both = a.join(b, by) if by else a.crossJoin(F.broadcast(b))
+    both = a.join(b, by) if by else a.crossJoin(b)
     return both.where("first < second").select(*by, "first", "second", (F.col("a") - F.col("b")).alias("difference"))
 
 
@@ -105,8 +111,7 @@ def drawn_subjects(subjects: DataFrame, replicates: int, seed: int, by: list[str
     """(rep, by, key, times): as many draws with replacement as a group has subjects; those not drawn have no row."""
     w = Window.partitionBy(*by)
     own = subjects.select(*by, key).distinct().withColumns({"n": F.row_number().over(w.orderBy(key)), "size": F.count("*").over(w)})
-    reps = subjects.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    slots = own.crossJoin(F.broadcast(reps))
+    slots = with_each_rep(own, replicates)
     hit = F.pmod(F.conv(F.substring(random_key(seed, "rep", *by, key), 1, 8), 16, 10).cast("long"), F.col("size")) + 1
     drawn = slots.select("rep", *by, hit.alias("n")).groupBy("rep", *by, "n").agg(F.count("*").alias("times"))
     return drawn.join(own.select(*by, key, "n"), [*by, "n"]).select("rep", *by, key, "times")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import average_rank, pearson, safe_divide, to_sum_one, top
+from kalibra.functions.ranks import pearson, safe_divide, to_sum_one, top, wide_average_rank
+from kalibra.operators.mapping import with_each
 
 
 def left_degrees(edges: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def project(weights: DataFrame, edges: DataFrame) -> DataFrame:
         F.sum("weight").alias("weighted_raw"), F.sum("part").alias("degree_normalised"), F.count("*").alias("contributing")
     )
     profiles = weights.select("profile").distinct()
-    grid = right_stats(edges).select("right", "idf").crossJoin(F.broadcast(profiles))  # profiles are few, by their meaning
+    grid = with_each(right_stats(edges).select("right", "idf"), profiles)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     out = grid.join(found, ["profile", "right"], "left").select(
         "profile",
@@ -111,7 +112,7 @@ def pairs(profiles: DataFrame, x: str, key: str = "right", by: str = "profile")
 
 def similarity(profiles: DataFrame, x: str) -> DataFrame:
     """(first, second, spearman, pearson, jaccard) of profiles; Jaccard over positive scores."""
-    ranked = profiles.withColumn("_r", average_rank(x, ["profile"])).withColumn("_v", F.struct(F.col(x).alias("v"), F.col("_r").alias("r")))
+    ranked = wide_average_rank(profiles, x, ["profile"], "_r").withColumn("_v", F.struct(F.col(x).alias("v"), F.col("_r").alias("r")))
     both = pairs(ranked, "_v").select("first", "second", F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"))
     pa, pb = F.col("a") > 0, F.col("b") > 0
     return both.groupBy("first", "second").agg(

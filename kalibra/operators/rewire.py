@@ -30,8 +30,7 @@ def trade(rows: list[np.ndarray], i: int, j: int, rng: np.random.Generator) -> b
 
 def rewired(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int) -> DataFrame:
     """(chain, draw, left, right): the graphs that the chains keep, after burn trades and then every thin."""
-    starts = edges.sparkSession.range(chains).select(F.col("id").cast("int").alias("chain"))
-    rows = edges.select("left", "right").distinct().crossJoin(F.broadcast(starts))
+    rows = edges.select("left", "right").distinct().withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -169,11 +169,11 @@ def unpivoted(spark, d):
     return p.unpivot("part", ["size", "price"], "measure", "value")
 
 
-@query("select c_custkey as customer, rank() over (order by c_acctbal desc) - rank() over (order by c_nationkey desc) as shift from customer where c_mktsegment = 'BUILDING' and c_nationkey < 5")
+@query("select p_partkey as part, rank() over (partition by p_brand order by p_retailprice desc) - rank() over (partition by p_brand order by p_size desc) as shift from part")
 def rank_shift(spark, d):
     """WN9."""
-    c = S.table(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_nationkey < 5")
-    return c.select(F.col("c_custkey").alias("customer"), (ranks.min_rank("c_acctbal", []) - ranks.min_rank("c_nationkey", [])).cast("long").alias("shift"))
+    p = S.table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("part"), (ranks.min_rank("p_retailprice", ["p_brand"]) - ranks.min_rank("p_size", ["p_brand"])).cast("long").alias("shift"))
 
 
 @query("(select 'top' as label, p_partkey as part, p_retailprice as price from part order by p_retailprice desc, p_partkey limit 25) union all (select 'bottom', p_partkey, p_retailprice from part order by p_retailprice, p_partkey limit 25)")
