@@ -26,11 +26,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kalibra.llm.shared import Scratch, fresh, table
+from kalibra.llm.shared import table
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, RADIUS, BLOCKS = 64, 20, 8
@@ -242,10 +244,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item; each row is judged by its own text."""
-    row, = fresh(docs, "row_")
-    scratch = Scratch(docs.sparkSession)
-    own = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = contaminations(own.select(row, "text"), items, row).select(row).distinct()
-    return own.join(found, row, "left_anti").drop(row)
+def holder(shared, width: int, similarity: float):
+    @F.pandas_udf(T.BooleanType())
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Items(shared.value, width, similarity)
+        for texts in batches:
+            yield texts.map(lambda x: bool(index.search(x)), na_action=None).astype(bool)
+
+    return holds
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = WORDS, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that hold no item; each row is judged by its own text, where it lies."""
+    items = items.select("item_id", F.col("text").cast("string").alias("text"))
+    for block in blocks(items, "item_id", "text", block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.where("text is not null").collect()])
+        docs = docs.where(~holder(shared, width, similarity)(F.col("text").cast("string")))
+    return docs
