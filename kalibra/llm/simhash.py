@@ -32,6 +32,7 @@ from kalibra.llm.shared import Scratch, components, fresh, partitions
 WORDS, SEED, BITS, BYTES = 3, 42, 3, 8
 LEAST = BYTES - BITS
 HOT = 20_000
+MANY = 1000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -178,17 +179,20 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     own = scratch.write(fingerprints(docs, key, text, words))
-    folded = scratch.write(own.groupBy("fp").agg(F.min(key).alias("low")))
+    folded = scratch.write(own.groupBy("fp").agg(F.min(key).alias("low"), F.count("*").alias("n")))
     roots = components(links(folded.select("fp"), scratch, hot), scratch)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     lowest = (
         roots.join(folded, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("low").alias("lowest"))
     )
     named = roots.join(lowest, "root").select(F.col("node"), "lowest")
-    ids = folded.join(named, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("lowest", "low").alias("component_id")
-    )
-    return own.join(ids, F.col("fp") == F.col("fp_")).select(key, "fp", "component_id")
+    ids = folded.join(named, F.col("fp") == F.col("node"), "left")
+    ids = scratch.write(ids.select("fp", F.coalesce("lowest", "low").alias("component_id"), "n"))
+    # at most MANY fingerprints have more than one row in MANY; they needn't be dealt out
+    rows = own.count()
+    hot = F.broadcast(ids.where(F.col("n") * MANY > rows).drop("n"))
+    rest = own.join(hot.select("fp"), "fp", "left_anti").join(ids.where(F.col("n") * MANY <= rows).drop("n"), "fp")
+    return own.join(hot, "fp").select(key, "fp", "component_id").union(rest.select(key, "fp", "component_id"))
 
 
 def hexed(column):
