@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kalibra.functions.ranks import safe_divide, spearman, to_sum_one, wide_average_rank
+from kalibra.operators.expression import welch
 
 
 def eligibility(members: DataFrame, universe: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
@@ -92,3 +93,17 @@ def recovered(predictions: DataFrame, affinities: DataFrame) -> DataFrame:
     """(module, d): the disease vector up to scale where some profile's positive affinity shows it, as the mean over profiles."""
     rows = predictions.join(affinities.select("profile", "module", "positive"), ["profile", "module"])
     return rows.groupBy("module").agg(F.avg(F.when(F.col("positive") > 0, F.col("product") / F.col("positive"))).alias("d"))
+
+
+def bootstrap_difference(values: DataFrame, times: DataFrame, case, members: DataFrame, first: DataFrame, second: DataFrame, least: int = 15) -> DataFrame:
+    """(rep, profile, difference): under each resample, how much better one prediction (profile, module, scaled) fits than another.
+
+    values (profile, subject, feature, value) are tested between case and other
+    subjects, each counted times (rep, profile, subject, times); the effects
+    become percentile modules, and both predictions are correlated with them.
+    """
+    tests = welch(times.join(values, ["profile", "subject"]), ["rep", "profile", "feature"], case, F.col("times").cast("double"))
+    effects = tests.select("rep", "profile", "feature", F.round("effect", 6).alias("value"))
+    seen = percentile_modules(effects, members, ["rep", "profile"], least).select("rep", "profile", "module", F.round("scaled", 9).alias("o"))
+    rho = [spearman(seen.join(p, ["profile", "module"]), "scaled", "o", ["rep", "profile"]).select("rep", "profile", F.col("rho").alias(n)) for n, p in (("a", first), ("b", second))]
+    return rho[0].join(rho[1], ["rep", "profile"]).select("rep", "profile", (F.col("a") - F.col("b")).alias("difference"))

@@ -483,6 +483,31 @@ def diffusion_similarity(spark, d):
     return ranks.spearman(both, "a", "b", ["profile"]).select("profile", r("rho", 6).alias("rho"))
 
 
+RESTARTS = {
+    "s1": "select profile, node, x, rs as r from s0 cross join (select unnest([0.3::double, 0.5, 0.7]) as rs)",
+    **{k: v.replace("0.5 * p * x", "(1 - r) * p * x").replace("0.5 * x from", "r * x from") for k, v in walk_sql("s1", 4, 0.5, by="profile, r, ").items()},
+    "rr": "select profile, r, node, rank() over (partition by profile, r order by round(x, 12)) + (count(*) over (partition by profile, r, round(x, 12)) - 1) / 2.0::double as a, row_number() over (partition by profile, r order by round(x, 12) desc, node) as n from x4",
+}
+
+
+@query(
+    sql(
+        "select a.profile, a.r as restart, round(corr(a.a, b.a), 6) as rho, sum((greatest(a.n, b.n) <= 8)::int)::bigint as top_overlap from rr a join rr b using (profile, node) where b.r = 0.5 and a.r <> 0.5 group by all",
+        "net0", **NET, **SEEDS, **RESTARTS,
+    )
+)
+def restart_sensitivity(spark, d):
+    """GR8, SE3: walks of other restart shares against that of 0.5, after four steps."""
+    start = starts(spark, d).withColumn("r", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))))
+    x = graph.walked(graph.transition(clean(spark, d)), start, F.col("r"), ["profile", "r"], steps=4).withColumn("x", F.round("x", 12))
+    x = x.withColumn("n", ranks.first_rank("x", ["profile", "r"], "node"))
+    one = x.where("r <> 0.5").withColumnRenamed("r", "restart")
+    both = one.join(x.where("r = 0.5").select("profile", "node", F.col("x").alias("y"), F.col("n").alias("m")), ["profile", "node"])
+    top = both.groupBy("profile", "restart").agg(F.sum((F.greatest("n", "m") <= 8).cast("long")).alias("top_overlap"))
+    rho = ranks.spearman(both, "x", "y", ["profile", "restart"]).select("profile", "restart", r("rho", 6).alias("rho"))
+    return rho.join(top, ["profile", "restart"])
+
+
 DAG = "select distinct 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer where c_custkey % 10 = 0 union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 'r' || r_regionkey, 'world' from region"
 
 
@@ -625,6 +650,33 @@ def recovered_vector(spark, d):
     return modules.recovered(modules.conditioned(disease(spark, d), a), a).withColumn("d", r("d", 7))
 
 
+@query(
+    f"""with v as (select c_mktsegment as profile, o_custkey as k, c_nationkey < 12 as case_, p_brand as feature, avg(l_extendedprice) as value from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all),
+    subj as (select profile, k, row_number() over (partition by profile order by k) as n, count(*) over (partition by profile) as size from (select distinct profile, k from v)),
+    hits as (select rep, profile, ('0x' || substr(md5('{SEED}|' || rep || '|' || profile || '|' || k), 1, 8))::bigint % size + 1 as n from subj cross join (select unnest(range({REPS}))::bigint as rep)),
+    tm as (select rep, profile, k, count(*) as times from hits join subj using (profile, n) group by all),
+    ef as (select rep, profile, feature, round(sum(times * value) filter (case_) / sum(times) filter (case_) - sum(times * value) filter (not case_) / sum(times) filter (not case_), 6) as value from tm join v using (profile, k) group by all having sum(times) filter (case_) >= 2 and sum(times) filter (not case_) >= 2),
+    pc as (select rep, profile, feature, (rank() over (partition by rep, profile order by value) + (count(*) over (partition by rep, profile, value) - 1) / 2.0::double) / (count(*) over (partition by rep, profile) + 1) as pc from ef),
+    mo as (select rep, profile, substr(feature, length(feature), 1) as module, avg(pc) as raw from pc group by all having count(*) >= 2),
+    sc as (select rep, profile, module, round(raw / sqrt(sum(raw * raw) over (partition by rep, profile)), 9) as o, module::int as x, module::int * 7 % 10 as y from mo),
+    rk as (select *, rank() over (partition by rep, profile order by o) + (count(*) over (partition by rep, profile, o) - 1) / 2.0::double as ro, rank() over (partition by rep, profile order by x) as rx, rank() over (partition by rep, profile order by y) as ry from sc)
+    select rep, profile, round(corr(rx, ro) - corr(ry, ro), 7) as difference from rk group by rep, profile"""
+)
+def bootstrap_difference(spark, d):
+    """ST22, MD8: two predictions' fits under resamples of subjects."""
+    items = S.table(spark, d, "lineitem").join(S.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = items.join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    keys = [F.col("c_mktsegment").alias("profile"), F.col("o_custkey").alias("subject"), (F.col("c_nationkey") < 12).alias("case_"), F.col("p_brand").alias("feature")]
+    values = rows.groupBy(*keys).agg(F.avg("l_extendedprice").alias("value"))
+    times = nulls.drawn_subjects(values, REPS, SEED, ["profile"], "subject")
+    mods = S.table(spark, d, "part").select(F.col("p_brand").alias("feature"), F.right("p_brand", F.lit(1)).alias("module")).distinct()
+    plan = mods.select("module").distinct().join(values.select("profile").distinct())
+    first = plan.select("profile", "module", F.col("module").cast("int").alias("scaled"))
+    second = plan.select("profile", "module", (F.col("module").cast("int") * 7 % 10).alias("scaled"))
+    out = modules.bootstrap_difference(values, times, F.col("case_"), mods, first, second, 2)
+    return out.withColumn("difference", r("difference", 7))
+
+
 # Rewiring
 
 SMALL = 'select distinct l_suppkey % 40 as "left", l_partkey % 60 as "right" from lineitem where l_orderkey % 29 = 1'

@@ -9,7 +9,7 @@ from kalibra.functions.ranks import to_sum_one
 from kalibra.operators.evidence import support_weights
 from kalibra.operators.nulls import matched_strata
 
-SEED = 20260922
+SEED = 1729
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
