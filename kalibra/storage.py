@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import uuid
 
@@ -27,13 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _remove(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone, or the folder
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
 class Scratch:
-    """Tables written to the shared folder, which cut the lineage of later plans."""
+    """Tables written to the shared folder, which cut the lineage of later plans.
+
+    Results are lazy and read them, so they stay until the application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/kalibra-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"

@@ -81,3 +81,36 @@ def test_quantile_bins_like_pandas(spark):
     for _, own in got.groupby("g"):
         want = pd.qcut(own.x, 4, labels=False, duplicates="drop") + 1
         assert list(own["bin"]) == list(want)
+
+
+def test_wide_ranks_like_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(x)) for g in "ab" for x in rng.integers(0, 40, 300)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = sorted((r.g, r.x, r.r) for r in ranks.wide_average_rank(df, "x", ["g"], "r").collect())
+    want = df.where("x is not null").withColumn("r", ranks.average_rank("x", ["g"]))
+    assert got == sorted((r.g, r.x, r.r) for r in want.collect())
+    assert ranks.wide_average_rank(df.where("false"), "x", ["g"], "r").count() == 0
+
+
+def test_small_sets_are_unfolded(spark):
+    from kalibra.operators.mapping import grid, on_universe, with_each
+
+    a, b = spark.createDataFrame([(1,), (2,), (2,)], "x int"), spark.createDataFrame([("p", 1.0), ("p", 1.0), ("q", 2.0)], "k string, v double")
+    assert sorted(map(tuple, with_each(a, b).collect())) == [(1, "p", 1.0), (1, "q", 2.0), (2, "p", 1.0), (2, "p", 1.0), (2, "q", 2.0), (2, "q", 2.0)]
+    assert grid(a, b.select("k")).count() == 4
+    filled = on_universe(grid(a, b.select("k")), spark.createDataFrame([(1, "p", 5.0)], "x int, k string, y double"), ["x", "k"], "y")
+    assert sorted((r.x, r.k, r.y, r.measured) for r in filled.collect()) == [(1, "p", 5.0, True), (1, "q", 0.0, False), (2, "p", 0.0, False), (2, "q", 0.0, False)]
+
+
+def test_flags_and_directions(spark):
+    df = spark.createDataFrame([(1.0,), (-1.0,), (0.0,)], "x double")
+    got = df.select(ranks.direction(F.col("x")).alias("d"), ranks.flagged({"NEG": F.col("x") < 0, "ODD": F.abs("x") == 1}).alias("f")).collect()
+    assert [tuple(r) for r in got] == [("UP", "ODD"), ("DOWN", "NEG;ODD"), ("ZERO", "")]
+
+
+def test_lag_correlation(spark):
+    x = [1.0, 3.0, 2.0, 5.0, 4.0, 6.0, 8.0]
+    df = spark.createDataFrame([("c", i, v) for i, v in enumerate(x)], "c string, i int, x double")
+    got = {r.lag: r.autocorrelation for r in ranks.lag_correlation(df, "x", ["c"], "i", (1, 2)).collect()}
+    assert got == pytest.approx({k: np.corrcoef(x[k:], x[:-k])[0, 1] for k in (1, 2)})
