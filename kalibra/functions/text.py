@@ -59,6 +59,7 @@ def has_multiple(x: Column) -> Column:
 
 
 def restart_label(r: float) -> str:
+    """SC14."""
     return f"r{r:.2f}".replace(".", "p")
 
 

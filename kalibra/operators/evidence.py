@@ -10,8 +10,8 @@ def support_weights(evidence: DataFrame, offset: float = 1.0) -> DataFrame:
     """(profile, left, support, articles, weight): weight = (support + 0.5) / (articles + offset).
 
     support counts the profile's articles with the left node, articles all of
-    the profile.  An offset of 1 is the Jeffreys weight, one of 0.5 the early
-    variant for formulas.
+    the profile.  An offset of 1 is the Jeffreys weight (PR1, and PR2 with formulas for
+    articles), one of 0.5 the early variant (PR3).
     """
     articles = evidence.groupBy("profile").agg(F.countDistinct("article").alias("articles"))
     support = evidence.groupBy("profile", "left").agg(F.countDistinct("article").alias("support"))

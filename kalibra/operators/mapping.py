@@ -113,7 +113,7 @@ def same_universe(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def detect_column(columns: list[str], candidates: list[str], explicit: str | None = None) -> str:
-    """The column of a table that a candidate names: exactly, else but for case, else as a part."""
+    """SRC22: the column of a table that a candidate names: exactly, else but for case, else as a part."""
     if explicit:
         if explicit not in columns:
             raise ValueError(f"no column {explicit}")

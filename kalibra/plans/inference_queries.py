@@ -350,6 +350,21 @@ def tmm(spark, d):
     return expression.tmm_factors(counts, 0).select("sample", r("factor").alias("factor"))
 
 
+IMPUTED = {
+    "ga": "select l_partkey as feature, l_linestatus || l_returnflag || (l_linenumber % 2) as sample, avg(case when l_quantity > 6 then l_extendedprice end) as value from lineitem group by all",
+    "lg": "select feature, sample, log2(greatest(value, 0) + 1) as value from ga",
+    "st": "select *, count(*) over (partition by feature) as n, count(value) over (partition by feature) as k, avg(value) over (partition by feature) as m, stddev_pop(value) over (partition by feature) as sd from lg",
+}
+
+
+@query(sql("select feature, sample, round(coalesce(value, m), 8) as value from st where 1 - k::double / n <= 0.2 and sd > 0", **IMPUTED).replace("with  ga", "with ga"))
+def imputed(spark, d):
+    """R1: logs, few missing values, and the features' means for them."""
+    items = S.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("feature"), F.concat("l_linestatus", "l_returnflag", F.col("l_linenumber") % 2).alias("sample"))
+    rows = items.agg(F.avg(F.when(F.col("l_quantity") > 6, F.col("l_extendedprice"))).alias("value"))
+    return expression.imputed(rows).withColumn("value", r("value"))
+
+
 @query(
     sql(
         "select from_class, to_class, count(*) as n, round(count(*)::double / sum(count(*)) over (), 8) as share from (select feature, case when za >= 1 then 'Up' when za <= -1 then 'Down' else 'NS' end as from_class, case when zb >= 1 then 'Up' when zb <= -1 then 'Down' else 'NS' end as to_class from bo) group by all",

@@ -368,3 +368,55 @@ def cross_check(spark, d):
     items = S.table(spark, d, "lineitem")
     part = lambda s: items.where(F.col("l_linestatus") == s).select(F.col("l_partkey").alias("k"), F.lit(1.0).alias("x")).distinct()
     return mapping.compared(part("O"), part("F"), ["k"], "x", 1e-10)
+
+
+@query(
+    sql(
+        "select n as name, count(*) as n_edges, min(\"right\") as first_right from (select distinct p_name as n, p_partkey % 50 as m from part where p_size = 3) join edges on \"left\" = m group by n",
+        "edges",
+    )
+)
+def inherited_edges(spark, d):
+    """PR18: names take over the edges of the nodes that they are mapped to."""
+    names = S.table(spark, d, "part").where("p_size = 3").select(F.col("p_name").alias("name"), (F.col("p_partkey") % 50).alias("mapped")).distinct()
+    out = names.join(S.edges(spark, d).withColumnRenamed("left", "mapped"), "mapped")  # with repeats, to be counted
+    once = projection.inherited_edges(names, S.edges(spark, d)).groupBy(F.col("left").alias("name")).agg(F.min("right").alias("first_right"))
+    return out.groupBy("name").agg(F.count("*").alias("n_edges")).join(once, "name")
+
+
+@query(
+    sql(
+        "select count(*) as n, 0::bigint as n_one_sided, 0::bigint as n_masks, 0.0::double as max_gap, true as agree from prof where contributing > 0",
+        "prof",
+    )
+)
+def replay_check(spark, d):
+    """PR16, MD11, SC13: profiles rebuilt edge by edge agree with the projection."""
+    w, e = S.weights(spark, d), S.edges(spark, d)
+    again = projection.contributions(w, e).groupBy("profile", "right").agg(F.sum("corrected").alias("x"))
+    again = again.withColumn("x", F.col("x") / F.sum("x").over(Window.partitionBy("profile")))
+    own = projection.project(w, e).where("contributing > 0").select("profile", "right", F.col("sum1").alias("x"))
+    return mapping.compared(own, again, ["profile", "right"], "x", 1e-12).withColumn("max_gap", r("max_gap", 10))
+
+
+METHODS = ("binary_union", "weighted_raw", "degree_normalised", "ubiquity_corrected")
+
+
+@query(
+    sql(
+        "select profile, step, method, round(sum(x / t * coalesce(z, 0)) / sum(case when z is not null then x / t else 0 end), 8) as alignment from (select *, sum(x) over (partition by profile, method) as t from m) join z on feature = \"right\" group by all",
+        "prof", "z",
+        m=" union all ".join(f"select profile, \"right\", {i + 1} as step, '{m}' as method, {m}::double as x from prof" for i, m in enumerate(METHODS)),
+    )
+)
+def method_trajectory(spark, d):
+    """ST27, MD14, AG12: the alignment under each projection method, in their order."""
+    wide = profiles(spark, d).withColumn("binary_union", F.col("binary_union").cast("double"))
+    long = wide.unpivot(["profile", "right"], list(METHODS), "method", "x")
+    steps = F.create_map(*[F.lit(v) for i, m in enumerate(METHODS) for v in (m, i + 1)])
+    rows = long.join(S.scores(spark, d).withColumnRenamed("feature", "right"), "right")
+    # both sums share the method's total, which cancels
+    out = rows.groupBy("profile", "method").agg(
+        F.sum(F.col("x") * F.coalesce("z", F.lit(0.0))).alias("a"), F.sum(F.when(F.col("z").isNotNull(), F.col("x")).otherwise(0.0)).alias("b")
+    )
+    return out.select("profile", steps[F.col("method")].alias("step"), "method", r(F.col("a") / F.col("b")).alias("alignment"))

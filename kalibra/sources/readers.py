@@ -19,7 +19,7 @@ def without_bom(df: DataFrame) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None, comment: str | None = None, header: bool = True) -> DataFrame:
-    """A delimited file, plain or gzipped; without a schema all columns are strings."""
+    """SRC1, SRC17, SRC26: a delimited file, plain or gzipped; without a schema all columns are strings."""
     reader = spark.read.option("header", header).option("sep", sep).option("multiLine", False)
     if comment:
         reader = reader.option("comment", comment)
@@ -33,7 +33,7 @@ def delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTy
 
 
 def by_suffix(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """CSV, TSV or XLSX by the file's name, gzipped or not."""
+    """SRC2: CSV, TSV or XLSX by the file's name, gzipped or not."""
     name = path.lower().removesuffix(".gz")
     if name.endswith((".xlsx", ".xlsm")):
         return sheet_of(spark, path, sheet)
@@ -45,7 +45,7 @@ def by_suffix(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
 
 
 def blanks(spark: SparkSession, path: str) -> DataFrame:
-    """A file whose columns are separated by runs of blanks, with a header line."""
+    """SRC3: a file whose columns are separated by runs of blanks, with a header line."""
     lines = spark.read.text(path).where("trim(value) <> ''")
     first = lines.first()
     if first is None:
@@ -57,7 +57,7 @@ def blanks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def optional(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
-    """A mapping table, or an empty one where there is none."""
+    """SRC25: a mapping table, or an empty one where there is none."""
     return spark.createDataFrame([], schema) if path is None else delimited(spark, path, schema=schema)
 
 
@@ -102,7 +102,7 @@ def _cells(content: bytes) -> dict[str, list[list[str]]]:
 
 
 def workbook(spark: SparkSession, path: str, required: list[str] = ()) -> dict[str, DataFrame]:
-    """The sheets of a workbook, a small file by its kind; required ones must be there."""
+    """SRC4, SRC5: the sheets of a workbook, a small file by its kind; required ones must be there."""
     content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
     sheets = _cells(content)
     if missing := [s for s in required if s not in sheets]:
@@ -130,7 +130,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def series_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(probe, sample, value) of the table between the begin and end marks of a series matrix."""
+    """SRC6, SRC15: (probe, sample, value) of the table between the begin and end marks of a series matrix."""
     lines = numbered_lines(spark, path)
     marks = lines.agg(
         F.min(F.when(F.col("value").startswith("!series_matrix_table_begin"), F.col("n"))).alias("a"), F.min(F.when(F.col("value").startswith("!series_matrix_table_end"), F.col("n"))).alias("b")
@@ -145,7 +145,7 @@ def series_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def series_samples(spark: SparkSession, path: str, groups: dict[str, str], other: str = "OTHER") -> DataFrame:
-    """(sample, title, group): a series' samples, grouped by the first keyword that a title has, in lower case."""
+    """SRC7, SRC15: (sample, title, group): a series' samples, grouped by the first keyword that a title has, in lower case."""
     lines = numbered_lines(spark, path)
     cells = F.transform(F.split("value", "\t"), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
     row = lambda mark: lines.where(F.col("value").startswith(mark)).select(F.posexplode(F.slice(cells, 2, F.size(cells))).alias("i", "x"))
@@ -157,7 +157,7 @@ def series_samples(spark: SparkSession, path: str, groups: dict[str, str], other
 
 
 def count_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """(feature, sample, value) of a wide matrix whose first column names its rows."""
+    """SRC14: (feature, sample, value) of a wide matrix whose first column names its rows."""
     wide = delimited(spark, path, sep)
     if len(wide.columns) < 3:
         raise ValueError(f"{path} has fewer than three columns")
@@ -167,7 +167,7 @@ def count_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def platform_annotation(spark: SparkSession, path: str) -> DataFrame:
-    """(line): the lines of a platform's one TXT file, plain or in a ZIP, without comments."""
+    """SRC13: (line): the lines of a platform's one TXT file, plain or in a ZIP, without comments."""
 
     def lines(content: bytes) -> list[str]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -188,7 +188,7 @@ def platform_annotation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gene_sets(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """(module, source, feature) of a GMT file."""
+    """SRC8: (module, source, feature) of a GMT file."""
     cells = F.split("value", "\t")
     rows = spark.read.text(path).where("value <> ''").select(cells[0].alias("module"), F.get(cells, F.lit(1)).alias("source"), F.explode(F.slice(cells, 3, F.greatest(F.size(cells) - 2, F.lit(1)))).alias("feature"))
     rows = rows.where("feature <> ''")
@@ -198,19 +198,19 @@ def gene_sets(spark: SparkSession, path: str, expected: int | None = None) -> Da
 
 
 def joined_sets(df: DataFrame, module: str, features: str, sep: str = ";") -> DataFrame:
-    """(module, feature) of a table with joined lists."""
+    """SRC9: (module, feature) of a table with joined lists."""
     return df.select(F.col(module).alias("module"), F.explode(F.split(features, sep)).alias("feature")).select("module", F.trim("feature").alias("feature")).where("feature <> ''").distinct()
 
 
 def annotations(spark: SparkSession, path: str, aspect: str = "P", least: int = 15) -> DataFrame:
-    """(symbol, term) of a GAF file: one aspect, no negated qualifiers, only lines with enough fields."""
+    """SRC10: (symbol, term) of a GAF file: one aspect, no negated qualifiers, only lines with enough fields."""
     lines = spark.read.text(path).where(~F.col("value").startswith("!")).select(F.split("value", "\t", -1).alias("c"))
     rows = lines.where(F.size("c") >= least).select(F.col("c")[2].alias("symbol"), F.col("c")[3].alias("qualifier"), F.col("c")[4].alias("term"), F.col("c")[8].alias("aspect"))
     return rows.where((F.col("aspect") == aspect) & ~F.array_contains(F.split("qualifier", r"\|"), "NOT")).select("symbol", "term").distinct()
 
 
 def ontology(spark: SparkSession, path: str) -> DataFrame:
-    """(term, name, namespace, obsolete, parents) of an OBO file's terms; parents by is_a and part_of."""
+    """SRC11: (term, name, namespace, obsolete, parents) of an OBO file's terms; parents by is_a and part_of."""
     stanzas = spark.read.option("lineSep", "\n\n").text(path).select(F.trim(F.regexp_replace("value", "\r", "")).alias("s")).where(F.col("s").startswith("[Term]"))
     one = lambda key: F.nullif(F.regexp_extract("s", rf"(?m)^{key}: (.*)$", 1), F.lit(""))
     every = lambda form: F.regexp_extract_all("s", F.lit(form), F.lit(1))
@@ -224,13 +224,13 @@ def ontology_edges(terms: DataFrame) -> DataFrame:
 
 
 def pathway_links(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b) of a two-column link file, without the databases' prefixes."""
+    """SRC12: (a, b) of a two-column link file, without the databases' prefixes."""
     cells = F.split("value", "\t")
     return spark.read.text(path).where("value <> ''").select(*[F.element_at(F.split(cells[i], ":"), -1).alias(n) for i, n in enumerate("ab")])
 
 
 def named_network(links: DataFrame, names: DataFrame) -> DataFrame:
-    """(u, v, score) by symbol, of links (a, b, score) between identifiers and their names (id, symbol)."""
+    """SRC16: (u, v, score) by symbol, of links (a, b, score) between identifiers and their names (id, symbol)."""
     one = names.select(F.col("id").alias("a"), F.col("symbol").alias("u"))
     two = names.select(F.col("id").alias("b"), F.col("symbol").alias("v"))
     return links.join(one, "a").join(two, "b").select("u", "v", "score")
@@ -262,7 +262,7 @@ def page_cells(pages: DataFrame, header: list[str]) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of all files below a folder."""
+    """SRC24: (path, length, sha256) of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
@@ -276,7 +276,7 @@ def classified(files: DataFrame, rules: list[tuple[str, str]], other: str = "OTH
 
 
 def resolved(files: DataFrame, name: str) -> str:
-    """The path of a file by its name; copies may lie about if they are equal."""
+    """SRC23: the path of a file by its name; copies may lie about if they are equal."""
     found = files.where(F.element_at(F.split("path", "/"), -1) == name).select("path", "sha256").orderBy(F.length("path"), "path").limit(1000).collect()
     if not found:
         raise FileNotFoundError(name)

@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
+    """SNK1, SNK2."""
     df.write.mode("overwrite").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
 
 
 def write_by(df: DataFrame, path: str, *columns: str) -> None:
-    """Parquet, a folder for each value of the columns, each written by few tasks."""
+    """SNK2, SNK7: Parquet, a folder for each value of the columns, each written by few tasks."""
     df.repartition(*columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
 def write_report(sheets: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table for each sheet of a report."""
+    """SNK3: one Parquet table for each sheet of a report."""
     for name, df in sheets.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """A small text, such as a statement or metadata, through Spark's file systems."""
+    """SNK5: a small text, such as a statement or metadata, through Spark's file systems."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
@@ -35,17 +36,18 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """SNK4."""
     write_text(spark, json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True), path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of what was written."""
+    """SNK6: (path, length, sha256) of what was written."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the rows whose keys the table at path lacks, so that a job that was cut off goes on; how many."""
+    """SNK8: appends the rows whose keys the table at path lacks, so that a job that was cut off goes on; how many."""
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
