@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalibra.llm.shared import Scratch, components, fresh, partitions
+from kalibra.llm.shared import Scratch, components, fresh
 
 WORDS, SEED, BITS, BYTES = 3, 42, 3, 8
 LEAST = BYTES - BITS
@@ -127,10 +127,8 @@ def runs(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[tuple[int, np.
 
 def links(fps: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """(a, b): links between different fingerprints of the column fp that leave all linked ones connected."""
-    parts = partitions(fps.sparkSession)
-
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "k").sortWithinPartitions("k")
+        return df.repartition("k").sortWithinPartitions("k")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, found, large in runs(batches, hot):
@@ -259,8 +257,7 @@ def class_prints(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarr
 
 def in_lists(rows: DataFrame, run, schema: str) -> DataFrame:
     """Rows with a key column k dealt by it and given to run in its order."""
-    parts = partitions(rows.sparkSession)
-    return rows.repartition(parts, "k").sortWithinPartitions("k", *[c for c in rows.columns if c != "k"]).mapInArrow(run, schema)
+    return rows.repartition("k").sortWithinPartitions("k", *[c for c in rows.columns if c != "k"]).mapInArrow(run, schema)
 
 
 def long_batch(names: list[str], *cols) -> pa.RecordBatch:
@@ -270,10 +267,10 @@ def long_batch(names: list[str], *cols) -> pa.RecordBatch:
 def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between those rows (row, text) that are among (row), whose shingle sets have at least that Jaccard similarity.
 
-    In each posting list every row is paired with the list's centre, the row
-    that most other rows share postings with, and in a list of up to SMALL rows
-    with all.  Rows that a link absorbs leave their lists, which are then gone
-    through again with their new centres, until a round finds no link.
+    In each posting list every row is paired with the list's SMALL centres, the
+    rows that most other rows share postings with; a list of up to SMALL rows is
+    so compared in full.  Rows that a link absorbs leave their lists, which are
+    then gone through again with their new centres, until a round finds no link.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +299,10 @@ def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = S
                 i, j = np.triu_indices(len(ids), 1)
                 yield long_batch(["a", "b"], ids[j], ids[i])
             else:
-                centre = ids[np.lexsort((ids, -weight))[0]]
-                rest = ids[ids != centre]
-                yield long_batch(["a", "b"], np.maximum(rest, centre), np.minimum(rest, centre))
+                order = ids[np.lexsort((ids, -weight))]
+                for i, centre in enumerate(order[:SMALL]):
+                    rest = order[i + 1 :]
+                    yield long_batch(["a", "b"], np.maximum(rest, centre), np.minimum(rest, centre))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -331,6 +329,8 @@ def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = S
         pairs = in_lists(live.join(weight, "row").select("k", "row", "w"), paired, "a long, b long")
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
         pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if found is not None and pairs.isEmpty():
+            return found
         one = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
         two = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
