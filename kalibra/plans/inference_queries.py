@@ -188,7 +188,7 @@ def bootstrap_draws(spark, d):
     f"""with subj as (select c_mktsegment as profile, c_custkey as k, c_acctbal as x, c_nationkey as y, row_number() over (partition by c_mktsegment order by c_custkey) as n, count(*) over (partition by c_mktsegment) as size from customer),
     hits as (select rep, profile, ('0x' || substr(md5('{SEED}|' || rep || '|' || profile || '|' || k), 1, 8))::bigint % size + 1 as n from subj cross join (select unnest(range({REPS}))::bigint as rep)),
     est as (select rep, h.profile, sum(case when y < 12 then x end) / sum((y < 12)::int) - sum(case when y >= 12 then x end) / sum((y >= 12)::int) as delta from hits h join subj using (profile, n) group by all)
-    select profile, round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.5), 6) as middle, round(quantile_cont(delta, 0.975), 6) as high from est group by profile"""
+    select profile, round(quantile_cont(delta, 0.025), 9) as low, round(quantile_cont(delta, 0.5), 9) as middle, round(quantile_cont(delta, 0.975), 9) as high from est group by profile"""
 )
 def bootstrap_interval(spark, d):
     """ST22, AG9: a difference of means under integer multiplicities."""
@@ -196,7 +196,7 @@ def bootstrap_interval(spark, d):
     times = nulls.drawn_subjects(people, REPS, SEED, ["profile"], "customer")
     tests = expression.welch(times.join(people, ["profile", "customer"]), ["rep", "profile"], F.col("case_"), F.col("times").cast("double"))
     out = tests.groupBy("profile").agg(F.percentile("effect", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return out.select("profile", *[r(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+    return out.select("profile", *[r(F.col("q")[i], 9).alias(n) for i, n in enumerate(("low", "middle", "high"))])
 
 
 # Multiplicity
