@@ -211,7 +211,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bytes of a class are one posting, the shared postings of a pair are tallied,
 # and what reaches the minimum is verified by the exact similarity.
 
-SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SHARED, SMALL = 5, 0.8, 4, 24, 2, 8
+SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SHARED, SMALL, CENTRES = 5, 0.8, 4, 24, 2, 8, 3
 
 
 def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -267,9 +267,9 @@ def long_batch(names: list[str], *cols) -> pa.RecordBatch:
 def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between those rows (row, text) that are among (row), whose shingle sets have at least that Jaccard similarity.
 
-    In each posting list every row is paired with the list's SMALL centres, the
-    rows that most other rows share postings with; a list of up to SMALL rows is
-    so compared in full.  Rows that a link absorbs leave their lists, which are
+    In each posting list every row is paired with the list's CENTRES centres, the
+    rows that most other rows share postings with, and in a list of up to SMALL
+    rows with all.  Rows that a link absorbs leave their lists, which are
     then gone through again with their new centres, until a round finds no link.
     """
 
@@ -300,7 +300,7 @@ def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = S
                 yield long_batch(["a", "b"], ids[j], ids[i])
             else:
                 order = ids[np.lexsort((ids, -weight))]
-                for i, centre in enumerate(order[:SMALL]):
+                for i, centre in enumerate(order[:CENTRES]):
                     rest = order[i + 1 :]
                     yield long_batch(["a", "b"], np.maximum(rest, centre), np.minimum(rest, centre))
 
