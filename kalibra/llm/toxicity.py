@@ -36,6 +36,8 @@ LEAST, SHARE = 5, 0.01
 SKETCH, COPY, RUN = 32, 8, 4
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
+#: Rows whose features a task holds at a time.
+SLICE = 32
 STEPS, RATE, DECAY = 800, 0.05, 1e-5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -159,7 +161,7 @@ def train(
     texts = texts.groupBy("id").agg(F.min("x").alias("x"), F.max("p").alias("p"), F.max("u").alias("u"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             texts = [x.as_py() for x in b.column(0)]
             words = [counted(x) for x in texts]
             found = [sorted(features(w).items()) for w, _ in words]
