@@ -211,7 +211,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bytes of a class are one posting, the shared postings of a pair are tallied,
 # and what reaches the minimum is verified by the exact similarity.
 
-SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SHARED, SMALL, CENTRES = 5, 0.8, 4, 24, 2, 8, 3
+SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SMALL, CENTRES = 5, 0.8, 4, 24, 8, 3
 
 
 def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -264,45 +264,62 @@ def long_batch(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=names)
 
 
-def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between those rows (row, text) that are among (row), whose shingle sets have at least that Jaccard similarity.
+def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(first, root): of the groups (row, root) of rows (row, text), those that links join with others; first is the root as given.
 
-    In each posting list every row is paired with the list's CENTRES centres, the
-    rows that most other rows share postings with, and in a list of up to SMALL
-    rows with all.  Rows that a link absorbs leave their lists, which are
-    then gone through again with their new centres, until a round finds no link.
+    Rows link if their shingle sets have at least that Jaccard similarity.  Each
+    posting list is gone through in rounds: its next centres are paired with all
+    rows left that are of other groups by then, and retire.  The rounds end
+    when one finds no link; a short list is compared in full at once.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
+            cols = []
             for i, x in zip(b.column(0).to_pylist(), b.column(1)):
-                own = class_prints(shingles(x.as_py(), words), similarity)
-                ids.append(np.full(len(own), i, np.int64))
-                keys.append(own)
-            if ids:
-                yield long_batch(["row", "k"], np.concatenate(ids), np.concatenate(keys))
+                hashes = shingles(x.as_py(), words)
+                own = class_prints(hashes, similarity)
+                cols.append((np.full(len(own), i, np.int64), own, np.full(len(own), len(hashes)), np.zeros(len(own), np.int64)))
+            if cols:
+                yield long_batch(["row", "k", "size", "at"], *map(np.concatenate, zip(*cols)))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(k, row, n) of lists of several rows; the next list waits until its size is known."""
+        """(k, row, size, at, n) of lists of several rows."""
+        held = np.empty((0, 4), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = np.concatenate((held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.int64)))
+            last = int(np.searchsorted(cols[:, 0], cols[-1, 0]))
+            held = cols[last:]
+            if (out := several(cols[:last])) is not None:
+                yield out
+        if (out := several(held)) is not None:
+            yield out
+
+    def several(cols: np.ndarray) -> pa.RecordBatch | None:
+        _, back, n = np.unique(cols[:, 0], return_inverse=True, return_counts=True)
+        n = n[back]
+        return long_batch(["k", "row", "size", "at", "n"], *cols[n > 1].T, n[n > 1]) if (n > 1).any() else None
+
+    def paired(batches: Iterator[pa.RecordBatch], centres: int) -> Iterator[pa.RecordBatch]:
+        """kind 0: a pair (a, b); kind 1: a row b that stays in list a."""
+        names = ["kind", "a", "b", "size", "at", "w"]
         for k, rows in lists(batches):
-            if len(rows) > 1:
-                yield long_batch(["k", "row", "n"], np.full(len(rows), k), rows[:, 0], np.full(len(rows), len(rows)))
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in lists(batches):
-            if len(rows) < 2:
+            root, row, size, at, w = rows[np.lexsort((rows[:, 1], -rows[:, 4]))].T
+            n = len(row) if len(row) <= SMALL else centres
+            if (root == root[0]).all():
                 continue
-            ids, weight = rows[:, 0], rows[:, 1]
-            if len(ids) <= SMALL:
-                ids = np.sort(ids)
-                i, j = np.triu_indices(len(ids), 1)
-                yield long_batch(["a", "b"], ids[j], ids[i])
-            else:
-                order = ids[np.lexsort((ids, -weight))]
-                for i, centre in enumerate(order[:CENTRES]):
-                    rest = order[i + 1 :]
-                    yield long_batch(["a", "b"], np.maximum(rest, centre), np.minimum(rest, centre))
+            for i in range(min(n, len(row) - 1)):
+                # what two rows share from here on has to suffice; if this isn't the first shingle that they share, that one's list has them
+                most = np.minimum(size[i] - at[i], size[i + 1 :] - at[i + 1 :])
+                near = (root[i + 1 :] != root[i]) & (most * (1 + similarity) >= similarity * (size[i] + size[i + 1 :]) - 1e-6)
+                rest = row[i + 1 :][near]
+                if len(rest):
+                    none = np.zeros(len(rest), np.int64)
+                    yield long_batch(names, none, np.maximum(rest, row[i]), np.minimum(rest, row[i]), none, none, none)
+            if len(row) - n > 1:
+                yield long_batch(names, np.ones(len(row) - n), np.full(len(row) - n, k), row[n:], size[n:], at[n:], w[n:])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -318,30 +335,31 @@ def similar(texts: DataFrame, among: DataFrame, scratch: Scratch, words: int = S
             if out:
                 yield long_batch(["a", "b"], *zip(*out))
 
-    posted = texts.select("row", "text").mapInArrow(post, "row long, k long")
-    posted = posted.join(among, "row", "left_semi")
-    live = scratch.write(in_lists(posted.select("k", "row"), shared, "k long, row long, n long"))
-    needed = live.select("row").distinct()
-    texts = scratch.write(texts.join(needed, "row", "left_semi"))
-    tried = found = None
+    posted = texts.select("row", "text").mapInArrow(post, "row long, k long, size long, at long")
+    live = scratch.write(in_lists(posted.select("k", "row", "size", "at"), shared, "k long, row long, size long, at long, n long"))
+    weight = scratch.write(live.groupBy("row").agg(F.sum("n").alias("w")))
+    live = live.join(weight, "row").drop("n")
+    texts = scratch.write(texts.join(weight, "row", "left_semi"))
+    label = scratch.write(groups.join(weight, "row", "left_semi").select("row", F.col("root").alias("first"), "root"))
+    tried, centres = None, CENTRES
     while True:
-        weight = live.groupBy("row").agg(F.sum("n").alias("w"))
-        pairs = in_lists(live.join(weight, "row").select("k", "row", "w"), paired, "a long, b long")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+        dealt = live.join(label, "row").select("k", "root", "row", "size", "at", "w")
+        out = scratch.write(in_lists(dealt, lambda x, n=centres: paired(x, n), "kind long, a long, b long, size long, at long, w long"))
+        pairs = out.where("kind = 0").select("a", "b").distinct()
         pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if found is not None and pairs.isEmpty():
-            return found
+        tried = pairs if tried is None else tried.union(pairs)
         one = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
         two = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        new = scratch.write(both.mapInArrow(verified, "a long, b long"))
-        found = new if found is None else found.union(new)
-        if new.isEmpty():
-            return found
-        tried = pairs if tried is None else tried.union(pairs)
-        absorbed = new.select(F.col("a").alias("row")).distinct()
-        rest = live.join(absorbed, "row", "left_anti").select("k", "row")
-        live = scratch.write(in_lists(rest, shared, "k long, row long, n long"))
+        new = scratch.write(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
+        if not new.isEmpty():
+            one = label.select(F.col("row").alias("a"), F.col("root").alias("x"))
+            two = label.select(F.col("row").alias("b"), F.col("root").alias("y"))
+            edges = new.join(one, "a").join(two, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+            to = components(edges, scratch).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            label = scratch.write(label.join(to, "root", "left").select("row", "first", F.coalesce("to", "root").alias("root")))
+        live = out.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("row"), "size", "at", "w")
+        if live.isEmpty() or new.isEmpty():
+            return label.select("first", "root").distinct()
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -377,12 +395,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col(row).alias("row")
     )
     found = near_duplicates(own.select(order.alias(key), "text"), key)
-    firsts = scratch.write(found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("key")))
-    left = firsts.select(F.col("key.row").alias("row"), "key")
+    named = scratch.write(found.select(F.col(key).alias("key"), F.col("component_id").alias("lowest")))
     texts = own.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
-    roots = scratch.write(components(similar(texts, left.select("row"), scratch), scratch))
-    every = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    keys = every.join(left, F.col("node") == F.col("row")).select("root", "row", "key")
+    distinct = texts.groupBy(F.sha2("text", 256)).agg(F.min("row").alias("row")).select("row")
+    groups = named.select(F.col("key.row").alias("row"), F.col("lowest.row").alias("root"))
+    merged = scratch.write(similar(texts.join(distinct, "row", "left_semi"), groups, scratch))
+    left = named.where("key = lowest").select(F.col("key.row").alias("row"), "key")
+    keys = merged.join(left, F.col("first") == F.col("row")).select("root", "row", "key")
     lowest = keys.groupBy("root").agg(F.min("key").alias("lowest"))
     gone = keys.join(lowest, "root").where(F.col("key") != F.col("lowest")).select("row")
     kept = left.select("row").join(gone, "row", "left_anti").select(F.col("row").alias(row))

@@ -125,3 +125,47 @@ def test_class_prints_of_near_lengths():
         assert len(np.intersect1d(simhash.class_prints(a), simhash.class_prints(np.delete(a, 3)))) > 0
         assert {len(simhash.class_prints(x)) > 0 for x in (a, b)} == {True}
     assert len(simhash.class_prints(np.empty(0, np.uint64))) == 0
+
+
+def similar_groups(texts, words=5, similarity=0.8):
+    """Of each text the first of its component, by all links of all pairs."""
+    prints = [plain_print(t) for t in texts]
+    sets = [set(simhash.shingles(t, words).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def kept_like_all_pairs(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    want = sorted(set(similar_groups(texts)))
+    print(len(texts), "texts", len(want), "groups", len(got), "kept")
+    assert got == want
+
+
+def variants(rng, n, length, least, most):
+    base = [f"v{rng.randrange(10**6)}" for _ in range(length)]
+    for _ in range(n):
+        words = list(base)
+        for i in rng.sample(range(length), rng.randint(least, most)):
+            words[i] = f"v{rng.randrange(10**6)}"
+        yield " ".join(words)
+
+
+def test_groups_are_what_all_links_connect(spark):
+    rng = random.Random(1)
+    texts = [t for _ in range(2) for t in variants(rng, 100, 100, 1, 4)]
+    rng.shuffle(texts)
+    kept_like_all_pairs(spark, texts)
