@@ -211,7 +211,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bytes of a class are one posting, the shared postings of a pair are tallied,
 # and what reaches the minimum is verified by the exact similarity.
 
-SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SMALL, CENTRES = 5, 0.8, 4, 24, 8, 3
+SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SMALL = 5, 0.8, 4, 24, 8
 
 
 def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -269,8 +269,8 @@ def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int =
 
     Rows link if their shingle sets have at least that Jaccard similarity.  Each
     posting list is gone through in rounds: its next centres are paired with all
-    rows left that are of other groups by then, and retire.  The rounds end
-    when one finds no link; a short list is compared in full at once.
+    rows left that are of other groups by then, and retire.  A list ends when all
+    its rows have been centres or are of one group; a short one does so at once.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +341,7 @@ def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int =
     live = live.join(weight, "row").drop("n")
     texts = scratch.write(texts.join(weight, "row", "left_semi"))
     label = scratch.write(groups.join(weight, "row", "left_semi").select("row", F.col("root").alias("first"), "root"))
-    tried, centres = None, CENTRES
+    tried, centres = None, 1
     while True:
         dealt = live.join(label, "row").select("k", "root", "row", "size", "at", "w")
         out = scratch.write(in_lists(dealt, lambda x, n=centres: paired(x, n), "kind long, a long, b long, size long, at long, w long"))
@@ -358,8 +358,9 @@ def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int =
             to = components(edges, scratch).select(F.col("node").alias("root"), F.col("root").alias("to"))
             label = scratch.write(label.join(to, "root", "left").select("row", "first", F.coalesce("to", "root").alias("root")))
         live = out.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("row"), "size", "at", "w")
-        if live.isEmpty() or new.isEmpty():
+        if live.isEmpty():
             return label.select("first", "root").distinct()
+        centres *= 4
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:

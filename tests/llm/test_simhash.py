@@ -169,3 +169,18 @@ def test_groups_are_what_all_links_connect(spark):
     texts = [t for _ in range(2) for t in variants(rng, 100, 100, 1, 4)]
     rng.shuffle(texts)
     kept_like_all_pairs(spark, texts)
+
+
+def test_long_lists_are_compared_in_full(spark):
+    """Rows around a passage that all have, in pairs that are similar."""
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        own = [f"v{rng.randrange(10**6)}" for _ in range(40)]
+        for _ in range(2):
+            words = list(own)
+            words[rng.randrange(30)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(words[:20] + passage + words[20:]))
+    rng.shuffle(texts)
+    kept_like_all_pairs(spark, texts)
