@@ -205,13 +205,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Beyond three bits
 #
 # Texts of a shingle similarity of 0.8 mostly differ in more than three bits of
-# one fingerprint.  For these the shingles are dealt into classes by their hash,
-# about GRAIN to a class, and the first CLASSES classes get a fingerprint each:
-# a few changed words leave most classes as they are.  All eight positional
-# bytes of a class are one posting, the shared postings of a pair are tallied,
-# and what reaches the minimum is verified by the exact similarity.
+# one fingerprint.  For these each text posts the first of its shingles in one
+# order of all, so many that any two texts that are similar share one; rows of a
+# posting list are compared until all its groups are, and verified exactly.
 
 SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SMALL = 5, 0.8, 4, 24, 8
+#: Shingles that OFTEN or more of one text in SAMPLE have count as common, the first COMMON of them.
+SAMPLE, OFTEN, COMMON = 8, 8, 100_000
 
 
 def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -234,6 +234,8 @@ def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
 def class_prints(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """A posting for each class of shingles.
 
+    The near-duplicate stage posts by prefix() instead, which misses no pair.
+
     The number of classes is a power of two near len / GRAIN; texts near the next
     power have both, so any two that can be similar have one in common.
     """
@@ -255,6 +257,24 @@ def class_prints(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarr
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first of a text's shingles, of which any two texts that are similar have one in common.
+
+    Similar sets share at least similarity times the larger one's size, so the
+    first that they share, in any order of all shingles, is within the first
+    n - similarity * n + 1 of both.  The order is that of the hashes, with the
+    common ones last by their rank.
+    """
+    n = len(hashes)
+    if not n:
+        return np.empty(0, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = common[at] == hashes
+        hashes = np.concatenate((hashes[~often], hashes[often][np.argsort(rank[at[often]])]))
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1].astype(np.int64)
+
+
 def in_lists(rows: DataFrame, run, schema: str) -> DataFrame:
     """Rows with a key column k dealt by it and given to run in its order."""
     return rows.repartition("k").sortWithinPartitions("k", *[c for c in rows.columns if c != "k"]).mapInArrow(run, schema)
@@ -264,6 +284,22 @@ def long_batch(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=names)
 
 
+def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts, in order, and their ranks by frequency; from one text in SAMPLE, as any choice leaves results the same."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x.as_py(), words) for x in b.column(0)]
+            if found:
+                yield long_batch(["h"], np.concatenate(found).view(np.int64))
+
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(every, "h long")
+    rows = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    found = np.array([r.h for r in rows][::-1], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], order
+
+
 def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(first, root): of the groups (row, root) of rows (row, text), those that links join with others; first is the root as given.
 
@@ -273,13 +309,14 @@ def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int =
     its rows have been centres or are of one group; a short one does so at once.
     """
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
         for b in batches:
             cols = []
             for i, x in zip(b.column(0).to_pylist(), b.column(1)):
                 hashes = shingles(x.as_py(), words)
-                own = class_prints(hashes, similarity)
-                cols.append((np.full(len(own), i, np.int64), own, np.full(len(own), len(hashes)), np.zeros(len(own), np.int64)))
+                own = prefix(hashes, common, rank, similarity)
+                cols.append((np.full(len(own), i, np.int64), own, np.full(len(own), len(hashes)), np.arange(len(own))))
             if cols:
                 yield long_batch(["row", "k", "size", "at"], *map(np.concatenate, zip(*cols)))
 
@@ -335,7 +372,8 @@ def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int =
             if out:
                 yield long_batch(["a", "b"], *zip(*out))
 
-    posted = texts.select("row", "text").mapInArrow(post, "row long, k long, size long, at long")
+    common = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
+    posted = texts.select("row", "text").mapInArrow(lambda x: post(x, common), "row long, k long, size long, at long")
     live = scratch.write(in_lists(posted.select("k", "row", "size", "at"), shared, "k long, row long, size long, at long, n long"))
     weight = scratch.write(live.groupBy("row").agg(F.sum("n").alias("w")))
     live = live.join(weight, "row").drop("n")

@@ -184,3 +184,13 @@ def test_long_lists_are_compared_in_full(spark):
             texts.append(" ".join(words[:20] + passage + words[20:]))
     rng.shuffle(texts)
     kept_like_all_pairs(spark, texts)
+
+
+def test_short_texts_are_found(spark):
+    rng = random.Random(3)
+    texts = []
+    for n in range(9, 24):
+        for _ in range(6):
+            words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join(words[1:] if rng.random() < 0.5 else words[:-1])]
+    kept_like_all_pairs(spark, texts)
