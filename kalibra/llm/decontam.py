@@ -3,16 +3,15 @@
 Words are the runs left when ASCII punctuation counts as white space, lower-cased
 in A-Z; shingles are WORDS words, weighted by how often they occur.  For every
 item length that the benchmark has, a window of that many words slides over each
-document, word by word.  A window whose fingerprint is within RADIUS bits of an
-item's is a candidate; the multi-index keeps the items' fingerprints in BLOCKS
-blocks, and probing each block up to RADIUS // BLOCKS bits away reaches every
-fingerprint within RADIUS.  A candidate counts if its weighted-shingle
-similarity, the shared weight over the larger of both weights, is at least
-SIMILARITY.
-
-Most windows need no fingerprint: one that holds less than SIMILARITY times an
+document, word by word; a shorter document is one window.  A window counts if its
+weighted-shingle similarity, the shared weight over the larger of both weights,
+is at least SIMILARITY.  The differing bits of both fingerprints are reported and
+settle which of two windows that are alike is the better; they drop none.
+
+Most windows are never verified: one that holds less than SIMILARITY times an
 item's weight in shingles of any item of that length can't reach the similarity
-with one of them.  A running count of such shingles skips those, and loses none.
+with one of them.  A running count of such shingles skips those, and loses none;
+a second count, of the shingles of each item that is left, skips most others.
 
 Items are broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark
 takes more passes over the documents.
@@ -35,6 +34,7 @@ from pyspark.sql import types as T
 from kalibra.llm.shared import table
 
 WORDS, SIMILARITY = 5, 0.8
+#: Windows that count mostly differ from their item in up to RADIUS of the fingerprints' BITS.
 BITS, RADIUS, BLOCKS = 64, 20, 8
 BLOCK_BYTES = 32 << 20
 #: Lower-case A-Z, and punctuation as blanks.
@@ -72,7 +72,7 @@ def packed(signs: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The items of one block: their shingles, fingerprints and the multi-index, by length in words."""
+    """The items of one block: their shingles, fingerprints and which of them hold a shingle, by length in words."""
 
     def __init__(self, items: list[tuple[int, str]], width: int = WORDS, similarity: float = SIMILARITY):
         from xxhash import xxh64_intdigest
@@ -90,10 +90,15 @@ class Items:
             self.of[len(words), k].append(len(self.ids))
             self.ids.append(item)
             self.weights.append(shingle_hashes(np.array([self.code[w] for w in words], np.uint64), k))
-        self.shingles, self.prints, self.index = {}, {}, {}
+        self.shingles, self.prints, self.index, self.holders = {}, {}, {}, {}
         for key, own in self.of.items():
             self.shingles[key] = np.unique(np.concatenate([self.weights[i] for i in own]))
             self.prints[key] = np.concatenate([packed(sums(self.weights[i])[-1:]) for i in own])
+            holders: dict[int, list[int]] = defaultdict(list)
+            for i, item in enumerate(own):
+                for h in np.unique(self.weights[item]).tolist():
+                    holders[h].append(i)
+            self.holders[key] = dict(holders)
             index: dict[tuple[int, int], list[int]] = defaultdict(list)
             for i, fp in enumerate(self.prints[key].tolist()):
                 for b in range(BLOCKS):
@@ -105,7 +110,7 @@ class Items:
         self.flips = [sum(1 << p for p in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(size), r)]
 
     def near(self, key: tuple[int, int], fp: int) -> np.ndarray:
-        """The items of that length whose fingerprints are within RADIUS bits of fp."""
+        """The items of that length whose fingerprints are within RADIUS bits of fp; the search verifies more than these."""
         index, size = self.index[key], BITS // BLOCKS
         found = [index[b, v] for b in range(BLOCKS) for f in self.flips if (b, v := fp >> b * size & (1 << size) - 1 ^ f) in index]
         if not found:
@@ -130,16 +135,15 @@ class Items:
             if not len(at):
                 continue
             for key, own in self.of.items():
-                n, width = key
-                if width == k and len(codes) >= n:
+                if key[1] == k:
                     self.windows(key, own, codes, at, words, best)
         return best
 
     def windows(self, key, own, codes, at, words, best) -> None:
-        n, k = key
+        n, k = min(key[0], len(codes)), key[1]
         known = among(shingle_hashes_at(codes, at, k), self.shingles[key])
-        at, span = at[known], n - k + 1
-        least = self.similarity * span - 1e-9
+        at, span, weight = at[known], n - k + 1, key[0] - k + 1
+        least = self.similarity * weight - 1e-9
         if len(at) < least:
             return
         # windows that begin at s hold the shingles s to s + span - 1
@@ -155,12 +159,16 @@ class Items:
             total = sums(hashes)
             rel = part - a
             prints = packed(total[rel + span] - total[rel])
-            for s, fp in zip(rel.tolist(), prints.tolist()):
-                for i in self.near(key, fp).tolist():
-                    item = own[i]
-                    weight = Counter(hashes[s : s + span].tolist())
-                    shared = sum(min(c, weight[h]) for h, c in self.counts[item].items())
-                    alike = shared / span
+            held_by = Counter()
+            for h in hashes.tolist():
+                held_by.update(self.holders[key].get(h, ()))
+            for i in sorted(i for i, c in held_by.items() if c >= least):
+                item = own[i]
+                count = np.concatenate(([0], np.cumsum(among(hashes, np.unique(self.weights[item])))))
+                for j in np.flatnonzero(count[rel + span] - count[rel] >= least).tolist():
+                    s, fp = int(rel[j]), int(prints[j])
+                    window = Counter(hashes[s : s + span].tolist())
+                    alike = sum(min(c, window[h]) for h, c in self.counts[item].items()) / weight
                     if alike >= self.similarity:
                         apart = (fp ^ int(self.prints[key][i])).bit_count()
                         new = (alike, -apart, -(a + s))

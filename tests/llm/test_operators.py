@@ -36,6 +36,29 @@ def plain_contained(text, item, width=5):
     return max(sum((grams(words[s : s + n]) & want).values()) / sum(want.values()) for s in range(len(words) - n + 1))
 
 
+def test_documents_shorter_than_their_item():
+    words = [f"w{i}" for i in range(30)]
+    index = decontam.Items([(7, " ".join(words))])
+    for cut in range(1, 6):
+        for part in (words[cut:], words[:-cut]):
+            assert index.search(" ".join(part))[0][0] == pytest.approx((26 - cut) / 26)
+    assert not index.search(" ".join(words[6:]))
+
+
+def test_windows_of_many_differing_bits():
+    rng = random.Random(5)
+    most = 0
+    for _ in range(600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(29)]
+        index = decontam.Items([(7, " ".join(words))])
+        changed = [*words[:14], f"x{rng.randrange(10**6)}", *words[15:]]  # 20 of 25 shingles stay
+        text = " ".join(["a"] * 30 + changed + ["b"] * 30)
+        found = index.search(text)
+        assert 0 in found and found[0][0] >= 0.8
+        most = max(most, found[0][1])
+    assert most > decontam.RADIUS
+
+
 def test_windows_like_brute_force(spark):
     rng = random.Random(0)
     vocabulary = [f"w{i}" for i in range(40)]
