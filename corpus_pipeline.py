@@ -30,7 +30,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.packed(docs)
+    return packing.packed(docs, special=True)
 
 
 STAGES = [

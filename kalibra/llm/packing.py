@@ -30,8 +30,8 @@ TOKENIZER = "byte_bpe_50k"
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(name: str = TOKENIZER):
-    """The vocabulary's encoder: texts to lists of ids, special tokens' strings as ordinary text.
+def encoder(name: str = TOKENIZER, special: bool = False):
+    """The vocabulary's encoder: texts to lists of ids, strings of its added tokens as those or as ordinary text.
 
     Of the two libraries that read this vocabulary the faster one runs; tests
     hold its ids against those of the other.
@@ -39,13 +39,18 @@ def encoder(name: str = TOKENIZER):
     cache = worker_cache()
     if name not in cache:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        cache[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        cache[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    if special:
+        return lambda text: cache[name].encode(text, allowed_special="all")
     return cache[name].encode_ordinary
 
 
@@ -86,10 +91,11 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int,
     return pieces, n + len(caps)
 
 
-def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, batch: int = BATCH, ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, batch: int = BATCH, ids: bool = False, special: bool = False) -> DataFrame:
     """A row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
-    A document's ids are its text's, then END; start counts its ids before the
+    A document's ids are its text's, the vocabulary's added tokens among them if
+    special is set, as the queries do, and else as ordinary text; then END; start counts its ids before the
     piece.  Null and empty texts have the one id END; repeated rows are packed
     each; an empty table gives no rows.  sequence_id is the task's partition
     times 2 ** 32 plus a count from 0.
@@ -99,7 +105,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder()
+        encode = encoder(special=special)
         first = TaskContext.get().partitionId() << 32
         keys, codes, held = [], [], 0
 
@@ -140,4 +146,4 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), special=True)

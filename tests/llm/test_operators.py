@@ -221,6 +221,16 @@ def test_ids_of_any_text(text):
     assert packing.encoder()(text) == cache["own"].encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_like_the_tokenizer_as_loaded():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", " <|endoftext|>  ١٢ 'll  \x00", "", "plain"):
+        assert packing.encoder(special=True)(text) == own.encode(text, add_special_tokens=False).ids
+    assert 50256 in packing.encoder(special=True)("a <|endoftext|> b")
+
+
 def test_packing_edges(spark):
     got = packing.packed(edge_docs(spark)).collect()
     whole = [(r.doc_id, r.doc_tokens) for r in got if r.start == 0]
