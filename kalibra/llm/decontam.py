@@ -5,21 +5,26 @@ in A-Z; shingles are WORDS words, weighted by how often they occur.  For every
 item length that the benchmark has, a window of that many words slides over each
 document, word by word; a shorter document is one window.  A window counts if its
 weighted-shingle similarity, the shared weight over the larger of both weights,
-is at least SIMILARITY.  The differing bits of both fingerprints are reported and
-settle which of two windows that are alike is the better; they drop none.
+is at least SIMILARITY.
 
-Most windows are never verified: one that holds less than SIMILARITY times an
+Each window has a SimHash of its own, and a multi-index finds the items whose
+fingerprints are within RADIUS bits of it: at that many, at least one of BLOCKS
+blocks differs in no more than RADIUS // BLOCKS bits, so looking up all such
+values of each block meets every one.  These candidates are verified by their
+shingles.  RADIUS is wide, for texts of a similarity of 0.8 differ in 13 bits on
+average with a deviation of about 3: over 31 is more than five deviations off.
+
+Most windows need no fingerprint: one that holds less than SIMILARITY times an
 item's weight in shingles of any item of that length can't reach the similarity
-with one of them.  A running count of such shingles skips those, and loses none;
-a second count, of the shingles of each item that is left, skips most others.
+with one of them.  A running count of such shingles skips those, and loses none.
 
 Items are broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark
-takes more passes over the documents.
+takes more passes over the documents, one after another.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -31,12 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalibra.llm.shared import table
+from kalibra.llm.shared import Scratch, table, worker_cache
 
 WORDS, SIMILARITY = 5, 0.8
-#: Windows that count mostly differ from their item in up to RADIUS of the fingerprints' BITS.
-BITS, RADIUS, BLOCKS = 64, 20, 8
-BLOCK_BYTES = 32 << 20
+#: Of the fingerprints' BITS, so many may differ; the multi-index looks up BLOCKS blocks.
+BITS, RADIUS, BLOCKS = 64, 31, 8
+SIZE = BITS // BLOCKS
+#: Of each value of a block, those within RADIUS // BLOCKS bits of it.
+NEAR = [[v ^ sum(1 << p for p in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(SIZE), r)] for v in range(1 << SIZE)]
+BLOCK_BYTES = 8 << 20
 #: Lower-case A-Z, and punctuation as blanks.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -92,31 +100,28 @@ class Items:
             self.weights.append(shingle_hashes(np.array([self.code[w] for w in words], np.uint64), k))
         self.shingles, self.prints, self.index, self.holders = {}, {}, {}, {}
         for key, own in self.of.items():
-            self.shingles[key] = np.unique(np.concatenate([self.weights[i] for i in own]))
+            # sorted by shingle: who holds it, of this length
+            held = [np.unique(self.weights[i]) for i in own]
+            every, who = np.concatenate(held), np.repeat(np.arange(len(own)), [len(h) for h in held])
+            order = np.argsort(every, kind="stable")
+            self.holders[key] = every[order], who[order]
+            self.shingles[key] = np.unique(every)
             self.prints[key] = np.concatenate([packed(sums(self.weights[i])[-1:]) for i in own])
-            holders: dict[int, list[int]] = defaultdict(list)
-            for i, item in enumerate(own):
-                for h in np.unique(self.weights[item]).tolist():
-                    holders[h].append(i)
-            self.holders[key] = dict(holders)
             index: dict[tuple[int, int], list[int]] = defaultdict(list)
             for i, fp in enumerate(self.prints[key].tolist()):
                 for b in range(BLOCKS):
-                    index[b, fp >> b * (BITS // BLOCKS) & (1 << BITS // BLOCKS) - 1].append(i)
-            self.index[key] = {k: np.array(v) for k, v in index.items()}
-        self.counts = [Counter(w.tolist()) for w in self.weights]
+                    index[b, fp >> b * SIZE & (1 << SIZE) - 1].append(i)
+            self.index[key] = dict(index)
         self.all = {k: np.unique(np.concatenate([s for (_, w), s in self.shingles.items() if w == k])) for k in {k for _, k in self.of}}
-        size = BITS // BLOCKS
-        self.flips = [sum(1 << p for p in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(size), r)]
-
-    def near(self, key: tuple[int, int], fp: int) -> np.ndarray:
-        """The items of that length whose fingerprints are within RADIUS bits of fp; the search verifies more than these."""
-        index, size = self.index[key], BITS // BLOCKS
-        found = [index[b, v] for b in range(BLOCKS) for f in self.flips if (b, v := fp >> b * size & (1 << size) - 1 ^ f) in index]
-        if not found:
-            return np.empty(0, np.int64)
-        found = np.unique(np.concatenate(found))
-        return found[np.bitwise_count(self.prints[key][found] ^ np.uint64(fp)) <= RADIUS]
+
+    def near(self, key: tuple[int, int], fp: int) -> set[int]:
+        """The items of that length whose fingerprints are within RADIUS bits of fp."""
+        index, prints = self.index[key], self.prints[key]
+        found: set[int] = set()
+        for b in range(BLOCKS):
+            for v in NEAR[fp >> b * SIZE & (1 << SIZE) - 1]:
+                found.update(index.get((b, v), ()))
+        return {i for i in found if (int(prints[i]) ^ fp).bit_count() <= RADIUS}
 
     def search(self, text: str | None) -> dict[int, tuple[float, int, int, int]]:
         """The items that a text holds: similarity, differing bits, first word and words of the best window."""
@@ -158,17 +163,25 @@ class Items:
             hashes = shingle_hashes(coded(words, codes, a, b + k - 1), k)
             total = sums(hashes)
             rel = part - a
-            prints = packed(total[rel + span] - total[rel])
+            prints = packed(total[rel + span] - total[rel]).tolist()
+            every, who = self.holders[key]
+            lo, hi = np.searchsorted(every, hashes), np.searchsorted(every, hashes, "right")
             held_by = Counter()
-            for h in hashes.tolist():
-                held_by.update(self.holders[key].get(h, ()))
-            for i in sorted(i for i, c in held_by.items() if c >= least):
-                item = own[i]
+            for x, y in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                held_by.update(who[x:y].tolist())
+            able = [i for i, c in held_by.items() if c >= least]
+            near: dict[int, set[int]] = {}
+            for i in sorted(able):
+                item, counts = own[i], Counter(self.weights[own[i]].tolist())
                 count = np.concatenate(([0], np.cumsum(among(hashes, np.unique(self.weights[item])))))
                 for j in np.flatnonzero(count[rel + span] - count[rel] >= least).tolist():
-                    s, fp = int(rel[j]), int(prints[j])
+                    s, fp = int(rel[j]), prints[j]
+                    if fp not in near:
+                        near[fp] = self.near(key, fp)
+                    if i not in near[fp]:
+                        continue
                     window = Counter(hashes[s : s + span].tolist())
-                    alike = sum(min(c, window[h]) for h, c in self.counts[item].items()) / weight
+                    alike = sum(min(c, window[h]) for h, c in counts.items()) / weight
                     if alike >= self.similarity:
                         apart = (fp ^ int(self.prints[key][i])).bit_count()
                         new = (alike, -apart, -(a + s))
@@ -206,6 +219,22 @@ def blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[
         yield items if n == 1 else items.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == i)
 
 
+class Shared:
+    """A block of items for the tasks: broadcast once, indexed once in each Python worker, which holds one block at a time."""
+
+    def __init__(self, block: DataFrame, width: int, similarity: float):
+        rows = [tuple(r) for r in block.where("text is not null").collect()]  # at most about BLOCK_BYTES of text
+        self.rows = block.sparkSession.sparkContext.broadcast(rows)
+        self.mark, self.width, self.similarity = uuid.uuid4().hex, width, similarity
+
+    def items(self) -> Items:
+        cache = worker_cache()
+        if cache.get("items", ("",))[0] != self.mark:
+            cache["items"] = None, None  # the last block goes before the next one comes
+            cache["items"] = self.mark, Items(self.rows.value, self.width, self.similarity)
+        return cache["items"][1]
+
+
 def contaminations(
     docs: DataFrame,
     items: DataFrame,
@@ -218,19 +247,19 @@ def contaminations(
     """(key, item_id, similarity, differing_bits, first_word, words): the best window of each item in each row of docs.
 
     Null and empty texts hold nothing and null or empty items are found nowhere.
-    An item of fewer than width words is one shingle, its whole sequence.
+    An item of fewer than width words is one shingle, its whole sequence.  Texts
+    of any length are searched whole; clashing columns of docs play no part.
     Repeated rows and repeated items each give their rows.  Of windows alike in
     similarity and bits the first counts.
     """
-    spark = docs.sparkSession
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     items = items.select(F.col(item_key), F.col("text").cast("string").alias("text"))
     out = None
     for block in blocks(items, item_key, "text", block_bytes):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in block.where("text is not null").collect()])
+        shared = Shared(block, width, similarity)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value, width, similarity)
+            index = shared.items()
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0), batch.column(1)):
@@ -252,10 +281,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def holder(shared, width: int, similarity: float):
+def holder(shared: Shared):
     @F.pandas_udf(T.BooleanType())
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Items(shared.value, width, similarity)
+        index = shared.items()
         for texts in batches:
             yield texts.map(lambda x: bool(index.search(x)), na_action=None).astype(bool)
 
@@ -263,9 +292,13 @@ def holder(shared, width: int, similarity: float):
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WORDS, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no item; each row is judged by its own text, where it lies."""
+    """The rows of docs that hold no item; each row is judged by its own text, where it lies.
+
+    What is left after a block of items is written before the next one is searched.
+    """
     items = items.select("item_id", F.col("text").cast("string").alias("text"))
+    scratch, first = Scratch(docs.sparkSession), True
     for block in blocks(items, "item_id", "text", block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.where("text is not null").collect()])
-        docs = docs.where(~holder(shared, width, similarity)(F.col("text").cast("string")))
+        docs = docs if first else scratch.write(docs)
+        docs, first = docs.where(~holder(Shared(block, width, similarity))(F.col("text").cast("string"))), False
     return docs
