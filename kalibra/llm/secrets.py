@@ -2,11 +2,15 @@
 
 Around every assignment sign of a text a small lexer reads the target name on
 the left and an expression on the right: quoted literals, names and bare values,
-joined by plus signs or blanks between quotes.  Constants propagate: a name that
-stands for a literal, anywhere in the text, passes the literal on.  A literal
-counts as a secret if the sensitivity of the name that it reaches and its own
-shape score THRESHOLD or more; its span is that of the literal.  Three base
-patterns are searched besides: assign, access and hex.
+joined by plus signs or blanks between quotes.  Constants propagate: a name
+stands for the last expression assigned to it before, or else the first one
+after, and passes on all literals that can be reached so, over any number of
+names.  A literal counts as a secret if the sensitivity of the name that it
+reaches and the shape of all that reaches it score THRESHOLD or more; its span
+is that of the literal.  Three base patterns are searched besides: assign,
+access and hex.
+
+Names, expressions and chains of names may be of any length.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +29,6 @@ from pyspark.sql import functions as F
 from kalibra.llm.shared import table
 
 THRESHOLD = 1.0
-DEPTH = 8
 KINDS = ("assign", "access", "hex", "lexed")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,9 +48,14 @@ KEYS = {"api": 1.0, "access": 0.9, "private": 1.0, "secret": 1.0, "encryption":
 #: Literals that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "placeholder", "example", "password", "secret", "token", "undefined", "default", "required", "redacted", "string"}
 
-SIGN = re.compile(r":=|=>|[:=]")
-LEFT = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'`\])]*[ \t]*$", re.A)
-TERM = re.compile(r"""[ \t]*(?:(?P<pre>[rbfuL]{0,2})(?P<q>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|\$?\{?(?P<name>[A-Za-z_$][\w.$]*)\}?(?![\w+/=-])|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""", re.A)
+#: A name, what may stand between it and its sign, and the sign.  Runs of names begin where no other does, so each is read once.
+TARGET = re.compile(r"(?<![\w.$-])[\d.-]*+(?P<name>[A-Za-z_$][\w.$-]*+)[\"'`\])]*+[ \t]*+(?P<sign>:=|=>|[:=])(?![=:]|//)", re.A)
+#: A bare value ends before the next sign, but for a URL's own and the padding at its end.
+TERM = re.compile(
+    r"""[ \t]*+(?:(?:[rbfuL]{0,2})(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|\$?\{?(?P<name>[A-Za-z_$][\w.$]*)\}?(?![\w+/=-]|://)|(?P<bare>(?:[^\s"'`,;(){}\[\]<>=:]|://(?:[^\s"'`,;(){}\[\]<>=:/@]*+:[^\s"'`,;(){}\[\]<>=:/@]*+@)?)++(?:={1,2}(?![^\s"'`,;(){}\[\]<>]))?))""", re.A
+)
+PLUS = re.compile(r"[ \t]*+[+.][ \t]*+(?=[\"'`$A-Za-z_])")
+QUOTE = re.compile(r"[ \t]*+[\"']")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 
 
@@ -71,72 +80,91 @@ def shape(value: str) -> float:
     return min(1.0, 0.1 * (entropy - 2) + 0.15 * (kinds - 1) + (0.2 if n >= 16 else 0.0) + 0.1)
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
-    """(name, terms) in order; a term is (what, value, start, end), what being literal, name, call or bare."""
+Term = tuple[str, int, int]  # literal, name, call or bare, and its span
+
+
+def assignments(text: str) -> list[tuple[str, list[Term]]]:
+    """(name, terms) in order."""
     out = []
-    for m in SIGN.finditer(text):
-        i, j = m.span()
-        if text[i - 1 : i] in ("=", "!", "<", ">", ":") and i > 0 or text[j : j + 1] in ("=", ":"):
-            continue  # a comparison, or a sign already read
-        left = LEFT.search(text, max(0, i - 80), i)
-        if not left:
-            continue
-        terms, at = [], j
-        while len(terms) < DEPTH and (t := TERM.match(text, at)):
-            if t["q"] is not None:
-                terms.append(("literal", t["q"][1:-1], t.start("q") + 1, t.end("q") - 1))
+    for m in TARGET.finditer(text):
+        terms, at = [], m.end()
+        while t := TERM.match(text, at):
+            at = t.end()
+            if t["quoted"] is not None:
+                terms.append(("literal", t.start("quoted") + 1, t.end("quoted") - 1))
             elif t["name"] is not None:
                 called = text[t.end("name") : t.end("name") + 1] in ("(", "[")
-                terms.append(("call" if called else "name", t["name"], t.start("name"), t.end("name")))
+                terms.append(("call" if called else "name", *t.span("name")))
             else:
-                terms.append(("bare", t["bare"], t.start("bare"), t.end("bare")))
-            at = t.end()
-            if plus := re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`$A-Za-z_])").match(text, at):
+                terms.append(("bare", *t.span("bare")))
+            if plus := PLUS.match(text, at):
                 at = plus.end()
-            elif not (t["q"] is not None and re.compile(r"[ \t]*[\"']").match(text, at)):
+            elif t["quoted"] is None or not QUOTE.match(text, at):
                 break
         if terms:
-            out.append((left[1], terms))
+            out.append((m["name"], terms))
     return out
 
 
+def meant(known: list[int], i: int) -> int:
+    """Of the assignments of a name that assignment i uses: the last before it, else the first after it, or i itself if there is no other."""
+    k = bisect_left(known, i)
+    return known[k - 1] if k else next((j for j in known[:2] if j != i), i)
+
+
+def reached(text: str, pairs: list[tuple[str, list[Term]]], at: dict[str, list[int]], first: int) -> list[tuple[int, int]]:
+    """The spans of the literals that assignment number first reaches, each once, in the order of reading.
+
+    A name without an assignment is a bare value where it stands alone.
+    """
+    out: dict[tuple[int, int], None] = {}
+    seen = {first}
+    stack = [(first, iter(pairs[first][1]))]
+    while stack:
+        i, terms = stack[-1]
+        term = next(terms, None)
+        if term is None:
+            stack.pop()
+            continue
+        what, a, b = term
+        if what == "name":
+            if known := at.get(text[a:b]):
+                to = meant(known, i)
+                if to not in seen:
+                    seen.add(to)
+                    stack.append((to, iter(pairs[to][1])))
+            elif len(pairs[i][1]) == 1:
+                out[a, b] = None
+        elif what != "call":
+            out[a, b] = None
+    return list(out)
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """The spans of the literals that reach a sensitive name."""
     if not any(x in text for x in ":="):
         return []
     pairs = assignments(text)
-    defined: dict[str, list] = {}
-    for name, terms in pairs:
-        defined.setdefault(name, terms)
-
-    def resolve(terms, seen: frozenset) -> list[tuple[str, int, int]]:
-        out = []
-        for what, value, a, b in terms:
-            if what == "call":
-                out.append((None, a, b))
-            elif what != "name":
-                out.append((value, a, b))
-            elif value in defined and value not in seen and len(seen) < DEPTH:
-                out += resolve(defined[value], seen | {value})
-            else:
-                out.append((None, a, b) if len(terms) > 1 else (value, a, b))
-            if len(out) > DEPTH * DEPTH:
-                break
-        return out
-
-    found = set()
-    for name, terms in pairs:
-        weight = sensitivity(name)
-        if weight <= 0:
+    at: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(pairs):
+        at.setdefault(name, []).append(i)
+    weights = {name: sensitivity(name) for name in at}
+    found, known = set(), {}
+    for i, (name, terms) in enumerate(pairs):
+        if weights[name] <= 0:
             continue
-        parts = [p for p in resolve(terms, frozenset([name])) if p[0] is not None]
-        whole = "".join(p[0] for p in parts)
+        own = at.get(text[terms[0][1] : terms[0][2]]) if len(terms) == 1 and terms[0][0] == "name" else None
+        to = meant(own, i) if own else i  # what only names another reaches what that one does
+        if to not in known:
+            known[to] = reached(text, pairs, at, to)
+        parts = known[to] if to != i or not own else []
         if not parts:
             continue
-        quoted = any(t[0] == "literal" for t in terms) or len(terms) == 1 and terms[0][1] in defined
+        whole = "".join(text[a:b] for a, b in parts)
+        quoted = own is not None or any(t[0] == "literal" for t in terms)
         word = len(parts) == 1 and not quoted and whole.isalpha() and whole.islower()
-        if not word and weight + shape(whole) >= THRESHOLD:
-            found |= {(a, b) for v, a, b in parts if len(v) >= 3}
+        if not word and weights[name] + shape(whole) >= THRESHOLD:
+            found |= {(a, b) for a, b in parts if b - a >= 3}
     return sorted(found)
 
 
@@ -161,8 +189,9 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     The counts and the digest are of the base patterns' spans, each that of its
     whole match in code points; spans also has those of the lexer, kind lexed.
-    Null and empty texts have none; repeated rows get their row each; an empty
-    table gives no rows.
+    Null and empty texts have none; texts of any length are read whole; repeated
+    rows get their row each; clashing columns play no part; an empty table gives
+    no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
 
