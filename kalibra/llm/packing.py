@@ -2,17 +2,19 @@
 
 A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n``: attention stays
 within a piece.  Documents are taken in batches of about BATCH tokens, as the
-scan delivers them.  What fills whole sequences of CAPACITY tokens is cut off
-first.  The rests then go, in descending order of their cost, each to the
-sequence of the lowest cost that has room for it; one that fits nowhere is cut
-and fills the sequence of the lowest cost that has any room.  A batch opens as
-many sequences as its rests fill, and the last tokens get sequences of powers of
-two, so no padding is left.  A batch is all that a task holds in memory, and
-packing needs no shuffle.
+scan delivers them.  A batch opens as many sequences of CAPACITY tokens as it
+fills, and its last tokens get sequences of powers of two, so no padding is left.
+
+The costliest document is next, always.  It goes whole to the sequence of the
+lowest cost that has room for it.  If none has, it is cut: a piece fills the
+sequence of the lowest cost that has any room, and the rest takes its place
+among the documents by its own cost.  A batch is all that a task holds in
+memory, and packing needs no shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,8 @@ TOKENIZER = "byte_bpe_50k"
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(name: str = TOKENIZER, special: bool = False):
-    """The vocabulary's encoder: texts to lists of ids, strings of its added tokens as those or as ordinary text.
+def encoder(name: str = TOKENIZER):
+    """The vocabulary's encoder: texts to lists of ids, strings of its added tokens as those.
 
     Of the two libraries that read this vocabulary the faster one runs; tests
     hold its ids against those of the other.
@@ -49,9 +51,7 @@ def encoder(name: str = TOKENIZER, special: bool = False):
         with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
             added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         cache[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    if special:
-        return lambda text: cache[name].encode(text, allowed_special="all")
-    return cache[name].encode_ordinary
+    return lambda text: cache[name].encode(text, allowed_special="all")
 
 
 def cost(n):
@@ -64,40 +64,38 @@ def powers(n: int) -> list[int]:
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Pieces (document, start, length, sequence, offset) of documents 0, 1, ... and the number of sequences."""
-    pieces, rests, n = [], [], 0
-    for i, length in enumerate(lengths):
-        whole = length // capacity
-        for j in range(whole):
-            pieces.append((i, j * capacity, capacity, n, 0))
-            n += 1
-        if length % capacity:
-            rests.append((length % capacity, i, whole * capacity))
-    total = sum(r[0] for r in rests)
+    """Pieces (document, start, length, sequence, offset) of documents 0, 1, ... and the number of sequences.
+
+    Of equal costs the first document and the first sequence are next.
+    """
+    total = sum(lengths)
     caps = np.array([capacity] * (total // capacity) + powers(total % capacity), np.int64)
     free, costs = caps.copy(), np.zeros(len(caps))
-    rests.sort(key=lambda r: (-r[0], r[1]))
-    for length, i, start in rests:
-        while length:
-            fits = free >= length
-            if not fits.any():
-                fits = free > 0
-            at = int(np.argmin(np.where(fits, costs, np.inf)))
-            size = min(length, int(free[at]))
-            pieces.append((i, start, size, n + at, int(caps[at] - free[at])))
-            free[at] -= size
-            costs[at] += cost(size)
-            start, length = start + size, length - size
-    return pieces, n + len(caps)
-
-
-def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, batch: int = BATCH, ids: bool = False, special: bool = False) -> DataFrame:
+    left = [(-cost(n), i, 0, n) for i, n in enumerate(lengths) if n]
+    heapq.heapify(left)
+    pieces = []
+    while left:
+        _, i, start, length = heapq.heappop(left)
+        fits = free >= length
+        if not fits.any():
+            fits = free > 0
+        at = int(np.argmin(np.where(fits, costs, np.inf)))
+        size = min(length, int(free[at]))
+        pieces.append((i, start, size, at, int(caps[at] - free[at])))
+        free[at] -= size
+        costs[at] += cost(size)
+        if length > size:
+            heapq.heappush(left, (-cost(length - size), i, start + size, length - size))
+    return pieces, len(caps)
+
+
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, batch: int = BATCH, ids: bool = False) -> DataFrame:
     """A row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
-    A document's ids are its text's, the vocabulary's added tokens among them if
-    special is set, as the queries do, and else as ordinary text; then END; start counts its ids before the
-    piece.  Null and empty texts have the one id END; repeated rows are packed
-    each; an empty table gives no rows.  sequence_id is the task's partition
+    A document's ids are its text's, the vocabulary's added tokens among them,
+    then END; start counts its ids before the piece.  Null and empty texts have
+    the one id END; texts of any length are encoded whole; repeated rows are
+    packed each; clashing columns play no part; an empty table gives no rows.  sequence_id is the task's partition
     times 2 ** 32 plus a count from 0.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -105,7 +103,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(special=special)
+        encode = encoder()
         first = TaskContext.get().partitionId() << 32
         keys, codes, held = [], [], 0
 
@@ -146,4 +144,4 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), special=True)
+    return packed(table(spark, sf_dir, "documents"))
