@@ -7,15 +7,27 @@ entities: a surrogate is a keyed permutation of the entity within its format,
 the sequence of its character classes (digit, vowel or consonant of a script).
 The permutation is one cycle through the format, so nothing maps to itself.
 Names keep gender and script: listed given names are permuted within the list of
-their gender and script, and of others the letters.  Collision checks: a
-permuted name that hits a listed one is walked on until it does not, octets stay
-octets, card numbers keep whether their check digit is right.
+their gender and script, listed surnames within that of their script, and of
+others the letters.  Collision checks: a permuted name that hits a listed one is
+walked on until it does not, octets stay octets, card numbers keep whether their
+check digit is right, phone numbers their country code and trunk zero.
+
+Names are found by titles, by listed given names, by what introduces a name
+("my name is", "Dear"), by what joins two people of whom one is known ("met",
+"and"), and then wherever else in the text they are mentioned; in capitals too.
+
+Whoever has the key can undo the permutations.  So the operator has no key of
+its own: it takes one as an argument, which ``key_of`` reads from the setting
+KEY_SETTING, or where that is unset makes at random for this application, so
+that nobody has it afterwards.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +38,7 @@ from pyspark.sql import functions as F
 
 from kalibra.llm.shared import fresh, table
 
-KEY = b"kalibra surrogates"
+KEY_SETTING, KEY_BYTES = "spark.kalibra.pii.key", 16
 ROUNDS = 8
 
 #: Character classes: each is permuted within itself.
@@ -55,7 +67,17 @@ TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Sra Госпожа Κυρία".split(),
     "": "Dr Prof Doctor Professor Dra Доктор".split(),
 }
+#: Common surnames by script.
+SURNAMES = {
+    "latin": "Smith Johnson Williams Brown Jones Garcia Miller Davis Wilson Anderson Taylor Moore Jackson Martin Thompson White Harris Clark Lewis Walker Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Dubois Durand Lefebvre Moreau Laurent Bernard García Martínez López Sánchez Pérez Gómez".split(),
+    "cyrillic": "Мельник Шевченко Бондаренко Коваленко Ткаченко Кравченко".split(),
+    "greek": "Παπαδόπουλος Νικολάου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου".split(),
+}
+#: What introduces a name, and what joins two people.
+INTRODUCING = ["my name is", "name is", "name:", "named", "called", "dear", "signed", "signed by", "sincerely,", "regards,", "attn:", "contact:", "mein name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "меня зовут", "με λένε"]
+JOINING = ["and", "met", "with", "called", "married", "told", "asked", "saw", "knows", "und", "traf", "mit", "et", "avec", "y", "con", "и", "και"]
 LISTED = {n.lower(): g for g, names in GIVEN.items() for n in names}
+SURNAMED = {n.lower(): g for g, names in SURNAMES.items() for n in names}
 UPPER = "A-ZÀ-ÖØ-ÞŠŽČŘŁА-ЯΑ-Ω"
 LOW = "a-zà-öø-ÿšžčřłа-яёα-ωάέήίόύώ"
 CAPITAL = f"[{UPPER}][{LOW}]+(?:-[{UPPER}][{LOW}]+)?"
@@ -64,14 +86,23 @@ DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)", re.A)
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
-CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A)
+CARD = re.compile(r"(?<![\w+-])(?!00)\d(?:[ -]?\d){12,18}(?![\w-])", re.A)
 PHONE = re.compile(r"(?<![\w+])(?:\+|00)?(?:\(\d{1,4}\)|\d{1,4}+)(?:[ .()/-]{0,3}\d{1,10}+){1,5}+(?!\w)", re.A)
 DATE = re.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4}", re.A)
-TITLED = re.compile(rf"(?<!\w)({'|'.join(t for ts in TITLES.values() for t in ts)})(\.? )({CAPITAL})(?: ({CAPITAL}))?")
-NAMED = re.compile(rf"(?<!\w)({'|'.join(n for ns in GIVEN.values() for n in ns)}) ({CAPITAL})")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:){2,8}(?:[0-9A-Fa-f]{1,4})?(?![\w:])", re.A)
+GIVENS = "|".join(n for ns in GIVEN.values() for n in ns)
+TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+FULL = f"({CAPITAL})(?: (?:[{UPPER}]\\. )?({CAPITAL}))"
+CAPITALS = f"[{UPPER}]{{2,}}+(?:-[{UPPER}]{{2,}}+)?"
+TITLED = re.compile(rf"(?<!\w)(?:{TITLE})\.? ({CAPITAL})(?: (?:[{UPPER}]\. )?({CAPITAL}))?")
+NAMED = re.compile(rf"(?<!\w)({GIVENS}) (?:[{UPPER}]\. )?({CAPITAL})")
+SHOUTED = re.compile(rf"(?<!\w)(?:(?:{TITLE.upper()})\.? ({CAPITALS})(?: ({CAPITALS}))?|({GIVENS.upper()}) ({CAPITALS}))(?!\w)")
+INTRODUCED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, INTRODUCING))})[ \n]{FULL}")
+#: Two people joined, of whom the first or the second is to be known.
+JOINED = re.compile(rf"(?<!\w){FULL} (?:{'|'.join(JOINING)}) (?={FULL})")
 
 
-CAPITALISED = re.compile(rf"(?<!\w){CAPITAL}(?!\w)")
+CAPITALISED = re.compile(rf"(?<!\w)(?:{CAPITAL}|{CAPITALS})(?!\w)")
 
 
 def halves(n: int) -> tuple[int, int]:
@@ -154,10 +185,35 @@ def card(text: str, key: bytes) -> str:
     return "".join(next(new) if c.isdigit() else c for c in text)
 
 
+#: Country codes of two digits; those that begin with 1 or 7 have one, all others three.
+TWO = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+
+
+def prefixed(text: str, own: str) -> int:
+    """The digits before the national number: the country code, how it is dialled, and a trunk zero."""
+    n = 0
+    if text.startswith("+") or own.startswith("00"):
+        n = 0 if text.startswith("+") else 2
+        n += 1 if own[n : n + 1] in ("1", "7") else 2 if own[n : n + 2] in TWO else 3
+    elif len(own) == 11 and own[0] == "1":
+        n = 1
+    return n + (own[n : n + 1] == "0")
+
+
 def phone(text: str, key: bytes) -> str:
-    """National numbers, the last ten digits or less, are permuted alike in every notation; the country code stays."""
-    own = sum(c.isdigit() for c in text)
-    return digits(text, key, max(0, own - 10))
+    """The national number is permuted alike in every notation, its first digit not to a zero; what is before it stays."""
+    own = "".join(c for c in text if c.isdigit())
+    n = prefixed(text, own)
+    rest = own[n:]
+    if rest[:1] in ("", "0"):
+        return digits(text, key, min(n, len(own) - 1))
+    least = 10 ** (len(rest) - 1)
+    new = iter(own[:n] + str(least + turned(int(rest) - least, 9 * least, key + b"|%d" % len(rest))))
+    return "".join(next(new) if c.isdigit() else c for c in text)
+
+
+def ipv6(text: str, key: bytes) -> str:
+    return str(ipaddress.IPv6Address(turned(int(ipaddress.IPv6Address(text)), 1 << 128, key)))
 
 
 def ip(text: str, key: bytes) -> str:
@@ -172,41 +228,42 @@ def email(text: str, key: bytes) -> str:
 
 
 @lru_cache(None)
-def listed(group: str, key: bytes) -> dict[str, str]:
-    names = GIVEN[group]
+def listed(names: tuple[str, ...], key: bytes) -> dict[str, str]:
     order = sorted(names, key=lambda x: keyed(key, 0, int.from_bytes(x.encode(), "big")))
     return {a.lower(): b for a, b in zip(order, order[1:] + order[:1])}
 
 
 def word(text: str, key: bytes) -> str:
-    """A part of a name that isn't a listed given name."""
+    """A part of a name that isn't listed."""
     new = letters(text, key)
-    while new.lower() in LISTED:
+    while new.lower() in LISTED or new.lower() in SURNAMED:
         new = letters(new, key)
     return new
 
 
+def cased(new: str, text: str) -> str:
+    return new.upper() if text.isupper() else new
+
+
 def given(text: str, key: bytes) -> str:
     group = LISTED.get(text.lower())
-    return listed(group, key)[text.lower()] if group else word(text, key)
+    return cased(listed(tuple(GIVEN[group]), key)[text.lower()] if group else word(text.capitalize(), key), text)
 
 
 def surname(text: str, key: bytes) -> str:
     """Endings that tell the gender stay."""
-    stem, end = text, ""
+    group = SURNAMED.get(text.lower())
+    if group:
+        return cased(listed(tuple(SURNAMES[group]), key)[text.lower()], text)
+    stem, end = text.capitalize(), ""
     for e in ("ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский", "opoulou", "opoulos"):
         if text.lower().endswith(e) and len(text) > len(e) + 1:
-            stem, end = text[: -len(e)], text[-len(e) :]
+            stem, end = stem[: -len(e)], e
             break
-    return word(stem, key + b" surname") + end
-
+    return cased(word(stem, key + b" surname") + end, text)
 
-def names(m: re.Match, titled: bool) -> list[tuple[int, int, str]]:
-    parts = [g for g in ((3, 4) if titled else (1, 2)) if m.group(g)]
-    return [(m.start(g), m.end(g), "given" if i < len(parts) - 1 or m.group(g).lower() in LISTED else "surname") for i, g in enumerate(parts)]
 
-
-MAKE = {"email": email, "ip": ip, "iban": lambda t, k: t[:2] + letters(t[2:], k), "ssn": digits, "card": card, "phone": phone, "given": given, "surname": surname}
+MAKE = {"email": email, "ip": ip, "ipv6": ipv6, "iban": lambda t, k: t[:2] + letters(t[2:], k), "ssn": digits, "card": card, "phone": phone, "given": given, "surname": surname}
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -248,20 +305,60 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             n = sum(c.isdigit() for c in own)
             if 9 <= n <= 15 and not DATE.match(own) and not (own.isdigit() and n not in (10, 11)):
                 found.add(*m.span(), "phone")
-    known: dict[str, str] = {}
-    for form, titled in ((TITLED, True), (NAMED, False)):
-        for m in form.finditer(text):
-            for a, b, kind in names(m, titled):
-                found.add(a, b, kind)
-                known.setdefault(text[a:b], kind)
-    if known:  # later mentions of a name alone
-        for m in CAPITALISED.finditer(text):
-            if m.group() in known:
-                found.add(*m.span(), known[m.group()])
+    if "::" in text or text.count(":") > 6:
+        for m in IPV6.finditer(text):
+            if valid_ipv6(m.group()):
+                found.add(*m.span(), "ipv6")
+    people(text, found)
     return found.rows
 
 
-def surrogate(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[int, int, str]]]:
+def valid_ipv6(text: str) -> bool:
+    try:
+        return any(c.isdigit() for c in text) and len(text) > 3 and bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
+def people(text: str, found: Spans) -> None:
+    known: dict[str, str] = {}  # lower-cased
+
+    def name(m: re.Match, groups: tuple[int, ...]) -> None:
+        parts = [g for g in groups if m.group(g)]
+        for i, g in enumerate(parts):
+            low = m.group(g).lower()
+            kind = "given" if i < len(parts) - 1 or low in LISTED else "surname"
+            found.add(*m.span(g), kind)
+            known.setdefault(low, kind)
+
+    for form in (TITLED, NAMED, INTRODUCED):
+        for m in form.finditer(text):
+            if m[1] != m[2]:
+                name(m, (1, 2))
+    for m in SHOUTED.finditer(text):
+        name(m, (1, 2) if m[1] else (3, 4))
+    for _ in range(2):  # to those before a known one, and after
+        for m in JOINED.finditer(text) if known else ():
+            for one, two in (((1, 2), (3, 4)), ((3, 4), (1, 2))):
+                if all(m[g].lower() in known for g in one) and m[two[0]] != m[two[1]]:
+                    name(m, two)
+    for m in CAPITALISED.finditer(text) if known else ():  # later mentions of a name alone
+        if m.group().lower() in known:
+            found.add(*m.span(), known[m.group().lower()])
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that KEY_SETTING has, or a random one of this application."""
+    own = spark.conf.get(KEY_SETTING, None)
+    return own.encode() if own else random_key(spark.sparkContext.applicationId)
+
+
+@lru_cache(None)
+def random_key(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def surrogate(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with surrogates, and what was found in the given one."""
     if not text:
         return text, []
@@ -275,13 +372,16 @@ def surrogate(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tupl
     return "".join(out) + text[at:], found
 
 
-def anonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: str | None = None) -> DataFrame:
+def anonymised(docs: DataFrame, key: bytes, text: str = "text", spans: str | None = None) -> DataFrame:
     """docs with surrogates in its texts, and if named so a column spans: kind:start:end of each entity in the old text, comma-joined.
 
-    Null and empty texts stay as they are; every row is treated alike, whatever
-    else its table has; an empty table stays empty.  All columns stay, and a
-    column n_chars is set to the new text's length.
+    Null and empty texts stay as they are, and texts of any length are treated
+    whole; every row is treated alike, whatever else its table has, repeated ones
+    too; an empty table stays empty.  All columns stay, and a column n_chars is
+    set to the new text's length.  A key of less than KEY_BYTES is refused.
     """
+    if len(key) < KEY_BYTES:
+        raise ValueError(f"the key has less than {KEY_BYTES} bytes; set {KEY_SETTING}")
     names = docs.columns
     schema = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in names])
     name = spans or fresh(docs, "spans_")[0]
@@ -304,5 +404,5 @@ def anonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: str
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = anonymised(docs, spans="entities")
+    out = anonymised(docs, key_of(spark), spans="entities")
     return out.withColumn("n_entities", F.when(F.col("entities") == "", 0).otherwise(F.size(F.split("entities", ","))).cast("long"))
