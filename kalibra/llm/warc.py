@@ -1,13 +1,20 @@
 """Merkle fixity audit of WARC replicas, with DataFrame functions alone.
 
-Records are laid out in archives in order; a leaf is the digest of one record
-with its offset range, a node that of its FANOUT children in order, up to the
-roots.  Two replicas are compared at the roots, and only below nodes that differ
-does the audit go down, level by level, to the records that differ.
-
-Archives are dealt by the records' own digests, so that a key that repeats
-doesn't fill one; equal records are one leaf with a count of copies, whose
-offsets follow each other.
+Each replica's tree is built from its own table of records, without the other's.
+Records are laid out in archives in the order of their digests.  A leaf is a
+range of digests that follow each other in an archive: it hashes its records in
+order, each with its offset range within the leaf.  A node hashes its FANOUT
+children in order, each with its bytes, so that the offset range of every node
+is bound by the hashes above it.  A record that one replica lacks shifts no other
+leaf's hash.
+
+Roots are compared first, and only below nodes that differ does the audit go
+down, level by level, to the leaves and then the records that differ.
+
+As ranges are of digests, a key that repeats fills no leaf; equal records are
+one with a count of copies, whose offsets follow each other.  The number of
+archives grows with that of records: a tree has LEVELS levels below its root,
+and at most about FANOUT distinct records to a leaf.
 """
 
 from __future__ import annotations
@@ -17,7 +24,8 @@ from pyspark.sql import functions as F
 
 from kalibra.llm.shared import Scratch, table
 
-FANOUT, LEVELS, PREFIX = 16, 4, 2
+#: A level is one hexadecimal digit of the digests.
+FANOUT, LEVELS = 16, 3
 
 
 def record(pages: DataFrame) -> Column:
@@ -36,95 +44,142 @@ def record(pages: DataFrame) -> Column:
     )
 
 
-def laid_out(records: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """The leaves (archive, slot, page_id, offset, length, copies, digest, replica) of rows (page_id, length, digest, replica)."""
-    folded = records.groupBy("page_id", "length", "digest", "replica").agg(F.count("*").alias("copies"))
-    folded = folded.withColumn("archive", F.substring("digest", 1, prefix))
-    order = Window.partitionBy("archive").orderBy("page_id", "digest", "replica")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return folded.select(
-        "archive",
-        (F.row_number().over(order) - 1).cast("long").alias("slot"),
-        "page_id",
-        F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)).cast("long").alias("offset"),
-        "length",
-        "copies",
-        "digest",
-        "replica",
-    )
+def digested(pages: DataFrame) -> DataFrame:
+    """The records (page_id, length, digest) of pages (page_id, url, html)."""
+    x = pages.select("page_id", record(pages).alias("x"))
+    return x.select("page_id", F.octet_length("x").cast("long").alias("length"), F.sha2(F.col("x").cast("binary"), 256).alias("digest"))
 
 
-def leaf(digest: str) -> Column:
-    return F.sha2(F.concat_ws(":", "offset", "length", "copies", digest).cast("binary"), 256)
+def archive_digits(records: int, levels: int = LEVELS) -> int:
+    """The digits that name an archive, so that a leaf has at most about FANOUT records."""
+    n = 1
+    while FANOUT ** (n + levels + 1) < records:
+        n += 1
+    return n
 
 
-def trees(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
-    """The levels (archive, slot, own, other) of both replicas' trees, from the leaves to the roots.
+def keyed(column: str = "page_id") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
-    An archive of more than fanout ** levels leaves has several roots.
-    """
-    out = [leaves.select("archive", "slot", leaf("digest").alias("own"), leaf("replica").alias("other"))]
+
+def laid_out(records: DataFrame, digits: int, levels: int = LEVELS) -> DataFrame:
+    """(node, page_id, length, copies, digest, within): the distinct records, the leaf that each is in, and its offset there."""
+    folded = records.groupBy("page_id", "length", "digest").agg(F.count("*").alias("copies")).withColumn("node", F.substring("digest", 1, digits + levels))
+    before = Window.partitionBy("node").orderBy("digest", keyed(), "length").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)).cast("long")
+    return folded.select("node", "page_id", "length", "copies", "digest", within.alias("within"))
+
+
+def hashed(nodes: DataFrame, entries: Column) -> DataFrame:
+    return nodes.agg(F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(entries)), lambda x: x["e"]), ",").cast("binary"), 256).alias("hash"))
+
+
+def parent(node: str = "node") -> Column:
+    return F.expr(f"left({node}, length({node}) - 1)")
+
+
+def trees(leaves: DataFrame, scratch: Scratch, levels: int = LEVELS) -> list[DataFrame]:
+    """The levels (node, bytes, hash) of a tree over laid_out() records, from the leaves to the roots."""
+    rows = leaves.withColumns({"bytes": F.col("length") * F.col("copies"), "e": F.concat_ws(":", "within", "length", "copies", "digest", keyed())})
+    out = [scratch.write(hashed(rows.groupBy("node"), F.struct("within", "digest", keyed().alias("k"), "length", "e")))]
     for _ in range(levels):
-        below = out[-1].groupBy("archive", F.floor(F.col("slot") / fanout).alias("slot"))
-        rows = below.agg(F.array_sort(F.collect_list(F.struct("slot", "own", "other"))).alias("c"))
-        parts = [F.sha2(F.array_join(F.col(f"c.{n}"), "").cast("binary"), 256).alias(n) for n in ("own", "other")]
-        out.append(rows.select("archive", "slot", *parts))
+        rows = out[-1].withColumn("e", F.concat_ws(":", F.right("node", F.lit(1)), "bytes", "hash"))
+        out.append(scratch.write(hashed(rows.groupBy(parent().alias("node")), F.struct("e"))))
     return out
 
 
-def differing(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(archive, slot) of the leaves that differ, found from the roots down."""
-    bad = levels[-1].where("own <> other").select("archive", "slot")
-    for level in levels[-2::-1]:
-        above = bad.select(F.col("archive").alias("a"), F.col("slot").alias("p"))
-        below = level.where("own <> other").join(above, (F.col("archive") == F.col("a")) & (F.floor(F.col("slot") / fanout) == F.col("p")), "left_semi")
-        bad = below.select("archive", "slot")
+def differing(own: list[DataFrame], other: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(node, start, replica_start): the leaves that differ, found from the roots down, and where they begin in both archives."""
+    bad = None
+    for a, b in zip(own[::-1], other[::-1]):
+        a = a.select("node", F.col("bytes").alias("own_bytes"), F.col("hash").alias("own_hash"))
+        b = b.select("node", F.col("bytes").alias("other_bytes"), F.col("hash").alias("other_hash"))
+        if bad is None:
+            both = a.join(b, "node", "full_outer").withColumns({"start": F.lit(0).cast("long"), "replica_start": F.lit(0).cast("long")})
+        else:  # the children of the nodes above that differ
+            up = bad.select(F.col("node").alias("up"), F.col("start").alias("s"), F.col("replica_start").alias("r"))
+            a, b = (x.join(up.select("up"), parent() == F.col("up"), "left_semi") for x in (a, b))
+            both = a.join(b, "node", "full_outer").withColumn("parent", parent()).join(up, F.col("parent") == F.col("up"))
+            order = Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # at most FANOUT rows
+            upto = lambda x: F.coalesce(F.sum(x).over(order), F.lit(0)).cast("long")
+            both = both.withColumns({"start": F.col("s") + upto("own_bytes"), "replica_start": F.col("r") + upto("other_bytes")})
+        bad = scratch.write(both.where(~F.col("own_hash").eqNullSafe(F.col("other_hash"))).select("node", "start", "replica_start"))
     return bad
 
 
-def audited(records: DataFrame, prefix: int = PREFIX, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """A row per leaf: archive, slot, page_id, offset, length, copies, digest, root, intact.
+def audited(records: DataFrame, replica: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """A replica's damage: (archive, page_id, length, digest, copies, replica_copies, offset, replica_offset, status, root, replica_root) of each distinct record that isn't alike in both.
 
-    records has page_id, length, digest and replica, the digest of what the
-    replica has in that place.  intact tells whether the audit ends elsewhere;
-    root is the own root above the leaf.  An empty table gives no rows.
+    Both tables have page_id, length and digest; other columns play no part.  The
+    status is missing or extra for records that one side lacks, altered for them
+    where the page has both, and copies where only the number differs.  A side
+    without the record has 0 copies and a null offset, and one without the whole
+    archive a null root.  Null keys, lengths and digests are values like others;
+    repeated rows are copies; without differences, as with two empty tables,
+    there are no rows.
     """
     scratch = Scratch(records.sparkSession)
-    leaves = scratch.write(laid_out(records, prefix))
-    tree = [scratch.write(x) for x in trees(leaves, fanout, levels)]
-    bad = differing(tree, fanout).select("archive", "slot", F.lit(False).alias("ok"))
-    roots = tree[-1].select(F.col("archive").alias("a"), F.col("slot").alias("r"), F.col("own").alias("root"))
-    out = leaves.join(bad, ["archive", "slot"], "left").join(roots, (F.col("archive") == F.col("a")) & (F.floor(F.col("slot") / fanout**levels) == F.col("r")))
-    return out.select("archive", "slot", "page_id", "offset", "length", "copies", "digest", "root", F.coalesce("ok", F.lit(True)).alias("intact"))
+    sides = [x.select("page_id", F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"), F.coalesce("digest", F.lit("")).alias("digest")) for x in (records, replica)]
+    digits = archive_digits(max(x.count() for x in sides), levels)
+    leaves = [scratch.write(laid_out(x, digits, levels)) for x in sides]
+    own, other = (trees(x, scratch, levels) for x in leaves)
+    bad = differing(own, other, scratch)
+    names = ["node", "page_id", "length", "digest"]
+    none = F.lit(None).cast("long")
+    rows = leaves[0].join(bad, "node").select(*names, "copies", none.alias("replica_copies"), (F.col("start") + F.col("within")).alias("offset"), none.alias("replica_offset"))
+    rows = rows.union(leaves[1].join(bad, "node").select(*names, none, "copies", none, F.col("replica_start") + F.col("within")))
+    both = rows.groupBy(*names).agg(*[F.max(c).alias(c) for c in ("copies", "replica_copies", "offset", "replica_offset")])
+    status = F.when(F.col("copies").isNull(), "extra").when(F.col("replica_copies").isNull(), "missing").otherwise("copies")
+    damage = scratch.write(both.where(~F.col("copies").eqNullSafe(F.col("replica_copies"))).withColumns({"status": status, "archive": F.substring("node", 1, digits)}))
+    pages = damage.groupBy("page_id").agg(F.bool_or(F.col("status") == "missing").alias("gone"), F.bool_or(F.col("status") == "extra").alias("come"))
+    changed = pages.where("gone and come").select(F.col("page_id").alias("p"), F.lit(True).alias("changed"))
+    roots = [x[-1].select(F.col("node").alias("archive"), F.col("hash").alias(n)) for x, n in ((own, "root"), (other, "replica_root"))]
+    rows = damage.join(changed, F.col("page_id").eqNullSafe(F.col("p")), "left").join(roots[0], "archive", "left").join(roots[1], "archive", "left")
+    altered = F.col("changed").isNotNull() & (F.col("status") != "copies")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("copies", "replica_copies")}
+    rows = rows.withColumns({**zero, "status": F.when(altered, "altered").otherwise(F.col("status"))})
+    return rows.select("archive", "page_id", "length", "digest", "copies", "replica_copies", "offset", "replica_offset", "status", "root", "replica_root")
+
+
+#: The planted faults by page_id modulo FAULTS: two wrong bytes, a lost record, a truncated one, one under another key, and one stored twice.
+FAULTS, WRONG, LOST, CUT, MOVED, TWICE = 101, 13, 29, 57, 71, 83
+FAR = 1_000_000_007
 
 
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of the pages' records, in which one record in 101, by page_id, has lost its last two bytes to a fault."""
-    pages = table(spark, sf_dir, "pages")
-    own = pages.select("page_id", record(pages).alias("x"))
-    bad = F.when(F.pmod("page_id", F.lit(101)) == 13, F.concat(F.expr("substring(x, 1, length(x) - 2)"), F.lit("??"))).otherwise(F.col("x"))
-    return audited(
-        own.select("page_id", F.octet_length("x").cast("long").alias("length"), F.sha2(F.col("x").cast("binary"), 256).alias("digest"), F.sha2(bad.cast("binary"), 256).alias("replica"))
+    """Audits a replica of the pages' records that has planted faults, a table of its own."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    fault = F.pmod("page_id", F.lit(FAULTS))
+    html = F.when(fault == WRONG, F.expr("concat(substring(html, 1, greatest(length(html) - 2, 0)), '??')")).when(fault == CUT, F.expr("substring(html, 1, length(html) div 2)")).otherwise(F.col("html"))
+    stored = pages.where(F.coalesce(fault, F.lit(-1)) != LOST).select(
+        F.when(fault == MOVED, F.col("page_id") + FAR).otherwise(F.col("page_id")).alias("page_id"), "url", html.alias("html"), F.explode(F.array_repeat(F.lit(0), F.when(fault == TWICE, 2).otherwise(1)))
     )
+    replica = Scratch(spark).write(digested(stored))
+    return audited(digested(pages), replica)
 
 
-def oracle(fanout: int = FANOUT, levels: int = LEVELS, prefix: int = PREFIX) -> str:
-    """The same rows in SQL."""
+def oracle(levels: int = LEVELS) -> str:
+    """The same rows in SQL, for up to FANOUT ** (LEVELS + 2) records."""
+    k = "coalesce(page_id::varchar, '')"
+    text = "coalesce(html, '')"
+    head = ["'WARC/1.1'", "'WARC-Type: resource'", f"'WARC-Record-ID: <urn:page:' || {k} || '>'", "'WARC-Target-URI: ' || coalesce(url, '')", "'Content-Type: text/html'", f"'Content-Length: ' || strlen({text})::varchar"]
+    made = " || chr(13) || chr(10) || ".join([*head, "''", text, "''", "''"])
+    html = f"case when page_id % {FAULTS} = {WRONG} then substr(html, 1, greatest(length(html) - 2, 0)) || '??' when page_id % {FAULTS} = {CUT} then substr(html, 1, length(html) // 2) else html end"
     sql = f"""
-with own as (select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::varchar, '') || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::varchar
-    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as x from pages),
-folded as (select page_id, strlen(x)::bigint as length, sha256(x) as digest, sha256(case when page_id % 101 = 13 then substr(x, 1, length(x) - 2) || '??' else x end) as replica, count(*)::bigint as copies from own group by all),
-leaves as (select substr(digest, 1, {prefix}) as archive, row_number() over w - 1 as slot, page_id, coalesce(sum(length * copies) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", length, copies, digest, replica
-    from folded window w as (partition by substr(digest, 1, {prefix}) order by page_id nulls first, digest, replica)),
-l0 as (select archive, slot, sha256("offset" || ':' || length || ':' || copies || ':' || digest) as own, sha256("offset" || ':' || length || ':' || copies || ':' || replica) as other from leaves),
+with p0 as (select page_id, url, html from pages),
+p1 as (select case when page_id % {FAULTS} = {MOVED} then page_id + {FAR} else page_id end as page_id, url, {html} as html from pages where (page_id % {FAULTS}) is distinct from {LOST} union all select page_id, url, html from pages where page_id % {FAULTS} = {TWICE}),
+"""
+    for i in (0, 1):
+        sql += f"""f{i} as (select page_id, strlen(x)::bigint as length, sha256(x) as digest, count(*)::bigint as copies from (select page_id, {made} as x from p{i}) group by all),
+l{i} as (select *, left(digest, 1) as archive, left(digest, {levels + 1}) as node,
+    coalesce(sum(length * copies) over (partition by left(digest, {levels + 1}) order by digest, {k}, length rows between unbounded preceding and 1 preceding), 0)::bigint as within,
+    coalesce(sum(length * copies) over (partition by left(digest, 1) order by digest, {k}, length rows between unbounded preceding and 1 preceding), 0)::bigint as start from f{i}),
+t{i}_0 as (select node, sum(length * copies)::bigint as bytes, sha256(string_agg(within || ':' || length || ':' || copies || ':' || digest || ':' || {k}, ',' order by within, digest, {k}, length)) as hash from l{i} group by node),
 """
-    for i in range(levels):
-        sql += f"l{i + 1} as (select archive, slot // {fanout} as slot, sha256(string_agg(own, '' order by slot)) as own, sha256(string_agg(other, '' order by slot)) as other from l{i} group by archive, slot // {fanout}),\n"
-    sql += f"b{levels} as (select archive, slot from l{levels} where own <> other),\n"
-    for i in reversed(range(levels)):
-        sql += f"b{i} as (select archive, slot from l{i} where own <> other and (archive, slot // {fanout}) in (select archive, slot from b{i + 1})),\n"
-    sql = sql.rstrip(",\n")
-    return sql + f"""
-select s.archive, s.slot, page_id, "offset", length, copies, digest, r.own as root, b.slot is null as intact
-from leaves s left join b0 b on s.archive = b.archive and s.slot = b.slot join l{levels} r on r.archive = s.archive and r.slot = s.slot // {fanout**levels}"""
+        for j in range(levels):
+            sql += f"t{i}_{j + 1} as (select left(node, {levels - j}) as node, sum(bytes)::bigint as bytes, sha256(string_agg(right(node, 1) || ':' || bytes || ':' || hash, ',' order by node)) as hash from t{i}_{j} group by all),\n"
+    return sql + f"""d as (select coalesce(a.archive, b.archive) as archive, coalesce(a.page_id, b.page_id) as page_id, coalesce(a.length, b.length) as length, coalesce(a.digest, b.digest) as digest, coalesce(a.copies, 0) as copies, coalesce(b.copies, 0) as replica_copies, a.start as "offset", b.start as replica_offset
+    from l0 a full join l1 b on a.digest = b.digest and a.length = b.length and a.page_id is not distinct from b.page_id where a.copies is distinct from b.copies),
+s as (select *, bool_or(replica_copies = 0) over (partition by page_id) and bool_or(copies = 0) over (partition by page_id) as changed from d)
+select s.archive, page_id, length, digest, copies, replica_copies, "offset", replica_offset, case when changed and copies * replica_copies = 0 then 'altered' when copies = 0 then 'extra' when replica_copies = 0 then 'missing' else 'copies' end as status, x.hash as root, y.hash as replica_root
+from s left join t0_{levels} x on x.node = s.archive left join t1_{levels} y on y.node = s.archive"""
