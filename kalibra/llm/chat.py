@@ -3,7 +3,9 @@
 A record's layout is the set of its nested field paths, arrays marked by [];
 its fingerprint is a hash of the sorted paths.  Fingerprints select declarative
 mappings: where the turns lie, how roles are called, and which fields make which
-turn.  Canonical turns (role, text) then go through a template that marks turns
+turn.  A fingerprint that is met for the first time is given the mapping that
+needs the most of its paths; whatever other fields it has play no part.
+Canonical turns (role, text) then go through a template that marks turns
 and escapes control strings in roles and texts, reversibly.
 """
 
@@ -33,32 +35,34 @@ class Mapping:
     """A layout with a list of turns, or one whose fields make a turn each."""
 
     name: str
+    needed: tuple[str, ...]  # the paths that a record must have
     turns: str = ""  # path of the list
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()  # (path, role); paths joined by + make one text
 
+    def fits(self, found: set[str]) -> bool:
+        """A list of turns without role and text, as far as known, has to be empty."""
+        return found.issuperset(self.needed) and (bool(self.role or self.fields) or not any(p.startswith(f"{self.turns}[].") for p in found))
 
-def layouts() -> dict[str, Mapping]:
-    """The known layouts by fingerprint, with all choices of their optional fields."""
-    out: dict[str, Mapping] = {}
 
-    def know(mapping: Mapping, needed: list[str], optional: tuple[str, ...] = ()) -> None:
-        for n in range(len(optional) + 1):
-            for more in combinations(optional, n):
-                out.setdefault(fingerprint(needed + list(more)), mapping)
+SYSTEM = ("system", "system")
 
-    extra = ("id", "source", "system")
-    for turns in ("messages", "conversations", "conversation", "dialog", "turns"):
+
+def layouts() -> list[Mapping]:
+    """The known layouts, those that need most first."""
+    out = []
+    lists = ("messages", "conversations", "conversation", "dialog", "turns")
+    for turns in lists:
         for role, text in (("role", "content"), ("from", "value"), ("role", "text"), ("speaker", "text")):
-            mapping = Mapping(f"{turns} of {role} and {text}", turns, role, text, (("system", "system"),))
-            know(mapping, [turns, f"{turns}[]", f"{turns}[].{role}", f"{turns}[].{text}"], (*extra, f"{turns}[].name", f"{turns}[].weight"))
+            out.append(Mapping(f"{turns} of {role} and {text}", (turns, f"{turns}[]", f"{turns}[].{role}", f"{turns}[].{text}"), turns, role, text, (SYSTEM,)))
+    out.append(Mapping("a row per turn", ("conv_id", "turn", "role", "text"), "", "role", "text"))
     for answer in ("completion", "response", "answer", "output", "chosen"):
         for ask in ("prompt", "question", "query"):
-            know(Mapping(f"{ask} and {answer}", fields=(("system", "system"), (ask, "user"), (answer, "assistant"))), [ask, answer], extra)
-        know(Mapping(f"instruction and {answer}", fields=(("system", "system"), ("instruction+input", "user"), (answer, "assistant"))), ["instruction", answer], (*extra, "input"))
-    know(Mapping("a row per turn", "", "role", "text"), ["conv_id", "turn", "role", "text"])
-    return out
+            out.append(Mapping(f"{ask} and {answer}", (ask, answer), fields=(SYSTEM, (ask, "user"), (answer, "assistant"))))
+        out.append(Mapping(f"instruction and {answer}", ("instruction", answer), fields=(SYSTEM, ("instruction+input", "user"), (answer, "assistant"))))
+    out += [Mapping(f"{turns}, empty", (turns, f"{turns}[]"), turns) for turns in lists]
+    return sorted(out, key=lambda m: -len(m.needed))
 
 
 def paths(value, at: str = "") -> set[str]:
@@ -69,8 +73,9 @@ def paths(value, at: str = "") -> set[str]:
             path = f"{at}.{k}" if at else str(k)
             out |= {path} | paths(v, path)
     elif isinstance(value, list):
+        out.add(f"{at}[]")
         for v in value:
-            out |= {f"{at}[]"} | paths(v, f"{at}[]")
+            out |= paths(v, f"{at}[]")
     return out
 
 
@@ -93,7 +98,14 @@ def fingerprint(found) -> str:
 LAYOUTS = layouts()
 
 
+def selected(found: set[str]) -> Mapping | None:
+    return next((m for m in LAYOUTS if m.fits(found)), None)
+
+
 def written(value) -> str:
+    """A text as it is, a list of parts as their texts, and all else as JSON."""
+    if isinstance(value, list):
+        return "".join(p["text"] if isinstance(p, dict) and isinstance(p.get("text"), str) else written(p) for p in value)
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
@@ -106,8 +118,12 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
             out.append((role, "\n".join(values)))
         elif role != "system" and any(p in record for p in path.split("+")):
             out.append((role, ""))
-    for turn in record.get(mapping.turns) or [] if mapping.turns else []:
-        turn = turn or {}
+    if not mapping.fields and not mapping.turns:
+        role = written(record.get(mapping.role))
+        return [(ROLES.get(role, role), written(record.get(mapping.text)))]
+    for turn in record[mapping.turns] if mapping.turns else []:
+        if not isinstance(turn, dict):
+            turn = {mapping.text: turn}
         role = written(turn.get(mapping.role))
         out.append((ROLES.get(role, role), written(turn.get(mapping.text))))
     return out
@@ -140,20 +156,26 @@ def read(formatted: str) -> Iterator[tuple[str, str]]:
 def formatted(records: DataFrame, key: str, record: str) -> DataFrame:
     """(key, fingerprint, layout, formatted) of JSON records; an unknown layout, or what is no JSON object, has the last two null.
 
-    Repeated rows get their row each and an empty table gives no rows.
+    Layouts may differ from row to row.  An empty list of turns makes an empty
+    text.  Repeated rows get their row each, texts of any length are whole,
+    clashing columns play no part, and an empty table gives no rows.
     """
     kind = records.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Mapping | None] = {}
         for b in batches:
             rows = []
             for x in b.column(1):
                 try:
                     value = json.loads(x.as_py() or "null")
-                except ValueError:
-                    value = None
-                mark = fingerprint(paths(value))
-                mapping = LAYOUTS.get(mark) if isinstance(value, dict) else None
+                    found = paths(value)
+                except (ValueError, RecursionError):
+                    value, found = None, set()
+                mark = fingerprint(found)
+                if mark not in known:
+                    known[mark] = selected(found)
+                mapping = known[mark] if isinstance(value, dict) else None
                 rows.append((mark, mapping and mapping.name, mapping and "".join(turn(r, t) for r, t in canonical(value, mapping))))
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols)], names=[key, "fingerprint", "layout", "formatted"])
@@ -170,7 +192,7 @@ def formatted_turns(rows: DataFrame) -> DataFrame:
     conversation.
     """
     rows = rows.select("conv_id", "turn", "role", "text")
-    mapping = LAYOUTS[fingerprint(schema_paths(rows.schema))]
+    mapping = selected(schema_paths(rows.schema))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
