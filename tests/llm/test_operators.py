@@ -56,7 +56,7 @@ def test_windows_of_many_differing_bits():
         found = index.search(text)
         assert 0 in found and found[0][0] >= 0.8
         most = max(most, found[0][1])
-    assert most > decontam.RADIUS
+    assert 20 < most <= decontam.RADIUS
 
 
 def test_windows_like_brute_force(spark):
@@ -89,10 +89,10 @@ def test_multi_index_reaches_the_radius():
     for p in index.prints[key].tolist():
         for _ in range(20):
             q = p
-            for b in rng.sample(range(64), rng.randrange(30)):
+            for b in rng.sample(range(64), rng.randrange(45)):
                 q ^= 1 << b
             want = {i for i, x in enumerate(index.prints[key].tolist()) if (x ^ q).bit_count() <= decontam.RADIUS}
-            assert set(index.near(key, q).tolist()) == want
+            assert index.near(key, q) == want
 
 
 def test_decontamination_edges(spark):
@@ -138,12 +138,73 @@ def test_base_patterns(text):
         ("password = os.environ['PW12x']", []),
         ('name = "ab12cd34ef"', []),
         ('token = "<your token>"', []),
+        ('x = "hello"; x = "Xy9kQz77Ab!"; password = x', ["Xy9kQz77Ab!"]),
+        ('password = x\nx = "Xy9kQz77Ab!"; x = "hello"', ["Xy9kQz77Ab!"]),
+        ("password_" + "q" * 90 + ' = "Xy9kQz77Ab!"', ["Xy9kQz77Ab!"]),
+        ("token=postgres://u:Pw12xyz@h/db", ["postgres://u:Pw12xyz@h/db"]),
+        ("secret = " + " + ".join(f'"k{i}Zq"' for i in range(12)), [f"k{i}Zq" for i in range(12)]),
+        ('a0 = "Xy9kQz77Ab!"\n' + "".join(f"a{i} = a{i - 1}\n" for i in range(1, 2000)) + "password = a1999", ["Xy9kQz77Ab!"]),
     ],
 )
 def test_lexer(text, found):
     assert [text[a:b] for a, b in secrets.lexed(text)] == found
 
 
+def plain_reached(program, i, seen):
+    """By recursion over (name, terms) in order; a term is ("name", x) or ("literal", number)."""
+    out = []
+    for what, x in program[i][1]:
+        if what == "literal":
+            out.append(x)
+            continue
+        uses = [j for j, (name, _) in enumerate(program) if name == x and j != i]
+        before = [j for j in uses if j < i]
+        to = before[-1] if before else uses[0] if uses else None
+        if to is not None and to not in seen:
+            seen.add(to)
+            out += plain_reached(program, to, seen)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_propagation_like_a_plain_interpreter(rng):
+    names = ["alpha", "beta", "gamma", "password", "apiKey"]
+    program, text, spans, n = [], "", [], 0
+    for _ in range(rng.randrange(1, 12)):
+        terms = []
+        name = rng.choice(names)
+        text += f"{name} {rng.choice(['=', ':='])} "
+        for k in range(rng.randrange(1, 4)):
+            text += " + " if k else ""
+            if rng.random() < 0.5:
+                terms.append(("name", rng.choice(names)))
+                text += terms[-1][1]
+            else:
+                value = f"Xy{n}kQz77Ab!"
+                text += '"'
+                spans.append((len(text), len(text) + len(value)))
+                text += value + '"'
+                terms.append(("literal", n))
+                n += 1
+        program.append((name, terms))
+        text += rng.choice(["\n", ";\n"])
+    want = set()
+    for i, (name, _) in enumerate(program):
+        if name in ("password", "apiKey"):
+            want |= {spans[x] for x in plain_reached(program, i, {i})}
+    # a name that nothing is assigned to is a bare value
+    assigned = {name for name, _ in program}
+    bare = {x for _, terms in program if len(terms) == 1 for what, x in terms if what == "name" and x not in assigned}
+    got = {(a, b) for a, b in secrets.lexed(text) if text[a:b] not in bare}
+    assert got == want
+
+
+def test_long_texts_are_lexed_in_linear_time():
+    for part in ("a=b=", "x", "a:a:", '="', 'a="', "token=", '"a" ', "- ", "a.", "a:b://", "a='"):
+        secrets.lexed(part * (300_000 // len(part)))
+
+
 def test_secrets_edges(spark):
     got = secrets.scanned(edge_docs(spark)).collect()
     assert len(got) == len(EDGES) and {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
@@ -180,6 +241,33 @@ def test_packing_is_exact(lengths):
     assert len(by_seq) == used
 
 
+def plain_pack(lengths, capacity=1024):
+    """The rule, step by step: the costliest document or rest goes to the cheapest sequence with room."""
+    total = sum(lengths)
+    room = [capacity] * (total // capacity) + [1 << b for b in range(10, -1, -1) if total % capacity >> b & 1]
+    sequences = [{"free": r, "used": 0, "cost": 0.0} for r in room]
+    outstanding = [(i, 0, n) for i, n in enumerate(lengths) if n]
+    pieces = []
+    while outstanding:
+        best = max(outstanding, key=lambda d: (packing.cost(d[2]), -d[0]))
+        outstanding.remove(best)
+        i, start, n = best
+        fit = [q for q in range(len(sequences)) if sequences[q]["free"] >= n] or [q for q in range(len(sequences)) if sequences[q]["free"]]
+        q = min(fit, key=lambda q: sequences[q]["cost"])
+        size = min(n, sequences[q]["free"])
+        pieces.append((i, start, size, q, sequences[q]["used"]))
+        sequences[q] = {"free": sequences[q]["free"] - size, "used": sequences[q]["used"] + size, "cost": sequences[q]["cost"] + packing.cost(size)}
+        if size < n:
+            outstanding.append((i, start + size, n - size))
+    return pieces, len(sequences)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 3000), st.integers(1, 50)), max_size=40))
+def test_packing_like_the_plain_rule(lengths):
+    assert packing.pack(lengths) == plain_pack(lengths)
+
+
 def test_packing_balances_costs():
     rng = random.Random(0)
     lengths = [rng.randrange(1, 900) for _ in range(400)]
@@ -191,15 +279,19 @@ def test_packing_balances_costs():
     assert max(full) <= 1.35 * min(full)
 
 
-def test_ids_like_the_tokenizer(spark):
+def as_loaded():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    docs = table(spark, SF, "documents").union(spark.createDataFrame([(-1, None, "", "", 0), (-2, "", "", "", 0), (-3, " <|endoftext|>  ١٢ 'll  \x00", "", "", 0)], table(spark, SF, "documents").schema))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_like_the_tokenizer(spark):
+    own = as_loaded()
+    docs = table(spark, SF, "documents").union(spark.createDataFrame([(-1, None, "", "", 0), (-2, "", "", "", 0), (-3, " <|endoftext|>  ١٢ 'll  \x00", "", "", 0)], table(spark, SF, "documents").schema))
     rows = docs.collect()
     want = {r.doc_id: own.encode(r.text or "", add_special_tokens=False).ids + [0] for r in rows}
+    assert 50256 in want[-3]
     got = packing.packed(docs, ids=True).collect()
     parts = defaultdict(dict)
     for r in got:
@@ -209,28 +301,14 @@ def test_ids_like_the_tokenizer(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60))
+@given(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", "<|endoftext|", " <|endoftext|> "])), max_size=4).map("".join))
 def test_ids_of_any_text(text):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
     cache = test_ids_of_any_text.__dict__
     if "own" not in cache:
-        cache["own"] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        cache["own"].encode_special_tokens = True
+        cache["own"] = as_loaded()
     assert packing.encoder()(text) == cache["own"].encode(text, add_special_tokens=False).ids
 
 
-def test_added_tokens_like_the_tokenizer_as_loaded():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", " <|endoftext|>  ١٢ 'll  \x00", "", "plain"):
-        assert packing.encoder(special=True)(text) == own.encode(text, add_special_tokens=False).ids
-    assert 50256 in packing.encoder(special=True)("a <|endoftext|> b")
-
-
 def test_packing_edges(spark):
     got = packing.packed(edge_docs(spark)).collect()
     whole = [(r.doc_id, r.doc_tokens) for r in got if r.start == 0]
@@ -240,10 +318,12 @@ def test_packing_edges(spark):
 
 # Personal data
 
+KEY = b"sixteen bytes or"
+
 
 def test_surrogates():
     text = "Mr. John Smith (john.smith@mail.org, +1 (377) 555-0271) met Mary Jones at 10.0.0.1. Smith paid with 4111 1111 1111 1111; call 377-555-0271. Госпожа Анна Петрова."
-    new, found = pii.surrogate(text)
+    new, found = pii.surrogate(text, KEY)
     assert Counter(k for _, _, k in found) == {"given": 3, "surname": 4, "email": 1, "phone": 2, "ip": 1, "card": 1}
     for a, b, _ in found:
         assert text[a:b] not in new
@@ -257,7 +337,7 @@ def test_surrogates():
     assert new.rstrip(".").split()[-1].endswith("ова")
     n = digits(pii.card("4111 1111 1111 1111", b"k"))
     assert pii.luhn(n[:-1]) == int(n[-1])
-    assert pii.surrogate(text) == (new, found)
+    assert pii.surrogate(text, KEY) == (new, found)
     assert pii.surrogate(text, b"other")[0] != new
 
 
@@ -276,23 +356,73 @@ def test_surrogates_are_distinct(form, key):
 
 
 def test_listed_names_are_permuted():
-    for group, names in pii.GIVEN.items():
-        made = [pii.given(n, b"k") for n in names]
-        assert sorted(made) == sorted(names) and all(a != b for a, b in zip(made, names)), group
+    for make, groups in ((pii.given, pii.GIVEN), (pii.surname, pii.SURNAMES)):
+        for group, names in groups.items():
+            made = [make(n, b"k") for n in names]
+            assert sorted(made) == sorted(names) and all(a != b for a, b in zip(made, names)), group
     assert pii.word("Xohn", b"k").lower() not in pii.LISTED
 
 
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        pii.anonymised(edge_docs(spark), b"")
+    spark.conf.set(pii.KEY_SETTING, "a key of the session's own")
+    try:
+        assert pii.key_of(spark) == b"a key of the session's own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) >= pii.KEY_BYTES
+
+
+def test_phone_numbers_keep_what_is_before_them():
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    one, two, three = (pii.phone(t, KEY) for t in ("+49 30 123456", "030 123456", "0049 (0)30/123456"))
+    assert one.startswith("+49 ") and two[0] == "0" and digits(one)[2:] == digits(two)[1:] == digits(three)[5:] and digits(one)[2] != "0"
+    made = {pii.phone(f"+1 {n}", KEY) for n in range(1000, 10000)}
+    assert len(made) == 9000 and all(digits(x)[0] == "1" and digits(x)[1] != "0" for x in made)
+
+
+#: Texts with names and other personal data between bars, and without.
+PEOPLE = [
+    "|Rachel| |Green| met |Mary| |Jones|. |Green| left.",
+    "|Mary| |Jones| and |Qwen| |Dorset| came.",
+    "My name is |Tove| |Ditlevsen|.",
+    "Mr. |Smith| wrote to Frau |Ursula| |Weber|; |Weber| replied.",
+    "MR. |JOHN| |SMITH| told |MARY| |JONES|.",
+    "Dear |Anouk| |Delaunay|, write to |anouk@mail.org| or |+33 1 42 68 53 00|.",
+    "from |2001:db8::ff00:42:8329| and |10.1.2.3|",
+    "Me llamo |Xochitl| |Barreda| y mi tarjeta es |4111 1111 1111 1111|",
+    "The General Public License, version 3. By To. The Three Sisters of May",
+    "std::vector a::b 12:30:45 2024-05-06 page 12 of 345",
+    "Der Hund Und Die Katze. New York Times",
+]
+
+
+def test_planted_people_are_found():
+    right = planted = found = 0
+    for marked in PEOPLE:
+        parts = marked.split("|")
+        text, want, at = "".join(parts), set(), 0
+        for i, p in enumerate(parts):
+            if i % 2:
+                want.add((at, at + len(p)))
+            at += len(p)
+        got = {(a, b) for a, b, _ in pii.entities(text)}
+        right, planted, found = right + len(got & want), planted + len(want), found + len(got)
+    assert right >= 0.95 * planted and right >= 0.95 * found
+
+
 def test_clean_texts_stay(spark):
     docs = table(spark, SF, "documents")
-    out = pii.anonymised(docs, spans="found")
+    out = pii.anonymised(docs, KEY, spans="found")
     assert out.columns == [*docs.columns, "found"]
     for a, b in zip(sorted(docs.collect()), sorted(out.collect())):
         assert (a.text == b.text) == (b.found == "") and b.n_chars == len(b.text)
-        assert not any(x in a.text for x in ("Mr. ", "Frau ")) or b.found is not None
-    odd = pii.anonymised(edge_docs(spark))
+        assert "given" not in b.found and "surname" not in b.found  # the corpus names nobody
+    odd = pii.anonymised(edge_docs(spark), KEY)
     assert odd.columns == edge_docs(spark).columns and sorted(map(str, odd.collect())) == sorted(map(str, edge_docs(spark).collect()))
     long = "1" * 200_000 + " " + "a@" * 50_000 + " " + "x." * 50_000
-    assert isinstance(pii.surrogate(long)[0], str)
+    assert isinstance(pii.surrogate(long, KEY)[0], str)
 
 
 # Sharding
@@ -310,6 +440,24 @@ def test_shards(spark):
     texts = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
     assert texts == Counter((r.doc_id, r["size"], r.text_crc32) for r in got)
     assert sharding.sharded(docs.where("false")).count() == 0
+    odd = sharding.sharded(edge_docs(spark).withColumnRenamed("spans", "slot")).collect()
+    assert Counter(r["size"] for r in odd)[300_001] == 1 and len(odd) == len(EDGES)
+
+
+def test_shards_like_plain_scores(spark):
+    weights = [1.0, 2.0, 0.5, 1.0]
+    docs = spark.range(500).selectExpr("id as doc_id", "'x' as text", "1 as size", "2 as shard", "3 as law")
+    from pyspark.sql import functions as F
+
+    hashed = docs.select("doc_id", *[F.xxhash64(F.col("doc_id").cast("string"), F.lit(i)).alias(f"h{i}") for i in range(5)]).collect()
+
+    def plain(r, weights):
+        u = [(((r[f"h{i}"] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53) for i in range(len(weights))]
+        return max(range(len(weights)), key=lambda i: (-weights[i] / np.log(u[i]), -i))
+
+    got = {r.doc_id: r for r in sharding.sharded(docs, weights=weights, more=3.0).collect()}
+    for r in hashed:
+        assert got[r.doc_id].shard == plain(r, weights) and got[r.doc_id].grown_shard == plain(r, [*weights, 3.0])
 
 
 def test_shares_follow_weights(spark):
@@ -333,6 +481,23 @@ def test_risk_estimator():
     assert score([1, 0]) > 0.85 and score([0, 0]) < 0.15 and abs(w[1]) < 1
 
 
+def test_fit_lowers_the_plain_risk():
+    """The risk by its definition, row by row, against numeric gradients and random moves."""
+    rng = np.random.default_rng(3)
+    P, U, prior = (rng.random((40, 3)) < 0.6).astype(float), (rng.random((60, 3)) < 0.4).astype(float), 0.3
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+
+    def risk(w):
+        f = lambda x: float(x @ w[:3] + w[3])
+        plus = np.mean([loss(f(x)) for x in P])
+        minus = np.mean([loss(-f(x)) for x in U]) - prior * np.mean([loss(-f(x)) for x in P])
+        return prior * plus + max(0.0, minus)
+
+    w, b = toxicity.fit(P, U, prior)
+    best = np.append(w, b)
+    assert all(risk(best) <= risk(best + rng.normal(0, s, 4)) + 1e-3 for s in (0.05, 0.3, 1.0) for _ in range(50))
+
+
 def test_toxicity_held_out(spark):
     folder = f"{DATA}/sf0.1"
     got = toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -362,32 +527,53 @@ def test_copies_are_found():
 # WARC
 
 
-def plain_tree(leaves, fanout, levels):
-    out = [[hashlib.sha256(x.encode()).hexdigest() for x in leaves]]
-    for _ in range(levels):
-        out.append([hashlib.sha256("".join(out[-1][i : i + fanout]).encode()).hexdigest() for i in range(0, len(out[-1]), fanout)])
-    return out
+def plain_audit(own, other, levels):
+    """Leaf by leaf without trees."""
+    out = []
+    sides = []
+    for rows in (own, other):
+        places, at = {}, Counter()
+        for (k, n, d), c in sorted(Counter(rows).items(), key=lambda x: (x[0][2], "" if x[0][0] is None else str(x[0][0]), x[0][1])):
+            places[k, n, d] = (c, at[d[:1]])
+            at[d[:1]] += n * c
+        sides.append(places)
+    a, b = sides
+    for x in a.keys() | b.keys():
+        (c, i), (e, j) = a.get(x, (0, None)), b.get(x, (0, None))
+        if c != e:
+            gone = {y[0] for y in a if y not in b}
+            come = {y[0] for y in b if y not in a}
+            status = "copies" if c and e else "altered" if x[0] in gone and x[0] in come else "missing" if c else "extra"
+            out.append((x[2][:1], *x, c, e, i, j, status))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_fixity(spark, levels):
+    rng = random.Random(0)
+    own = [(rng.choice([None, *range(90)]), rng.randrange(50), hashlib.sha256(str(rng.randrange(120)).encode()).hexdigest()) for _ in range(300)]
+    other = [r for r in own if rng.random() < 0.97]  # some are lost,
+    other += rng.sample(other, 5)  # some twice,
+    other = [(k, n // 2, hashlib.sha256(d.encode()).hexdigest()) if rng.random() < 0.03 else (k, n, d) for k, n, d in other]  # some cut,
+    other = [((k or 0) + 1000, n, d) if rng.random() < 0.02 else (k, n, d) for k, n, d in other] + [(7777, 5, "f" * 64)]  # some elsewhere
+    frames = [spark.createDataFrame([(*r, "x") for r in rows], "page_id long, length long, digest string, status string").repartition(3) for rows in (own, other)]
+    got = warc.audited(*frames, levels=levels).collect()
+    names = ("archive", "page_id", "length", "digest", "copies", "replica_copies", "offset", "replica_offset", "status")
+    assert sorted(str(tuple(r[n] for n in names)) for r in got) == plain_audit(own, other, levels)
+    assert {r.status for r in got} == {"missing", "extra", "copies", "altered"}
+    assert warc.audited(frames[0], frames[0]).count() == 0
+    assert {r.status for r in warc.audited(frames[0], frames[1].where("false")).collect()} == {"missing"}
+    assert warc.audited(*(x.where("false") for x in frames)).count() == 0
 
 
-def test_fixity(spark):
-    rng = random.Random(0)
-    rows = [(rng.choice([None, *range(90)]), rng.randrange(50), hashlib.sha256(str(rng.randrange(120)).encode()).hexdigest()) for _ in range(300)]
-    bad = {r[2] for r in rng.sample(rows, 4)}
-    df = spark.createDataFrame([(*r, "f" * 64 if r[2] in bad else r[2]) for r in rows], "page_id long, length long, digest string, replica string").repartition(3)
-    got = warc.audited(df, prefix=1, fanout=3, levels=3).collect()
-    assert {(r.digest, r.intact) for r in got} == {(r[2], r[2] not in bad) for r in rows}
-    assert sum(r.copies for r in got) == 300
-    by = defaultdict(list)
-    for r in sorted(got, key=lambda r: r.slot):
-        by[r.archive].append(r)
-    for own in by.values():
-        at = 0
-        for i, r in enumerate(own):
-            assert (r.slot, r.offset) == (i, at)
-            at += r.length * r.copies
-        top = plain_tree([f"{r.offset}:{r.length}:{r.copies}:{r.digest}" for r in own], 3, 3)[-1]
-        assert [r.root for r in own] == [top[r.slot // 27] for r in own]
-    assert warc.audited(df.where("false")).count() == 0
+def test_records_of_odd_pages(spark):
+    pages = spark.createDataFrame([(1, None, None, "a"), (None, "u", "<p>", "b"), (2, "", "x" * 300_000, "c"), (2, "", "x" * 300_000, "d")], "page_id long, url string, html string, digest string")
+    got = warc.digested(pages).collect()
+    assert len(got) == 4 and got[2] == got[3] and got[2].length > 300_000 and None not in {r.digest for r in got}
+
+
+def test_archives_grow_with_records():
+    assert [warc.archive_digits(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 28)] == [1, 1, 2, 3]
 
 
 def test_fixity_sql(spark):
@@ -414,6 +600,13 @@ def test_template_is_reversible(turns):
         ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]}, [("user", "a"), ("assistant", "")]),
         ({"id": 3, "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [("user", "a"), ("assistant", "b")]),
         ({"unknown": 1}, None),
+        ({"messages": [{"foo": 1}]}, None),
+        ({"messages": "text"}, None),
+        ({"messages": []}, []),
+        ({"prompt": "p", "response": "r", "category": "c", "tags": ["x"]}, [("user", "p"), ("assistant", "r")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": None, "tool_calls": [{"id": 1}]}]}, [("user", "ab"), ("assistant", "")]),
+        ({"messages": [{"role": "user", "content": "a"}, "b"]}, [("user", "a"), ("", "b")]),
+        ({"conv_id": 1, "turn": 0, "role": "bot", "text": "t", "extra": None}, [("assistant", "t")]),
     ],
 )
 def test_layouts(spark, record, turns):
@@ -421,10 +614,20 @@ def test_layouts(spark, record, turns):
     got = {r.id: r for r in chat.formatted(df, "id", "record").collect()}
     assert got[2].layout is None and got[3].formatted is None
     assert (got[1].formatted is None) == (turns is None)
-    if turns:
+    if turns is not None:
         assert list(chat.read(got[1].formatted)) == turns
 
 
+def test_mixed_layouts(spark):
+    records = [{"prompt": "p", "completion": "c"}, {"messages": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "c"}]}, {"instruction": "p", "output": "c", "score": 1}, {"conversations": [{"from": "human", "value": "p"}, {"from": "gpt", "value": "c"}], "id": 4}]
+    df = spark.createDataFrame([(i, json.dumps(r), "x") for i, r in enumerate(records)], "id int, record string, layout string")
+    got = chat.formatted(df.union(df), "id", "record").collect()
+    assert len(got) == 8 and {r.formatted for r in got} == {chat.turn("user", "p") + chat.turn("assistant", "c")} and len({r.fingerprint for r in got}) == 4
+    deep = spark.createDataFrame([(1, "[" * 100_000), (2, json.dumps({"prompt": "x" * 300_000, "answer": "y"}))], "id int, record string")
+    odd = {r.id: r.formatted for r in chat.formatted(deep, "id", "record").collect()}
+    assert odd[1] is None and len(odd[2]) > 300_000
+
+
 def test_digests(spark):
     got = {r.conv_id: r for r in chat.op9_chat(spark, SF).collect()}
     by = defaultdict(list)
@@ -477,6 +680,8 @@ def test_search_like_brute_force(spark, itself):
     few = hamming.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 10, itself)
     assert sorted(map(tuple, few.collect())) == plain_nearest(rows[:3], rows[:1], 10, itself)
     assert hamming.nearest(df.where("false"), df.where("false")).count() == 0
+    clash = df.selectExpr("*", "'a' as shard", "1 as distance", "2 as n", "3 as query_id")
+    assert sorted(map(tuple, hamming.nearest(clash, clash.where("vec_id % 50 = 0"), 10, itself).collect())) == plain_nearest(rows, asked, 10, itself)
 
 
 def test_search_query(spark):
