@@ -25,12 +25,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates."""
-    return pii.anonymised(docs)
+    return pii.anonymised(docs, pii.key_of(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.packed(docs, special=True)
+    return packing.packed(docs)
 
 
 STAGES = [
