@@ -16,14 +16,14 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
-def wide_average_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
-    """df with average ranks, for few groups of very many rows; null values have no row.
+def spread(df: DataFrame, x: str, by: list[str], scratch: Scratch) -> DataFrame:
+    """(by, x, _n, _task, _upto): the distinct values of few groups of very many rows, how often each occurs, and how many rows are below it.
 
     Equal values are folded and dealt out in order, each task numbers its own,
     and the tasks' few totals are added up, so no group is sorted in one task.
+    Null values have no row.
     """
     spark = df.sparkSession
-    scratch = Scratch(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folded = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
     folded = scratch.write(folded.repartitionByRange(parts, *by, x).withColumn("_task", F.spark_partition_id()))
@@ -31,8 +31,45 @@ def wide_average_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFr
     totals = folded.groupBy(*by, "_task").agg(F.sum("_n").alias("_n"))
     totals = totals.withColumn("_base", upto(Window.partitionBy(*by).orderBy("_task"))).drop("_n")
     own = folded.withColumn("_own", upto(Window.partitionBy(*by, "_task").orderBy(x))).join(totals, [*by, "_task"])
-    found = own.select(*by, x, (F.col("_base") + F.col("_own") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
-    return df.join(found, [*by, x])
+    return own.select(*by, x, "_n", "_task", (F.col("_base") + F.col("_own")).alias("_upto"))
+
+
+def wide_average_rank(df: DataFrame, x: str, by: list[str], name: str, least: bool = False) -> DataFrame:
+    """df with average ranks, or the least of ties, for few groups of very many rows; null values have no row."""
+    found = spread(df, x, by, Scratch(df.sparkSession))
+    rank = F.col("_upto") + (F.lit(1) if least else (F.col("_n") + 1) / F.lit(2.0))
+    return df.join(found.select(*by, x, rank.alias(name)), [*by, x])
+
+
+def adjusted(df: DataFrame, p: str, by: list[str], name: str, score, down: bool) -> DataFrame:
+    """df with the running extreme of score(p, its first and last rank, the family's size) over a family's P values in order, at most 1.
+
+    The minimum from the largest P value down, or the maximum from the least up.
+    """
+    scratch = Scratch(df.sparkSession)
+    rows = spread(df, p, by, scratch)
+    size = rows.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    rows = rows.join(size, by) if by else rows.crossJoin(size)  # one row
+    rows = rows.select(*by, p, "_task", score(F.col(p), F.col("_upto") + 1, F.col("_upto") + F.col("_n"), F.col("_m")).alias("_s"))
+    rows = scratch.write(rows)
+    pick, best = (F.min, F.least) if down else (F.max, F.greatest)
+    order = lambda w, c: w.orderBy(F.desc(c) if down else F.asc(c))
+    before = order(Window.partitionBy(*by), "_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy(*by, "_task").agg(pick("_s").alias("_e")).withColumn("_e", pick("_e").over(before))
+    own = pick("_s").over(order(Window.partitionBy(*by, "_task"), p).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("_own", own).join(tasks, [*by, "_task"])
+    found = found.select(*by, p, F.least(F.lit(1.0), best("_own", F.coalesce("_e", "_own"))).alias(name))
+    return df.join(found, [*by, p], "left")
+
+
+def with_bh(df: DataFrame, p: str, by: list[str], name: str = "q") -> DataFrame:
+    """df with q-values within families in the column name; null P values are no tests."""
+    return adjusted(df, p, by, name, lambda p, first, last, m: p * m / last, True)
+
+
+def with_holm(df: DataFrame, p: str, by: list[str], name: str = "holm") -> DataFrame:
+    """df with Holm's adjusted P values in the column name."""
+    return adjusted(df, p, by, name, lambda p, first, last, m: (m - first + 1) * p, False)
 
 
 def min_rank(x: str, by: list[str]) -> Column:
@@ -52,9 +89,13 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def to_sum_one(x: str, by: list[str]) -> Column:
-    total = F.sum(x).over(Window.partitionBy(*by))
-    return safe_divide(F.col(x), total)
+def to_sum_one(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """df with x over its group's sum; the sums, combined before they are shuffled, are joined.
+
+    df is evaluated twice, so it should be a table or cheap to make.
+    """
+    total = df.groupBy(*by).agg(F.sum(x).alias("_total"))
+    return df.join(total, by).withColumn(name, safe_divide(F.col(x), F.col("_total"))).drop("_total")
 
 
 def pearson(a: str, b: str) -> Column:
@@ -64,10 +105,13 @@ def pearson(a: str, b: str) -> Column:
     return F.when(both > 0, F.covar_pop(x, y) / both)
 
 
-def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """(by, n, rho) of average ranks over rows with both values."""
+def spearman(df: DataFrame, a: str, b: str, by: list[str], wide: bool = False) -> DataFrame:
+    """(by, n, rho) of average ranks over rows with both values; wide for few groups of very many rows."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rows = rows.withColumns({"_ra": average_rank(a, by), "_rb": average_rank(b, by)})
+    if wide:
+        rows = wide_average_rank(wide_average_rank(rows, a, by, "_ra"), b, by, "_rb")
+    else:
+        rows = rows.withColumns({"_ra": average_rank(a, by), "_rb": average_rank(b, by)})
     return rows.groupBy(*by).agg(F.count("*").alias("n"), pearson("_ra", "_rb").alias("rho"))
 
 
@@ -80,44 +124,15 @@ def lag_correlation(df: DataFrame, x: str, by: list[str], order: str, lags: tupl
     return rows.groupBy(*by, "lag").agg(pearson(x, "y").alias("autocorrelation"))
 
 
-def benjamini_hochberg(p: str, by: list[str], tie: str) -> Column:
-    """q-values within families; null P values are no tests."""
-    down = Window.partitionBy(*by).orderBy(F.desc_nulls_last(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    m = F.count(p).over(Window.partitionBy(*by))
-    k = m - F.count(p).over(down) + 1
-    return F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * m / k).over(down)))
-
-
-def with_bh(df: DataFrame, p: str, by: list[str], tie: str, name: str = "q") -> DataFrame:
-    """df with q-values in the column name."""
-    w = Window.partitionBy(*by)
-    up = w.orderBy(F.asc_nulls_last(p), tie)
-    df = df.withColumns({"_k": F.row_number().over(up), "_m": F.count(p).over(w)})
-    df = df.withColumn("_s", F.when(F.col(p).isNotNull(), F.col(p) * F.col("_m") / F.col("_k")))
-    down = w.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_s").over(down)))
-    return df.withColumn(name, q).drop("_k", "_m", "_s")
-
-
-def with_holm(df: DataFrame, p: str, by: list[str], tie: str, name: str = "holm") -> DataFrame:
-    """df with Holm's adjusted P values in the column name."""
-    w = Window.partitionBy(*by)
-    up = w.orderBy(F.asc_nulls_last(p), tie)
-    df = df.withColumns({"_k": F.row_number().over(up), "_m": F.count(p).over(w)})
-    df = df.withColumn("_s", F.when(F.col(p).isNotNull(), (F.col("_m") - F.col("_k") + 1) * F.col(p)))
-    run = up.rowsBetween(Window.unboundedPreceding, 0)
-    q = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("_s").over(run)))
-    return df.withColumn(name, q).drop("_k", "_m", "_s")
-
-
 def empirical(df: DataFrame, observed: str, null: str, by: list[str], centred: bool = True) -> DataFrame:
     """P values of an observed value against its null, (1 + as extreme) / (1 + n), and the null's moments and quantiles.
 
     The two-sided P counts null values as far from the null's mean as the
-    observed one if centred, else it is twice the smaller tail.
+    observed one if centred, else it is twice the smaller tail.  df is evaluated
+    twice, so it should be a table.  Quantiles are exact, which takes a buffer of
+    a group's distinct null values: some 10,000 replicates at most, as a rule.
     """
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_mu", F.avg(null).over(w))
+    rows = df.join(df.groupBy(*by).agg(F.avg(null).alias("_mu")), by)
     o, x, mu = F.col(observed), F.col(null), F.col("_mu")
     up, low = F.sum((x >= o).cast("long")), F.sum((x <= o).cast("long"))
     n = F.count(null)

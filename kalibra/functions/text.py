@@ -48,16 +48,6 @@ def first_token(x: Column, sep: str = "_") -> Column:
     return F.split_part(x, F.lit(sep), F.lit(1))
 
 
-def joined_ids(x: Column, sep: str = "|") -> Column:
-    """Aggregate: the distinct values in order."""
-    return F.array_join(F.array_sort(F.collect_set(x)), sep)
-
-
-def has_multiple(x: Column) -> Column:
-    """Cells with several symbols."""
-    return x.rlike(r"[;/|]")
-
-
 def restart_label(r: float) -> str:
     """SC14."""
     return f"r{r:.2f}".replace(".", "p")

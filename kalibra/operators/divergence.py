@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kalibra.functions.ranks import safe_divide
-from kalibra.operators.projection import pairs
+from kalibra.operators.projection import pairs, similarity
 
 
 def _term(p, m):
@@ -66,3 +66,11 @@ def retention(layers: DataFrame) -> DataFrame:
         safe_divide(F.col("module"), F.col("feature")).alias("module_over_feature"),
         safe_divide(F.col("module"), F.col("left")).alias("module_over_left"),
     )
+
+
+def convergence(profiles: DataFrame, x: str) -> DataFrame:
+    """One record of how close all profiles (profile, right, x) are: gjsd, common_mass, and the means over pairs of jsd, cosine, pearson, spearman and jaccard."""
+    one = gjsd(profiles, x)
+    two = pairwise(profiles, x).agg(F.avg("jsd").alias("mean_jsd"), F.avg("cosine").alias("mean_cosine"))
+    three = similarity(profiles, x).agg(*[F.avg(c).alias(f"mean_{c}") for c in ("pearson", "spearman", "jaccard")])
+    return one.crossJoin(two).crossJoin(three)  # one row each

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kalibra.storage import Scratch
+
 
 def support_weights(evidence: DataFrame, offset: float = 1.0) -> DataFrame:
     """(profile, left, support, articles, weight): weight = (support + 0.5) / (articles + offset).
@@ -13,8 +15,9 @@ def support_weights(evidence: DataFrame, offset: float = 1.0) -> DataFrame:
     the profile.  An offset of 1 is the Jeffreys weight (PR1, and PR2 with formulas for
     articles), one of 0.5 the early variant (PR3).
     """
-    articles = evidence.groupBy("profile").agg(F.countDistinct("article").alias("articles"))
-    support = evidence.groupBy("profile", "left").agg(F.countDistinct("article").alias("support"))
+    rows = Scratch(evidence.sparkSession).write(evidence.select("profile", "left", "article").distinct())
+    articles = rows.select("profile", "article").distinct().groupBy("profile").agg(F.count("*").alias("articles"))
+    support = rows.groupBy("profile", "left").agg(F.count("*").alias("support"))
     out = support.join(articles, "profile")
     return out.select("profile", "left", "support", "articles", ((F.col("support") + 0.5) / (F.col("articles") + F.lit(offset))).alias("weight"))
 

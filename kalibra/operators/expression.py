@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import safe_divide
-from kalibra.functions.special import signed_z, student_two_sided, two_sided_p
+from kalibra.functions.ranks import safe_divide, spread, wide_average_rank
+from kalibra.functions.special import student_two_sided, two_sided_p
+from kalibra.storage import Scratch
 
 
 def collapsed(df: DataFrame, how: str = "median") -> DataFrame:
@@ -18,8 +19,8 @@ def collapsed(df: DataFrame, how: str = "median") -> DataFrame:
 
 def log_cpm(counts: DataFrame) -> DataFrame:
     """log2 of counts per million plus 1, by the sample's library size."""
-    size = F.sum("value").over(Window.partitionBy("sample"))
-    return counts.withColumn("value", F.log2(safe_divide(F.col("value"), size) * 1e6 + 1))
+    size = counts.groupBy("sample").agg(F.sum("value").alias("_size"))
+    return counts.join(size, "sample").withColumn("value", F.log2(safe_divide(F.col("value"), F.col("_size")) * 1e6 + 1)).drop("_size")
 
 
 def welch(df: DataFrame, by: list[str], case: Column, weight: Column | None = None) -> DataFrame:
@@ -48,10 +49,6 @@ def with_p(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p", F.when(F.col("t").isNull(), F.lit(1.0)).otherwise(student_two_sided("t", "df")))
 
 
-def with_signed_z(tests: DataFrame) -> DataFrame:
-    return tests.withColumn("z", signed_z("p", "effect"))
-
-
 def effective_n(n1: Column, n2: Column) -> Column:
     return n1 * n2 / (n1 + n2)
 
@@ -73,9 +70,12 @@ def tiers(rows: DataFrame, least: float) -> DataFrame:
 
 def quantile_normalised(df: DataFrame) -> DataFrame:
     """Every sample gets the mean distribution; ties get the mean of their ranks' values.  Samples must be complete."""
-    own = df.withColumn("r", F.row_number().over(Window.partitionBy("sample").orderBy("value", "feature")))
+    df = df.select("feature", "sample", "value")
+    own = spread(df, "value", ["sample"], Scratch(df.sparkSession))
+    own = own.select("sample", "value", F.explode(F.sequence(F.col("_upto") + 1, F.col("_upto") + F.col("_n"))).alias("r"))
     mean = own.groupBy("r").agg(F.avg("value").alias("m"))
-    return own.join(mean, "r").select("feature", "sample", F.avg("m").over(Window.partitionBy("sample", "value")).alias("value"))
+    new = own.join(mean, "r").groupBy("sample", "value").agg(F.avg("m").alias("_new"))
+    return df.join(new, ["sample", "value"]).select("feature", "sample", F.col("_new").alias("value"))
 
 
 def imputed(df: DataFrame, most_missing: float = 0.2) -> DataFrame:
@@ -154,23 +154,28 @@ def pooled(df: DataFrame, by: list[str], case: Column) -> DataFrame:
     return rows.select(*by, "n1", "n2", (F.col("m1") - F.col("m2")).alias("effect"), s2.alias("s2"))
 
 
-def expressed(counts: DataFrame, least: float = 10.0, samples: int = 2) -> DataFrame:
-    """The counts of features that reach least in enough samples."""
-    kept = counts.groupBy("feature").agg(F.sum((F.col("value") >= least).cast("long")).alias("n")).where(F.col("n") >= samples)
+def expressed(counts: DataFrame, least: float = 10.0, samples: int = 2, total: float = 15.0) -> DataFrame:
+    """The counts of features that reach, in enough samples, the counts per million of least in a library of median size, and total in all."""
+    size = counts.groupBy("sample").agg(F.sum("value").alias("_size"))
+    cut = size.agg((F.lit(least) / F.median("_size") * 1e6).alias("_cut"))
+    rows = counts.join(size, "sample").crossJoin(cut)  # one row
+    high = (safe_divide(F.col("value"), F.col("_size")) * 1e6 >= F.col("_cut")).cast("long")
+    kept = rows.groupBy("feature").agg(F.sum(high).alias("n"), F.sum("value").alias("all")).where((F.col("n") >= samples) & (F.col("all") >= total))
     return counts.join(kept.select("feature"), "feature", "left_semi")
 
 
 def tmm_factors(counts: DataFrame, reference: str, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
     """(sample, factor): trimmed weighted means of log ratios to a reference sample, scaled to a product of 1."""
-    size = F.sum("value").over(Window.partitionBy("sample"))
-    rows = counts.withColumn("size", size).where("value > 0")
+    scratch = Scratch(counts.sparkSession)
+    counts = scratch.write(counts.select("feature", "sample", "value"))
+    size = counts.groupBy("sample").agg(F.sum("value").alias("size"))
+    rows = counts.join(size, "sample").where("value > 0")
     ref = rows.where(F.col("sample") == reference).select("feature", F.col("value").alias("rv"), F.col("size").alias("rs"))
     both = rows.join(ref, "feature")
     p, q = F.col("value") / F.col("size"), F.col("rv") / F.col("rs")
-    both = both.withColumns({"m": F.log2(p / q), "a": F.log2(p * q) / 2, "v": (1 - p) / F.col("value") + (1 - q) / F.col("rv")})
-    w = Window.partitionBy("sample")
-    n = F.count("*").over(w)
-    both = both.withColumns({"rm": F.rank().over(w.orderBy("m")), "ra": F.rank().over(w.orderBy("a")), "n": n})
+    both = scratch.write(both.withColumns({"m": F.round(F.log2(p / q), 12), "a": F.round(F.log2(p * q) / 2, 12), "v": (1 - p) / F.col("value") + (1 - q) / F.col("rv")}))
+    n = both.groupBy("sample").agg(F.count("*").alias("n"))
+    both = wide_average_rank(wide_average_rank(both, "m", ["sample"], "rm", True), "a", ["sample"], "ra", True).join(n, "sample")
     kept = both.where(
         (F.col("rm") > F.floor(F.col("n") * trim_m)) & (F.col("rm") <= F.col("n") - F.floor(F.col("n") * trim_m))
         & (F.col("ra") > F.floor(F.col("n") * trim_a)) & (F.col("ra") <= F.col("n") - F.floor(F.col("n") * trim_a))

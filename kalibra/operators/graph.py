@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import to_sum_one
+from kalibra.functions.ranks import safe_divide, to_sum_one
 from kalibra.storage import Scratch
 
 
@@ -29,8 +29,7 @@ def both_ways(edges: DataFrame, score: str = "score") -> DataFrame:
 
 def transition(edges: DataFrame, score: str = "score") -> DataFrame:
     """(src, dst, w, p): p is the weight over all of src's."""
-    rows = both_ways(edges, score)
-    return rows.withColumn("p", to_sum_one("w", ["src"]))
+    return to_sum_one(Scratch(edges.sparkSession).write(both_ways(edges, score)), "w", ["src"], "p")
 
 
 def node_stats(edges: DataFrame, score: str = "score") -> DataFrame:
@@ -66,14 +65,22 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
 def component_sizes(edges: DataFrame) -> DataFrame:
     """(node, component, size) of all nodes."""
     rest = connected_components(edges)
-    every = rest.union(rest.select(F.col("root").alias("node"), "root").distinct())
-    return every.select("node", F.col("root").alias("component"), F.count("*").over(Window.partitionBy("root")).alias("size"))
+    sizes = rest.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    every = rest.union(sizes.select(F.col("root").alias("node"), "root"))
+    return every.join(sizes, "root").select("node", F.col("root").alias("component"), "size")
 
 
 def seeds(weights: DataFrame, nodes: DataFrame) -> DataFrame:
     """(profile, node, x): weights on the graph's nodes, scaled to 1 in each profile."""
     kept = weights.join(nodes.select("node").distinct(), "node", "left_semi").where("weight > 0")
-    return kept.select("profile", "node", to_sum_one("weight", ["profile"]).alias("x"))
+    return to_sum_one(Scratch(nodes.sparkSession).write(kept.select("profile", "node", "weight")), "weight", ["profile"], "x").drop("weight")
+
+
+def seeded_mass(weights: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(profile, mass, seeded, share): the weight of a profile, and what of it lies on the graph's nodes."""
+    known = nodes.select("node").distinct().withColumn("_on", F.lit(1))
+    rows = weights.join(known, "node", "left").groupBy("profile").agg(F.sum("weight").alias("mass"), F.sum(F.when(F.col("_on").isNotNull(), F.col("weight")).otherwise(0.0)).alias("seeded"))
+    return rows.withColumn("share", safe_divide(F.col("seeded"), F.col("mass")))
 
 
 def walk_step(p: DataFrame, x: DataFrame, start: DataFrame, restart: float | Column, by: list[str], adjoint: bool = False) -> DataFrame:
@@ -103,14 +110,15 @@ def walked(
     steps are planned at a time and then written to the shared folder.
     """
     by = by if by is not None else ["profile"]
-    if steps is not None:
-        x = start.select(*by, "node", "x")
-        for _ in range(steps):
-            x = walk_step(p, x, start, restart, by, adjoint)
-        return x
     scratch = Scratch(start.sparkSession)
     p, start = scratch.write(p.select("src", "dst", "p")), scratch.write(start.select(*by, "node", "x"))
     x = start
+    if steps is not None:
+        for i in range(steps):
+            x = walk_step(p, x, start, restart, by, adjoint)
+            if i % 4 == 3:
+                x = scratch.write(x)
+        return x
     for _ in range(0, most, 4):
         before = x
         for _ in range(3):

@@ -47,12 +47,6 @@ def require(df: DataFrame, columns: list[str], name: str = "table") -> DataFrame
     return df
 
 
-def require_count(df: DataFrame, n: int, name: str = "table") -> DataFrame:
-    if (found := df.count()) != n:
-        raise ValueError(f"{name} has {found} rows, not {n}")
-    return df
-
-
 def require_unique(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
     if found := duplicates(df, keys).limit(5).collect():
         raise ValueError(f"{name} repeats {[tuple(r) for r in found]}")
@@ -69,8 +63,15 @@ def checked_join(a: DataFrame, b: DataFrame, keys: list[str], cardinality: str,
     return a.join(b, keys, how)
 
 
+#: Values that with_each() unfolds, at most.
+FEW = 10_000
+
+
 def with_each(df: DataFrame, values: DataFrame) -> DataFrame:
-    """Every row of df with every distinct row of values, which are few: they become one array, and are unfolded in place."""
+    """Every row of df with every distinct row of values, which must be FEW at most: they become one array, and are unfolded in place."""
+    values = values.distinct()
+    if values.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"over {FEW} values to unfold")
     one = values.agg(F.collect_set(F.struct(*values.columns)).alias("_all"))
     return df.crossJoin(one).select(*df.columns, F.explode("_all").alias("_one")).select(*df.columns, "_one.*")  # one row
 

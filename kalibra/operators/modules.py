@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kalibra.functions.ranks import safe_divide, spearman, to_sum_one, wide_average_rank
 from kalibra.operators.expression import welch
+from kalibra.storage import Scratch
 
 
 def eligibility(members: DataFrame, universe: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
@@ -37,6 +38,13 @@ def affinity(observed: DataFrame, null: DataFrame) -> DataFrame:
     return rows.withColumn("positive", F.greatest("affinity", F.lit(0.0)))
 
 
+def null_affinity(null: DataFrame, affinities: DataFrame) -> DataFrame:
+    """(rep, profile, module, positive): the replicates' own masses on the scale of the null's mean and deviation."""
+    rows = null.join(affinities.select("profile", "module", "null_mean", "null_sd"), ["profile", "module"])
+    a = safe_divide(F.col("mass") - F.col("null_mean"), F.col("null_sd"))
+    return rows.select("rep", "profile", "module", F.greatest(a, F.lit(0.0)).alias("positive"))
+
+
 def differential(affinities: DataFrame, by: list[str], x: str = "affinity") -> DataFrame:
     """The affinity less the mean of the other profiles', in the column difference."""
     w = Window.partitionBy(*by)
@@ -50,10 +58,17 @@ def percentile_modules(values: DataFrame, members: DataFrame, by: list[str], lea
     size = kept.groupBy(*by).agg(F.count("*").alias("_size"))
     ranked = wide_average_rank(kept, "value", by, "_r").join(size, by).withColumn("value", F.col("_r") / (F.col("_size") + 1))
     rows = means(ranked, members, by, least).withColumnRenamed("mean", "raw")
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*by)))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*by)))  # as many rows as modules
     return rows.withColumn("scaled", safe_divide(F.col("raw"), norm))
 
 
+def enough(eligible: DataFrame, least: int = 40) -> DataFrame:
+    """eligible, if at least so many of its modules are; else an error ends the job."""
+    if (found := eligible.where("eligible").count()) < least:
+        raise ValueError(f"{found} eligible modules, of {least} needed")
+    return eligible
+
+
 def compatibility(disease: DataFrame, affinities: DataFrame) -> DataFrame:
     """(profile, compatibility): the cosine of (module, d) and the positive affinities."""
     rows = affinities.join(disease, "module")
@@ -65,7 +80,7 @@ def conditioned(disease: DataFrame, affinities: DataFrame, by: list[str] | None
     """(by, module, product, scaled): d times the positive affinity, scaled to 1; without any mass, 0."""
     by = by or ["profile"]
     rows = affinities.join(disease, "module").select(*by, "module", (F.col("d") * F.col("positive")).alias("product"))
-    return rows.withColumn("scaled", to_sum_one("product", by))
+    return to_sum_one(Scratch(disease.sparkSession).write(rows), "product", by, "scaled")
 
 
 def predicted_correlation(predictions: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:

@@ -1,22 +1,23 @@
-"""Projection of left-node weights over a bipartite graph (left, right) into profiles of right nodes."""
+"""Projection of left-node weights over a bipartite graph (left, right), each edge once, into profiles of right nodes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kalibra.functions.ranks import pearson, safe_divide, to_sum_one, top, wide_average_rank
 from kalibra.operators.mapping import with_each
+from kalibra.storage import Scratch
 
 
 def left_degrees(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("left").agg(F.countDistinct("right").alias("degree"))
+    return edges.groupBy("left").agg(F.count("*").alias("degree"))
 
 
 def right_stats(edges: DataFrame) -> DataFrame:
     """(right, n, n_left, idf): idf = ln((n_left + 1) / (n + 1)) + 1."""
     n_left = edges.select("left").distinct().agg(F.count("*").alias("n_left"))
-    stats = edges.groupBy("right").agg(F.countDistinct("left").alias("n")).crossJoin(n_left)  # one row
+    stats = edges.groupBy("right").agg(F.count("*").alias("n")).crossJoin(n_left)  # one row
     return stats.withColumn("idf", F.ln((F.col("n_left") + 1) / (F.col("n") + 1)) + 1)
 
 
@@ -51,7 +52,7 @@ def project(weights: DataFrame, edges: DataFrame) -> DataFrame:
         (zero("degree_normalised") * F.col("idf")).alias("ubiquity_corrected"),
         F.coalesce("contributing", F.lit(0)).cast("long").alias("contributing"),
     )
-    return out.withColumn("sum1", to_sum_one("ubiquity_corrected", ["profile"]))
+    return to_sum_one(Scratch(edges.sparkSession).write(out), "ubiquity_corrected", ["profile"], "sum1")
 
 
 def mass_check(weights: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,12 +84,12 @@ def shared_and_specific(weights: DataFrame) -> DataFrame:
 
     Components are named shared and specific:<profile>.
     """
+    weights = Scratch(weights.sparkSession).write(weights.select("profile", "left", "weight"))
     k = weights.select("profile").distinct().agg(F.count("*").alias("k"))
-    w = Window.partitionBy("left")
-    rows = weights.select("profile", "left", "weight").crossJoin(k)  # one row
-    low = F.when(F.count("*").over(w) == F.col("k"), F.min("weight").over(w)).otherwise(F.lit(0.0))
-    rows = rows.withColumn("low", low)
-    shared = rows.groupBy("left").agg(F.first("low").alias("weight")).select(F.lit("shared").alias("component"), "left", "weight")
+    low = weights.groupBy("left").agg(F.min("weight").alias("least"), F.count("*").alias("n")).crossJoin(k)  # one row
+    low = low.select("left", F.when(F.col("n") == F.col("k"), F.col("least")).otherwise(F.lit(0.0)).alias("low"))
+    rows = weights.join(low, "left")
+    shared = low.select(F.lit("shared").alias("component"), "left", F.col("low").alias("weight"))
     own = rows.select(F.concat(F.lit("specific:"), F.col("profile")).alias("component"), "left", (F.col("weight") - F.col("low")).alias("weight"))
     return shared.unionByName(own)
 
@@ -113,6 +114,7 @@ def pairs(profiles: DataFrame, x: str, key: str = "right", by: str = "profile")
 def similarity(profiles: DataFrame, x: str) -> DataFrame:
     """(first, second, spearman, pearson, jaccard) of profiles; Jaccard over positive scores."""
     ranked = wide_average_rank(profiles, x, ["profile"], "_r").withColumn("_v", F.struct(F.col(x).alias("v"), F.col("_r").alias("r")))
+    ranked = Scratch(profiles.sparkSession).write(ranked.select("profile", "right", "_v"))
     both = pairs(ranked, "_v").select("first", "second", F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"))
     pa, pb = F.col("a") > 0, F.col("b") > 0
     return both.groupBy("first", "second").agg(
@@ -144,7 +146,7 @@ def summary(profiles: DataFrame, x: str) -> DataFrame:
 def prior(weights: DataFrame, edges: DataFrame) -> DataFrame:
     """(profile, right, weight): the sum of left weights without degrees, scaled to 1."""
     rows = weights.join(edges, "left").groupBy("profile", "right").agg(F.sum("weight").alias("raw"))
-    return rows.select("profile", "right", to_sum_one("raw", ["profile"]).alias("weight"))
+    return to_sum_one(Scratch(edges.sparkSession).write(rows), "raw", ["profile"], "weight").drop("raw")
 
 
 def prior_eligible(coverage_rows: DataFrame, least: int = 5, share: float = 0.7) -> DataFrame:

@@ -1,63 +1,95 @@
-"""Degree-preserving rewiring of bipartite graphs, and the mixing of its chains.
+"""Degree-preserving rewiring of bipartite graphs, its null distributions, and the mixing of its chains.
 
 A Curveball trade redistributes what two left nodes don't share, keeping how
-many each has.  A chain is serial by its nature: it runs in one task, which
-holds the graph, and chains run side by side.  Seeds depend on the chain alone.
+many each has.  In a round the left nodes of a chain are paired at random, and
+all pairs trade side by side: a round of n left nodes is n / 2 trades.  Pairs
+and trades are ordered by a hash of (seed, chain, round, nodes), so a chain
+depends neither on partitions nor on other chains, and any SQL engine can replay
+it.  Each round is written to the shared folder, and the one before is dropped;
+of a kept graph only its metric stays, unless the graphs themselves are asked for.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import lag_correlation
+from kalibra.functions.ranks import lag_correlation, safe_divide, to_sum_one
+from kalibra.operators.divergence import gjsd
+from kalibra.operators.nulls import random_key
+from kalibra.operators.projection import left_degrees, right_stats
+from kalibra.storage import Scratch
+
+#: Left nodes are paired within buckets of about so many, new ones each round.
+BUCKET = 64
+
+
+def number(key: Column, n: Column) -> Column:
+    """A number below n from a hexadecimal key."""
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), n)
+
+
+def traded(graph: DataFrame, nodes: DataFrame, seed: int, step: int) -> DataFrame:
+    """The next round's (chain, left, right); nodes has (chain, left, buckets).
+
+    A pair's trade is a sort of what either has alone, bounded by its degrees.
+    """
+    key = random_key(seed, "chain", F.lit(step), "left")
+    found = nodes.withColumn("key", key).withColumn("bucket", number(F.col("key"), F.col("buckets")))
+    place = F.row_number().over(Window.partitionBy("chain", "bucket").orderBy("key", "left")) - 1
+    found = found.withColumns({"pair": F.floor(place / 2), "side": place % 2}).select("chain", "bucket", "pair", "side", "left")
+    both = found.groupBy("chain", "bucket", "pair").agg(F.max(F.when(F.col("side") == 0, F.col("left"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("left"))).alias("b"))
+    on = ["chain", "bucket", "pair"]
+    rows = graph.join(found.join(both, on), ["chain", "left"])
+    rows = rows.groupBy(*on, "right").agg(F.count("*").alias("n"), F.min("side").alias("side"), F.first("a").alias("a"), F.first("b").alias("b"))
+    alone = F.col("n") == 1
+    order = Window.partitionBy(*on, "n").orderBy(random_key(seed, "chain", F.lit(step), "a", "right"), "right")
+    rows = rows.withColumns({"at": F.row_number().over(order), "own": F.sum((F.col("side") == 0).cast("long")).over(Window.partitionBy(*on, "n"))})
+    to = F.when(alone, F.array(F.when(F.col("at") <= F.col("own"), F.col("a")).otherwise(F.col("b")))).otherwise(F.array("a", "b"))
+    return rows.select("chain", F.explode(to).alias("left"), "right")
+
+
+def null_draws(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int, metric: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The metric (chain, ...) of each kept graph (chain, left, right), with its draw: after burn rounds and then every thin."""
+    scratch = Scratch(edges.sparkSession)
+    one = scratch.write(edges.select("left", "right").distinct())
+    every = F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain")
+    left = one.select("left").distinct()
+    buckets = left.agg(F.ceil(F.count("*") / BUCKET).cast("long").alias("buckets"))
+    nodes = scratch.write(left.crossJoin(buckets).select(every, "left", "buckets"))  # one row
+    graph, out = scratch.write(one.select(every, "left", "right")), None
+    for step in range(1, burn + (draws - 1) * thin + 1):
+        last, graph = graph, scratch.write(traded(graph, nodes, seed, step))
+        scratch.drop(last)
+        if step >= burn and (step - burn) % thin == 0:
+            kept = scratch.write(metric(graph).withColumn("draw", F.lit((step - burn) // thin)))
+            out = kept if out is None else out.unionByName(kept)
+    return out
 
 
-def trade(rows: list[np.ndarray], i: int, j: int, rng: np.random.Generator) -> bool:
-    """One trade between rows i and j of sorted neighbours; whether it could change anything."""
-    a, b = rows[i], rows[j]
-    only_a, only_b = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
-    if not len(only_a) or not len(only_b):
-        return False
-    common = np.intersect1d(a, b, True)
-    pool = rng.permutation(np.concatenate((only_a, only_b)))
-    rows[i] = np.sort(np.concatenate((common, pool[: len(only_a)])))
-    rows[j] = np.sort(np.concatenate((common, pool[len(only_a) :])))
-    return True
+def rewired(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int) -> DataFrame:
+    """(chain, draw, left, right): the kept graphs themselves."""
+    return null_draws(edges, chains, draws, burn, thin, seed, lambda g: g).select("chain", "draw", "left", "right")
 
 
-def rewired(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int) -> DataFrame:
-    """(chain, draw, left, right): the graphs that the chains keep, after burn trades and then every thin."""
-    rows = edges.select("left", "right").distinct().withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain = int(pdf["chain"].iloc[0])
-        rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(chain,)))
-        names = np.array(sorted(pdf["left"].unique()))
-        other = np.array(sorted(pdf["right"].unique()))
-        l, r = np.searchsorted(names, pdf["left"].to_numpy()), np.searchsorted(other, pdf["right"].to_numpy())
-        graph = [np.sort(r[l == i]) for i in range(len(names))]
-
-        def step(n: int) -> None:
-            if len(graph) < 2:
-                return
-            for _ in range(n):
-                i, j = rng.choice(len(graph), 2, replace=False)
-                trade(graph, int(i), int(j), rng)
-
-        step(burn)
-        out = []
-        for d in range(draws):
-            if d:
-                step(thin)
-            sizes = [len(x) for x in graph]
-            out.append(pd.DataFrame({"chain": chain, "draw": d, "left": names[np.repeat(np.arange(len(graph)), sizes)], "right": other[np.concatenate(graph)]}))
-        return pd.concat(out)
-
-    return rows.groupBy("chain").applyInPandas(run, f"chain int, draw int, left {kinds['left']}, right {kinds['right']}")
+def layers(graph: DataFrame, weights: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(chain, layer, gjsd, common_mass) of the profiles recomputed from graphs (chain, left, right) that have the degrees of edges.
+
+    The layer feature has the right nodes, and module what members (right, module) of them add up to.
+    """
+    scratch = Scratch(edges.sparkSession)
+    part = weights.join(left_degrees(edges), "left").select("profile", "left", (F.col("weight") / F.col("degree")).alias("part"))
+    rows = graph.join(part, "left").groupBy("chain", "profile", "right").agg(F.sum("part").alias("part"))
+    rows = rows.join(right_stats(edges).select("right", "idf"), "right").select("chain", "profile", "right", (F.col("part") * F.col("idf")).alias("x"))
+    rows = to_sum_one(scratch.write(rows), "x", ["chain", "profile"], "p").drop("x")
+    out = gjsd(rows, "p", within=("chain",)).withColumn("layer", F.lit("feature"))
+    if members is not None:
+        up = rows.join(members, "right").groupBy("chain", "profile", F.col("module").alias("right")).agg(F.sum("p").alias("p"))
+        out = out.unionByName(gjsd(up, "p", within=("chain",)).withColumn("layer", F.lit("module")))
+    return out.select("chain", "layer", "gjsd", "common_mass")
 
 
 def r_hat(samples: DataFrame, x: str) -> DataFrame:
@@ -86,18 +118,16 @@ def degrees_kept(graphs: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(gap("left"), ["chain", "draw"]).join(gap("right"), ["chain", "draw"])
 
 
+def changed_share(graphs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chain, draw, share): how many edges of each kept graph the observed one lacks."""
+    seen = edges.select("left", "right").withColumn("_on", F.lit(1))
+    rows = graphs.join(seen, ["left", "right"], "left").groupBy("chain", "draw")
+    return rows.agg(safe_divide(F.sum(F.col("_on").isNull().cast("double")), F.count("*").cast("double")).alias("share"))
+
+
 def verdict(row: DataFrame, rules: list[tuple[str, object]], otherwise: str) -> DataFrame:
     """row with verdict: the label of the first rule that holds."""
     out = F.lit(otherwise)
     for label, rule in reversed(rules):
         out = F.when(rule, F.lit(label)).otherwise(out)
     return row.withColumn("verdict", out)
-
-
-def effective_share(trades: DataFrame) -> DataFrame:
-    return trades.groupBy("chain").agg(F.avg(F.col("effective").cast("double")).alias("share"), F.count("*").alias("n")).orderBy("chain")
-
-
-def iteration_order(samples: DataFrame) -> DataFrame:
-    """samples with step: their number over all chains, by chain and draw."""
-    return samples.withColumn("step", F.row_number().over(Window.partitionBy("chain").orderBy("draw")))

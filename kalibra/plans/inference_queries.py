@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from kalibra.functions import ranks
 from kalibra.functions.special import erfc_sql, signed_z_sql, two_sided_p_sql
-from kalibra.operators import expression, graph, modules, nulls, rewire
+from kalibra.operators import expression, graph, mapping, modules, nulls, rewire
 from kalibra.plans import stand_ins as S
 from kalibra.plans.stand_ins import SEED, r, sql
+from kalibra.storage import Scratch
 
 QUERIES, ORACLES = {}, {}
-REPS = 20
+#: P values have a floor of 1 / (REPS + 1).
+REPS = 39
 
 
 def query(text: str | None = None):
@@ -37,7 +39,7 @@ DRAW = {
 
 
 def drawn(spark, d):
-    return nulls.permutations(S.universe(spark, d), REPS, SEED)
+    return Scratch(spark).write(nulls.permutations(S.universe(spark, d), REPS, SEED))
 
 
 @query(sql("select feature, network, ubiquity, stratum from uni", "uni"))
@@ -121,7 +123,7 @@ def alignment_null(spark, d):
 def with_null(spark, d):
     own = nulls.alignment(S.features(spark, d), S.scores(spark, d), ["profile"]).select("profile", F.round("alignment", 10).alias("observed"))
     null = nulls.alignment_null(S.features(spark, d), S.scores(spark, d), drawn(spark, d)).select("profile", F.round("alignment", 10).alias("null"))
-    return null.join(own, "profile")
+    return Scratch(spark).write(null.join(own, "profile"))
 
 
 EMPIRICAL = """select profile, count(*) as n_null, any_value(o) as observed, round(avg(x), 8) as null_mean, round(stddev_samp(x), 8) as null_sd, (sum((x >= o)::int) + 1)::double / (count(*) + 1) as p_upper, (sum((x <= o)::int) + 1)::double / (count(*) + 1) as p_lower,
@@ -201,39 +203,58 @@ def bootstrap_interval(spark, d):
 
 # Multiplicity
 
-P_SQL = "select p_partkey as part, p_brand as family, (p_partkey * 7919 % 1000 + 1) / 20000.0::double as p from part where p_size <> 13"
+# Of parts, Welch's test of the prices of open and shipped lines; the tail of the normal law serves, as SQL has it too.
+P = {
+    "pg": "select feature, count(*) filter (o) as n1, count(*) filter (not o) as n2, avg(value) filter (o) as m1, avg(value) filter (not o) as m2, var_samp(value) filter (o) as v1, var_samp(value) filter (not o) as v2 from (select *, status = 'O' as o from px) group by all",
+    "pt": "select feature, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) as t, round(m1 - m2, 4) as effect from pg where n1 >= 2 and n2 >= 2 and v1 + v2 > 0",
+    "t": f"select feature as part, p_brand as family, {two_sided_p_sql('t')} as p, effect from pt join part on p_partkey = feature",
+}
+
+
+def tested(rows, case):
+    """(feature, n1, n2, t, p, effect)."""
+    out = expression.welch(rows, ["feature"], case).where("t is not null").withColumns({"t": r("t", 5), "effect": r("effect", 4)})
+    return out.withColumn("p", F.expr(two_sided_p_sql("t")))
 
 
 def p_values(spark, d):
-    part = S.table(spark, d, "part").where("p_size <> 13")
-    return part.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("family"), ((F.col("p_partkey") * 7919 % 1000 + 1) / F.lit(20000.0)).alias("p"))
+    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("feature"), F.col("p_brand").alias("family"))
+    rows = tested(S.prices(spark, d), F.col("status") == "O").join(part, "feature")
+    return Scratch(spark).write(rows.select(F.col("feature").alias("part"), "family", "p", "effect"))
 
 
 @query(
-    f"with t as ({P_SQL}), k as (select *, row_number() over (partition by family order by p, part) as k, count(*) over (partition by family) as m from t) select part, family, round(least(1, min(p * m / k) over (partition by family order by k desc rows unbounded preceding)), 10) as q from k"
-)
+    sql(
+        "select part, family, round(least(1, min(p * m / k) over (partition by family order by k desc rows unbounded preceding)), 10) as q from (select *, row_number() over (partition by family order by p, part) as k, count(*) over (partition by family) as m from t)",
+        "px", **P,
+    )
+)
 def benjamini_hochberg(spark, d):
     """ST3, WN5, R6."""
-    return ranks.with_bh(p_values(spark, d), "p", ["family"], "part").select("part", "family", r("q", 10).alias("q"))
+    return ranks.with_bh(p_values(spark, d), "p", ["family"]).select("part", "family", r("q", 10).alias("q"))
 
 
-@query(
-    f"with t as ({P_SQL}), k as (select *, row_number() over (partition by family order by p, part) as k, count(*) over (partition by family) as m from t) select part, family, round(least(1, max((m - k + 1) * p) over (partition by family order by k rows unbounded preceding)), 10) as holm from k"
-)
+HOLM = "round(least(1, max((m - k + 1) * p) over (partition by family order by k rows unbounded preceding)), 10) as holm from (select *, row_number() over (partition by family order by p, part) as k, count(*) over (partition by family) as m from {t})"
+
+
+@query(sql(f"select part, family, {HOLM.format(t='t')}", "px", **P))
 def holm(spark, d):
     """ST4, WN5."""
-    return ranks.with_holm(p_values(spark, d), "p", ["family"], "part").select("part", "family", r("holm", 10).alias("holm"))
+    return ranks.with_holm(p_values(spark, d), "p", ["family"]).select("part", "family", r("holm", 10).alias("holm"))
 
 
 @query(
-    f"with t as ({P_SQL}), u as (select 'A' as context, 'global' as family, part, p from t where family = 'Brand#1' union all select 'B', 'global', part, p from t where family = 'Brand#2' union all select 'B', 'own', part, p from t where family = 'Brand#3'), k as (select *, row_number() over (partition by family order by p, part) as k, count(*) over (partition by family) as m from u) select context, family, part, round(least(1, max((m - k + 1) * p) over (partition by family order by k rows unbounded preceding)), 10) as holm from k"
-)
+    sql(
+        f"select context, family, part, {HOLM.format(t='u')}",
+        "px", **P, u="select 'A' as context, 'global' as family, part, p from t where family = 'Brand#1' union all select 'B', 'global', part, p from t where family = 'Brand#2' union all select 'B', 'own', part, p from t where family = 'Brand#3'",
+    )
+)
 def global_holm(spark, d):
     """ST5, SE1: one family over two contexts, and one of its own."""
     t = p_values(spark, d)
     part = lambda context, family, brand: t.where(F.col("family") == brand).select(F.lit(context).alias("context"), F.lit(family).alias("family"), "part", "p")
     every = part("A", "global", "Brand#1").unionByName(part("B", "global", "Brand#2")).unionByName(part("B", "own", "Brand#3"))
-    return ranks.with_holm(every, "p", ["family"], "part").select("context", "family", "part", r("holm", 10).alias("holm"))
+    return ranks.with_holm(every, "p", ["family"]).select("context", "family", "part", r("holm", 10).alias("holm"))
 
 
 # Expression statistics
@@ -263,41 +284,52 @@ def student_p(spark, d):
     return out.select("feature", r("p", 10).alias("p"))
 
 
-@query(f"with t as ({P_SQL}) select part, round({signed_z_sql('p', '(part % 3 - 1)')}, 9) as z, round({two_sided_p_sql('(p * 100)')}, 12) as tail, round({erfc_sql('(p * 100)')}, 12) as erfc from t")
+@query(sql(f"select part, round({signed_z_sql('p', 'effect')}, 8) as z, round({two_sided_p_sql('(p * 3)')}, 12) as tail, round({erfc_sql('(p * 3)')}, 12) as erfc from t", "px", **P))
 def signed_z(spark, d):
     """SC10, SC11, SC9."""
     out = p_values(spark, d)
-    return out.select("part", r(F.expr(signed_z_sql("p", "(part % 3 - 1)")), 9).alias("z"), r(F.expr(two_sided_p_sql("(p * 100)")), 12).alias("tail"), r(F.expr(erfc_sql("(p * 100)")), 12).alias("erfc"))
+    return out.select("part", r(F.expr(signed_z_sql("p", "effect")), 8).alias("z"), r(F.expr(two_sided_p_sql("(p * 3)")), 12).alias("tail"), r(F.expr(erfc_sql("(p * 3)")), 12).alias("erfc"))
 
 
+# Two cohorts, open and shipped lines, in each of which large and small orders' discounts are compared.
 COHORT = {
-    "co": f"select feature, status, {signed_z_sql('(0.001 + 0.9 * (feature * 31 % 997) / 997.0::double)', 'eff')} as z from (select feature, status, avg(value) filter (big) - avg(value) filter (not big) - 30000 as eff from px group by all) where eff is not null",
+    "cg": "select feature, status, count(*) filter (big) as n1, count(*) filter (not big) as n2, avg(value) filter (big) as m1, avg(value) filter (not big) as m2, var_samp(value) filter (big) as v1, var_samp(value) filter (not big) as v2 from pd group by all",
+    "ct": "select feature, status, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) as t, round(m1 - m2, 4) as eff from cg where n1 >= 2 and n2 >= 2 and v1 + v2 > 0",
+    "co": f"select feature, status, {signed_z_sql(two_sided_p_sql('t'), 'eff')} as z from ct",
     "bo": "select a.feature, a.z as za, b.z as zb from co a join co b using (feature) where a.status = 'O' and b.status = 'F'",
+    "ne": "select status, count(*) filter (big)::double * count(*) filter (not big) / count(*) as n from pd group by all",
+    "nn": "select max(n) filter (status = 'O') as na, max(n) filter (status = 'F') as nb from ne",
 }
 
 
 def cohort(spark, d, status):
-    px = S.prices(spark, d).where(F.col("status") == status)
-    rows = px.groupBy("feature").agg((F.avg(F.when(F.col("big"), F.col("value"))) - F.avg(F.when(~F.col("big"), F.col("value"))) - 30000).alias("eff")).where("eff is not null")
-    return rows.select("feature", F.expr(signed_z_sql("(cast(0.001 as double) + cast(0.9 as double) * (feature * 31 % 997) / cast(997 as double))", "eff")).alias("z"))
+    rows = tested(S.discounts(spark, d).where(F.col("status") == status), F.col("big"))
+    return rows.select("feature", F.expr(signed_z_sql("p", "effect")).alias("z"))
+
+
+def effective_sizes(spark, d):
+    """Of both cohorts, from their numbers of cases and others."""
+    rows = S.discounts(spark, d).groupBy("status").agg(F.sum(F.col("big").cast("double")).alias("n1"), F.sum((~F.col("big")).cast("double")).alias("n2"))
+    found = {x.status: x.n for x in rows.select("status", expression.effective_n(F.col("n1"), F.col("n2")).alias("n")).collect()}  # two rows
+    return found["O"], found["F"]
 
 
 @query(
     sql(
-        f"select feature, round(za, 8) as z_a, round(zb, 8) as z_b, round((za + zb) / sqrt(2.0::double), 8) as z, round({two_sided_p_sql('((za + zb) / sqrt(2.0::double))')}, 10) as p, round((za * sqrt(17.5::double) + zb * sqrt(15.25::double)) / sqrt(32.75::double), 8) as z_weighted, sign(za) = sign(zb) as concordant, case when za > 0 then 'UP' when za < 0 then 'DOWN' else 'ZERO' end as direction from bo",
-        "px", **COHORT,
+        f"select feature, round(za, 8) as z_a, round(zb, 8) as z_b, round((za + zb) / sqrt(2.0::double), 8) as z, round({two_sided_p_sql('((za + zb) / sqrt(2.0::double))')}, 10) as p, round((za * sqrt(na) + zb * sqrt(nb)) / sqrt(na + nb), 8) as z_weighted, sign(za) = sign(zb) as concordant, case when za > 0 then 'UP' when za < 0 then 'DOWN' else 'ZERO' end as direction from bo cross join nn",
+        "pd", **COHORT,
     )
 )
 def stouffer(spark, d):
     """ST10, ST11, SC12, FIL14."""
-    out = expression.combined(cohort(spark, d, "O"), cohort(spark, d, "F"), 17.5, 15.25)
+    out = expression.combined(cohort(spark, d, "O"), cohort(spark, d, "F"), *effective_sizes(spark, d))
     return out.withColumns({**{c: r(c) for c in ("z_a", "z_b", "z", "z_weighted")}, "p": r("p", 10), "direction": ranks.direction(F.col("z_a"))})
 
 
 @query(
     sql(
         "select count(*) as n, round(avg((sign(za) = sign(zb))::int), 8) as concordance, case when avg((sign(za) = sign(zb))::int) >= 0.7 then 'A' when avg((sign(za) = sign(zb))::int) > 0.5 then 'STRESS_TEST' else 'B' end as tier from bo",
-        "px", **COHORT,
+        "pd", **COHORT,
     )
 )
 def concordance(spark, d):
@@ -342,12 +374,32 @@ def moderated_t(spark, d):
     return out.select("feature", r("effect", 4).alias("effect"), r("t", 6).alias("t"), r("df", 4).alias("df"), r("p", 9).alias("p"))
 
 
-@query()
+TMM = {
+    "ct": "select l_partkey as feature, s_nationkey as sample, sum(l_quantity) as value from lineitem join supplier on l_suppkey = s_suppkey group by all",
+    "sz": "select *, sum(value) over (partition by sample) as size from ct",
+    "bt": "select a.sample, round(log2((a.value / a.size) / (b.value / b.size)), 12) as m, round(log2((a.value / a.size) * (b.value / b.size)) / 2, 12) as a, (1 - a.value / a.size) / a.value + (1 - b.value / b.size) / b.value as v from sz a join sz b on a.feature = b.feature and b.sample = (select min(sample) from ct) where a.value > 0 and b.value > 0",
+    "rt": "select *, rank() over (partition by sample order by m) as rm, rank() over (partition by sample order by a) as ra, count(*) over (partition by sample) as n from bt",
+    "ft": "select sample, sum(case when v > 0 then m / v else 0 end) / sum(case when v > 0 then 1 / v else 0 end) as f from rt where rm > floor(n * 0.3) and rm <= n - floor(n * 0.3) and ra > floor(n * 0.05) and ra <= n - floor(n * 0.05) group by all",
+    "st": "select sample, coalesce(f, 0) as f from (select distinct sample from ct) left join ft using (sample)",
+}
+
+
+@query(sql("select sample, round(pow(2, f - (select avg(f) from st)), 6) as factor from st", **TMM).replace("with  ct", "with ct"))
 def tmm(spark, d):
-    """R4: normalisation factors of nations as samples."""
+    """R4: normalisation factors of nations as samples, against the first of them."""
     items = S.table(spark, d, "lineitem").join(S.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    counts = items.groupBy(F.col("l_partkey").alias("feature"), F.col("s_nationkey").alias("sample")).agg(F.sum("l_quantity").alias("value"))
-    return expression.tmm_factors(counts, 0).select("sample", r("factor").alias("factor"))
+    counts = Scratch(spark).write(items.groupBy(F.col("l_partkey").alias("feature"), F.col("s_nationkey").alias("sample")).agg(F.sum("l_quantity").alias("value")))
+    return expression.tmm_factors(counts, counts.agg(F.min("sample")).first()[0]).select("sample", r("factor", 6).alias("factor"))
+
+
+@query(
+    "with ct as (select l_partkey as feature, s_nationkey as sample, sum(l_quantity) as value from lineitem join supplier on l_suppkey = s_suppkey group by all), sz as (select sample, sum(value) as size from ct group by all) select feature, sample, value from ct where feature in (select feature from ct join sz using (sample) where value / size * 1e6 >= 10 / (select quantile_cont(size, 0.5) from sz) * 1e6 group by feature having count(*) >= 2) and feature in (select feature from ct group by feature having sum(value) >= 15)"
+)
+def expressed(spark, d):
+    """R4's filter: features that reach the counts per million of 10 in a library of median size in two samples, and 15 in all."""
+    items = S.table(spark, d, "lineitem").join(S.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    counts = Scratch(spark).write(items.groupBy(F.col("l_partkey").alias("feature"), F.col("s_nationkey").alias("sample")).agg(F.sum("l_quantity").alias("value")))
+    return expression.expressed(counts, 10.0, 2, 15.0)
 
 
 IMPUTED = {
@@ -368,7 +420,7 @@ def imputed(spark, d):
 @query(
     sql(
         "select from_class, to_class, count(*) as n, round(count(*)::double / sum(count(*)) over (), 8) as share from (select feature, case when za >= 1 then 'Up' when za <= -1 then 'Down' else 'NS' end as from_class, case when zb >= 1 then 'Up' when zb <= -1 then 'Down' else 'NS' end as to_class from bo) group by all",
-        "px", **COHORT,
+        "pd", **COHORT,
     )
 )
 def direction_flow(spark, d):
@@ -377,7 +429,22 @@ def direction_flow(spark, d):
     return expression.direction_flow(one("O"), one("F")).withColumn("share", r("share"))
 
 
-@query(sql("select round(corr(za, zb), 8) as correlation, round(regr_slope(zb, za), 8) as slope, round(regr_intercept(zb, za), 8) as intercept from bo", "px", **COHORT))
+@query(
+    sql(
+        """select feature, round(q, 8) as q, q < 0.5 and sign(za) = sign(zb) as replicated, q < 0.5 and sign(za) = sign(zb) and least(abs(za), abs(zb)) >= 0.5 as strict
+        from (select *, least(1, min(p * m / k) over (order by k desc rows unbounded preceding)) as q from (select *, row_number() over (order by p, feature) as k, count(*) over () as m from (select *, round({p}, 12) as p from bo)))""".format(p=two_sided_p_sql("((za + zb) / sqrt(2.0::double))")),
+        "pd", **COHORT,
+    )
+)
+def replicated(spark, d):
+    """FIL15: features whose combined P value passes a false discovery rate and whose cohorts agree in sign; strictly, with some effect in each."""
+    both = expression.combined(cohort(spark, d, "O"), cohort(spark, d, "F")).withColumn("p", F.round("p", 12))
+    out = ranks.with_bh(Scratch(spark).write(both), "p", [])
+    flag = (F.col("q") < 0.5) & F.col("concordant")
+    return out.select("feature", r("q").alias("q"), flag.alias("replicated"), (flag & (F.least(F.abs("z_a"), F.abs("z_b")) >= 0.5)).alias("strict"))
+
+
+@query(sql("select round(corr(za, zb), 8) as correlation, round(regr_slope(zb, za), 8) as slope, round(regr_intercept(zb, za), 8) as intercept from bo", "pd", **COHORT))
 def effect_regression(spark, d):
     """R10, ST7."""
     both = expression.combined(cohort(spark, d, "O"), cohort(spark, d, "F"))
@@ -393,7 +460,8 @@ def most_variable(spark, d):
 # Graphs
 
 NET = {
-    "sc": "select u, v, score / (select max(score) from net0) as score from net0",
+    "sc0": "select u, v, score * 1000.0::double / (select max(score) from net0) as score from net0",
+    "sc": "select u, v, case when (select max(score) from sc0) <= 1 then score else score / 1000.0::double end as score from sc0",
     "cl": "select least(u, v) as u, greatest(u, v) as v, max(score) as score from sc where u <> v and score >= 0.3 group by all",
     "tw": "select u as src, v as dst, score as w from cl union all select v, u, score from cl",
     "tp": "select src, dst, w, w / sum(w) over (partition by src) as p from tw",
@@ -401,9 +469,11 @@ NET = {
 
 
 def clean(spark, d):
+    """Scores in thousandths of the largest, which are detected to be no shares and scaled."""
     net = S.network(spark, d)
     top = net.agg(F.max("score").alias("m"))
-    return graph.cleaned(net.crossJoin(top).withColumn("score", F.col("score") / F.col("m")), 0.3)
+    scaled = graph.on_unit_scale(net.crossJoin(top).select("u", "v", (F.col("score") * 1000.0 / F.col("m")).alias("score")))  # one row
+    return Scratch(spark).write(graph.cleaned(scaled, 0.3))
 
 
 @query(sql("select u, v, round(score, 8) as score from cl", "net0", **NET))
@@ -425,14 +495,13 @@ def node_stats(spark, d):
 
 
 @query(
-    "with recursive ed as (select distinct l_orderkey % 997 as u, (l_orderkey * 7) % 997 as v from lineitem where l_orderkey % 11 = 3), tw as (select u, v from ed union select v, u from ed), reach(node, other) as (select u, u from tw union select r.node, t.v from reach r join tw t on t.u = r.other) select node, min(other) as component, count(*) as size from reach group by node"
+    "with recursive ed as (select 'c' || o_custkey as u, 's' || l_suppkey as v from lineitem join orders on l_orderkey = o_orderkey group by all having sum(l_quantity) >= 120), tw as (select u, v from ed union select v, u from ed), reach(node, other) as (select u, u from tw union select r.node, t.v from reach r join tw t on t.u = r.other) select node, min(other) as component, count(*) as size from reach group by node"
 )
 def components(spark, d):
-    """GR3."""
-    items = S.table(spark, d, "lineitem").where("l_orderkey % 11 = 3").select((F.col("l_orderkey") % 997).alias("u"), (F.col("l_orderkey") * 7 % 997).alias("v")).distinct()
-    loops = items.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"), F.lit(1).cast("long").alias("size"))
-    out = graph.component_sizes(items.where("u <> v"))
-    return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+    """GR3: customers and suppliers, joined where they trade a quantity of 120 or more."""
+    items = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = items.groupBy(F.concat(F.lit("c"), "o_custkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v")).agg(F.sum("l_quantity").alias("score"))
+    return graph.component_sizes(graph.cleaned(rows, 120.0))
 
 
 SEEDS = {"s0": "select profile, node, n::double / sum(n) over (partition by profile) as x from (select c_mktsegment as profile, c_nationkey as node, count(*) as n from customer where c_nationkey in (select src from tp) group by all)"}
@@ -440,7 +509,7 @@ SEEDS = {"s0": "select profile, node, n::double / sum(n) over (partition by prof
 
 def starts(spark, d):
     people = S.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("profile"), F.col("c_nationkey").alias("node")).agg(F.count("*").cast("double").alias("weight"))
-    return graph.seeds(people, graph.node_stats(clean(spark, d)))
+    return graph.seeds(Scratch(spark).write(people), graph.node_stats(clean(spark, d)))
 
 
 def walk_sql(start: str, steps: int, restart: float, adjoint: bool = False, by: str = "profile, ") -> dict[str, str]:
@@ -484,6 +553,53 @@ def scored_seeds(spark, d):
     return graph.scored_seeds(starts(spark, d), q).withColumn("score", r("score", 9))
 
 
+LONG = walk_sql("s0", 60, 0.5)
+
+
+@query(
+    sql(
+        "select profile, round(sum(n), 8) as mass, round(sum(n) filter (node in (select src from tp)), 8) as seeded, round(sum(n) filter (node in (select src from tp)) / sum(n), 8) as share from (select c_mktsegment as profile, c_nationkey as node, count(*)::double as n from customer group by all) group by all",
+        "net0", **NET,
+    )
+)
+def seeded_mass(spark, d):
+    """GR4: what of the profiles' weight the network has."""
+    people = S.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("profile"), F.col("c_nationkey").alias("node")).agg(F.count("*").cast("double").alias("weight"))
+    return graph.seeded_mass(people, graph.node_stats(clean(spark, d))).withColumns({c: r(c) for c in ("mass", "seeded", "share")})
+
+
+@query(
+    sql(
+        "select profile, node, round(x, 9) as x, abs(sum(x) over (partition by profile) - 1) <= 1e-10 as kept_mass from x60",
+        "net0", **NET, **SEEDS, **LONG,
+    )
+)
+def converged_walk(spark, d):
+    """GR5: the walk to a change of 1e-12, and whether its mass is 1 within 1e-10; SQL takes sixty steps."""
+    x = Scratch(spark).write(graph.walked(graph.transition(clean(spark, d)), starts(spark, d), 0.5))
+    mass = x.groupBy("profile").agg((F.abs(F.sum("x") - 1) <= 1e-10).alias("kept_mass"))
+    return x.join(mass, "profile").select("profile", "node", r("x", 9).alias("x"), "kept_mass")
+
+
+FIRMS = {"q0": "select s_nationkey as node, avg(s_acctbal) / 10000 as x from supplier where s_nationkey in (select src from tp) group by all"}
+
+
+def firms(spark, d, p):
+    rows = S.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("node")).agg((F.avg("s_acctbal") / 10000).alias("x"))
+    return rows.join(p.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+
+
+@query(sql("select profile, round(sum(x60.x * q0.x), 9) as score, true as agree from x60 join q0 using (node) group by profile", "net0", **NET, **SEEDS, **LONG, **FIRMS))
+def walk_cross_check(spark, d):
+    """GR6, GR7, NM9: the converged adjoint walk scores seeds as the converged walk's end does, within 1e-9."""
+    p, start = Scratch(spark).write(graph.transition(clean(spark, d))), Scratch(spark).write(starts(spark, d))
+    y = Scratch(spark).write(firms(spark, d, p))
+    by_adjoint = graph.scored_seeds(start, graph.walked(p, y, 0.5, [], adjoint=True, norm="max"))
+    by_walk = graph.scored_seeds(graph.walked(p, start, 0.5), y)
+    both = by_walk.join(by_adjoint.select("profile", F.col("score").alias("other")), "profile")
+    return both.select("profile", r("score", 9).alias("score"), (F.abs(F.col("score") - F.col("other")) <= 1e-9).alias("agree"))
+
+
 @query(
     sql(
         "select a.profile, round(corr(a.r, b.r), 6) as rho from (select profile, node, rank() over (partition by profile order by round(x, 12)) + (count(*) over (partition by profile, round(x, 12)) - 1) / 2.0::double as r from s0) a join (select profile, node, rank() over (partition by profile order by round(x, 12)) + (count(*) over (partition by profile, round(x, 12)) - 1) / 2.0::double as r from x6 where (profile, node) in (select profile, node from s0)) b using (profile, node) group by all",
@@ -523,13 +639,13 @@ def restart_sensitivity(spark, d):
     return rho.join(top, ["profile", "restart"])
 
 
-DAG = "select distinct 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer where c_custkey % 10 = 0 union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 'r' || r_regionkey, 'world' from region"
+DAG = "select distinct 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 'r' || r_regionkey, 'world' from region"
 
 
 def dag(spark, d):
     t = lambda name: S.table(spark, d, name)
     up = lambda df, a, b, p, q: df.select(F.concat(F.lit(p), a).alias("child"), F.concat(F.lit(q), b).alias("parent"))
-    rows = up(t("customer").where("c_custkey % 10 = 0"), "c_custkey", "c_nationkey", "c", "n").union(up(t("nation"), "n_nationkey", "n_regionkey", "n", "r"))
+    rows = up(t("customer"), "c_custkey", "c_nationkey", "c", "n").union(up(t("nation"), "n_nationkey", "n_regionkey", "n", "r"))
     return rows.union(t("region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit("world"))).distinct()
 
 
@@ -569,8 +685,11 @@ MOD = {k: v for k, v in DRAW.items() if k not in ("obs", "nul")} | MODS
 
 def affinities(spark, d):
     w, m = S.features(spark, d), S.members(spark, d)
-    null = modules.masses(nulls.permuted_weights(w, drawn(spark, d)), m, ["rep", "profile"])
-    return modules.affinity(modules.masses(w, m, ["profile"]), null)
+    return Scratch(spark).write(modules.affinity(modules.masses(w, m, ["profile"]), null_masses(spark, d, w, m)))
+
+
+def null_masses(spark, d, w, m):
+    return Scratch(spark).write(modules.masses(nulls.permuted_weights(w, drawn(spark, d)), m, ["rep", "profile"]))
 
 
 def disease(spark, d):
@@ -586,11 +705,19 @@ def seen(spark, d):
 
 @query("select p_brand as module, count(*) as n, count(*) > (select count(*) from part where p_size < 40) * 0.045::double as broad, count(*) >= 40 and not count(*) > (select count(*) from part where p_size < 40) * 0.045::double as eligible from part where p_size < 40 group by all")
 def module_eligibility(spark, d):
-    """FIL9, FIL10, MD13."""
+    """FIL9, MD13."""
     part = S.table(spark, d, "part").where("p_size < 40").select(F.col("p_partkey").alias("feature"))
     return modules.eligibility(S.members(spark, d), part, 40, 0.045)
 
 
+@query("with m as (select p_type as module, count(distinct p_partkey) as n from part join lineitem on l_partkey = p_partkey group by all) select module, n from m where n >= 2 and (select count(*) from m where n >= 2) >= 5")
+def enough_modules(spark, d):
+    """FIL10: eligible modules, types of at least two sold parts, of which at least five are needed to go on."""
+    sold = S.table(spark, d, "lineitem").select(F.col("l_partkey").alias("feature")).distinct()
+    types = S.table(spark, d, "part").select(F.col("p_partkey").alias("feature"), F.col("p_type").alias("module"))
+    return modules.enough(modules.eligibility(types, sold, 2, 1.0), 5).where("eligible").select("module", "n")
+
+
 @query(sql("select profile, module, round(mass, 9) as mass from obs", "feat", "mem", obs=MODS["obs"]))
 def module_mass(spark, d):
     """MD1, AG16."""
@@ -599,7 +726,7 @@ def module_mass(spark, d):
 
 @query(sql("select profile, module, round(mass, 9) as mass, round(mu, 9) as null_mean, round(sd, 9) as null_sd, round(a, 6) as affinity, round(pos, 6) as positive, not sd > 0 as flat from po", "feat", "mem", "uni", **{k: MOD[k] for k in MOD if k not in ("dis", "pred", "seen")}))
 def module_affinity(spark, d):
-    """MD2, NM13."""
+    """MD2."""
     out = affinities(spark, d)
     return out.select("profile", "module", *[r(c, 9).alias(c) for c in ("mass", "null_mean", "null_sd")], r("affinity", 6).alias("affinity"), r("positive", 6).alias("positive"), "flat")
 
@@ -665,58 +792,183 @@ def recovered_vector(spark, d):
     return modules.recovered(modules.conditioned(disease(spark, d), a), a).withColumn("d", r("d", 7))
 
 
+NULLS = {k: MOD[k] for k in MOD if k not in ("dis", "pred", "seen")}
+
+
 @query(
-    f"""with v as (select c_mktsegment as profile, o_custkey as k, c_nationkey < 12 as case_, p_brand as feature, avg(l_extendedprice) as value from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all),
-    subj as (select profile, k, row_number() over (partition by profile order by k) as n, count(*) over (partition by profile) as size from (select distinct profile, k from v)),
-    hits as (select rep, profile, ('0x' || substr(md5('{SEED}|' || rep || '|' || profile || '|' || k), 1, 8))::bigint % size + 1 as n from subj cross join (select unnest(range({REPS}))::bigint as rep)),
-    tm as (select rep, profile, k, count(*) as times from hits join subj using (profile, n) group by all),
-    ef as (select rep, profile, feature, round(sum(times * value) filter (case_) / sum(times) filter (case_) - sum(times * value) filter (not case_) / sum(times) filter (not case_), 6) as value from tm join v using (profile, k) group by all having sum(times) filter (case_) >= 2 and sum(times) filter (not case_) >= 2),
-    pc as (select rep, profile, feature, (rank() over (partition by rep, profile order by value) + (count(*) over (partition by rep, profile, value) - 1) / 2.0::double) / (count(*) over (partition by rep, profile) + 1) as pc from ef),
-    mo as (select rep, profile, substr(feature, length(feature), 1) as module, avg(pc) as raw from pc group by all having count(*) >= 2),
-    sc as (select rep, profile, module, round(raw / sqrt(sum(raw * raw) over (partition by rep, profile)), 9) as o, module::int as x, module::int * 7 % 10 as y from mo),
-    rk as (select *, rank() over (partition by rep, profile order by o) + (count(*) over (partition by rep, profile, o) - 1) / 2.0::double as ro, rank() over (partition by rep, profile order by x) as rx, rank() over (partition by rep, profile order by y) as ry from sc)
-    select rep, profile, round(corr(rx, ro) - corr(ry, ro), 7) as difference from rk group by rep, profile"""
-)
-def bootstrap_difference(spark, d):
-    """ST22, MD8: two predictions' fits under resamples of subjects."""
-    items = S.table(spark, d, "lineitem").join(S.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = items.join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    keys = [F.col("c_mktsegment").alias("profile"), F.col("o_custkey").alias("subject"), (F.col("c_nationkey") < 12).alias("case_"), F.col("p_brand").alias("feature")]
-    values = rows.groupBy(*keys).agg(F.avg("l_extendedprice").alias("value"))
+    sql(
+        """select profile, module, p_upper, round(least(1, min(p_upper * m / k) over (partition by profile order by k desc rows unbounded preceding)), 10) as q from (select *, row_number() over (partition by profile order by p_upper, module) as k, count(*) over (partition by profile) as m from
+        (select profile, module, (sum((round(nul.mass, 10) >= round(obs.mass, 10))::int) + 1)::double / (count(*) + 1) as p_upper from nul join obs using (profile, module) group by all))""",
+        "feat", "mem", "uni", **{k: NULLS[k] for k in NULLS if k not in ("mo", "af", "po")},
+    )
+)
+def module_tests(spark, d):
+    """MD2, MD3, ST1, ST3: every module's mass against its matched null, and q-values over a profile's modules."""
+    w, m = S.features(spark, d), S.members(spark, d)
+    own = modules.masses(w, m, ["profile"]).select("profile", "module", F.round("mass", 10).alias("observed"))
+    null = null_masses(spark, d, w, m).select("profile", "module", F.round("mass", 10).alias("null"))
+    tests = ranks.empirical(Scratch(spark).write(null.join(own, ["profile", "module"])), "observed", "null", ["profile", "module"])
+    tests = Scratch(spark).write(tests.select("profile", "module", "p_upper"))
+    return ranks.with_bh(tests, "p_upper", ["profile"]).select("profile", "module", "p_upper", r("q", 10).alias("q"))
+
+
+ENDPOINT = {
+    **MOD,
+    "na": "select rep, profile, module, greatest(case when sd > 0 then (nul.mass - mu) / sd else 0 end, 0) as pos from nul join mo using (profile, module)",
+    "np": "select rep, profile, module, d * pos as product, sum(d * pos) over (partition by rep, profile) as total from na join dis using (module)",
+    "ob": "select profile, round(corr(a, b), 7) as rho from (select profile, rank() over (partition by profile order by x) + (count(*) over (partition by profile, x) - 1) / 2.0::double as a, rank() over (partition by profile order by o) + (count(*) over (partition by profile, o) - 1) / 2.0::double as b from (select profile, module, round(scaled, 9) as x, round(o, 9) as o from pred join seen using (profile, module))) group by all",
+    "nr": "select rep, profile, total, round(corr(a, b), 7) as rho from (select rep, profile, total, rank() over (partition by rep, profile order by x) + (count(*) over (partition by rep, profile, x) - 1) / 2.0::double as a, rank() over (partition by rep, profile order by o) + (count(*) over (partition by rep, profile, o) - 1) / 2.0::double as b from (select rep, profile, total, round(case when total > 0 then product / total else 0 end, 9) as x, round(o, 9) as o from np join seen using (profile, module))) group by all",
+    "pv": "select profile, ob.rho, (sum((case when total <= 0 then -1 else nr.rho end >= ob.rho)::int) + 1)::double / (count(*) + 1) as p from nr join ob using (profile) group by all",
+}
+
+
+@query(
+    sql(
+        "select profile, rho, p, round(least(1, max((m - k + 1) * p) over (order by k rows unbounded preceding)), 10) as holm from (select *, row_number() over (order by p, profile) as k, count(*) over () as m from pv)",
+        "feat", "mem", "uni", **ENDPOINT,
+    )
+)
+def first_endpoint(spark, d):
+    """MD7, NM13, ST4: the predicted modules' correlation with the observed ones, its P by the structural null, a null without mass below all others, and Holm over the profiles."""
+    w, m = S.features(spark, d), S.members(spark, d)
+    null = null_masses(spark, d, w, m)
+    a = Scratch(spark).write(modules.affinity(modules.masses(w, m, ["profile"]), null))
+    sick, o = disease(spark, d), Scratch(spark).write(seen(spark, d).withColumn("o", F.round("o", 9)))
+    rounded = lambda x: x.withColumn("scaled", F.round("scaled", 9))
+    own = modules.predicted_correlation(rounded(modules.conditioned(sick, a)), o, ["profile"]).select("profile", F.round("rho", 7).alias("observed"))
+    p = modules.conditioned(sick, modules.null_affinity(null, a), ["rep", "profile"])
+    mass = p.groupBy("rep", "profile").agg(F.sum("product").alias("mass"))
+    rho = modules.predicted_correlation(rounded(p), o, ["rep", "profile"]).join(mass, ["rep", "profile"])
+    rho = rho.select("profile", nulls.guarded(F.col("mass"), F.round("rho", 7)).alias("null"))
+    tests = ranks.empirical(Scratch(spark).write(rho.join(own, "profile")), "observed", "null", ["profile"])
+    tests = Scratch(spark).write(tests.select("profile", F.col("observed").alias("rho"), F.col("p_upper").alias("p")))
+    return ranks.with_holm(tests, "p", []).select("profile", "rho", "p", r("holm", 10).alias("holm"))
+
+
+SECOND = {
+    **MOD,
+    "v": "select c_mktsegment as profile, o_custkey as k, c_nationkey < 12 as case_, l_partkey as feature, avg(l_extendedprice) as value from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all",
+    "subj": "select profile, k, row_number() over (partition by profile order by k) as n, count(*) over (partition by profile) as size from (select distinct profile, k from v)",
+    "hits": f"select rep, profile, ('0x' || substr(md5('{SEED}|' || rep || '|' || profile || '|' || k), 1, 8))::bigint % size + 1 as n from subj cross join reps",
+    "tm": "select rep, profile, k, count(*) as times from hits join subj using (profile, n) group by all",
+    "ef": "select rep, profile, feature, round(sum(times * value) filter (case_) / sum(times) filter (case_) - sum(times * value) filter (not case_) / sum(times) filter (not case_), 6) as value from tm join v using (profile, k) group by all having sum(times) filter (case_) >= 2 and sum(times) filter (not case_) >= 2",
+    "pc": "select rep, profile, feature, (rank() over (partition by rep, profile order by value) + (count(*) over (partition by rep, profile, value) - 1) / 2.0::double) / (count(*) over (partition by rep, profile) + 1) as pc from ef",
+    "bm": "select rep, profile, module, avg(pc) as raw from pc join mem using (feature) group by all having count(*) >= 2",
+    "sc": "select rep, profile, module, round(raw / sqrt(sum(raw * raw) over (partition by rep, profile)), 9) as o from bm",
+    "jx": "select rep, profile, module, o, round(scaled, 9) as x, round(pos, 9) as y from sc join pred using (profile, module) join po using (profile, module)",
+    "rk": "select rep, profile, " + ", ".join(f"rank() over (partition by rep, profile order by {c}) + (count(*) over (partition by rep, profile, {c}) - 1) / 2.0::double as r{c}" for c in "oxy") + " from jx",
+    "di": "select rep, profile, round(corr(rx, ro) - corr(ry, ro), 7) as difference from rk group by rep, profile",
+}
+
+
+@query(
+    sql(
+        "select profile, count(*) as n, round(quantile_cont(difference, 0.025), 6) as low, round(quantile_cont(difference, 0.5), 6) as middle, round(quantile_cont(difference, 0.975), 6) as high, quantile_cont(difference, 0.025) > 0 as supported from di group by profile",
+        "feat", "mem", "uni", **SECOND,
+    )
+)
+def second_endpoint(spark, d):
+    """ST22, MD8: how much better the conditioned prediction fits than the affinities alone, with an interval from resampled subjects."""
+    rows = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    keys = [F.col("c_mktsegment").alias("profile"), F.col("o_custkey").alias("subject"), (F.col("c_nationkey") < 12).alias("case_"), F.col("l_partkey").alias("feature")]
+    values = Scratch(spark).write(rows.groupBy(*keys).agg(F.avg("l_extendedprice").alias("value")))
     times = nulls.drawn_subjects(values, REPS, SEED, ["profile"], "subject")
-    mods = S.table(spark, d, "part").select(F.col("p_brand").alias("feature"), F.right("p_brand", F.lit(1)).alias("module")).distinct()
-    plan = mods.select("module").distinct().join(values.select("profile").distinct())
-    first = plan.select("profile", "module", F.col("module").cast("int").alias("scaled"))
-    second = plan.select("profile", "module", (F.col("module").cast("int") * 7 % 10).alias("scaled"))
-    out = modules.bootstrap_difference(values, times, F.col("case_"), mods, first, second, 2)
-    return out.withColumn("difference", r("difference", 7))
+    a = affinities(spark, d)
+    first = modules.conditioned(disease(spark, d), a).select("profile", "module", F.round("scaled", 9).alias("scaled"))
+    second = a.select("profile", "module", F.round("positive", 9).alias("scaled"))
+    out = modules.bootstrap_difference(values, times, F.col("case_"), S.members(spark, d), first, second, 2).withColumn("difference", r("difference", 7))
+    q = out.groupBy("profile").agg(F.count("*").alias("n"), F.percentile("difference", F.array(*map(F.lit, (0.025, 0.5, 0.975)))).alias("q"))
+    return q.select("profile", "n", *[r(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))], (F.col("q")[0] > 0).alias("supported"))
 
 
 # Rewiring
 
-SMALL = 'select distinct l_suppkey % 40 as "left", l_partkey % 60 as "right" from lineitem where l_orderkey % 29 = 1'
+CHAINS, DRAWS, BURN, THIN = 2, 5, 2, 1
+
+
+def traded_sql(steps: int) -> dict[str, str]:
+    """The chains' graphs e0 to e<steps>, round by round."""
+    out = {
+        "nb": f'select (count(distinct "left") + {rewire.BUCKET - 1}) // {rewire.BUCKET} as b from edges',
+        "nd": f'select chain, "left" from (select distinct "left" from edges) cross join (select unnest(range({CHAINS})) as chain)',
+        "e0": f'select chain, "left", "right" from edges cross join (select unnest(range({CHAINS})) as chain)',
+    }
+    for s in range(1, steps + 1):
+        out |= {
+            f"k{s}": f"select chain, \"left\", md5('{SEED}|' || chain || '|{s}|' || \"left\") as key from nd",
+            f"h{s}": f"select chain, \"left\", bucket, row_number() over (partition by chain, bucket order by key, \"left\") - 1 as rk from (select *, ('0x' || substr(key, 1, 8))::bigint % (select b from nb) as bucket from k{s})",
+            f"w{s}": f'select chain, bucket, rk // 2 as pair, max("left") filter (rk % 2 = 0) as a, max("left") filter (rk % 2 = 1) as b from h{s} group by all',
+            f"g{s}": f'select chain, bucket, pair, "right", count(*) as n, min(rk % 2) as side, any_value(a) as a, any_value(b) as b from e{s - 1} join h{s} using (chain, "left") join w{s} using (chain, bucket) where pair = rk // 2 group by chain, bucket, pair, "right"',
+            f"t{s}": f"select *, row_number() over (partition by chain, bucket, pair order by md5('{SEED}|' || chain || '|{s}|' || a || '|' || \"right\"), \"right\") as place, sum((side = 0)::int) over (partition by chain, bucket, pair) as own from g{s} where n = 1",
+            f"e{s}": f'select chain, a as "left", "right" from g{s} where n = 2 union all select chain, b, "right" from g{s} where n = 2 union all select chain, case when place <= own then a else b end, "right" from t{s}',
+        }
+    return out
+
+
+LAST = BURN + (DRAWS - 1) * THIN
+GRAPHS = traded_sql(LAST) | {"gr": " union all ".join(f'select chain, {(s - BURN) // THIN} as draw, "left", "right" from e{s}' for s in range(BURN, LAST + 1, THIN))}
+METRIC = {
+    "pa": 'select profile, "left", weight / degree as part from w join deg using ("left")',
+    "gx": 'select chain, draw, profile, "right", sum(part) * any_value(idf) as x from (select * from gr union all select -1, -1, "left", "right" from edges) join pa using ("left") join rs using ("right") group by chain, draw, profile, "right"',
+    "gp": 'select *, x / sum(x) over (partition by chain, draw, profile) as p from gx',
+    "gm": 'select chain, draw, profile, module, sum(p) as p from gp join mem on feature = "right" group by all',
+    "ga": "select chain, draw, 'feature' as layer, round(sum(h - case when s > 0 then s * log2(s / 5) else 0 end) / 5, 10) as gjsd from (select chain, draw, \"right\", sum(p) as s, sum(case when p > 0 then p * log2(p) else 0 end) as h from gp group by all) group by all union all select chain, draw, 'module', round(sum(h - case when s > 0 then s * log2(s / 5) else 0 end) / 5, 10) from (select chain, draw, module, sum(p) as s, sum(case when p > 0 then p * log2(p) else 0 end) as h from gm group by all) group by all",
+}
 
 
-def small(spark, d):
-    return S.table(spark, d, "lineitem").where("l_orderkey % 29 = 1").select((F.col("l_suppkey") % 40).alias("left"), (F.col("l_partkey") % 60).alias("right")).distinct()
+def with_metrics(spark, d):
+    """The edges, and the draws' layers (chain, draw, layer, gjsd); the observed graph's have chain -1."""
+    e, w, scratch = S.edges(spark, d), S.weights(spark, d), Scratch(spark)
+    members = S.members(spark, d).withColumnRenamed("feature", "right")
+    metric = lambda g: rewire.layers(g, w, e, members).select("chain", "layer", F.round("gjsd", 10).alias("gjsd"))
+    draws = rewire.null_draws(e, CHAINS, DRAWS, BURN, THIN, SEED, metric)
+    return scratch.write(draws.select("chain", "draw", "layer", "gjsd")), scratch.write(metric(e.select(F.lit(-1).alias("chain"), "left", "right")))
 
 
-@query(f"with e as ({SMALL}) select chain, draw, (select count(*) from e) as n_edges, 0::bigint as left_gap, 0::bigint as right_gap from (select unnest([0, 1, 2, 3]) as chain) cross join (select unnest([0, 1, 2, 3, 4]) as draw)")
+@query(sql("select chain, draw, count(*) as n_edges, 0::bigint as left_gap, 0::bigint as right_gap, round(avg((\"left\", \"right\") not in (select (\"left\", \"right\") from edges)), 8) as changed from gr group by all", "edges", **GRAPHS).replace('avg(("left", "right") not in (select ("left", "right") from edges))', "avg(case when x is null then 1 else 0 end)").replace(' from gr group by all', ' from gr left join (select "left", "right", 1 as x from edges) using ("left", "right") group by all'))
 def rewired_degrees(spark, d):
-    """NM1, NM2, GR14: every kept graph has the observed degrees."""
-    e = small(spark, d)
-    return rewire.degrees_kept(rewire.rewired(e, 4, 5, 400, 100, SEED), e)
+    """NM1, NM2, GR14: every kept graph has the observed degrees, and other edges."""
+    e = S.edges(spark, d)
+    graphs = rewire.rewired(e, CHAINS, DRAWS, BURN, THIN, SEED)
+    return rewire.degrees_kept(graphs, e).join(rewire.changed_share(graphs, e).withColumnRenamed("share", "changed"), ["chain", "draw"]).withColumn("changed", r("changed"))
 
 
-@query()
+TOPOLOGY = """select n.layer, count(*) as n_null, any_value(o.gjsd) as observed, round(avg(n.gjsd), 9) as null_mean, round(stddev_samp(n.gjsd), 9) as null_sd, round((any_value(o.gjsd) - avg(n.gjsd)) / stddev_samp(n.gjsd), 4) as z,
+    (sum((n.gjsd >= o.gjsd)::int) + 1)::double / (count(*) + 1) as p_upper, (sum((n.gjsd <= o.gjsd)::int) + 1)::double / (count(*) + 1) as p_lower from ga n join ga o on o.chain = -1 and o.layer = n.layer where n.chain >= 0 group by n.layer"""
+
+
+@query(sql(TOPOLOGY, "w", "deg", "rs", "mem", **GRAPHS, **METRIC))
+def topology_null(spark, d):
+    """GR13, NM2, ST13, ST1, MD12: the divergence of profiles recomputed from rewired graphs, at two layers, against the observed graph's."""
+    draws, own = with_metrics(spark, d)
+    rows = draws.withColumnRenamed("gjsd", "null").join(own.select("layer", F.col("gjsd").alias("observed")), "layer")
+    out = ranks.empirical(rows, "observed", "null", ["layer"])
+    return out.select("layer", "n_null", "observed", r("null_mean", 9).alias("null_mean"), r("null_sd", 9).alias("null_sd"), r("z", 4).alias("z"), "p_upper", "p_lower")
+
+
+@query(
+    sql(
+        """select l.chain, round(l.c, 6) as autocorrelation, round(sqrt((n - 1) / n + between_ / within_), 6) as r_hat, abs(l.c) <= 0.3 and sqrt((n - 1) / n + between_ / within_) <= 1.1 as mixed,
+        case when abs(l.c) <= 0.3 and sqrt((n - 1) / n + between_ / within_) <= 1.1 then 'MIXED' when sqrt((n - 1) / n + between_ / within_) <= 1.1 then 'SLOW' else 'STUCK' end as verdict
+        from (select chain, corr(gjsd, y) as c from (select chain, gjsd, lag(gjsd) over (partition by chain order by draw) as y from ga where chain >= 0 and layer = 'feature') where y is not null group by all) l
+        cross join (select avg(v) as within_, var_samp(m) as between_, avg(n) as n from (select chain, avg(gjsd) as m, var_samp(gjsd) as v, count(*) as n from ga where chain >= 0 and layer = 'feature' group by all))""",
+        "w", "deg", "rs", "mem", **GRAPHS, **METRIC,
+    )
+)
 def chain_mixing(spark, d):
-    """ST20, ST21, GR13, WN6, ST25: the overlap of two left nodes over the chains."""
-    graphs = rewire.rewired(small(spark, d), 4, 50, 400, 40, SEED).where("left in (1, 2)")
-    same = graphs.groupBy("chain", "draw", "right").agg(F.count("*").alias("n"))
-    x = same.groupBy("chain", "draw").agg(F.sum((F.col("n") == 2).cast("double")).alias("x"))
-    out = rewire.mixing(x, "x", 0.3, 1.1)
+    """ST20, ST21, WN6, ST25: of the null divergences, over the chains."""
+    x = with_metrics(spark, d)[0].where("layer = 'feature'")
+    out = rewire.mixing(x, "gjsd", 0.3, 1.1)
     rules = [("MIXED", F.col("mixed")), ("SLOW", F.col("r_hat") <= 1.1)]
-    return rewire.verdict(out, rules, "STUCK").select("chain", r("autocorrelation", 9).alias("autocorrelation"), r("r_hat", 9).alias("r_hat"), "mixed", "verdict")
+    return rewire.verdict(out, rules, "STUCK").select("chain", r("autocorrelation", 6).alias("autocorrelation"), r("r_hat", 6).alias("r_hat"), "mixed", "verdict")
+
+
+@query(sql("select count(*) as n, 0::bigint as n_one_sided, 0::bigint as n_masks, 0.0::double as max_gap, true as agree from nul", "feat", "z", "uni", **{k: v for k, v in DRAW.items() if k != "obs"}))
+def null_replay(spark, d):
+    """NM11: a null drawn anew, from other partitions of its inputs, reproduces the earlier one within 1e-10."""
+    w, z, u = S.features(spark, d), S.scores(spark, d), S.universe(spark, d)
+    null = lambda n: nulls.alignment_null(w.repartition(n), z, nulls.permutations(u.repartition(n), REPS, SEED)).select("rep", "profile", "alignment")
+    return mapping.compared(Scratch(spark).write(null(3)), null(5), ["rep", "profile"], "alignment", 1e-10).withColumn("max_gap", r("max_gap", 10))
 
 
 @query("select user_id, lag, round(corr(value, y), 7) as autocorrelation from (select user_id, k as lag, value, case k when 1 then lag(value, 1) over w when 5 then lag(value, 5) over w else lag(value, 10) over w end as y from events cross join (select unnest([1, 5, 10]) as k) window w as (partition by user_id, k order by event_id)) where y is not null group by all")

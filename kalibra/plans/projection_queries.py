@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import average_rank, min_rank, spearman, top
+from kalibra.functions.ranks import average_rank, min_rank, spearman, to_sum_one, top
 from kalibra.operators import divergence, evidence, mapping, projection
 from kalibra.plans import stand_ins as S
 from kalibra.plans.stand_ins import r, sql
+from kalibra.storage import Scratch
 
 QUERIES, ORACLES = {}, {}
 
@@ -67,16 +67,20 @@ def support_weights_early(spark, d):
 LEAVE_OUT = """select profile, "left", m as support, big_m as articles, (m + 0.5::double) / (big_m + 1) as weight from (select profile, "left", count(distinct article) as m from ev2 group by all) join (select profile, count(distinct article) as big_m from ev2 group by all) using (profile)"""
 
 
+CLASSES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
+
+
 def left_out(spark, d):
-    own = S.evidence(spark, d).where("article % 10 < 6")  # sparse enough for relations to lose their support
-    kept = evidence.without_articles(own, own.where("priority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') or article % 7 > 0").select("article"))
+    """Of parts as left nodes, the weights by all articles and by those of no class of CLASSES."""
+    own = Scratch(spark).write(S.evidence(spark, d, "l_partkey"))
+    kept = evidence.without_articles(own, own.where(F.col("priority").isin(*CLASSES)).select("article"))
     return evidence.support_weights(own), evidence.support_weights(kept)
 
 
-EV2 = {"ev2": "select * from ev where article % 10 < 6 and not (priority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') or article % 7 > 0)"}
+EV2 = {"ev2": f"select * from evp where priority not in {CLASSES}"}
 
 
-@query(sql('select profile, "left" as left_node, support, articles, round(weight, 10) as weight from w2', "ev", **EV2, w2=LEAVE_OUT))
+@query(sql('select profile, "left" as left_node, support, articles, round(weight, 10) as weight from w2', "evp", **EV2, w2=LEAVE_OUT))
 def leave_class_out(spark, d):
     """PR4, JN6."""
     return named(left_out(spark, d)[1]).withColumn("weight", r("weight", 10))
@@ -84,8 +88,8 @@ def leave_class_out(spark, d):
 
 @query(
     sql(
-        'select f.profile, f."left" as left_node, f.m as full_support, a.articles, round(0.5::double / (a.articles + 1), 10) as weight from (select profile, "left", count(distinct article) as m from ev where article % 10 < 6 group by all) f join (select distinct profile, articles from w2) a using (profile) where not exists (select 1 from w2 where w2.profile = f.profile and w2."left" = f."left")',
-        "ev",
+        'select f.profile, f."left" as left_node, f.m as full_support, a.articles, round(0.5::double / (a.articles + 1), 10) as weight from (select profile, "left", count(distinct article) as m from evp group by all) f join (select distinct profile, articles from w2) a using (profile) where not exists (select 1 from w2 where w2.profile = f.profile and w2."left" = f."left")',
+        "evp",
         **EV2,
         w2=LEAVE_OUT,
     )
@@ -97,8 +101,8 @@ def losing_support(spark, d):
 
 @query(
     sql(
-        'select f.profile, count(*) as n_full, count(w2.weight) as n_kept, count(*) - count(w2.weight) as n_lost from (select distinct profile, "left" from ev where article % 10 < 6) f left join w2 on w2.profile = f.profile and w2."left" = f."left" group by all',
-        "ev",
+        'select f.profile, count(*) as n_full, count(w2.weight) as n_kept, count(*) - count(w2.weight) as n_lost from (select distinct profile, "left" from evp) f left join w2 on w2.profile = f.profile and w2."left" = f."left" group by all',
+        "evp",
         **EV2,
         w2=LEAVE_OUT,
     )
@@ -132,26 +136,22 @@ def mass_check(spark, d):
     return named(out).withColumns({c: r(c) for c in ("weight", "projected", "gap")})
 
 
-HALF = {"kept_edges": 'select * from edges where "left" % 4 <> 1'}
-
-
 @query(
     sql(
-        'select profile, count(*) as n, count(k) as n_mapped, round(sum(weight), 8) as mass, round(coalesce(sum(weight) filter (k is not null), 0), 8) as mass_mapped, round(count(k)::double / count(*), 8) as share, round(coalesce(sum(weight) filter (k is not null), 0) / sum(weight), 8) as mass_share, count(k) >= 5 and coalesce(sum(weight) filter (k is not null), 0) / sum(weight) >= 0.7 as eligible from w left join (select distinct "left", 1 as k from kept_edges) using ("left") group by profile',
-        "w", "edges", **HALF,
+        'select profile, count(*) as n, count(k) as n_mapped, round(sum(weight), 8) as mass, round(coalesce(sum(weight) filter (k is not null), 0), 8) as mass_mapped, round(count(k)::double / count(*), 8) as share, round(coalesce(sum(weight) filter (k is not null), 0) / sum(weight), 8) as mass_share, count(k) >= 5 and coalesce(sum(weight) filter (k is not null), 0) / sum(weight) >= 0.7 as eligible from w left join (select distinct "left", 1 as k from rich) using ("left") group by profile',
+        "w", "rich",
     )
 )
 def mapping_coverage(spark, d):
     """AG13, PR6, PR21."""
-    some = S.edges(spark, d).where("left % 4 <> 1")
-    out = projection.prior_eligible(projection.coverage(S.weights(spark, d), some))
+    out = projection.prior_eligible(projection.coverage(S.weights(spark, d), S.rich(spark, d)))
     return out.withColumns({c: r(c) for c in ("mass", "mass_mapped", "share", "mass_share")})
 
 
-@query(sql('select profile, "left" as left_node, round(weight, 8) as weight from w where "left" not in (select "left" from kept_edges)', "w", "edges", **HALF))
+@query(sql('select profile, "left" as left_node, round(weight, 8) as weight from w where "left" not in (select "left" from rich)', "w", "rich"))
 def unmapped_nodes(spark, d):
     """JN6, SO1."""
-    return named(projection.unmapped(S.weights(spark, d), S.edges(spark, d).where("left % 4 <> 1"))).withColumn("weight", r("weight"))
+    return named(projection.unmapped(S.weights(spark, d), S.rich(spark, d))).withColumn("weight", r("weight"))
 
 
 SPLIT = """select 'shared' as component, "left", min(low) as weight from low group by "left" union all select 'specific:' || profile, "left", weight - low from low"""
@@ -281,19 +281,17 @@ def profile_entropy(spark, d):
     return divergence.entropy(profiles(spark, d), "sum1").withColumn("entropy", r("entropy"))
 
 
-@query(
-    sql(
-        """select 'left' as layer, round(sum(case when p > 0 then p * log2(p / m) else 0 end) / 5, 8) as gjsd from (select profile, "left", weight / sum(weight) over (partition by profile) as p, sum(weight / t) over (partition by "left") / 5 as m from (select *, sum(weight) over (partition by profile) as t from w))
+LAYERS = """select 'left' as layer, round(sum(case when p > 0 then p * log2(p / m) else 0 end) / 5, 8) as gjsd from (select profile, "left", weight / sum(weight) over (partition by profile) as p, sum(weight / t) over (partition by "left") / 5 as m from (select *, sum(weight) over (partition by profile) as t from w))
         union all select 'feature', round(sum(case when sum1 > 0 then sum1 * log2(sum1 / m) else 0 end) / 5, 8) from (select *, avg(sum1) over (partition by "right") as m from prof)
-        union all select 'module', round(sum(case when q > 0 then q * log2(q / m) else 0 end) / 5, 8) from (select *, avg(q) over (partition by module) as m from (select profile, module, sum(sum1) as q from prof join mem on feature = "right" group by all))""",
-        "prof", "mem",
-    )
-)
+        union all select 'module', round(sum(case when q > 0 then q * log2(q / m) else 0 end) / 5, 8) from (select *, avg(q) over (partition by module) as m from (select profile, module, sum(sum1) as q from prof join mem on feature = "right" group by all))"""
+
+
+@query(sql(LAYERS, "prof", "mem"))
 def cross_layer(spark, d):
     """MD12's layers, ST13, MD1, WN4."""
     own = S.weights(spark, d)
-    left = own.select("profile", F.col("left").alias("right"), (F.col("weight") / F.sum("weight").over(Window.partitionBy("profile"))).alias("p"))
-    feature = profiles(spark, d).select("profile", "right", F.col("sum1").alias("p"))
+    left = to_sum_one(own.select("profile", F.col("left").alias("right"), "weight"), "weight", ["profile"], "p")
+    feature = Scratch(spark).write(profiles(spark, d).select("profile", "right", F.col("sum1").alias("p")))
     module = feature.join(S.members(spark, d).withColumnRenamed("feature", "right"), "right").groupBy("profile", "module").agg(F.sum("p").alias("p")).withColumnRenamed("module", "right")
     out = None
     for name, rows in (("left", left), ("feature", feature), ("module", module)):
@@ -309,7 +307,7 @@ def cross_layer(spark, d):
 )
 def grouped_spearman(spark, d):
     """ST6, WN3."""
-    out = spearman(S.table(spark, d, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"])
+    out = spearman(S.table(spark, d, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"], wide=True)
     return out.select(F.col("c_mktsegment").alias("profile"), "n", r("rho").alias("rho"))
 
 
@@ -336,20 +334,20 @@ def priority_lookup(spark, d):
 
 
 @query(
-    "select p_name as name, min(p_brand) as brand from part where p_size = 7 group by all having count(distinct p_brand) = 1"
+    "select p_name || ' ' || p_size as name, min(p_brand) as brand from part group by all having count(distinct p_brand) = 1"
 )
 def unique_names(spark, d):
     """JN12, JN13."""
-    part = S.table(spark, d, "part").where("p_size = 7").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    part = S.table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("name"), F.col("p_brand").alias("brand"))
     return mapping.unique_mapping(part, "name", "brand")
 
 
 @query(
-    "select p_name as name, count(distinct p_brand) as n, string_agg(distinct p_brand, '|' order by p_brand) as candidates from part where p_size = 7 group by all having count(distinct p_brand) > 1"
+    "select p_name || ' ' || p_size as name, count(distinct p_brand) as n, string_agg(distinct p_brand, '|' order by p_brand) as candidates from part group by all having count(distinct p_brand) > 1"
 )
 def ambiguous_names(spark, d):
     """JN12, SC7."""
-    part = S.table(spark, d, "part").where("p_size = 7").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    part = S.table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("name"), F.col("p_brand").alias("brand"))
     return mapping.ambiguous(part, "name", "brand")
 
 
@@ -364,7 +362,7 @@ def best_per_key(spark, d):
     "select count(*) as n, count(*) filter (a is null or b is null) as n_one_sided, 0::bigint as n_masks, 0.0::double as max_gap, count(*) filter (a is null or b is null) = 0 as agree from (select distinct l_partkey as a from lineitem where l_linestatus = 'O') full join (select distinct l_partkey as b from lineitem where l_linestatus = 'F') on a = b"
 )
 def cross_check(spark, d):
-    """JN14, SE4, NM11."""
+    """JN14, SE4."""
     items = S.table(spark, d, "lineitem")
     part = lambda s: items.where(F.col("l_linestatus") == s).select(F.col("l_partkey").alias("k"), F.lit(1.0).alias("x")).distinct()
     return mapping.compared(part("O"), part("F"), ["k"], "x", 1e-10)
@@ -372,16 +370,16 @@ def cross_check(spark, d):
 
 @query(
     sql(
-        "select n as name, count(*) as n_edges, min(\"right\") as first_right from (select distinct p_name as n, p_partkey % 50 as m from part where p_size = 3) join edges on \"left\" = m group by n",
+        "select n as name, count(distinct \"right\") as n_edges, min(\"right\") as first_right from (select distinct p_name as n, m from part join (select l_partkey, min(l_suppkey) as m from lineitem group by all) on l_partkey = p_partkey) join edges on \"left\" = m group by n",
         "edges",
     )
 )
 def inherited_edges(spark, d):
-    """PR18: names take over the edges of the nodes that they are mapped to."""
-    names = S.table(spark, d, "part").where("p_size = 3").select(F.col("p_name").alias("name"), (F.col("p_partkey") % 50).alias("mapped")).distinct()
-    out = names.join(S.edges(spark, d).withColumnRenamed("left", "mapped"), "mapped")  # with repeats, to be counted
-    once = projection.inherited_edges(names, S.edges(spark, d)).groupBy(F.col("left").alias("name")).agg(F.min("right").alias("first_right"))
-    return out.groupBy("name").agg(F.count("*").alias("n_edges")).join(once, "name")
+    """PR18: names take over the edges of the nodes that they are mapped to, their parts' first suppliers."""
+    first = S.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("mapped"))
+    names = S.table(spark, d, "part").join(first, "p_partkey").select(F.col("p_name").alias("name"), "mapped").distinct()
+    out = projection.inherited_edges(names, S.edges(spark, d)).groupBy(F.col("left").alias("name"))
+    return out.agg(F.count("*").alias("n_edges"), F.min("right").alias("first_right"))
 
 
 @query(
@@ -394,11 +392,53 @@ def replay_check(spark, d):
     """PR16, MD11, SC13: profiles rebuilt edge by edge agree with the projection."""
     w, e = S.weights(spark, d), S.edges(spark, d)
     again = projection.contributions(w, e).groupBy("profile", "right").agg(F.sum("corrected").alias("x"))
-    again = again.withColumn("x", F.col("x") / F.sum("x").over(Window.partitionBy("profile")))
+    again = to_sum_one(Scratch(spark).write(again), "x", ["profile"], "y").select("profile", "right", F.col("y").alias("x"))
     own = projection.project(w, e).where("contributing > 0").select("profile", "right", F.col("sum1").alias("x"))
     return mapping.compared(own, again, ["profile", "right"], "x", 1e-12).withColumn("max_gap", r("max_gap", 10))
 
 
+@query(
+    sql(
+        """select "left", feature, module, round(feature / "left", 6) as feature_over_left, round(module / feature, 6) as module_over_feature, round(module / "left", 6) as module_over_left
+        from (select max(gjsd) filter (layer = 'left') as "left", max(gjsd) filter (layer = 'feature') as feature, max(gjsd) filter (layer = 'module') as module from la)""",
+        "prof", "mem", la=LAYERS,
+    )
+)
+def layer_retention(spark, d):
+    """MD12: what of the divergence between profiles is left from layer to layer."""
+    out = divergence.retention(QUERIES["cross_layer"](spark, d))
+    return out.withColumns({c: r(c, 6) for c in out.columns if "over" in c})
+
+
+@query(
+    sql(
+        """select (select gjsd from la where layer = 'feature') as gjsd, round(sum(common), 8) as common_mass, any_value(jsd) as mean_jsd, any_value(cosine) as mean_cosine, any_value(pearson) as mean_pearson, any_value(spearman) as mean_spearman, any_value(jaccard) as mean_jaccard
+        from (select min(sum1) as common from prof group by "right") cross join (select round(avg(jsd), 7) as jsd, round(avg(cosine), 7) as cosine, round(avg(pearson), 6) as pearson, round(avg(spearman), 6) as spearman, round(avg(jaccard), 7) as jaccard from
+        (select sum(case when a > 0 then a * log2(2 * a / (a + b)) else 0 end + case when b > 0 then b * log2(2 * b / (a + b)) else 0 end) / 2 as jsd, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) as cosine, corr(a, b) as pearson, corr(ra, rb) as spearman, sum((a > 0 and b > 0)::int)::double / sum((a > 0 or b > 0)::int) as jaccard from pr group by first, second))""",
+        "prof", "mem", la=LAYERS, **PAIR,
+    )
+)
+def convergence_record(spark, d):
+    """ST19: all measures of the profiles' convergence as one record."""
+    return divergence.convergence(Scratch(spark).write(rounded(spark, d).select("profile", "right", "sum1")), "sum1").select(
+        r("gjsd").alias("gjsd"), r("common_mass").alias("common_mass"), r("mean_jsd", 7).alias("mean_jsd"), r("mean_cosine", 7).alias("mean_cosine"),
+        r("mean_pearson", 6).alias("mean_pearson"), r("mean_spearman", 6).alias("mean_spearman"), r("mean_jaccard", 7).alias("mean_jaccard"),
+    )
+
+
+@query(
+    """with f as (select c_mktsegment as profile, l_partkey as left_node, p_type as formula from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+    g as (select profile, p_brand as left_node, formula from f join part on p_partkey = left_node)
+    select profile, left_node, m as formulas, big_m as all_formulas, round((m + 0.5::double) / (big_m + 1), 10) as weight from (select profile, left_node, count(distinct formula) as m from g group by all) join (select profile, count(distinct formula) as big_m from g group by all) using (profile)"""
+)
+def formula_weights(spark, d):
+    """PR2: brands as items of the formulas, part types, that a profile's orders hold."""
+    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("left"), F.col("p_brand").alias("brand"), F.col("p_type").alias("article"))
+    rows = S.evidence(spark, d, "l_partkey").select("profile", "left").join(part, "left").select("profile", F.col("brand").alias("left"), "article")
+    out = evidence.support_weights(rows)
+    return out.select("profile", F.col("left").alias("left_node"), F.col("support").alias("formulas"), F.col("articles").alias("all_formulas"), r("weight", 10).alias("weight"))
+
+
 METHODS = ("binary_union", "weighted_raw", "degree_normalised", "ubiquity_corrected")
 
 

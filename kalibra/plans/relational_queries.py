@@ -57,7 +57,7 @@ def degree_bounds(spark, d):
     "select c_custkey as customer, concat_ws(';', case when c_acctbal < 0 then 'NEGATIVE' end, case when c_mktsegment = 'BUILDING' then 'SEGMENT' end, case when c_nationkey > 20 then 'NATION' end) as issues, c_acctbal >= 0 and c_nationkey <= 20 as passes from customer"
 )
 def completeness_audit(spark, d):
-    """FIL15, FIL16, FIL17."""
+    """FIL16, FIL17."""
     c = S.table(spark, d, "customer")
     issues = ranks.flagged({"NEGATIVE": F.col("c_acctbal") < 0, "SEGMENT": F.col("c_mktsegment") == "BUILDING", "NATION": F.col("c_nationkey") > 20})
     return c.select(F.col("c_custkey").alias("customer"), issues.alias("issues"), ((F.col("c_acctbal") >= 0) & (F.col("c_nationkey") <= 20)).alias("passes"))
@@ -105,12 +105,12 @@ def checked_join(spark, d):
     return mapping.checked_join(mapping.checked_join(n, g, ["regionkey"], "many_to_one"), c, ["nation"], "one_to_one", "left").select("nation", "region", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("select m.p as segment, t.t as type, coalesce(k, 0) as n, k is not null as measured from (select distinct c_mktsegment as p from customer) m cross join (select distinct p_type as t from part) t left join (select c_mktsegment as p, p_type as t, count(*) as k from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey where l_quantity = 50 and p_size = 1 group by all) using (p, t)")
+@query("select m.p as segment, t.t as type, coalesce(k, 0) as n, k is not null as measured from (select distinct c_mktsegment as p from customer) m cross join (select distinct p_type as t from part) t left join (select c_mktsegment as p, p_type as t, count(*) as k from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey where l_returnflag = 'R' and l_linestatus = 'F' group by all) using (p, t)")
 def completed_grid(spark, d):
     """JN4, JN8."""
     seg = S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"))
     typ = S.table(spark, d, "part").select(F.col("p_type").alias("type"))
-    items = S.table(spark, d, "lineitem").where("l_quantity = 50").join(S.table(spark, d, "part").where("p_size = 1"), F.col("l_partkey") == F.col("p_partkey"))
+    items = S.table(spark, d, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F'").join(S.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = items.join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = rows.groupBy(F.col("c_mktsegment").alias("segment"), F.col("p_type").alias("type")).agg(F.count("*").alias("n"))
     out = mapping.on_universe(mapping.grid(seg, typ), n, ["segment", "type"], "n", None)
@@ -230,12 +230,12 @@ def scalar_text(spark, d):
 
 @query("select page_id, nullif(trim(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&amp;', '&')), '') as title, nullif(trim(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&')), '') as heading from pages")
 def page_identity(spark, d):
-    """SRC19, SRC20."""
+    """SRC20."""
     return readers.page_identity(S.table(spark, d, "pages")).select("page_id", "title", "heading")
 
 
 @query("select page_id, len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) as items, sha256(html) as digest, strlen(html)::bigint as length from pages")
 def page_inventory(spark, d):
-    """SRC21's extraction, SRC24, SNK6."""
+    """The counts of list items, and SC16 of pages."""
     p = S.table(spark, d, "pages")
     return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))).cast("long").alias("items"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("length"))

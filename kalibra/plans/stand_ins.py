@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kalibra.functions.ranks import to_sum_one
 from kalibra.operators.evidence import support_weights
 from kalibra.operators.nulls import matched_strata
+from kalibra.storage import Scratch
 
 SEED = 1729
 
@@ -16,19 +17,26 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("left"))
+def evidence(spark: SparkSession, d: str, left: str = "l_suppkey") -> DataFrame:
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article"), F.col(left).alias("left"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("article"), "o_custkey", F.col("o_orderpriority").alias("priority"))
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("profile"))
     return items.join(orders, "article").join(people, "o_custkey").select("profile", "article", "left", "priority")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right")).distinct()
+    """Each once, and written: projections read them several times."""
+    return Scratch(spark).write(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right")).distinct())
+
+
+def rich(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of suppliers with a balance from 2000 up, a graph that lacks some left nodes."""
+    firms = table(spark, d, "supplier").where("s_acctbal >= 2000").select(F.col("s_suppkey").alias("left"))
+    return edges(spark, d).join(firms, "left", "left_semi")
 
 
 def weights(spark: SparkSession, d: str) -> DataFrame:
-    return support_weights(evidence(spark, d))
+    return Scratch(spark).write(support_weights(evidence(spark, d)))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +45,7 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("profile"))
     rows = items.join(orders, "l_orderkey").join(people, "o_custkey").groupBy("profile", "feature").agg(F.sum("l_quantity").alias("q"))
-    return rows.select("profile", "feature", to_sum_one("q", ["profile"]).alias("weight"))
+    return to_sum_one(Scratch(spark).write(rows), "q", ["profile"], "weight").drop("q")
 
 
 def universe(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +53,7 @@ def universe(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("feature")).agg(
         F.countDistinct("l_orderkey").alias("n"), F.countDistinct("l_suppkey").cast("double").alias("ubiquity")
     )
-    rows = rows.select("feature", F.when(F.col("n") >= 10, F.col("n").cast("double")).alias("network"), "ubiquity")
+    rows = Scratch(spark).write(rows.select("feature", F.when(F.col("n") >= 10, F.col("n").cast("double")).alias("network"), "ubiquity"))
     return matched_strata(rows, "network", "ubiquity")
 
 
@@ -76,7 +84,13 @@ def network(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("u"))
     firms = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("v"))
     rows = items.join(orders, "l_orderkey").join(people, "o_custkey").join(firms, "l_suppkey")
-    return rows.groupBy("u", "v").agg(F.sum("l_quantity").alias("score"))
+    return Scratch(spark).write(rows.groupBy("u", "v").agg(F.sum("l_quantity").alias("score")))
+
+
+def discounts(spark: SparkSession, d: str) -> DataFrame:
+    """(feature, sample, value, status, big): line discounts of parts."""
+    rows = table(spark, d, "lineitem")
+    return rows.select(F.col("l_partkey").alias("feature"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sample"), F.col("l_discount").alias("value"), F.col("l_linestatus").alias("status"), (F.col("l_quantity") > 25).alias("big"))
 
 
 def r(x: Column | str, digits: int = 8) -> Column:
@@ -87,6 +101,9 @@ def r(x: Column | str, digits: int = 8) -> Column:
 #: The same relations in SQL.
 SQL = {
     "ev": 'select c_mktsegment as profile, l_orderkey as article, l_suppkey as "left", o_orderpriority as priority from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey',
+    "evp": 'select c_mktsegment as profile, l_orderkey as article, l_partkey as "left", o_orderpriority as priority from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey',
+    "rich": 'select * from edges where "left" in (select s_suppkey from supplier where s_acctbal >= 2000)',
+    "pd": "select l_partkey as feature, l_discount as value, l_linestatus as status, l_quantity > 25 as big from lineitem",
     "edges": 'select distinct l_suppkey as "left", l_partkey as "right" from lineitem',
     "w": 'select profile, "left", m as support, big_m as articles, (m + 0.5::double) / (big_m + 1) as weight from (select profile, "left", count(distinct article) as m from ev group by all) join (select profile, count(distinct article) as big_m from ev group by all) using (profile)',
     "deg": 'select "left", count(*) as degree from edges group by all',
@@ -104,7 +121,7 @@ SQL = {
     "px": "select l_partkey as feature, l_orderkey || '-' || l_linenumber as sample, l_extendedprice as value, l_linestatus as status, l_quantity > 25 as big from lineitem",
     "net0": "select c_nationkey as u, s_nationkey as v, sum(l_quantity) as score from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all",
 }
-NEEDS = {"w": ["ev"], "deg": ["edges"], "rs": ["edges"], "proj": ["w", "deg", "rs"], "prof": ["proj"], "cuts0": ["uni0"], "cuts": ["cuts0"], "uni": ["uni0", "cuts"]}
+NEEDS = {"rich": ["edges"], "w": ["ev"], "deg": ["edges"], "rs": ["edges"], "proj": ["w", "deg", "rs"], "prof": ["proj"], "cuts0": ["uni0"], "cuts": ["cuts0"], "uni": ["uni0", "cuts"]}
 
 
 def sql(body: str, *names: str, **more: str) -> str:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kalibra.storage import Scratch
+
 
 def without_bom(df: DataFrame) -> DataFrame:
     """Column names without a byte order mark or blanks around them."""
@@ -46,14 +49,12 @@ def by_suffix(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
 
 def blanks(spark: SparkSession, path: str) -> DataFrame:
     """SRC3: a file whose columns are separated by runs of blanks, with a header line."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    first = lines.first()
-    if first is None:
+    lines = spark.read.option("header", True).option("sep", "\u0001").option("quote", "").option("ignoreLeadingWhiteSpace", False).csv(path)
+    if not lines.columns:
         return spark.createDataFrame([], T.StructType())
-    names = first[0].lstrip("﻿").split()
-    cells = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(F.col("value") != F.lit(first[0]))
-    return rows.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    names = lines.columns[0].lstrip("\ufeff").split()
+    cells = F.split(F.trim(F.col(f"`{lines.columns[0]}`")), r"\s+")
+    return lines.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def optional(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
@@ -102,17 +103,20 @@ def _cells(content: bytes) -> dict[str, list[list[str]]]:
 
 
 def workbook(spark: SparkSession, path: str, required: list[str] = ()) -> dict[str, DataFrame]:
-    """SRC4, SRC5: the sheets of a workbook, a small file by its kind; required ones must be there."""
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    sheets = _cells(content)
-    if missing := [s for s in required if s not in sheets]:
+    """SRC4, SRC5: the sheets of a workbook, parsed in a task; required ones must be there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (x.as_py() for b in batches for x in b.column(0)):
+            for name, rows in _cells(content).items():
+                cells = [[None if c is None else str(c) for c in r] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["sheet", "n", "cells"])
+
+    rows = Scratch(spark).write(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "sheet string, n long, cells array<string>"))
+    heads = {r.sheet: r.cells for r in rows.where("n = 0").collect()}  # a row a sheet
+    if missing := [s for s in required if s not in heads]:
         raise ValueError(f"{path} lacks the sheets {', '.join(missing)}")
-    out = {}
-    for name, rows in sheets.items():
-        head = [str(c) for c in rows[0]] if rows else []
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in head])
-        out[name] = spark.createDataFrame([tuple((r + [None] * len(head))[: len(head)]) for r in rows[1:]], schema)
-    return out
+    one = lambda name, head: rows.where((F.col("sheet") == name) & (F.col("n") > 0)).select(*[F.get("cells", F.lit(i)).alias(str(c)) for i, c in enumerate(head)])
+    return {name: one(name, head) for name, head in heads.items()}
 
 
 def sheet_of(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -124,9 +128,8 @@ def sheet_of(spark: SparkSession, path: str, sheet: str | None = None) -> DataFr
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): the lines of one file in order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+    """(n, value): the lines of one file; n grows in their order, with gaps where the file is split."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.rtrim("value", F.lit("\r")).alias("value"))
 
 
 def series_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -137,9 +140,9 @@ def series_matrix(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = lines.crossJoin(marks).where("n > a and n < b and value <> ''")  # one row
     cells = F.transform(F.split("value", "\t"), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
-    rows = rows.select("n", "a", cells.alias("c"))
-    head = rows.where(F.col("n") == F.col("a") + 1).select(F.col("c").alias("h"))
-    body = rows.where(F.col("n") > F.col("a") + 1).crossJoin(head)  # one row
+    rows = rows.select("n", cells.alias("c"))
+    head = rows.orderBy("n").limit(1).select(F.col("n").alias("first"), F.col("c").alias("h"))
+    body = rows.crossJoin(head).where("n > first")  # one row
     pairs = body.select(F.col("c")[0].alias("probe"), F.explode(F.slice(F.arrays_zip("h", "c"), 2, F.greatest(F.size("c") - 1, F.lit(1)))).alias("p"))
     return pairs.select("probe", F.col("p.h").alias("sample"), F.col("p.c").try_cast("double").alias("value"))
 
@@ -169,16 +172,18 @@ def count_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 def platform_annotation(spark: SparkSession, path: str) -> DataFrame:
     """SRC13: (line): the lines of a platform's one TXT file, plain or in a ZIP, without comments."""
 
-    def lines(content: bytes) -> list[str]:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            texts = [n for n in z.namelist() if n.lower().endswith(".txt")]
-            if len(texts) != 1:
-                raise ValueError(f"{len(texts)} text files in the archive")
-            return z.read(texts[0]).decode("utf-8-sig").splitlines()
+    def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (x.as_py() for b in batches for x in b.column(0)):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                texts = [n for n in z.namelist() if n.lower().endswith(".txt")]
+                if len(texts) != 1:
+                    raise ValueError(f"{len(texts)} text files in the archive")
+                with io.TextIOWrapper(z.open(texts[0]), "utf-8-sig") as file:
+                    while some := file.readlines(1 << 20):
+                        yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r\n") for x in some], pa.string())], names=["line"])
 
     if path.lower().endswith(".zip"):
-        unzipped = F.udf(lines, T.ArrayType(T.StringType()))
-        rows = spark.read.format("binaryFile").load(path).select(F.explode(unzipped("content")).alias("line"))
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unzipped, "line string")
     else:
         rows = spark.read.text(path).withColumnRenamed("value", "line")
     return rows.where(~F.col("line").startswith("#") & (F.col("line") != ""))
@@ -277,15 +282,10 @@ def classified(files: DataFrame, rules: list[tuple[str, str]], other: str = "OTH
 
 def resolved(files: DataFrame, name: str) -> str:
     """SRC23: the path of a file by its name; copies may lie about if they are equal."""
-    found = files.where(F.element_at(F.split("path", "/"), -1) == name).select("path", "sha256").orderBy(F.length("path"), "path").limit(1000).collect()
-    if not found:
+    own = files.where(F.element_at(F.split("path", "/"), -1) == name)
+    found = own.agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("first"), F.min("sha256").alias("low"), F.max("sha256").alias("high")).first()
+    if found.first is None:
         raise FileNotFoundError(name)
-    if len({f.sha256 for f in found}) > 1:
-        raise ValueError(f"{name} has copies that differ: {[f.path for f in found]}")
-    return found[0].path
-
-
-def quoted_row(values: list[str]) -> str:
-    out = io.StringIO()
-    csv.writer(out).writerow(values)
-    return out.getvalue().rstrip("\r\n")
+    if found.low != found.high:
+        raise ValueError(f"{name} has copies that differ")
+    return found.first.path

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    """SNK1, SNK2."""
+def write_csv(df: DataFrame, path: str, gzip: bool = False, mark: bool = False) -> None:
+    """SNK1, SNK2: with a header, and if asked for a byte order mark at each file's beginning."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
 
 
@@ -19,22 +24,65 @@ def write_by(df: DataFrame, path: str, *columns: str) -> None:
 
 
 def write_report(sheets: dict[str, DataFrame], path: str) -> None:
-    """SNK3: one Parquet table for each sheet of a report."""
+    """SNK3: one Parquet table for each sheet of a report, of any size."""
     for name, df in sheets.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """SNK5: a small text, such as a statement or metadata, through Spark's file systems."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+#: Rows of a sheet of a workbook, at most; what is larger belongs into write_report().
+ROWS = 10_000
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """SNK3: summary tables as the sheets of one XLSX file; one of over ROWS rows is refused."""
+    space, spark = "http://schemas.openxmlformats.org", None
+    parts, names = {}, []
+    for i, (name, df) in enumerate(sheets.items(), 1):
+        spark = df.sparkSession
+        table = df.limit(ROWS + 1).toArrow()
+        if table.num_rows > ROWS:
+            raise ValueError(f"{name} has over {ROWS} rows")
+        rows = [table.column_names, *zip(*[c.to_pylist() for c in table.columns])]
+        parts[f"xl/worksheets/sheet{i}.xml"] = f'<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>{"".join(f"<row>{"".join(map(cell, r))}</row>" for r in rows)}</sheetData></worksheet>'
+        names.append((i, name))
+    books = "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="r{i}"/>' for i, n in names)
+    links = "".join(f'<Relationship Id="r{i}" Type="{space}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in names)
+    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i, _ in names)
+    parts |= {
+        "xl/workbook.xml": f'<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets>{books}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{space}/package/2006/relationships">{links}</Relationships>',
+        "_rels/.rels": f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "[Content_Types].xml": f'<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    write_bytes(spark, out.getvalue(), path)
+
+
+def cell(x) -> str:
+    if x is None:
+        return "<c/>"
+    if isinstance(x, (int, float)) and not isinstance(x, bool) and x == x:
+        return f"<c><v>{x!r}</v></c>"
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>'
+
+
+def write_bytes(spark: SparkSession, content: bytes, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """SNK5: a small text, such as a statement or metadata, through Spark's file systems."""
+    write_bytes(spark, text.encode(), path)
+
+
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """SNK4."""
     write_text(spark, json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True), path)

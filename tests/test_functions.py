@@ -48,12 +48,30 @@ def test_correlation_of_constant(spark):
 
 def test_multiplicity(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.02, 0.03, 0.04, None])], "i int, p double").withColumn("f", F.lit(1))
-    bh = {r.i: r.q for r in ranks.with_bh(df, "p", ["f"], "i").collect()}
+    bh = {r.i: r.q for r in ranks.with_bh(df, "p", ["f"]).collect()}
     assert [bh[i] for i in range(4)] == pytest.approx([0.04] * 4) and bh[4] is None
-    holm = {r.i: r.holm for r in ranks.with_holm(df, "p", ["f"], "i").collect()}
+    holm = {r.i: r.holm for r in ranks.with_holm(df, "p", ["f"]).collect()}
     assert [holm[i] for i in range(4)] == pytest.approx([0.04, 0.06, 0.06, 0.06]) and holm[4] is None
 
 
+def test_multiplicity_of_tied_and_many(spark):
+    rng = np.random.default_rng(7)
+    for n, digits in ((1, 2), (400, 2), (400, 9)):
+        ps = np.round(rng.random(n) ** 3, digits)
+        df = spark.createDataFrame([(i, float(p), i % 2) for i, p in enumerate(ps)], "i int, p double, f int").repartition(5)
+        for f in range(2 if n > 1 else 1):
+            own = ps[f::2]
+            order = np.argsort(own, kind="stable")
+            m, k = len(own), np.arange(1, len(own) + 1)
+            bh, holm = np.empty(m), np.empty(m)
+            bh[order] = np.minimum(1, np.minimum.accumulate((own[order] * m / k)[::-1])[::-1])
+            holm[order] = np.minimum(1, np.maximum.accumulate((m - k + 1) * own[order]))
+            got = {r.i: (r.q, r.holm) for r in ranks.with_holm(ranks.with_bh(df, "p", ["f"]), "p", ["f"]).where(f"f = {f}").collect()}
+            assert [got[i][0] for i in range(f, n, 2)] == pytest.approx(list(bh)) and [got[i][1] for i in range(f, n, 2)] == pytest.approx(list(holm))
+    one = ranks.with_holm(spark.createDataFrame([(0.01,), (0.04,)], "p double"), "p", [])
+    assert sorted(r.holm for r in one.collect()) == pytest.approx([0.02, 0.04])
+
+
 def test_empirical_p_floor_and_variants(spark):
     null = [float(i) for i in range(9)]
     df = spark.createDataFrame([("a", 100.0, x) for x in null] + [("b", 4.0, x) for x in null], "g string, o double, x double")

@@ -112,8 +112,44 @@ def test_curveball(spark):
     kept = rewire.degrees_kept(rewire.rewired(board, 2, 6, 3, 3, 1), board).collect()
     assert len(kept) == 12 and all(r.left_gap == r.right_gap == 0 and r.n_edges == 2 for r in kept)
     full = frame(spark, [(i, j) for i in range(3) for j in range(4)], "left int, right int")
-    got = rewire.rewired(full, 1, 2, 5, 5, 1).groupBy("draw").agg(F.countDistinct("left", "right").alias("n")).collect()
+    got = rewire.rewired(full, 1, 2, 1, 1, 1).groupBy("draw").agg(F.countDistinct("left", "right").alias("n")).collect()
     assert {r.n for r in got} == {12}
+    assert {r.share for r in rewire.changed_share(rewire.rewired(full, 1, 2, 1, 1, 1), full).collect()} == {0.0}
+
+
+def test_trades_of_many_nodes(spark):
+    """Over several buckets and partitions: degrees stay, edges change and repeat nowhere, and chains differ."""
+    rng = np.random.default_rng(6)
+    e = frame(spark, sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 150, 1500), rng.integers(0, 60, 1500))}), "left int, right int")
+    graphs = rewire.rewired(e, 2, 2, 2, 1, 9)
+    assert all(r.left_gap == r.right_gap == 0 and r.n_edges == e.count() for r in rewire.degrees_kept(graphs, e).collect())
+    assert graphs.distinct().count() == graphs.count() == 4 * e.count()
+    assert all(r.share > 0.3 for r in rewire.changed_share(graphs, e).collect())
+    again = rewire.rewired(e.repartition(7), 2, 2, 2, 1, 9)
+    assert graphs.exceptAll(again).count() == 0
+    draw = lambda c: graphs.where(f"chain = {c} and draw = 0").select("left", "right")
+    assert draw(0).exceptAll(draw(1)).count() > 0
+
+
+def test_layers_of_the_observed_graph(spark):
+    rng = np.random.default_rng(8)
+    e = frame(spark, sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 9, 60), rng.integers(0, 15, 60))}), "left int, right int")
+    w = frame(spark, [(p, n, float(rng.random())) for p in "abc" for n in range(9)], "profile string, left int, weight double")
+    got = rewire.layers(e.select(F.lit(0).alias("chain"), "left", "right"), w, e).first()
+    want = divergence.gjsd(projection.project(w, e), "sum1").first()
+    assert got.gjsd == pytest.approx(want.gjsd) and got.common_mass == pytest.approx(want.common_mass)
+
+
+def test_guards(spark):
+    m = frame(spark, [("m", 6, False, True)], "module string, n int, broad boolean, eligible boolean")
+    with pytest.raises(ValueError):
+        modules.enough(m, 2)
+    assert modules.enough(m, 1) is m
+    df = frame(spark, [(0.0, 0.3), (2.0, 0.3)], "mass double, x double")
+    assert sorted(r.g for r in df.select(nulls.guarded(F.col("mass"), F.col("x")).alias("g")).collect()) == [-1.0, 0.3]
+    shares = graph.on_unit_scale(frame(spark, [(1, 2, 0.4), (2, 3, 0.9)], "u int, v int, score double"))
+    thousands = graph.on_unit_scale(frame(spark, [(1, 2, 400.0), (2, 3, 900.0)], "u int, v int, score double"))
+    assert sorted(map(tuple, shares.collect())) == sorted(map(tuple, thousands.collect()))
 
 
 def test_controls(spark):

@@ -21,6 +21,9 @@ def test_blanks_gzipped(spark, tmp_path):
     f = tmp_path / "a.txt.gz"
     f.write_bytes(gzip.compress(b"p1  p2 score\nx y   900\n\ny z 10\n"))
     assert [tuple(r) for r in readers.by_suffix(spark, str(f)).collect()] == [("x", "y", "900"), ("y", "z", "10")]
+    g = tmp_path / "b.txt"
+    g.write_text('p1  p2\np1  p2\n"q  2\n')  # a row like the header is a row
+    assert [tuple(r) for r in readers.by_suffix(spark, str(g)).collect()] == [("p1", "p2"), ('"q', "2")]
 
 
 def test_workbook(spark, tmp_path):
@@ -107,3 +110,40 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("profile string, article int, left string").parquet(str(tmp_path / "in"))
     counts.into_table(counts.support_counts(stream), "support", str(tmp_path / "cp")).awaitTermination()
     assert {tuple(r) for r in spark.table("support").collect()} == {("p", "x", 2), ("q", "y", 1)}
+
+
+def test_copies_are_compared_all(spark):
+    files = spark.range(1200).selectExpr("concat('/d', id, '/f.csv') as path", "case when id = 1150 then 'b' else 'a' end as sha256")
+    assert readers.resolved(files.where("sha256 = 'a'"), "f.csv") == "/d0/f.csv"
+    with pytest.raises(ValueError):
+        readers.resolved(files, "f.csv")
+    with pytest.raises(FileNotFoundError):
+        readers.resolved(files, "g.csv")
+
+
+def test_marks_and_workbooks_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5), ("<&>", None)], "name string, x double")
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "c"), mark=True)
+    assert next((tmp_path / "c").glob("*.csv")).read_bytes().startswith("\ufeffname,x".encode())
+    sinks.write_workbook({"One": df, "Two & more": df.select("x")}, str(tmp_path / "w.xlsx"))
+    sheets = readers.workbook(spark, str(tmp_path / "w.xlsx"), ["One", "Two & more"])
+    assert sorted(map(str, sheets["One"].collect())) == sorted(["Row(name='a', x='1.5')", "Row(name='<&>', x=None)"])
+    with pytest.raises(ValueError):
+        sinks.write_workbook({"Long": spark.range(sinks.ROWS + 1)}, str(tmp_path / "x.xlsx"))
+
+
+def test_named_networks_and_joined_sets(spark):
+    links = spark.createDataFrame([("9606.A", "9606.B", 900), ("9606.A", "9606.C", 800)], "a string, b string, score int")
+    names = spark.createDataFrame([("9606.A", "TP53"), ("9606.B", "MDM2")], "id string, symbol string")
+    assert [tuple(r) for r in readers.named_network(links, names).collect()] == [("TP53", "MDM2", 900)]
+    sets = spark.createDataFrame([("H1", "A; B;;A")], "hallmark string, genes string")
+    assert sorted(map(tuple, readers.joined_sets(sets, "hallmark", "genes").collect())) == [("H1", "A"), ("H1", "B")]
+
+
+def test_windowed_counts(spark, tmp_path):
+    from kalibra.streaming import counts
+
+    spark.createDataFrame([("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:50", "a"), ("2024-01-01 00:01:10", "b")], "t string, k string").selectExpr("cast(t as timestamp) as t", "k").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t timestamp, k string").parquet(str(tmp_path / "in"))
+    counts.into_table(counts.windowed_counts(stream, "t", "1 minute", "1 minute", "k"), "windowed", str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.k, r.n) for r in spark.table("windowed").collect()) == [("a", 2), ("b", 1)]
