@@ -19,12 +19,13 @@ more, by the ten choices of two further bytes that a linked pair must share.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kalibra.llm.shared import Scratch, components, fresh
@@ -206,12 +207,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #
 # Texts of a shingle similarity of 0.8 mostly differ in more than three bits of
 # one fingerprint.  For these each text posts the first of its shingles in one
-# order of all, so many that any two texts that are similar share one; rows of a
-# posting list are compared until all its groups are, and verified exactly.
+# order of all, so many that any two texts that are similar share one.  Pairs
+# from the posting lists that parity bitmaps can't rule out are verified exactly.
 
-SIMILAR_WORDS, SIMILARITY, GRAIN, CLASSES, SMALL = 5, 0.8, 4, 24, 8
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Shorter lists are paired in full at once, longer ones by centres, whose number grows by GROWTH each round.
+SMALL, GROWTH = 64, 16
 #: Shingles that OFTEN or more of one text in SAMPLE have count as common, the first COMMON of them.
 SAMPLE, OFTEN, COMMON = 8, 8, 100_000
+#: Rows whose shingles a task holds at a time.
+SLICE = 256
 
 
 def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -231,34 +236,8 @@ def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
 
 
-def class_prints(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """A posting for each class of shingles.
-
-    The near-duplicate stage posts by prefix() instead, which misses no pair.
-
-    The number of classes is a power of two near len / GRAIN; texts near the next
-    power have both, so any two that can be similar have one in common.
-    """
-    n, out = len(hashes), []
-    if not n:
-        return np.empty(0, np.int64)
-    for level in sorted({max(0, int(np.ceil(np.log2(m / GRAIN)))) for m in (n, n / similarity)}):
-        cls = (hashes >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
-        kept = int(np.searchsorted(cls, CLASSES))
-        if not kept:
-            continue
-        at = np.flatnonzero(np.diff(cls[:kept], prepend=-1))
-        bits = np.unpackbits(hashes[:kept].astype(">u8").view(np.uint8).reshape(-1, BYTES), axis=1)
-        size = np.diff(np.append(at, kept))
-        found = np.packbits(2 * np.add.reduceat(bits, at, axis=0, dtype=np.int64) > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-        tag = (cls[at] + CLASSES * level + 1).astype(np.uint64)
-        x = (found ^ tag * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((x ^ x >> np.uint64(31)).view(np.int64))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first of a text's shingles, of which any two texts that are similar have one in common.
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """The first of a text's shingles, of which any two texts that are similar have one in common, and how many of them aren't common.
 
     Similar sets share at least similarity times the larger one's size, so the
     first that they share, in any order of all shingles, is within the first
@@ -267,31 +246,47 @@ def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity:
     """
     n = len(hashes)
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), 0
+    rare = n
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         often = common[at] == hashes
         hashes = np.concatenate((hashes[~often], hashes[often][np.argsort(rank[at[often]])]))
-    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1].astype(np.int64)
+        rare = n - int(often.sum())
+    kept = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return hashes[:kept].astype(np.int64), min(rare, kept)
+
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bitmap of two to four times as many bits as hashes: whether an odd number of them fall on a bit."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
-def in_lists(rows: DataFrame, run, schema: str) -> DataFrame:
-    """Rows with a key column k dealt by it and given to run in its order."""
-    return rows.repartition("k").sortWithinPartitions("k", *[c for c in rows.columns if c != "k"]).mapInArrow(run, schema)
+
+def differing(x: bytes, y: bytes) -> int:
+    """At most as many as the elements that are in one of both sets only: each flips one bit of the bitmaps' difference."""
+    a, b = (np.frombuffer(z, np.uint64) for z in (x, y))
+    while len(a) != len(b):  # the halves of a bitmap make up that of half its bits
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def long_batch(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=names)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+
+
 def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of many texts, in order, and their ranks by frequency; from one text in SAMPLE, as any choice leaves results the same."""
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(x.as_py(), words) for x in b.column(0)]
-            if found:
-                yield long_batch(["h"], np.concatenate(found).view(np.int64))
+        for b in slices(batches):
+            yield long_batch(["h"], np.concatenate([shingles(x.as_py(), words) for x in b.column(0)]).view(np.int64))
 
     some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(every, "h long")
     rows = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
@@ -300,65 +295,100 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return found[order], order
 
 
-def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(first, root): of the groups (row, root) of rows (row, text), those that links join with others; first is the root as given.
-
-    Rows link if their shingle sets have at least that Jaccard similarity.  Each
-    posting list is gone through in rounds: its next centres are paired with all
-    rows left that are of other groups by then, and retire.  A list ends when all
-    its rows have been centres or are of one group; a short one does so at once.
-    """
+def sketched(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(row, d1, d2, size, bits, own, rare): of rows (row, text) with words the digest, the number of shingles, their bitmap, and the postings, of which the first rare ones aren't common."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
 
-    def post(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
-        for b in batches:
-            cols = []
+        for b in slices(batches):
+            rows, marks, sizes, bits, own, rare = [], [], [], [], [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1)):
-                hashes = shingles(x.as_py(), words)
-                own = prefix(hashes, common, rank, similarity)
-                cols.append((np.full(len(own), i, np.int64), own, np.full(len(own), len(hashes)), np.arange(len(own))))
-            if cols:
-                yield long_batch(["row", "k", "size", "at"], *map(np.concatenate, zip(*cols)))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(k, row, size, at, n) of lists of several rows."""
-        held = np.empty((0, 4), np.int64)
+                text = x.as_py()
+                hashes = shingles(text, words)
+                if len(hashes):
+                    first, n = prefix(hashes, common, rank, similarity)
+                    rows.append(i)
+                    marks.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    sizes.append(len(hashes))
+                    bits.append(parities(hashes))
+                    own.append(first)
+                    rare.append(n)
+            if rows:
+                d = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
+                cols = [pa.array(rows, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), lists, pa.array(rare, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "d1", "d2", "size", "bits", "own", "rare"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, d1 long, d2 long, size int, bits binary, own array<bigint>, rare int")
+
+
+def able(a_size, a_at, b_size, b_at, similarity: float):
+    """Whether what two rows share from their places in a list on can suffice; if that isn't the first shingle that they share, its list has them."""
+    most = F.least(a_size - a_at, b_size - b_at)
+    return most * (1 + similarity) >= similarity * (a_size + b_size) - 1e-6
+
+
+def short_lists(posted: DataFrame, similarity: float) -> DataFrame:
+    """Of postings (k, row, size, at): kind 0 is a pair (a, b) with a > b of a list of up to SMALL rows, kind 1 a row b of a longer list a."""
+    names = ["kind", "a", "b", "size", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = np.empty((0, 4), np.int64), None  # rows of the last list, unless it is a longer one already
         for b in batches:
             if not b.num_rows:
                 continue
             cols = np.concatenate((held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.int64)))
-            last = int(np.searchsorted(cols[:, 0], cols[-1, 0]))
-            held = cols[last:]
-            if (out := several(cols[:last])) is not None:
-                yield out
-        if (out := several(held)) is not None:
-            yield out
-
-    def several(cols: np.ndarray) -> pa.RecordBatch | None:
-        _, back, n = np.unique(cols[:, 0], return_inverse=True, return_counts=True)
-        n = n[back]
-        return long_batch(["k", "row", "size", "at", "n"], *cols[n > 1].T, n[n > 1]) if (n > 1).any() else None
-
-    def paired(batches: Iterator[pa.RecordBatch], centres: int) -> Iterator[pa.RecordBatch]:
-        """kind 0: a pair (a, b); kind 1: a row b that stays in list a."""
-        names = ["kind", "a", "b", "size", "at", "w"]
-        for k, rows in lists(batches):
-            root, row, size, at, w = rows[np.lexsort((rows[:, 1], -rows[:, 4]))].T
-            n = len(row) if len(row) <= SMALL else centres
-            if (root == root[0]).all():
-                continue
-            for i in range(min(n, len(row) - 1)):
-                # what two rows share from here on has to suffice; if this isn't the first shingle that they share, that one's list has them
-                most = np.minimum(size[i] - at[i], size[i + 1 :] - at[i + 1 :])
-                near = (root[i + 1 :] != root[i]) & (most * (1 + similarity) >= similarity * (size[i] + size[i + 1 :]) - 1e-6)
-                rest = row[i + 1 :][near]
-                if len(rest):
-                    none = np.zeros(len(rest), np.int64)
-                    yield long_batch(names, none, np.maximum(rest, row[i]), np.minimum(rest, row[i]), none, none, none)
-            if len(row) - n > 1:
-                yield long_batch(names, np.ones(len(row) - n), np.full(len(row) - n, k), row[n:], size[n:], at[n:], w[n:])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = cols[-1, 0]
+            at = np.append(np.flatnonzero(np.diff(cols[:, 0], prepend=cols[0, 0] - 1)), len(cols))
+            n = np.diff(at)
+            long = (n > SMALL) | (cols[at[:-1], 0] == large)
+            if n[-1] > SMALL:
+                large = last
+            elif not long[-1]:  # it may go on in the next batch
+                n, long, at = n[:-1], long[:-1], at[:-1]
+            held = cols[at[-1] :]
+            yield from emitted(cols[: at[-1]], n, long)
+        if len(held):
+            yield from emitted(held, np.array([len(held)]), np.array([False]))
+
+    def emitted(cols: np.ndarray, n: np.ndarray, long: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = cols[np.repeat(long, n)]
+        if len(rows):
+            yield long_batch(names, np.ones(len(rows)), *rows.T)
+        short = ~long & (n > 1)
+        rows, of = cols[np.repeat(short, n)], np.repeat(np.flatnonzero(short), n[short])
+        found = []
+        for step in range(1, SMALL):  # each row with that many rows later
+            one, two = rows[:-step], rows[step:]
+            same = of[:-step] == of[step:]
+            if not same.any():
+                break
+            one, two = one[same], two[same]
+            most = np.minimum(one[:, 2] - one[:, 3], two[:, 2] - two[:, 3])
+            near = most * (1 + similarity) >= similarity * (one[:, 2] + two[:, 2]) - 1e-6
+            found.append(np.column_stack((np.maximum(one[near, 1], two[near, 1]), np.minimum(one[near, 1], two[near, 1]))))
+        if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
+            none = np.zeros(len(pairs), np.int64)
+            yield long_batch(names, none, pairs[:, 0], pairs[:, 1], none, none)
+
+    rows = posted.repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(run, "kind long, a long, b long, size long, at long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, scratch: Scratch, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose texts are similar; only those that the bitmaps leave see the texts."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c, m, n = (b.column(i).to_numpy() for i in range(4))
+            most = (m + n) * (1 - similarity) / (1 + similarity) + 1e-6
+            apart = [differing(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5))]
+            near = np.array(apart, np.int64) <= most
+            yield long_batch(["a", "b"], a[near], c[near])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for b in batches:
             out = []
@@ -372,51 +402,75 @@ def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int =
             if out:
                 yield long_batch(["a", "b"], *zip(*out))
 
-    common = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
-    posted = texts.select("row", "text").mapInArrow(lambda x: post(x, common), "row long, k long, size long, at long")
-    live = scratch.write(in_lists(posted.select("k", "row", "size", "at"), shared, "k long, row long, size long, at long, n long"))
-    weight = scratch.write(live.groupBy("row").agg(F.sum("n").alias("w")))
-    live = live.join(weight, "row").drop("n")
-    texts = scratch.write(texts.join(weight, "row", "left_semi"))
-    label = scratch.write(groups.join(weight, "row", "left_semi").select("row", F.col("root").alias("first"), "root"))
+    def beside(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(rows.select(F.col("row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols]), side)
+        return pairs.select("a", "b", *[f"{c}_{side}" for c in cols for side in "ab"])
+
+    left = scratch.write(beside(pairs, marks, "size", "bits").mapInArrow(likely, "a long, b long"))
+    rows = left.select(F.col("a").alias("row")).union(left.select("b")).distinct()
+    return scratch.write(beside(left, texts.join(rows, "row", "left_semi"), "text").mapInArrow(exact, "a long, b long"))
+
+
+def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(first, root): of the groups (row, root) of rows (row, text), those that links join with others; first is the root as given.
+
+    Rows link if their shingle sets have at least that Jaccard similarity.  Short
+    posting lists are paired in full.  The others, and all those of common
+    shingles, are gone through in rounds: a list's next centres are paired with
+    all its rows that are of other groups by then, and retire; it ends when all
+    its rows have been centres or are of one group.  No list is held by a task.
+    """
+    sketches = scratch.write(sketched(texts, words, similarity))
+    distinct = sketches.groupBy("d1", "d2").agg(F.min("row").alias("row")).select("row")
+    own = sketches.join(distinct, "row", "left_semi")
+    posted = own.select("row", "size", "rare", F.posexplode("own").alias("at", "k"))
+    found = scratch.write(short_lists(posted.where("at < rare").select("k", "row", "size", "at"), similarity))
+    hot = posted.where("at >= rare").select("k", "row", "size", "at")
+    live = scratch.write(found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("row"), F.col("size").cast("int").alias("size"), F.col("at").cast("int").alias("at")).union(hot))
+    pairs = found.where("kind = 0").select("a", "b").distinct()
+    met = live.select("row").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    met = scratch.write(met)  # all others share no posting; what follows is of these rows alone
+    label = scratch.write(groups.join(met, "row", "left_semi").select("row", F.col("root").alias("first"), "root"))
+    marks = scratch.write(sketches.join(met, "row", "left_semi").select("row", "size", "bits"))
+    scratch.drop(sketches)
     tried, centres = None, 1
     while True:
-        dealt = live.join(label, "row").select("k", "root", "row", "size", "at", "w")
-        out = scratch.write(in_lists(dealt, lambda x, n=centres: paired(x, n), "kind long, a long, b long, size long, at long, w long"))
-        pairs = out.where("kind = 0").select("a", "b").distinct()
-        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        one = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
-        two = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
-        new = scratch.write(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
+        rooted = label.select("row", "root")
+        dealt = live.join(rooted, "row")
+        several = dealt.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
+        dealt = scratch.write(dealt.join(several, "k", "left_semi"))
+        order = Window.partitionBy("k").orderBy("row")
+        chosen = dealt.withColumn("n", F.row_number().over(order)).where(F.col("n") <= centres)
+        chosen = scratch.write(chosen.select("k", *[F.col(c).alias(f"_{c}") for c in ("row", "root", "size", "at")]))
+        both = dealt.join(chosen, "k").where("root <> _root").where(able(F.col("size"), F.col("at"), F.col("_size"), F.col("_at"), similarity))
+        more = both.select(F.greatest("row", "_row").alias("a"), F.least("row", "_row").alias("b")).distinct()
+        if tried is None:  # the first round has the short lists' pairs too
+            more = pairs.union(more).distinct()
+            for side in "ab":
+                more = more.join(rooted.select(F.col("row").alias(side), F.col("root").alias(f"r{side}")), side)
+            more = more.where("ra <> rb").select("a", "b")
+        else:
+            more = more.join(tried, ["a", "b"], "left_anti")
+        more = scratch.write(more)
+        if tried is None:
+            scratch.drop(found)
+        tried = more if tried is None else tried.union(more)
+        new = verified(more, texts, marks, scratch, words, similarity)
         if not new.isEmpty():
             one = label.select(F.col("row").alias("a"), F.col("root").alias("x"))
             two = label.select(F.col("row").alias("b"), F.col("root").alias("y"))
             edges = new.join(one, "a").join(two, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
             to = components(edges, scratch).select(F.col("node").alias("root"), F.col("root").alias("to"))
-            label = scratch.write(label.join(to, "root", "left").select("row", "first", F.coalesce("to", "root").alias("root")))
-        live = out.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("row"), "size", "at", "w")
+            old, label = label, scratch.write(label.join(to, "root", "left").select("row", "first", F.coalesce("to", "root").alias("root")))
+            scratch.drop(old)
+        gone = chosen.select("k", F.col("_row").alias("row"))
+        old, live = live, scratch.write(dealt.drop("root").join(gone, ["k", "row"], "left_anti"))
+        for x in (old, dealt, chosen):
+            scratch.drop(x)
         if live.isEmpty():
-            return label.select("first", "root").distinct()
-        centres *= 4
-
-
-def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """Of rows (k, ...) of longs in the order of k: each k with its rows."""
-    now, held = None, []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.int64)
-        at = np.flatnonzero(np.diff(cols[:, 0])) + 1
-        for part in np.split(cols, at):
-            if now is not None and part[0, 0] != now:
-                yield now, np.concatenate(held)
-                held = []
-            now = int(part[0, 0])
-            held.append(part[:, 1:])
-    if held:
-        yield now, np.concatenate(held)
+            return label.where("first <> root").select("first", "root").distinct()
+        centres *= GROWTH
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -436,9 +490,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(own.select(order.alias(key), "text"), key)
     named = scratch.write(found.select(F.col(key).alias("key"), F.col("component_id").alias("lowest")))
     texts = own.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
-    distinct = texts.groupBy(F.sha2("text", 256)).agg(F.min("row").alias("row")).select("row")
     groups = named.select(F.col("key.row").alias("row"), F.col("lowest.row").alias("root"))
-    merged = scratch.write(similar(texts.join(distinct, "row", "left_semi"), groups, scratch))
+    merged = scratch.write(similar(texts, groups, scratch))
+    merged = merged.union(merged.select("root", "root").distinct()).toDF("first", "root")
     left = named.where("key = lowest").select(F.col("key.row").alias("row"), "key")
     keys = merged.join(left, F.col("first") == F.col("row")).select("root", "row", "key")
     lowest = keys.groupBy("root").agg(F.min("key").alias("lowest"))

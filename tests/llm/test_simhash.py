@@ -1,6 +1,8 @@
 import random
+from collections import defaultdict
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from kalibra.llm import simhash
@@ -117,14 +119,46 @@ def test_keep_one_catches_similar_texts(spark):
             assert a == b or len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b])
 
 
-def test_class_prints_of_near_lengths():
+def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(0)
-    for n in (9, 31, 33, 128, 129, 1030):
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-        b = a[: int(np.ceil(len(a) * 0.85))]
-        assert len(np.intersect1d(simhash.class_prints(a), simhash.class_prints(np.delete(a, 3)))) > 0
-        assert {len(simhash.class_prints(x)) > 0 for x in (a, b)} == {True}
-    assert len(simhash.class_prints(np.empty(0, np.uint64))) == 0
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 400))) for _ in range(2))
+        assert simhash.differing(simhash.parities(a), simhash.parities(b)) <= len(np.setxor1d(a, b))
+    a = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    assert simhash.differing(simhash.parities(a), simhash.parities(a[1000:])) > 700  # few fall together
+
+
+def test_prefixes_of_similar_texts_meet():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 1 << 63, rng.integers(2, 80), dtype=np.uint64))
+        common = np.sort(rng.choice(pool, len(pool) // 3, replace=False))
+        rank = rng.permutation(len(common))
+        drop = rng.integers(0, len(pool) // 5 + 1)
+        b = np.delete(pool, rng.choice(len(pool), drop, replace=False))
+        if 5 * len(b) >= 4 * len(pool):
+            (x, n), (y, _) = (simhash.prefix(z, common, rank) for z in (pool, b))
+            assert set(x.tolist()) & set(y.tolist())
+            assert not set(x[:n].tolist()) & set(common.view(np.int64).tolist()) and set(x[n:].tolist()) <= set(common.view(np.int64).tolist())
+
+
+@pytest.mark.parametrize("batch", [3, 1000])
+def test_short_lists_and_long_ones(spark, batch):
+    """Every pair of a list of up to SMALL rows, and all rows of the others, however batches cut them."""
+    rng = random.Random(4)
+    rows = [(k, 100 * k + i, 10, 0) for k in range(60) for i in range(rng.choice([1, 2, 3, 64, 65, 90]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = simhash.short_lists(spark.createDataFrame(rows, "k long, row long, size int, at int"), 0.8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = defaultdict(list)
+    for k, row, _, _ in rows:
+        by[k].append(row)
+    pairs = {(max(a, b), min(a, b)) for x in by.values() if len(x) <= simhash.SMALL for a in x for b in x if a != b}
+    assert {(r.a, r.b) for r in got if r.kind == 0} == pairs
+    assert sorted((r.a, r.b) for r in got if r.kind == 1) == sorted((k, x) for k, own in by.items() if len(own) > simhash.SMALL for x in own)
 
 
 def similar_groups(texts, words=5, similarity=0.8):
@@ -194,3 +228,21 @@ def test_short_texts_are_found(spark):
             words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
             texts += [" ".join(words), " ".join(words[1:] if rng.random() < 0.5 else words[:-1])]
     kept_like_all_pairs(spark, texts)
+
+
+def test_common_shingles_are_compared_in_full(spark, monkeypatch):
+    """With nearly all shingles common, so that all lists go by centres."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "OFTEN", 2)
+    rng = random.Random(5)
+    texts = [t for n in (30, 80) for t in variants(rng, 60, n, 1, 3)]
+    rng.shuffle(texts)
+    kept_like_all_pairs(spark, texts)
+
+
+def test_a_long_list_of_alike_rows(spark):
+    """5,000 rows that differ in one word each are one group."""
+    base = [f"v{i}" for i in range(60)]
+    texts = [" ".join(base[:30] + [f"x{i}"] + base[30:]) for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
