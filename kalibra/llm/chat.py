@@ -251,6 +251,7 @@ NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "for
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, whose rows would join those of a conversation -1 of the table."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")

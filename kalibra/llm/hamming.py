@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from kalibra.llm.shared import Scratch, partitions, table
 
 BITS, K, EVERY = 64, 10, 100
+#: Distinct codes of a shard, about; there are at least as many shards as shuffle partitions.
+SHARD = 1 << 18
 
 
 def code_of(vector: Column) -> Column:
@@ -90,14 +92,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, itself: bool = Fals
     Both tables have vec_id and code.  A query's own id is no answer unless
     itself is set.  Rows with a null code or id are none and queries with a null
     code get no answer; repeated rows of one id and code are one; with fewer
-    than k rows all are answers.
+    than k rows all are answers; clashing columns play no part, and an empty
+    table gives no rows.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
-    shards = partitions(spark)
     lowest = Window.partitionBy("code").orderBy("vec_id")
     folded = rows.where("code is not null and vec_id is not null").withColumn("n", F.dense_rank().over(lowest)).where(F.col("n") <= k + 1)
-    folded = folded.groupBy("code").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    folded = scratch.write(folded.groupBy("code").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    shards = max(partitions(spark), -(-folded.count() // SHARD))
     left = folded.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), "code", "ids", F.lit(None).cast("long").alias("query_id"))
     asked = queries.where("code is not null and vec_id is not null").select("vec_id", "code").distinct()
     none = F.lit(None).cast("array<bigint>")
@@ -127,7 +130,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, itself: bool = Fals
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))], names=["query_id", "distance", "vec_id"])
 
-    both = left.union(right).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    both = left.union(right).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
     found = scratch.write(both.mapInArrow(run, "query_id long, distance int, vec_id long"))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -29,7 +29,8 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: l
     """(key, size, text_crc32, law, shard, slot, grown_shard): a row per row of docs.
 
     size is the text's UTF-8 bytes plus 1 and a null text has none; grown_shard
-    is the shard with one more of the weight ``more``.  Slots count from 0 in
+    is the shard with one more of the weight ``more``; clashing columns play no
+    part, and an empty table gives no rows.  Slots count from 0 in
     each shard without gaps: rows are numbered within their scan task, and the
     few task counts before them are added, so no shard and no repeated key is
     ever gathered in one task.
