@@ -36,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalibra.llm.shared import fresh, table
+from kalibra.llm.shared import fresh, table, worker_cache
 
 KEY_SETTING, KEY_BYTES = "spark.kalibra.pii.key", 16
 ROUNDS = 8
+#: Rows whose new texts a task holds at a time.
+SLICE = 256
 
 #: Character classes: each is permuted within itself.
 CLASSES = [
@@ -320,6 +322,24 @@ def valid_ipv6(text: str) -> bool:
         return False
 
 
+def triggers() -> tuple:
+    """What a text must hold for a name to be found: titles or given names, and in lower case what introduces one."""
+    cache = worker_cache()
+    if "pii triggers" not in cache:
+        import ahocorasick
+
+        titles = [t + end for ts in TITLES.values() for t in ts for end in (" ", ".")]
+        found = []
+        for words in ([*titles, *(t.upper() for t in titles), *(n for ns in GIVEN.values() for n in ns), *(n.upper() for n in LISTED)], INTRODUCING):
+            one = ahocorasick.Automaton()
+            for w in words:
+                one.add_word(w, True)
+            one.make_automaton()
+            found.append(one)
+        cache["pii triggers"] = tuple(found)
+    return cache["pii triggers"]
+
+
 def people(text: str, found: Spans) -> None:
     known: dict[str, str] = {}  # lower-cased
 
@@ -331,11 +351,12 @@ def people(text: str, found: Spans) -> None:
             found.add(*m.span(g), kind)
             known.setdefault(low, kind)
 
-    for form in (TITLED, NAMED, INTRODUCED):
+    cased, cues = (next(x.iter(t), None) is not None for x, t in zip(triggers(), (text, text.lower())))
+    for form in (TITLED, NAMED) * cased + (INTRODUCED,) * cues:
         for m in form.finditer(text):
             if m[1] != m[2]:
                 name(m, (1, 2))
-    for m in SHOUTED.finditer(text):
+    for m in SHOUTED.finditer(text) if cased else ():
         name(m, (1, 2) if m[1] else (3, 4))
     for _ in range(2):  # to those before a known one, and after
         for m in JOINED.finditer(text) if known else ():
@@ -388,7 +409,7 @@ def anonymised(docs: DataFrame, key: bytes, text: str = "text", spans: str | Non
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             made = [surrogate(x.as_py(), key) for x in b.column(at)]
             cols = b.columns
             cols[at] = pa.array([t for t, _ in made], pa.string())
