@@ -16,7 +16,6 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession

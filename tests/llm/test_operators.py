@@ -714,3 +714,20 @@ def test_pipeline(spark):
     toxic = {r.doc_id for r in toxicity.op7_toxicity(spark, SF).where("predicted = 1").collect()}
     leaks = {r.doc_id for r in decontam.op1_decontaminate(spark, SF).collect()}
     assert not kept & (toxic | leaks)
+
+
+def test_pipeline_edges(spark):
+    """Null, empty, repeated and very long texts, null ids, and no rows at all."""
+    import corpus_pipeline
+
+    schema = table(spark, SF, "documents").schema
+    rows = [(i, t, "en", "s", 1) for i, t in EDGES]
+    for docs, want in ((spark.createDataFrame(rows, schema), {"0", "1", "4", "None"}), (spark.createDataFrame([], schema), set())):
+        scratch = corpus_pipeline.Scratch(spark)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, SF)
+            assert i == 4 or docs.schema.names == schema.names
+            docs = scratch.write(docs)
+        got = docs.collect()
+        assert {str(r.doc_id) for r in got} == want
+        assert all(r.doc_tokens == 1 for r in got if r.doc_id == 1)
