@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,9 +220,10 @@ def train(
 def scorer(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(Model(*shared.value).score, na_action=None).astype(float)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        one = Model(*shared.value).score
+        return pa.array((one(x.as_py()) for x in texts), pa.float64())
 
     return score
 
