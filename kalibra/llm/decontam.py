@@ -30,11 +30,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kalibra.llm.shared import Scratch, table, worker_cache
 
@@ -44,7 +42,7 @@ BITS, RADIUS, BLOCKS = 64, 31, 8
 SIZE = BITS // BLOCKS
 #: Of each value of a block, those within RADIUS // BLOCKS bits of it.
 NEAR = [[v ^ sum(1 << p for p in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(SIZE), r)] for v in range(1 << SIZE)]
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Lower-case A-Z, and punctuation as blanks.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -282,11 +280,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holder(shared: Shared):
-    @F.pandas_udf(T.BooleanType())
-    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.items()
         for texts in batches:
-            yield texts.map(lambda x: bool(index.search(x)), na_action=None).astype(bool)
+            yield pa.array((bool(index.search(x.as_py())) for x in texts), pa.bool_())
 
     return holds
 
