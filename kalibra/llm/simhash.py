@@ -289,8 +289,8 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             yield long_batch(["h"], np.concatenate([shingles(x.as_py(), words) for x in b.column(0)]).view(np.int64))
 
     some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(every, "h long")
-    rows = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    found = np.array([r.h for r in rows][::-1], np.int64).view(np.uint64)
+    rows = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    found = rows["h"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
     order = np.argsort(found)
     return found[order], order
 
@@ -456,8 +456,7 @@ def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int =
         if tried is None:
             scratch.drop(found)
         tried = more if tried is None else tried.union(more)
-        new = verified(more, texts, marks, scratch, words, similarity)
-        if not new.isEmpty():
+        if not more.isEmpty() and not (new := verified(more, texts, marks, scratch, words, similarity)).isEmpty():
             one = label.select(F.col("row").alias("a"), F.col("root").alias("x"))
             two = label.select(F.col("row").alias("b"), F.col("root").alias("y"))
             edges = new.join(one, "a").join(two, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
