@@ -1,94 +1,187 @@
 """Degree-preserving rewiring of bipartite graphs, its null distributions, and the mixing of its chains.
 
 A Curveball trade redistributes what two left nodes don't share, keeping how
-many each has.  In a round the left nodes of a chain are paired at random, and
-all pairs trade side by side: a round of n left nodes is n / 2 trades.  Pairs
-and trades are ordered by a hash of (seed, chain, round, nodes), so a chain
-depends neither on partitions nor on other chains, and any SQL engine can replay
-it.  Each round is written to the shared folder, and the one before is dropped;
-of a kept graph only its metric stays, unless the graphs themselves are asked for.
+many each has.  A graph has a row for each left node, with its right nodes in order,
+so a trade needs two rows and no others.  In a round the left nodes of a bucket are
+paired at random and all pairs trade: a round of n left nodes is n / 2 trades.
+
+A bucket holds about MOST edges.  A chain of a graph that small is one bucket, and
+all of its rounds are one task's, side by side with the other chains; a larger
+graph is dealt out to new buckets every EPOCH rounds, each epoch a table in the
+shared folder.  Pairs and trades are ordered by keyed hashes of (seed, chain,
+round, nodes), so chains depend neither on partitions nor on each other, and any
+SQL engine can replay them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import lag_correlation, safe_divide, to_sum_one
-from kalibra.operators.divergence import gjsd
-from kalibra.operators.nulls import random_key
+from kalibra.functions.ranks import lag_correlation, safe_divide
 from kalibra.operators.projection import left_degrees, right_stats
 from kalibra.storage import Scratch
 
-#: Left nodes are paired within buckets of about so many, new ones each round.
-BUCKET = 64
-
-
-def number(key: Column, n: Column) -> Column:
-    """A number below n from a hexadecimal key."""
-    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), n)
-
-
-def traded(graph: DataFrame, nodes: DataFrame, seed: int, step: int) -> DataFrame:
-    """The next round's (chain, left, right); nodes has (chain, left, buckets).
-
-    A pair's trade is a sort of what either has alone, bounded by its degrees.
+#: Edges of a bucket, about, and the rounds that its nodes stay together.
+MOST, EPOCH = 1 << 20, 16
+#: The hash works modulo this prime, of which nodes are smaller.
+PRIME = 2_147_483_647
+
+
+def mixed_sql(h: str, x: str) -> str:
+    """SQL of a number below PRIME from one and the next value, a bijection of the value: fifth powers permute the field."""
+    y = f"((({h}) + ({x})) % {PRIME})"
+    return f"(({y} * {y} % {PRIME}) * ({y} * {y} % {PRIME}) % {PRIME} * {y} % {PRIME})"
+
+
+def mixed(h, x):
+    """The same of integers or arrays."""
+    y = (h + x) % PRIME
+    square = y * y % PRIME
+    return square * square % PRIME * y % PRIME
+
+
+def trade(a: np.ndarray, b: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two ordered sets after their trade: of what either has alone, as many as were the first one's go to it, by the least hash."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    twin = both[1:] == both[:-1]
+    if not twin.any():
+        shared, alone = both[:0], both
+    else:
+        single = np.ones(len(both), bool)
+        single[1:] &= ~twin
+        single[:-1] &= ~twin
+        shared, alone = both[1:][twin], both[single]
+    own = len(a) - len(shared)
+    if own == 0 or own == len(alone):
+        return a, b
+    first = np.zeros(len(alone), bool)
+    first[np.argpartition(mixed(key, alone), own - 1)[:own]] = True
+    out = [np.concatenate((shared, part)) for part in (alone[first], alone[~first])]
+    for x in out:
+        x.sort(kind="stable")
+    return out[0], out[1]
+
+
+def played(nodes: np.ndarray, rows: list[np.ndarray], seed: int, chain: int, first: int, last: int) -> Iterator[int]:
+    """The rounds after the first up to the last of one bucket, each changing rows in place."""
+    for step in range(first + 1, last + 1):
+        keys = mixed(mixed(mixed(seed, chain), step), nodes)
+        order = np.lexsort((nodes, keys)).tolist()
+        for i, j in zip(order[::2], order[1::2]):
+            rows[i], rows[j] = trade(rows[i], rows[j], int(keys[i]))
+        yield step
+
+
+def epoch(graph: DataFrame, chains: int, buckets: int, seed: int, first: int, last: int, kept: range) -> DataFrame:
+    """(chain, step, left, rights): the graphs (chain, left, rights) after the kept rounds up to the last, and after that."""
+    bucket = F.expr(f"cast({mixed_sql(mixed_sql(mixed_sql(str(seed + 1), 'cast(chain as bigint)'), str(first)), 'left')} % {buckets} as int)")
+    placed = graph.select((F.col("chain") * buckets + bucket).cast("int").alias("slot"), "chain", "left", "rights")
+    placed = placed.repartitionById(chains * buckets, "slot").sortWithinPartitions("slot", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def turned(chain: int, nodes: list[int], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            left = np.array(nodes, np.int64)
+            if len(left) and (left.min() < 0 or left.max() >= PRIME or any(len(r) and (r[0] < 0 or r[-1] >= PRIME) for r in rows)):
+                raise ValueError(f"nodes must be numbers from 0 to {PRIME - 1}")
+            for step in played(left, rows, seed, chain, first, last):
+                if step in kept or step == last:
+                    ends = np.cumsum([0, *map(len, rows)])
+                    arrays = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+                    same = lambda x: pa.array(np.full(len(rows), x, np.int32))
+                    yield pa.RecordBatch.from_arrays([same(chain), same(step), pa.array(left), arrays.cast(pa.list_(pa.int64()))], names=["chain", "step", "left", "rights"])
+
+        slot, chain, nodes, rows = None, 0, [], []
+        for b in batches:
+            for s, c, node, rights in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if s != slot:
+                    if rows:
+                        yield from turned(chain, nodes, rows)
+                    slot, chain, nodes, rows = s, c, [], []
+                nodes.append(node)
+                rows.append(rights.values.to_numpy())
+        if rows:
+            yield from turned(chain, nodes, rows)
+
+    return placed.mapInArrow(run, "chain int, step int, left long, rights array<long>")
+
+
+def as_rows(edges: DataFrame) -> DataFrame:
+    """(left, rights): edges (left, right) by left node, each right node once and in order."""
+    return edges.groupBy(F.col("left").cast("long").alias("left")).agg(F.array_sort(F.collect_set(F.col("right").cast("long"))).alias("rights"))
+
+
+def rewired(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int, most: int = MOST) -> DataFrame:
+    """(chain, draw, left, rights): of every chain the graphs after burn rounds and then every thin.
+
+    Nodes are whole numbers from 0 to PRIME - 1.  A left node's right nodes are one
+    value, so they should be fewer than some millions.
     """
-    key = random_key(seed, "chain", F.lit(step), "left")
-    found = nodes.withColumn("key", key).withColumn("bucket", number(F.col("key"), F.col("buckets")))
-    place = F.row_number().over(Window.partitionBy("chain", "bucket").orderBy("key", "left")) - 1
-    found = found.withColumns({"pair": F.floor(place / 2), "side": place % 2}).select("chain", "bucket", "pair", "side", "left")
-    both = found.groupBy("chain", "bucket", "pair").agg(F.max(F.when(F.col("side") == 0, F.col("left"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("left"))).alias("b"))
-    on = ["chain", "bucket", "pair"]
-    rows = graph.join(found.join(both, on), ["chain", "left"])
-    rows = rows.groupBy(*on, "right").agg(F.count("*").alias("n"), F.min("side").alias("side"), F.first("a").alias("a"), F.first("b").alias("b"))
-    alone = F.col("n") == 1
-    order = Window.partitionBy(*on, "n").orderBy(random_key(seed, "chain", F.lit(step), "a", "right"), "right")
-    rows = rows.withColumns({"at": F.row_number().over(order), "own": F.sum((F.col("side") == 0).cast("long")).over(Window.partitionBy(*on, "n"))})
-    to = F.when(alone, F.array(F.when(F.col("at") <= F.col("own"), F.col("a")).otherwise(F.col("b")))).otherwise(F.array("a", "b"))
-    return rows.select("chain", F.explode(to).alias("left"), "right")
-
-
-def null_draws(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int, metric: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The metric (chain, ...) of each kept graph (chain, left, right), with its draw: after burn rounds and then every thin."""
     scratch = Scratch(edges.sparkSession)
-    one = scratch.write(edges.select("left", "right").distinct())
-    every = F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain")
-    left = one.select("left").distinct()
-    buckets = left.agg(F.ceil(F.count("*") / BUCKET).cast("long").alias("buckets"))
-    nodes = scratch.write(left.crossJoin(buckets).select(every, "left", "buckets"))  # one row
-    graph, out = scratch.write(one.select(every, "left", "right")), None
-    for step in range(1, burn + (draws - 1) * thin + 1):
-        last, graph = graph, scratch.write(traded(graph, nodes, seed, step))
-        scratch.drop(last)
-        if step >= burn and (step - burn) % thin == 0:
-            kept = scratch.write(metric(graph).withColumn("draw", F.lit((step - burn) // thin)))
-            out = kept if out is None else out.unionByName(kept)
+    one = scratch.write(as_rows(edges))
+    n = one.agg(F.sum(F.size("rights"))).first()[0] or 0
+    buckets, rounds = max(1, -(-n // most)), burn + (draws - 1) * thin
+    kept = range(burn, rounds + 1, thin)
+    graph, out, before = one.select(F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"), "left", "rights"), None, None
+    for at in range(0, rounds, rounds if buckets == 1 else EPOCH):
+        to = rounds if buckets == 1 else min(rounds, at + EPOCH)
+        held = scratch.write(epoch(graph, chains, buckets, seed, at, to, kept))
+        since = F.col("step") - burn
+        found = held.where((since >= 0) & (since % thin == 0)).select("chain", F.floor(since / thin).cast("int").alias("draw"), "left", "rights")
+        if buckets == 1:
+            return found
+        if any(at < s <= to for s in kept):
+            out = scratch.append(out, found)
+        if before is not None:
+            scratch.drop(before)
+        graph, before = held.where(F.col("step") == to).drop("step"), held
     return out
 
 
-def rewired(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int) -> DataFrame:
-    """(chain, draw, left, right): the kept graphs themselves."""
-    return null_draws(edges, chains, draws, burn, thin, seed, lambda g: g).select("chain", "draw", "left", "right")
+def as_edges(graphs: DataFrame) -> DataFrame:
+    """(chain, draw, left, right) of kept graphs."""
+    return graphs.select("chain", "draw", "left", F.explode("rights").alias("right"))
 
 
-def layers(graph: DataFrame, weights: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """(chain, layer, gjsd, common_mass) of the profiles recomputed from graphs (chain, left, right) that have the degrees of edges.
+def layers(graphs: DataFrame, weights: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(chain, draw, layer, gjsd, common_mass) of the profiles recomputed from kept graphs that have the degrees of edges.
 
-    The layer feature has the right nodes, and module what members (right, module) of them add up to.
+    The layer feature has the right nodes, and module what members (right, module)
+    of them add up to.  All profiles are columns of one row, so edges are not
+    repeated for them; there may be 200 at most.
     """
     scratch = Scratch(edges.sparkSession)
-    part = weights.join(left_degrees(edges), "left").select("profile", "left", (F.col("weight") / F.col("degree")).alias("part"))
-    rows = graph.join(part, "left").groupBy("chain", "profile", "right").agg(F.sum("part").alias("part"))
-    rows = rows.join(right_stats(edges).select("right", "idf"), "right").select("chain", "profile", "right", (F.col("part") * F.col("idf")).alias("x"))
-    rows = to_sum_one(scratch.write(rows), "x", ["chain", "profile"], "p").drop("x")
-    out = gjsd(rows, "p", within=("chain",)).withColumn("layer", F.lit("feature"))
+    names = [r[0] for r in weights.select("profile").distinct().orderBy("profile").limit(201).collect()]
+    if len(names) > 200:
+        raise ValueError("more than 200 profiles")
+    own = weights.join(left_degrees(edges), "left").groupBy("left").agg(*[F.sum(F.when(F.col("profile") == p, F.col("weight") / F.col("degree"))).alias(f"w{i}") for i, p in enumerate(names)])
+    each = range(len(names))
+    rows = graphs.join(own, "left").select("chain", "draw", *[f"w{i}" for i in each], F.explode("rights").alias("right"))
+    rows = rows.groupBy("chain", "draw", "right").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in each])
+    rows = rows.join(right_stats(edges).select("right", "idf"), "right").select("chain", "draw", "right", *[(F.col(f"w{i}") * F.col("idf")).alias(f"x{i}") for i in each])
+    rows = scratch.write(rows)
+    total = rows.groupBy("chain", "draw").agg(*[F.sum(f"x{i}").alias(f"t{i}") for i in each])
+    here = sum(((F.col(f"t{i}").isNotNull()).cast("int") for i in each), F.lit(0)).alias("k")
+    rows = rows.join(total.select("*", here), ["chain", "draw"]).select("chain", "draw", "right", "k", *[F.coalesce(safe_divide(F.col(f"x{i}"), F.col(f"t{i}")), F.lit(0.0)).alias(f"p{i}") for i in each])
+
+    def divergence(of: DataFrame, layer: str) -> DataFrame:
+        term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+        mass = sum((F.col(f"p{i}") for i in each), F.lit(0.0))
+        part = sum((term(F.col(f"p{i}"), F.lit(1.0)) for i in each), F.lit(0.0)) - term(mass, F.col("k"))
+        low = F.when(F.col("k") == len(names), F.least(*[F.col(f"p{i}") for i in each], F.lit(1.0))).otherwise(0.0)
+        found = of.groupBy("chain", "draw").agg((F.sum(part) / F.first("k")).alias("gjsd"), F.sum(low).alias("common_mass"))
+        return found.select("chain", "draw", F.lit(layer).alias("layer"), "gjsd", "common_mass")
+
+    out = divergence(rows, "feature")
     if members is not None:
-        up = rows.join(members, "right").groupBy("chain", "profile", F.col("module").alias("right")).agg(F.sum("p").alias("p"))
-        out = out.unionByName(gjsd(up, "p", within=("chain",)).withColumn("layer", F.lit("module")))
-    return out.select("chain", "layer", "gjsd", "common_mass")
+        up = rows.join(members, "right").groupBy("chain", "draw", "module").agg(F.first("k").alias("k"), *[F.sum(f"p{i}").alias(f"p{i}") for i in each])
+        out = out.unionByName(divergence(up, "module"))
+    return out
 
 
 def r_hat(samples: DataFrame, x: str) -> DataFrame:
@@ -98,30 +191,28 @@ def r_hat(samples: DataFrame, x: str) -> DataFrame:
     return out.select(F.when(F.col("within") > 0, F.sqrt((F.col("n") - 1) / F.col("n") + F.col("between") / F.col("within"))).alias("r_hat"))
 
 
-def mixing(samples: DataFrame, x: str, most_lag: float = 0.1, most_r: float = 1.01) -> DataFrame:
-    """(chain, autocorrelation, r_hat, mixed)."""
-    lag = lag_correlation(samples, x, ["chain"], "draw", (1,)).select("chain", "autocorrelation")
+def mixing(samples: DataFrame, x: str, most_lag: float = 0.1, most_r: float = 1.01, lags: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(chain, lag1, ..., r_hat, mixed): autocorrelations of each chain (chain, draw, x); the first lag's and r_hat decide."""
+    lag = lag_correlation(samples, x, ["chain"], "draw", lags).groupBy("chain").agg(*[F.max(F.when(F.col("lag") == k, F.col("autocorrelation"))).alias(f"lag{k}") for k in lags])
     out = lag.crossJoin(r_hat(samples, x))  # one row
-    ok = (F.abs("autocorrelation") <= most_lag) & (F.col("r_hat") <= most_r)
+    ok = (F.abs(f"lag{lags[0]}") <= most_lag) & (F.col("r_hat") <= most_r)
     return out.withColumn("mixed", ok)
 
 
 def degrees_kept(graphs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(chain, draw, n_edges, left_gap, right_gap): the largest differences from the observed degrees."""
-    def gap(side: str) -> DataFrame:
-        own = graphs.groupBy("chain", "draw", side).agg(F.count("*").alias("d"))
-        seen = edges.groupBy(side).agg(F.countDistinct("right" if side == "left" else "left").alias("e"))
-        return own.join(seen, side).groupBy("chain", "draw").agg(F.max(F.abs(F.col("d") - F.col("e"))).alias(f"{side}_gap"))
-
-    n = graphs.groupBy("chain", "draw").agg(F.count("*").alias("n_edges"))
-    return n.join(gap("left"), ["chain", "draw"]).join(gap("right"), ["chain", "draw"])
+    """(chain, draw, n_edges, left_gap, right_gap): the largest differences of kept graphs' degrees from the observed ones."""
+    seen = edges.select("left", "right").distinct()
+    lefts = graphs.select("chain", "draw", "left", F.size("rights").alias("d")).join(seen.groupBy("left").agg(F.count("*").alias("e")), "left", "left")
+    n = lefts.groupBy("chain", "draw").agg(F.sum("d").alias("n_edges"), F.max(F.abs(F.col("d") - F.coalesce("e", F.lit(0)))).alias("left_gap"))
+    rights = as_edges(graphs).groupBy("chain", "draw", "right").agg(F.count("*").alias("d")).join(seen.groupBy("right").agg(F.count("*").alias("e")), "right", "left")
+    return n.join(rights.groupBy("chain", "draw").agg(F.max(F.abs(F.col("d") - F.coalesce("e", F.lit(0)))).alias("right_gap")), ["chain", "draw"])
 
 
 def changed_share(graphs: DataFrame, edges: DataFrame) -> DataFrame:
     """(chain, draw, share): how many edges of each kept graph the observed one lacks."""
-    seen = edges.select("left", "right").withColumn("_on", F.lit(1))
-    rows = graphs.join(seen, ["left", "right"], "left").groupBy("chain", "draw")
-    return rows.agg(safe_divide(F.sum(F.col("_on").isNull().cast("double")), F.count("*").cast("double")).alias("share"))
+    rows = graphs.join(as_rows(edges).withColumnRenamed("rights", "_own"), "left", "left")
+    new = F.size(F.array_except("rights", F.coalesce("_own", F.array().cast("array<long>"))))
+    return rows.groupBy("chain", "draw").agg(safe_divide(F.sum(new).cast("double"), F.sum(F.size("rights")).cast("double")).alias("share"))
 
 
 def verdict(row: DataFrame, rules: list[tuple[str, object]], otherwise: str) -> DataFrame:

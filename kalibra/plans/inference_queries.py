@@ -883,30 +883,26 @@ def second_endpoint(spark, d):
 
 # Rewiring
 
-CHAINS, DRAWS, BURN, THIN = 2, 5, 2, 1
-
-
-def traded_sql(steps: int) -> dict[str, str]:
-    """The chains' graphs e0 to e<steps>, round by round."""
-    out = {
-        "nb": f'select (count(distinct "left") + {rewire.BUCKET - 1}) // {rewire.BUCKET} as b from edges',
-        "nd": f'select chain, "left" from (select distinct "left" from edges) cross join (select unnest(range({CHAINS})) as chain)',
-        "e0": f'select chain, "left", "right" from edges cross join (select unnest(range({CHAINS})) as chain)',
-    }
-    for s in range(1, steps + 1):
-        out |= {
-            f"k{s}": f"select chain, \"left\", md5('{SEED}|' || chain || '|{s}|' || \"left\") as key from nd",
-            f"h{s}": f"select chain, \"left\", bucket, row_number() over (partition by chain, bucket order by key, \"left\") - 1 as rk from (select *, ('0x' || substr(key, 1, 8))::bigint % (select b from nb) as bucket from k{s})",
-            f"w{s}": f'select chain, bucket, rk // 2 as pair, max("left") filter (rk % 2 = 0) as a, max("left") filter (rk % 2 = 1) as b from h{s} group by all',
-            f"g{s}": f'select chain, bucket, pair, "right", count(*) as n, min(rk % 2) as side, any_value(a) as a, any_value(b) as b from e{s - 1} join h{s} using (chain, "left") join w{s} using (chain, bucket) where pair = rk // 2 group by chain, bucket, pair, "right"',
-            f"t{s}": f"select *, row_number() over (partition by chain, bucket, pair order by md5('{SEED}|' || chain || '|{s}|' || a || '|' || \"right\"), \"right\") as place, sum((side = 0)::int) over (partition by chain, bucket, pair) as own from g{s} where n = 1",
-            f"e{s}": f'select chain, a as "left", "right" from g{s} where n = 2 union all select chain, b, "right" from g{s} where n = 2 union all select chain, case when place <= own then a else b end, "right" from t{s}',
-        }
-    return out
+CHAINS, DRAWS, BURN, THIN = 4, 50, 8, 3
+#: Graphs of all rounds of the chains, replayed; of up to rewire.MOST edges, so each chain is one bucket.
+GRAPHS = {
+    "steps": f"""select 0::bigint as step, chain, "left", "right" from edges cross join (select unnest(range({CHAINS}))::bigint as chain) union all (
+        with now as (select chain, step + 1 as step, {rewire.mixed_sql(rewire.mixed_sql(str(SEED), 'chain'), 'step + 1')} as h, "left", "right" from steps where step < {BURN + (DRAWS - 1) * THIN}),
+        keyed as (select chain, "left", {rewire.mixed_sql('h', '"left"')} as key from (select distinct chain, h, "left" from now)),
+        placed as (select *, row_number() over (partition by chain order by key, "left") - 1 as k from keyed),
+        paired as (select chain, "left", k // 2 as pair, k % 2 as side, first_value("left") over w as a, last_value("left") over w as b, first_value(key) over w as ka from placed window w as (partition by chain, k // 2 order by k rows between unbounded preceding and unbounded following)),
+        met as (select now.chain, step, pair, "right", count(*) as n, min(side) as side, any_value(a) as a, any_value(b) as b, any_value(ka) as ka from now join paired using (chain, "left") group by now.chain, step, pair, "right"),
+        told as (select *, row_number() over (partition by chain, pair, n order by {rewire.mixed_sql('ka', '"right"')}, "right") as place, sum((side = 0)::int) over (partition by chain, pair, n) as own from met)
+        select step, chain, unnest(case when n = 2 then [a, b] when place <= own then [a] else [b] end), "right" from told)""",
+    "gr": f'select chain, (step - {BURN}) // {THIN} as draw, "left", "right" from steps where step >= {BURN} and (step - {BURN}) % {THIN} = 0',
+}
+
+
+def replayed(body: str, *names: str, **more: str) -> str:
+    """sql() with the recursion of GRAPHS; what metrics are read from is computed once."""
+    return sql(body, *names, **GRAPHS, **more).replace("with ", "with recursive ", 1).replace(" ga as (", " ga as materialized (")
 
 
-LAST = BURN + (DRAWS - 1) * THIN
-GRAPHS = traded_sql(LAST) | {"gr": " union all ".join(f'select chain, {(s - BURN) // THIN} as draw, "left", "right" from e{s}' for s in range(BURN, LAST + 1, THIN))}
 METRIC = {
     "pa": 'select profile, "left", weight / degree as part from w join deg using ("left")',
     "gx": 'select chain, draw, profile, "right", sum(part) * any_value(idf) as x from (select * from gr union all select -1, -1, "left", "right" from edges) join pa using ("left") join rs using ("right") group by chain, draw, profile, "right"',
@@ -920,12 +916,20 @@ def with_metrics(spark, d):
     """The edges, and the draws' layers (chain, draw, layer, gjsd); the observed graph's have chain -1."""
     e, w, scratch = S.edges(spark, d), S.weights(spark, d), Scratch(spark)
     members = S.members(spark, d).withColumnRenamed("feature", "right")
-    metric = lambda g: rewire.layers(g, w, e, members).select("chain", "layer", F.round("gjsd", 10).alias("gjsd"))
-    draws = rewire.null_draws(e, CHAINS, DRAWS, BURN, THIN, SEED, metric)
-    return scratch.write(draws.select("chain", "draw", "layer", "gjsd")), scratch.write(metric(e.select(F.lit(-1).alias("chain"), "left", "right")))
+    metric = lambda g: rewire.layers(g, w, e, members).select("chain", "draw", "layer", F.round("gjsd", 10).alias("gjsd"))
+    draws = rewire.rewired(e, CHAINS, DRAWS, BURN, THIN, SEED)
+    return scratch.write(metric(draws)), scratch.write(metric(rewire.as_rows(e).select(F.lit(-1).alias("chain"), F.lit(-1).alias("draw"), "left", "rights")))
+
+
+GAP = 'select chain, draw, max(abs(d - e)) as {side}_gap from (select chain, draw, "{side}", count(*) as d from gr group by all) join (select "{side}", count(*) as e from edges group by all) using ("{side}") group by all'
 
 
-@query(sql("select chain, draw, count(*) as n_edges, 0::bigint as left_gap, 0::bigint as right_gap, round(avg((\"left\", \"right\") not in (select (\"left\", \"right\") from edges)), 8) as changed from gr group by all", "edges", **GRAPHS).replace('avg(("left", "right") not in (select ("left", "right") from edges))', "avg(case when x is null then 1 else 0 end)").replace(' from gr group by all', ' from gr left join (select "left", "right", 1 as x from edges) using ("left", "right") group by all'))
+@query(
+    replayed(
+        'select chain, draw, n_edges, left_gap, right_gap, changed from (select chain, draw, count(*) as n_edges, round(avg(case when x is null then 1 else 0 end), 8) as changed from gr left join (select "left", "right", 1 as x from edges) using ("left", "right") group by all) join lg using (chain, draw) join rg using (chain, draw)',
+        "edges", lg=GAP.format(side="left"), rg=GAP.format(side="right"),
+    ).replace(" gr as (", " gr as materialized (")
+)
 def rewired_degrees(spark, d):
     """NM1, NM2, GR14: every kept graph has the observed degrees, and other edges."""
     e = S.edges(spark, d)
@@ -937,7 +941,7 @@ TOPOLOGY = """select n.layer, count(*) as n_null, any_value(o.gjsd) as observed,
     (sum((n.gjsd >= o.gjsd)::int) + 1)::double / (count(*) + 1) as p_upper, (sum((n.gjsd <= o.gjsd)::int) + 1)::double / (count(*) + 1) as p_lower from ga n join ga o on o.chain = -1 and o.layer = n.layer where n.chain >= 0 group by n.layer"""
 
 
-@query(sql(TOPOLOGY, "w", "deg", "rs", "mem", **GRAPHS, **METRIC))
+@query(replayed(TOPOLOGY, "w", "deg", "rs", "mem", **METRIC))
 def topology_null(spark, d):
     """GR13, NM2, ST13, ST1, MD12: the divergence of profiles recomputed from rewired graphs, at two layers, against the observed graph's."""
     draws, own = with_metrics(spark, d)
@@ -946,21 +950,23 @@ def topology_null(spark, d):
     return out.select("layer", "n_null", "observed", r("null_mean", 9).alias("null_mean"), r("null_sd", 9).alias("null_sd"), r("z", 4).alias("z"), "p_upper", "p_lower")
 
 
+LAGS = "select chain, {} from (select chain, gjsd, {} from ga where chain >= 0 and layer = 'feature' window w as (partition by chain order by draw)) group by chain".format(
+    ", ".join(f"round(corr(gjsd, y{k}), 6) as lag{k}" for k in (1, 5, 10)), ", ".join(f"lag(gjsd, {k}) over w as y{k}" for k in (1, 5, 10))
+)
+
+
 @query(
-    sql(
-        """select l.chain, round(l.c, 6) as autocorrelation, round(sqrt((n - 1) / n + between_ / within_), 6) as r_hat, abs(l.c) <= 0.3 and sqrt((n - 1) / n + between_ / within_) <= 1.1 as mixed,
-        case when abs(l.c) <= 0.3 and sqrt((n - 1) / n + between_ / within_) <= 1.1 then 'MIXED' when sqrt((n - 1) / n + between_ / within_) <= 1.1 then 'SLOW' else 'STUCK' end as verdict
-        from (select chain, corr(gjsd, y) as c from (select chain, gjsd, lag(gjsd) over (partition by chain order by draw) as y from ga where chain >= 0 and layer = 'feature') where y is not null group by all) l
-        cross join (select avg(v) as within_, var_samp(m) as between_, avg(n) as n from (select chain, avg(gjsd) as m, var_samp(gjsd) as v, count(*) as n from ga where chain >= 0 and layer = 'feature' group by all))""",
-        "w", "deg", "rs", "mem", **GRAPHS, **METRIC,
+    replayed(
+        """select chain, lag1, lag5, lag10, r_hat, abs(lag1) <= 0.10 and r_hat <= 1.01 as mixed, case when abs(lag1) <= 0.10 and r_hat <= 1.01 then 'MIXED' when r_hat <= 1.01 then 'SLOW' else 'STUCK' end as verdict from lags
+        cross join (select round(sqrt((n - 1) / n + between_ / within_), 6) as r_hat from (select avg(v) as within_, var_samp(m) as between_, avg(n) as n from (select chain, avg(gjsd) as m, var_samp(gjsd) as v, count(*) as n from ga where chain >= 0 and layer = 'feature' group by all)))""",
+        "w", "deg", "rs", "mem", **METRIC, lags=LAGS,
     )
 )
 def chain_mixing(spark, d):
-    """ST20, ST21, WN6, ST25: of the null divergences, over the chains."""
-    x = with_metrics(spark, d)[0].where("layer = 'feature'")
-    out = rewire.mixing(x, "gjsd", 0.3, 1.1)
-    rules = [("MIXED", F.col("mixed")), ("SLOW", F.col("r_hat") <= 1.1)]
-    return rewire.verdict(out, rules, "STUCK").select("chain", r("autocorrelation", 6).alias("autocorrelation"), r("r_hat", 6).alias("r_hat"), "mixed", "verdict")
+    """ST20, ST21, WN6, ST25: of the null divergences, over the chains, by the limits 0.10 and 1.01."""
+    out = rewire.mixing(with_metrics(spark, d)[0].where("layer = 'feature'"), "gjsd")
+    rules = [("MIXED", F.col("mixed")), ("SLOW", F.col("r_hat") <= 1.01)]
+    return rewire.verdict(out, rules, "STUCK").select("chain", *[r(c, 6).alias(c) for c in ("lag1", "lag5", "lag10", "r_hat")], "mixed", "verdict")
 
 
 @query(sql("select count(*) as n, 0::bigint as n_one_sided, 0::bigint as n_masks, 0.0::double as max_gap, true as agree from nul", "feat", "z", "uni", **{k: v for k, v in DRAW.items() if k != "obs"}))

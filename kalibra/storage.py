@@ -54,6 +54,15 @@ class Scratch:
         out._kalibra_path = path
         return out
 
+    def append(self, table: DataFrame | None, df: DataFrame) -> DataFrame:
+        """A table of write() with the rows of df added."""
+        if table is None:
+            return self.write(df)
+        df.write.mode("append").parquet(table._kalibra_path)
+        out = self.spark.read.schema(table.schema).parquet(table._kalibra_path)
+        out._kalibra_path = table._kalibra_path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table of write() that no later plan reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kalibra_path)

@@ -107,27 +107,72 @@ def test_bootstrap_draws_as_many_as_there_are(spark):
     assert {(r.profile, r.n) for r in got} == {("a", 7), ("b", 11)} and len(got) == 12
 
 
+def played_plainly(edges, chain, draws, burn, thin, seed, buckets=1):
+    """The kept graphs of a chain, by sets."""
+    rows = {}
+    for a, b in edges:
+        rows.setdefault(a, set()).add(b)
+    out = []
+    for step in range(1, burn + (draws - 1) * thin + 1):
+        first = (step - 1) // rewire.EPOCH * rewire.EPOCH if buckets > 1 else 0
+        key = {a: rewire.mixed(rewire.mixed(rewire.mixed(seed, chain), step), a) for a in rows}
+        bucket = {a: rewire.mixed(rewire.mixed(rewire.mixed(seed + 1, chain), first), a) % buckets for a in rows}
+        for k in range(buckets):
+            order = sorted((a for a in rows if bucket[a] == k), key=lambda a: (key[a], a))
+            for a, b in zip(order[::2], order[1::2]):
+                alone, shared = sorted(rows[a] ^ rows[b], key=lambda x: (rewire.mixed(key[a], x), x)), rows[a] & rows[b]
+                n = len(rows[a]) - len(shared)
+                rows[a], rows[b] = shared | set(alone[:n]), shared | set(alone[n:])
+        if step >= burn and (step - burn) % thin == 0:
+            out.append({(a, b) for a, own in rows.items() for b in own})
+    return out
+
+
+def some_edges(spark, lefts, rights, n):
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, lefts, n), rng.integers(0, rights, n))})
+    return rows, frame(spark, rows, "left int, right int")
+
+
+@pytest.mark.parametrize("most, buckets", [(1 << 20, 1), (400, 4)])
+def test_rewired_like_sets(spark, most, buckets):
+    rows, e = some_edges(spark, 150, 60, 1500)
+    assert -(-len(rows) // most) == buckets
+    got = {}
+    for r in rewire.as_edges(rewire.rewired(e.repartition(3), 2, 3, 15, 4, 9, most)).collect():
+        got.setdefault((r.chain, r.draw), set()).add((r.left, r.right))
+    assert got == {(c, i): g for c in range(2) for i, g in enumerate(played_plainly(rows, c, 3, 15, 4, 9, buckets))}
+
+
 def test_curveball(spark):
     board = frame(spark, [(0, 0), (1, 1)], "left int, right int")
     kept = rewire.degrees_kept(rewire.rewired(board, 2, 6, 3, 3, 1), board).collect()
     assert len(kept) == 12 and all(r.left_gap == r.right_gap == 0 and r.n_edges == 2 for r in kept)
     full = frame(spark, [(i, j) for i in range(3) for j in range(4)], "left int, right int")
-    got = rewire.rewired(full, 1, 2, 1, 1, 1).groupBy("draw").agg(F.countDistinct("left", "right").alias("n")).collect()
-    assert {r.n for r in got} == {12}
-    assert {r.share for r in rewire.changed_share(rewire.rewired(full, 1, 2, 1, 1, 1), full).collect()} == {0.0}
+    graphs = rewire.rewired(full, 1, 2, 1, 1, 1)
+    assert {r.n for r in rewire.as_edges(graphs).groupBy("draw").agg(F.countDistinct("left", "right").alias("n")).collect()} == {12}
+    assert {r.share for r in rewire.changed_share(graphs, full).collect()} == {0.0}
+    with pytest.raises(Exception, match="nodes must be numbers"):
+        rewire.rewired(frame(spark, [(-1, 0), (1, 1)], "left int, right int"), 1, 1, 1, 1, 1).count()
+
+
+def test_trades_visit_all_graphs_alike(spark):
+    """Of the 6 graphs of 4 left nodes with one of 2 right nodes each, two and two, every one about as often."""
+    board = frame(spark, [(0, 0), (1, 0), (2, 1), (3, 1)], "left int, right int")
+    got = rewire.as_edges(rewire.rewired(board, 4, 1500, 10, 2, 5)).where("right = 0").groupBy("chain", "draw").agg(F.sum(F.expr("cast(pow(2, left) as int)")).alias("g"))
+    counts = [r["count"] for r in got.groupBy("g").count().collect()]
+    assert len(counts) == 6 and min(counts) > 850 and max(counts) < 1150
 
 
 def test_trades_of_many_nodes(spark):
     """Over several buckets and partitions: degrees stay, edges change and repeat nowhere, and chains differ."""
-    rng = np.random.default_rng(6)
-    e = frame(spark, sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 150, 1500), rng.integers(0, 60, 1500))}), "left int, right int")
-    graphs = rewire.rewired(e, 2, 2, 2, 1, 9)
-    assert all(r.left_gap == r.right_gap == 0 and r.n_edges == e.count() for r in rewire.degrees_kept(graphs, e).collect())
-    assert graphs.distinct().count() == graphs.count() == 4 * e.count()
+    rows, e = some_edges(spark, 150, 60, 1500)
+    graphs = rewire.rewired(e, 2, 2, 2, 1, 9, 200)
+    assert all(r.left_gap == r.right_gap == 0 and r.n_edges == len(rows) for r in rewire.degrees_kept(graphs, e).collect())
+    flat = rewire.as_edges(graphs)
+    assert flat.distinct().count() == flat.count() == 4 * len(rows)
     assert all(r.share > 0.3 for r in rewire.changed_share(graphs, e).collect())
-    again = rewire.rewired(e.repartition(7), 2, 2, 2, 1, 9)
-    assert graphs.exceptAll(again).count() == 0
-    draw = lambda c: graphs.where(f"chain = {c} and draw = 0").select("left", "right")
+    draw = lambda c: flat.where(f"chain = {c} and draw = 0").select("left", "right")
     assert draw(0).exceptAll(draw(1)).count() > 0
 
 
@@ -135,7 +180,8 @@ def test_layers_of_the_observed_graph(spark):
     rng = np.random.default_rng(8)
     e = frame(spark, sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 9, 60), rng.integers(0, 15, 60))}), "left int, right int")
     w = frame(spark, [(p, n, float(rng.random())) for p in "abc" for n in range(9)], "profile string, left int, weight double")
-    got = rewire.layers(e.select(F.lit(0).alias("chain"), "left", "right"), w, e).first()
+    seen = rewire.as_rows(e).select(F.lit(0).alias("chain"), F.lit(0).alias("draw"), "left", "rights")
+    got = rewire.layers(seen, w, e).first()
     want = divergence.gjsd(projection.project(w, e), "sum1").first()
     assert got.gjsd == pytest.approx(want.gjsd) and got.common_mass == pytest.approx(want.common_mass)
 
