@@ -34,6 +34,21 @@ def spread(df: DataFrame, x: str, by: list[str], scratch: Scratch) -> DataFrame:
     return own.select(*by, x, "_n", "_task", (F.col("_base") + F.col("_own")).alias("_upto"))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """df with numbers from 0 within few groups of very many rows, in an order without ties.
+
+    Rows are dealt out in order, each task numbers its own, and the tasks' few
+    totals are added up, so no group is sorted in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch.write(df.repartitionByRange(parts, *by, *order).withColumn("_task", F.spark_partition_id()))
+    totals = rows.groupBy(*by, "_task").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_task").orderBy(*order)) - 1
+    return rows.withColumn("_own", own).join(totals, [*by, "_task"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_base", "_own", "_task")
+
+
 def wide_average_rank(df: DataFrame, x: str, by: list[str], name: str, least: bool = False) -> DataFrame:
     """df with average ranks, or the least of ties, for few groups of very many rows; null values have no row."""
     found = spread(df, x, by, Scratch(df.sparkSession))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import safe_divide, spearman, to_sum_one, wide_average_rank
-from kalibra.operators.expression import welch
+from kalibra.functions.ranks import numbered, safe_divide, spearman, to_sum_one, wide_average_rank
+from kalibra.operators.nulls import hits
 from kalibra.storage import Scratch
 
+#: Rows of values that a task holds for its resamples, about.
+PART = 1 << 18
+
 
 def eligibility(members: DataFrame, universe: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """(module, n, broad, eligible) of all modules: enough features of the universe, but not over a share of it."""
@@ -110,15 +117,83 @@ def recovered(predictions: DataFrame, affinities: DataFrame) -> DataFrame:
     return rows.groupBy("module").agg(F.avg(F.when(F.col("positive") > 0, F.col("product") / F.col("positive"))).alias("d"))
 
 
-def bootstrap_difference(values: DataFrame, times: DataFrame, case, members: DataFrame, first: DataFrame, second: DataFrame, least: int = 15) -> DataFrame:
+def resampled_effects(values: DataFrame, case: str, replicates: int, seed: int, digits: int = 6) -> DataFrame:
+    """(rep, profile, part, features, effects): the difference of means between case and other subjects, by feature, of each resample.
+
+    values (profile, subject, feature, value) have one row for a subject and
+    feature.  A task holds a part of a profile's features, of some PART rows, and
+    counts every subject as often as hits() draws it; features with under two draws
+    on a side have no effect.
+    """
+    scratch = Scratch(values.sparkSession)
+    people = numbered(values.select("profile", "subject").distinct(), ["profile"], ["subject"], "n", scratch)
+    sizes = people.groupBy("profile").agg(F.count("*").alias("size")).withColumn("g", F.row_number().over(Window.orderBy("profile")) - 1)  # a row for each profile
+    rows = scratch.write(values.where("value is not null").join(people, ["profile", "subject"]).join(sizes, "profile"))
+    parts = max(1, -(-rows.count() // PART))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("feature"), F.lit(parts)).cast("int"))
+    slot = (F.col("g") * parts + F.col("part")).cast("int")
+    rows = rows.select(slot.alias("slot"), "profile", "part", "g", "size", "n", F.col(case).cast("int").alias("case"), "value", "feature").repartition("slot").sortWithinPartitions("slot", "feature")
+    kind = values.schema["feature"].dataType.simpleString()
+
+    def effects(profile: str, part: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, size = table["g"][0].as_py(), table["size"][0].as_py()
+        found = table["feature"].combine_chunks().dictionary_encode()
+        k, at, value = len(found.dictionary), table["n"].to_numpy(), table["value"].to_numpy()
+        side = found.indices.to_numpy() * 2 + table["case"].to_numpy()
+        for rep in range(replicates):
+            times = hits(size, seed, rep, g)[at].astype(float)
+            n = np.bincount(side, times, 2 * k).reshape(-1, 2)
+            total = np.bincount(side, times * value, 2 * k).reshape(-1, 2)
+            kept = np.flatnonzero((n >= 2).all(1))
+            means = total[kept] / n[kept]
+            effect = (means[:, 1] - means[:, 0]) * 10**digits
+            effect = np.copysign(np.floor(np.abs(effect) + 0.5), effect) / 10**digits + 0.0
+            lists = [pa.ListArray.from_arrays([0, len(kept)], x) for x in (found.dictionary.take(pa.array(kept)), pa.array(effect))]
+            yield pa.RecordBatch.from_arrays([pa.array([rep], pa.int64()), pa.array([profile]), pa.array([part], pa.int32()), *lists], names=["rep", "profile", "part", "features", "effects"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held = None, []
+        for b in batches:
+            slots = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a and slots[a] != slot:
+                    if held:
+                        whole = pa.Table.from_batches(held)
+                        yield from effects(whole["profile"][0].as_py(), whole["part"][0].as_py(), whole)
+                    slot, held = slots[a], []
+                held.append(b.slice(a, z - a))
+        if held:
+            whole = pa.Table.from_batches(held)
+            yield from effects(whole["profile"][0].as_py(), whole["part"][0].as_py(), whole)
+
+    return rows.mapInArrow(run, f"rep long, profile string, part int, features array<{kind}>, effects array<double>")
+
+
+def bootstrap_difference(values: DataFrame, case: str, members: DataFrame, first: DataFrame, second: DataFrame, replicates: int, seed: int, least: int = 15) -> DataFrame:
     """(rep, profile, difference): under each resample, how much better one prediction (profile, module, scaled) fits than another.
 
-    values (profile, subject, feature, value) are tested between case and other
-    subjects, each counted times (rep, profile, subject, times); the effects
-    become percentile modules, and both predictions are correlated with them.
+    The effects of resampled_effects() become percentile modules, and both
+    predictions are correlated with them.  One task ranks a profile's effects of one
+    resample, as many as there are features.
     """
-    tests = welch(times.join(values, ["profile", "subject"]), ["rep", "profile", "feature"], case, F.col("times").cast("double"))
-    effects = tests.select("rep", "profile", "feature", F.round("effect", 6).alias("value"))
-    seen = percentile_modules(effects, members, ["rep", "profile"], least).select("rep", "profile", "module", F.round("scaled", 9).alias("o"))
+    scratch = Scratch(values.sparkSession)
+    every = scratch.write(resampled_effects(values, case, replicates, seed))
+    kind = values.schema["feature"].dataType.simpleString()
+
+    def ranked(table: pa.Table) -> pa.Table:
+        effects, features = (pa.concat_arrays([x.flatten() for x in table[c].chunks]) for c in ("effects", "features"))
+        x = effects.to_numpy()
+        order, n = np.argsort(x, kind="stable"), len(x)
+        edges = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1], [True]))) if n else np.zeros(1, int)
+        ranks = np.empty(n)
+        ranks[order] = np.repeat((edges[:-1] + edges[1:] + 1) / 2, np.diff(edges))
+        one = lambda v, t: pa.array([v] * n, t)
+        return pa.table([one(table["rep"][0].as_py(), pa.int64()), one(table["profile"][0].as_py(), pa.string()), features, pa.array(ranks / (n + 1))], names=["rep", "profile", "feature", "value"])
+
+    shares = every.groupBy("rep", "profile").applyInArrow(ranked, f"rep long, profile string, feature {kind}, value double")
+    raw = means(shares, members, ["rep", "profile"], least)
+    norm = F.sqrt(F.sum(F.col("mean") * F.col("mean")).over(Window.partitionBy("rep", "profile")))  # as many rows as modules
+    seen = scratch.write(raw.select("rep", "profile", "module", F.round(safe_divide(F.col("mean"), norm), 9).alias("o")))
     rho = [spearman(seen.join(p, ["profile", "module"]), "scaled", "o", ["rep", "profile"]).select("rep", "profile", F.col("rho").alias(n)) for n, p in (("a", first), ("b", second))]
     return rho[0].join(rho[1], ["rep", "profile"]).select("rep", "profile", (F.col("a") - F.col("b")).alias("difference"))

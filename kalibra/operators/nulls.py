@@ -1,19 +1,25 @@
 """Structural null models: matched strata, keyed permutations and alignments.
 
-Randomness is a hash of (seed, replicate, entity), so results depend neither on
+Randomness is a hash of (seed, replicate, place), so results depend neither on
 the order of evaluation nor on partitions, and any SQL engine can replay them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kalibra.operators.mapping import with_each
-
+from kalibra.functions.keyed import chained, chained_sql, mixed, mixed_sql
+from kalibra.functions.ranks import numbered
+from kalibra.storage import Scratch
 
-def random_key(seed: int, *parts) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts]))
+#: Strata of up to LARGE features are worked out in arrays, for BLOCK replicates at a time.
+LARGE, BLOCK = 1 << 20, 64
 
 
 def with_each_rep(df: DataFrame, replicates: int) -> DataFrame:
@@ -38,21 +44,73 @@ def matched_strata(universe: DataFrame, network: str, ubiquity: str, none: str =
     return rows.withColumn("stratum", label).drop("_d", "_u")
 
 
-def permutations(universe: DataFrame, replicates: int, seed: int, by_profile: DataFrame | None = None, key: str = "feature") -> DataFrame:
+def strata_of(universe: DataFrame, key: str) -> DataFrame:
+    """(stratum, s): the strata, numbered from 0 in order; one row for each, so they fit one task."""
+    return universe.select("stratum").distinct().withColumn("s", F.row_number().over(Window.orderBy("stratum")) - 1)
+
+
+def packs(rows: DataFrame, replicates: int, key: str, *columns: str) -> DataFrame:
+    """(stratum, s, first, rows): every stratum's features with their columns, in order of the key, once for each block of replicates."""
+    strata = rows.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct(key, *columns))).alias("rows"))
+    strata = strata.join(strata_of(rows, key), "stratum")
+    return strata.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK)))).repartition("stratum", "first")
+
+
+def donors(size: int, seed: int, rep: int, *more: int) -> np.ndarray:
+    """The places whose members go to the places 0, 1, ... of a stratum."""
+    return np.argsort(mixed(chained(seed, rep, *more), np.arange(size)), kind="stable")
+
+
+def largest_stratum(universe: DataFrame) -> int:
+    return universe.groupBy("stratum").count().agg(F.max("count")).first()[0] or 0
+
+
+def names_of(table: DataFrame, column: str, most: int = 200) -> list:
+    """A column's few values, in order."""
+    found = [r[0] for r in table.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return found
+
+
+def permutations(universe: DataFrame, replicates: int, seed: int, by_profile: DataFrame | None = None, key: str = "feature", large: int = LARGE) -> DataFrame:
     """(rep, key, donor): in each replicate and stratum the members change places.
 
-    One permutation serves all profiles, or with by_profile, a table of
-    profiles, each has its own, in a column more.
+    One permutation serves all profiles, or with by_profile, a table of few
+    profiles, each has its own, in a column more.  A task permutes a stratum for a
+    block of replicates; beyond large features in a stratum, ranges of it do.
     """
-    keys, parts = ["rep"], [F.col("rep")]
-    rows = with_each_rep(universe.select(key, "stratum"), replicates)
-    if by_profile is not None:
-        rows = with_each(rows, by_profile.select("profile"))
-        keys, parts = ["rep", "profile"], [F.col("rep"), F.col("profile")]
-    w = Window.partitionBy(*keys, "stratum")
-    own = rows.withColumn("n", F.row_number().over(w.orderBy(key)))
-    drawn = rows.withColumn("n", F.row_number().over(w.orderBy(random_key(seed, *parts, key), key)))
-    return own.join(drawn.withColumnRenamed(key, "donor"), [*keys, "stratum", "n"]).select(*keys, key, "donor")
+    names = names_of(by_profile, "profile") if by_profile is not None else [None]
+    keys = ["rep"] if by_profile is None else ["rep", "profile"]
+    if largest_stratum(universe) > large:
+        return spread_permutations(universe, replicates, seed, names, keys, key)
+    kind = universe.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, first, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                own = rows.values.field(0)
+                for rep in range(first, min(first + BLOCK, replicates)):
+                    for p, name in enumerate(names):
+                        drawn = own.take(pa.array(donors(len(own), seed, rep, s) if name is None else donors(len(own), seed, rep, p, s)))
+                        cols = [pa.array(np.full(len(own), rep)), *([] if name is None else [pa.array([name] * len(own), pa.string())]), own, drawn]
+                        yield pa.RecordBatch.from_arrays(cols, names=[*keys, key, "donor"])
+
+    shape = f"rep long, {'profile string, ' if len(keys) > 1 else ''}`{key}` {kind}, donor {kind}"
+    return packs(universe.select("stratum", key), replicates, key).select("s", "first", "rows").mapInArrow(run, shape)
+
+
+def spread_permutations(universe: DataFrame, replicates: int, seed: int, names: list, keys: list[str], key: str) -> DataFrame:
+    """permutations() of strata of any size: members are numbered over ranges, in the key's order and in that of each replicate."""
+    scratch = Scratch(universe.sparkSession)
+    own = numbered(universe.select(key, "stratum"), ["stratum"], [key], "n", scratch)
+    draws = with_each_rep(strata_of(universe, key), replicates)
+    if len(keys) > 1:
+        draws = draws.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(i).cast("long").alias("p")) for i, n in enumerate(names)]))).select("*", "_p.*").drop("_p")
+    draws = draws.withColumn("_k", F.expr(chained_sql(str(seed), "rep", *(["p"] if len(keys) > 1 else []), "cast(s as bigint)"))).select("stratum", *keys, "_k")
+    rows = scratch.write(own).join(draws, "stratum")
+    drawn = numbered(rows.select(*keys, "stratum", F.col(key).alias("donor"), F.expr(mixed_sql("_k", "n")).alias("_h"), F.col("n").alias("_at")), [*keys, "stratum"], ["_h", "_at"], "n", scratch)
+    return rows.join(drawn, [*keys, "stratum", "n"]).select(*keys, key, "donor")
 
 
 def alignment(weights: DataFrame, scores: DataFrame, by: list[str], key: str = "feature") -> DataFrame:
@@ -75,6 +133,81 @@ def alignment_null(weights: DataFrame, scores: DataFrame, drawn: DataFrame, key:
     return alignment(permuted_weights(weights, drawn, key), scores, ["rep", "profile"], key)
 
 
+def wide_weights(weights: DataFrame, names: list, key: str) -> DataFrame:
+    """(key, w): the profiles' weights as an array in the order of names, 0 where there is none."""
+    return weights.groupBy(key).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("profile") == n, F.col("weight"))), F.lit(0.0)) for n in names]).alias("w"))
+
+
+def alignment_blocks(universe: DataFrame, weights: DataFrame, scores: DataFrame, replicates: int, seed: int, key: str = "feature", large: int = LARGE) -> DataFrame:
+    """alignment_null() under permutations(), worked out for a stratum and a block of replicates at a time as products of arrays.
+
+    Strata of more than large features take the way over tables of rows.
+    """
+    if largest_stratum(universe) > large:
+        return alignment_null(weights, scores, Scratch(universe.sparkSession).write(permutations(universe, replicates, seed, key=key, large=large)), key)
+    names = names_of(weights, "profile")
+    rows = universe.select("stratum", key).join(wide_weights(weights, names, key), key, "left").join(scores.select(key, "z"), key, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, first, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                z, w = floats(rows.values.field(1)), matrix(rows.values.field(2), len(names))
+                seen = ~np.isnan(z)
+                left = np.stack((np.where(seen, z, 0.0), seen.astype(float)))
+                reps = range(first, min(first + BLOCK, replicates))
+                both = np.array([left @ w[donors(len(z), seed, rep, s)] for rep in reps])
+                cols = [pa.array(np.repeat(reps, len(names))), pa.array(names * len(reps), pa.string()), pa.array(both[:, 0].ravel()), pa.array(both[:, 1].ravel())]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "profile", "num", "den"])
+
+    parts = packs(rows, replicates, key, "z", "w").select("s", "first", "rows").mapInArrow(run, "rep long, profile string, num double, den double")
+    out = parts.groupBy("rep", "profile").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    return out.withColumn("alignment", F.when(F.col("den") > 0, F.col("num") / F.col("den")))
+
+
+def mass_blocks(universe: DataFrame, weights: DataFrame, members: DataFrame, replicates: int, seed: int, key: str = "feature", large: int = LARGE) -> DataFrame:
+    """(rep, profile, module, mass): what members (key, module) add up to under permutations(), in blocks as alignment_blocks()."""
+    if largest_stratum(universe) > large:
+        drawn = Scratch(universe.sparkSession).write(permutations(universe, replicates, seed, key=key, large=large))
+        return permuted_weights(weights, drawn, key).join(members, key).groupBy("rep", "profile", "module").agg(F.sum("weight").alias("mass"))
+    names = names_of(weights, "profile")
+    own = members.groupBy(key).agg(F.collect_list("module").alias("modules"))
+    rows = universe.select("stratum", key).join(wide_weights(weights, names, key), key, "left").join(own, key, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, first, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                w, lists = matrix(rows.values.field(1), len(names)), rows.values.field(2)
+                at = pc.list_parent_indices(lists).to_numpy()
+                found = lists.flatten().dictionary_encode()
+                modules, which = found.dictionary, found.indices.to_numpy()
+                if not len(modules):
+                    continue
+                reps, k = range(first, min(first + BLOCK, replicates)), len(modules)
+                out = np.empty((len(reps), len(names), k))
+                for i, rep in enumerate(reps):
+                    given = w[donors(len(w), seed, rep, s)[at]]
+                    for p in range(len(names)):
+                        out[i, p] = np.bincount(which, given[:, p], k)
+                many = len(reps) * len(names)
+                cols = [pa.array(np.repeat(reps, len(names) * k)), pa.array(np.tile(np.repeat(names, k), len(reps)).tolist(), pa.string()), modules.take(pa.array(np.tile(np.arange(k), many))), pa.array(out.ravel())]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "profile", "module", "mass"])
+
+    parts = packs(rows, replicates, key, "w", "modules").select("s", "first", "rows").mapInArrow(run, "rep long, profile string, module string, mass double")
+    return parts.groupBy("rep", "profile", "module").agg(F.sum("mass").alias("mass"))
+
+
+def floats(column: pa.Array) -> np.ndarray:
+    """A column's numbers, NaN for nulls."""
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A column of lists of equal length as rows, zeros for nulls."""
+    out = np.zeros((len(column), width))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
 def contrasts(values: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
     """(by, first, second, difference) of each two profiles under the same replicate."""
     by = by or []
@@ -107,11 +240,37 @@ def guarded(mass: Column, x: Column, otherwise: float = -1.0) -> Column:
     return F.when(mass <= 0, F.lit(otherwise)).otherwise(x)
 
 
-def drawn_subjects(subjects: DataFrame, replicates: int, seed: int, by: list[str], key: str) -> DataFrame:
-    """(rep, by, key, times): as many draws with replacement as a group has subjects; those not drawn have no row."""
-    w = Window.partitionBy(*by)
-    own = subjects.select(*by, key).distinct().withColumns({"n": F.row_number().over(w.orderBy(key)), "size": F.count("*").over(w)})
-    slots = with_each_rep(own, replicates)
-    hit = F.pmod(F.conv(F.substring(random_key(seed, "rep", *by, key), 1, 8), 16, 10).cast("long"), F.col("size")) + 1
-    drawn = slots.select("rep", *by, hit.alias("n")).groupBy("rep", *by, "n").agg(F.count("*").alias("times"))
-    return drawn.join(own.select(*by, key, "n"), [*by, "n"]).select("rep", *by, key, "times")
+def drawn_subjects(subjects: DataFrame, replicates: int, seed: int, by: list[str], key: str, large: int = LARGE) -> DataFrame:
+    """(rep, by, key, times): as many draws with replacement as a group has subjects; those not drawn have no row.
+
+    A task draws a group's subjects for a block of replicates, by hits(); beyond
+    large subjects in a group, rows are drawn each.
+    """
+    scratch = Scratch(subjects.sparkSession)
+    own = scratch.write(numbered(subjects.select(*by, key).distinct(), by, [key], "n", scratch))
+    groups = own.groupBy(*by).agg(F.count("*").alias("size")).withColumn("_g", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))  # a row for each group
+    if (groups.agg(F.max("size")).first()[0] or 0) > large:
+        draws = with_each_rep(groups, replicates)
+        draws = draws.withColumn("_h", F.expr(chained_sql(str(seed), "rep", "_g")))
+        drawn = own.select(*by, F.col("n").alias("_n")).join(draws, by).select("rep", *by, F.expr(f"{mixed_sql('_h', '_n')} % size").alias("n"))
+        return drawn.groupBy("rep", *by, "n").agg(F.count("*").alias("times")).join(own.select(*by, key, "n"), [*by, "n"]).select("rep", *by, key, "times")
+    kinds = [subjects.schema[c].dataType.simpleString() for c in (*by, key)]
+    rows = own.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", key))).alias("rows")).join(groups.select(*by, "_g"), by)
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK)))).repartition(*by, "first").select("_g", "first", "rows", *by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (g, first, rows) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
+                own = rows.values.field(1)
+                for rep in range(first, min(first + BLOCK, replicates)):
+                    times = hits(len(own), seed, rep, g)
+                    at = pa.array(np.flatnonzero(times))
+                    group = [b.column(3 + c).take(pa.array(np.full(len(at), i))) for c in range(len(by))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rep)), *group, own.take(at), pa.array(times[times > 0])], names=["rep", *by, key, "times"])
+
+    return rows.mapInArrow(run, ", ".join(["rep long", *(f"`{c}` {k}" for c, k in zip((*by, key), kinds)), "times long"]))
+
+
+def hits(size: int, seed: int, rep: int, group: int) -> np.ndarray:
+    """How often each of a group's subjects is drawn."""
+    return np.bincount(chained(seed, rep, group, np.arange(size)) % size, minlength=size)

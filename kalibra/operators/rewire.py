@@ -22,27 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kalibra.functions.keyed import PRIME, mixed, mixed_sql
 from kalibra.functions.ranks import lag_correlation, safe_divide
 from kalibra.operators.projection import left_degrees, right_stats
 from kalibra.storage import Scratch
 
 #: Edges of a bucket, about, and the rounds that its nodes stay together.
 MOST, EPOCH = 1 << 20, 16
-#: The hash works modulo this prime, of which nodes are smaller.
-PRIME = 2_147_483_647
-
-
-def mixed_sql(h: str, x: str) -> str:
-    """SQL of a number below PRIME from one and the next value, a bijection of the value: fifth powers permute the field."""
-    y = f"((({h}) + ({x})) % {PRIME})"
-    return f"(({y} * {y} % {PRIME}) * ({y} * {y} % {PRIME}) % {PRIME} * {y} % {PRIME})"
-
-
-def mixed(h, x):
-    """The same of integers or arrays."""
-    y = (h + x) % PRIME
-    square = y * y % PRIME
-    return square * square % PRIME * y % PRIME
 
 
 def trade(a: np.ndarray, b: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +47,7 @@ def trade(a: np.ndarray, b: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarra
     if own == 0 or own == len(alone):
         return a, b
     first = np.zeros(len(alone), bool)
-    first[np.argpartition(mixed(key, alone), own - 1)[:own]] = True
+    first[np.argpartition(mixed(key, alone.astype(np.int64)), own - 1)[:own]] = True
     out = [np.concatenate((shared, part)) for part in (alone[first], alone[~first])]
     for x in out:
         x.sort(kind="stable")
@@ -94,7 +80,7 @@ def epoch(graph: DataFrame, chains: int, buckets: int, seed: int, first: int, la
                     ends = np.cumsum([0, *map(len, rows)])
                     arrays = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
                     same = lambda x: pa.array(np.full(len(rows), x, np.int32))
-                    yield pa.RecordBatch.from_arrays([same(chain), same(step), pa.array(left), arrays.cast(pa.list_(pa.int64()))], names=["chain", "step", "left", "rights"])
+                    yield pa.RecordBatch.from_arrays([same(chain), same(step), pa.array(left), arrays.cast(pa.list_(pa.int32()))], names=["chain", "step", "left", "rights"])
 
         slot, chain, nodes, rows = None, 0, [], []
         for b in batches:
@@ -108,12 +94,12 @@ def epoch(graph: DataFrame, chains: int, buckets: int, seed: int, first: int, la
         if rows:
             yield from turned(chain, nodes, rows)
 
-    return placed.mapInArrow(run, "chain int, step int, left long, rights array<long>")
+    return placed.mapInArrow(run, "chain int, step int, left long, rights array<int>")
 
 
 def as_rows(edges: DataFrame) -> DataFrame:
     """(left, rights): edges (left, right) by left node, each right node once and in order."""
-    return edges.groupBy(F.col("left").cast("long").alias("left")).agg(F.array_sort(F.collect_set(F.col("right").cast("long"))).alias("rights"))
+    return edges.groupBy(F.col("left").cast("long").alias("left")).agg(F.array_sort(F.collect_set(F.col("right").cast("int"))).alias("rights"))
 
 
 def rewired(edges: DataFrame, chains: int, draws: int, burn: int, thin: int, seed: int, most: int = MOST) -> DataFrame:
@@ -211,7 +197,7 @@ def degrees_kept(graphs: DataFrame, edges: DataFrame) -> DataFrame:
 def changed_share(graphs: DataFrame, edges: DataFrame) -> DataFrame:
     """(chain, draw, share): how many edges of each kept graph the observed one lacks."""
     rows = graphs.join(as_rows(edges).withColumnRenamed("rights", "_own"), "left", "left")
-    new = F.size(F.array_except("rights", F.coalesce("_own", F.array().cast("array<long>"))))
+    new = F.size(F.array_except("rights", F.coalesce("_own", F.array().cast("array<int>"))))
     return rows.groupBy("chain", "draw").agg(safe_divide(F.sum(new).cast("double"), F.sum(F.size("rights")).cast("double")).alias("share"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kalibra.functions import ranks
+from kalibra.functions.keyed import chained_sql, mixed_sql
 from kalibra.functions.special import erfc_sql, signed_z_sql, two_sided_p_sql
 from kalibra.operators import expression, graph, mapping, modules, nulls, rewire
 from kalibra.plans import stand_ins as S
@@ -13,7 +14,9 @@ from kalibra.storage import Scratch
 
 QUERIES, ORACLES = {}, {}
 #: P values have a floor of 1 / (REPS + 1).
-REPS = 39
+REPS = 999
+#: Resamples, whose intervals need fewer.
+BOOTS = 199
 
 
 def query(text: str | None = None):
@@ -30,18 +33,15 @@ def query(text: str | None = None):
 
 DRAW = {
     "reps": f"select unnest(range({REPS}))::bigint as rep",
-    "own": "select rep, feature, stratum, row_number() over (partition by rep, stratum order by feature) as n from uni cross join reps",
-    "drawn": f"select rep, feature as donor, stratum, row_number() over (partition by rep, stratum order by md5('{SEED}|' || rep || '|' || feature), feature) as n from uni cross join reps",
+    "num": "select feature, stratum, dense_rank() over (order by stratum) - 1 as s, row_number() over (partition by stratum order by feature) - 1 as n from uni",
+    "own": "select rep, feature, stratum, n from num cross join reps",
+    "drawn": f"select rep, feature as donor, stratum, row_number() over (partition by rep, stratum order by {chained_sql(str(SEED), 'rep', 's', 'n')}, n) - 1 as n from num cross join reps",
     "perm": "select rep, feature, donor from own join drawn using (rep, stratum, n)",
     "obs": "select profile, sum(weight * coalesce(z, 0)) / sum(case when z is not null then weight else 0 end) as alignment from feat left join z using (feature) group by profile",
     "nul": "select rep, profile, sum(weight * coalesce(z, 0)) / sum(case when z is not null then weight else 0 end) as alignment from perm join (select profile, feature as donor, weight from feat) using (donor) left join z using (feature) group by rep, profile",
 }
 
 
-def drawn(spark, d):
-    return Scratch(spark).write(nulls.permutations(S.universe(spark, d), REPS, SEED))
-
-
 @query(sql("select feature, network, ubiquity, stratum from uni", "uni"))
 def matched_strata(spark, d):
     """NM3, NM4."""
@@ -54,26 +54,27 @@ def stratum_summary(spark, d):
     return nulls.stratum_summary(S.universe(spark, d), "ubiquity")
 
 
-@query(sql("select rep, feature, donor from perm", "uni", **{k: DRAW[k] for k in ("reps", "own", "drawn", "perm")}))
+@query(sql("select rep, feature, donor from perm", "uni", **{k: DRAW[k] for k in ("reps", "num", "own", "drawn", "perm")}))
 def permutation(spark, d):
     """NM5."""
-    return drawn(spark, d)
+    return nulls.permutations(S.universe(spark, d), REPS, SEED)
 
 
 @query(
     sql(
         "select rep, profile, feature, donor from own join drawn using (rep, profile, stratum, n)",
         "uni",
-        reps="select unnest(range(3))::bigint as rep",
-        ps="select distinct c_mktsegment as profile from customer",
-        own="select rep, profile, feature, stratum, row_number() over (partition by rep, profile, stratum order by feature) as n from uni cross join reps cross join ps",
-        drawn=f"select rep, profile, feature as donor, stratum, row_number() over (partition by rep, profile, stratum order by md5('{SEED}|' || rep || '|' || profile || '|' || feature), feature) as n from uni cross join reps cross join ps",
+        reps="select unnest(range(99))::bigint as rep",
+        num=DRAW["num"],
+        ps="select profile, row_number() over (order by profile) - 1 as p from (select distinct c_mktsegment as profile from customer)",
+        own="select rep, profile, feature, stratum, n from num cross join reps cross join ps",
+        drawn=f"select rep, profile, feature as donor, stratum, row_number() over (partition by rep, profile, stratum order by {chained_sql(str(SEED), 'rep', 'p', 's', 'n')}, n) - 1 as n from num cross join reps cross join ps",
     )
 )
 def permutation_by_profile(spark, d):
     """NM6."""
     profiles = S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("profile"))
-    return nulls.permutations(S.universe(spark, d), 3, SEED, profiles)
+    return nulls.permutations(S.universe(spark, d), 99, SEED, profiles)
 
 
 @query(
@@ -117,12 +118,16 @@ def alignment_of_scores(spark, d):
 @query(sql("select rep, profile, round(alignment, 8) as alignment from nul", "feat", "z", "uni", **{k: v for k, v in DRAW.items() if k != "obs"}))
 def alignment_null(spark, d):
     """NM5, NM7, NM14."""
-    return nulls.alignment_null(S.features(spark, d), S.scores(spark, d), drawn(spark, d)).select("rep", "profile", r("alignment").alias("alignment"))
+    return null_alignments(spark, d).select("rep", "profile", r("alignment").alias("alignment"))
+
+
+def null_alignments(spark, d):
+    return nulls.alignment_blocks(S.universe(spark, d), S.features(spark, d), S.scores(spark, d), REPS, SEED)
 
 
 def with_null(spark, d):
     own = nulls.alignment(S.features(spark, d), S.scores(spark, d), ["profile"]).select("profile", F.round("alignment", 10).alias("observed"))
-    null = nulls.alignment_null(S.features(spark, d), S.scores(spark, d), drawn(spark, d)).select("profile", F.round("alignment", 10).alias("null"))
+    null = null_alignments(spark, d).select("profile", F.round("alignment", 10).alias("null"))
     return Scratch(spark).write(null.join(own, "profile"))
 
 
@@ -160,7 +165,7 @@ def empirical_two_tails(spark, d):
 )
 def null_contrasts(spark, d):
     """ST24."""
-    null = nulls.alignment_null(S.features(spark, d), S.scores(spark, d), drawn(spark, d))
+    null = Scratch(spark).write(null_alignments(spark, d))
     return nulls.contrasts(null, "alignment", ["rep"]).withColumn("difference", r("difference"))
 
 
@@ -176,26 +181,26 @@ def mixture(spark, d):
 
 
 @query(
-    f"""with subj as (select c_mktsegment as profile, c_custkey as k, row_number() over (partition by c_mktsegment order by c_custkey) as n, count(*) over (partition by c_mktsegment) as size from customer),
-    hits as (select rep, profile, ('0x' || substr(md5('{SEED}|' || rep || '|' || profile || '|' || k), 1, 8))::bigint % size + 1 as n from subj cross join (select unnest(range({REPS}))::bigint as rep))
+    f"""with subj as (select c_mktsegment as profile, c_custkey as k, dense_rank() over (order by c_mktsegment) - 1 as g, row_number() over (partition by c_mktsegment order by c_custkey) - 1 as n, count(*) over (partition by c_mktsegment) as size from customer),
+    hits as (select rep, profile, {chained_sql(str(SEED), 'rep', 'g', 'n')} % size as n from subj cross join (select unnest(range({BOOTS}))::bigint as rep))
     select rep, h.profile, k as customer, count(*) as times from hits h join subj using (profile, n) group by all"""
 )
 def bootstrap_draws(spark, d):
     """NM12."""
     people = S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("profile"), F.col("c_custkey").alias("customer"))
-    return nulls.drawn_subjects(people, REPS, SEED, ["profile"], "customer")
+    return nulls.drawn_subjects(people, BOOTS, SEED, ["profile"], "customer")
 
 
 @query(
-    f"""with subj as (select c_mktsegment as profile, c_custkey as k, c_acctbal as x, c_nationkey as y, row_number() over (partition by c_mktsegment order by c_custkey) as n, count(*) over (partition by c_mktsegment) as size from customer),
-    hits as (select rep, profile, ('0x' || substr(md5('{SEED}|' || rep || '|' || profile || '|' || k), 1, 8))::bigint % size + 1 as n from subj cross join (select unnest(range({REPS}))::bigint as rep)),
+    f"""with subj as (select c_mktsegment as profile, c_custkey as k, c_acctbal as x, c_nationkey as y, dense_rank() over (order by c_mktsegment) - 1 as g, row_number() over (partition by c_mktsegment order by c_custkey) - 1 as n, count(*) over (partition by c_mktsegment) as size from customer),
+    hits as (select rep, profile, {chained_sql(str(SEED), 'rep', 'g', 'n')} % size as n from subj cross join (select unnest(range({BOOTS}))::bigint as rep)),
     est as (select rep, h.profile, sum(case when y < 12 then x end) / sum((y < 12)::int) - sum(case when y >= 12 then x end) / sum((y >= 12)::int) as delta from hits h join subj using (profile, n) group by all)
     select profile, round(quantile_cont(delta, 0.025), 9) as low, round(quantile_cont(delta, 0.5), 9) as middle, round(quantile_cont(delta, 0.975), 9) as high from est group by profile"""
 )
 def bootstrap_interval(spark, d):
     """ST22, AG9: a difference of means under integer multiplicities."""
     people = S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("profile"), F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("value"), (F.col("c_nationkey") < 12).alias("case_"))
-    times = nulls.drawn_subjects(people, REPS, SEED, ["profile"], "customer")
+    times = nulls.drawn_subjects(people, BOOTS, SEED, ["profile"], "customer")
     tests = expression.welch(times.join(people, ["profile", "customer"]), ["rep", "profile"], F.col("case_"), F.col("times").cast("double"))
     out = tests.groupBy("profile").agg(F.percentile("effect", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     return out.select("profile", *[r(F.col("q")[i], 9).alias(n) for i, n in enumerate(("low", "middle", "high"))])
@@ -689,7 +694,7 @@ def affinities(spark, d):
 
 
 def null_masses(spark, d, w, m):
-    return Scratch(spark).write(modules.masses(nulls.permuted_weights(w, drawn(spark, d)), m, ["rep", "profile"]))
+    return Scratch(spark).write(nulls.mass_blocks(S.universe(spark, d), w, m, REPS, SEED))
 
 
 def disease(spark, d):
@@ -848,8 +853,8 @@ def first_endpoint(spark, d):
 SECOND = {
     **MOD,
     "v": "select c_mktsegment as profile, o_custkey as k, c_nationkey < 12 as case_, l_partkey as feature, avg(l_extendedprice) as value from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all",
-    "subj": "select profile, k, row_number() over (partition by profile order by k) as n, count(*) over (partition by profile) as size from (select distinct profile, k from v)",
-    "hits": f"select rep, profile, ('0x' || substr(md5('{SEED}|' || rep || '|' || profile || '|' || k), 1, 8))::bigint % size + 1 as n from subj cross join reps",
+    "subj": "select profile, k, dense_rank() over (order by profile) - 1 as g, row_number() over (partition by profile order by k) - 1 as n, count(*) over (partition by profile) as size from (select distinct profile, k from v)",
+    "hits": f"select rep, profile, {chained_sql(str(SEED), 'rep', 'g', 'n')} % size as n from subj cross join reps where rep < {BOOTS}",
     "tm": "select rep, profile, k, count(*) as times from hits join subj using (profile, n) group by all",
     "ef": "select rep, profile, feature, round(sum(times * value) filter (case_) / sum(times) filter (case_) - sum(times * value) filter (not case_) / sum(times) filter (not case_), 6) as value from tm join v using (profile, k) group by all having sum(times) filter (case_) >= 2 and sum(times) filter (not case_) >= 2",
     "pc": "select rep, profile, feature, (rank() over (partition by rep, profile order by value) + (count(*) over (partition by rep, profile, value) - 1) / 2.0::double) / (count(*) over (partition by rep, profile) + 1) as pc from ef",
@@ -872,11 +877,10 @@ def second_endpoint(spark, d):
     rows = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     keys = [F.col("c_mktsegment").alias("profile"), F.col("o_custkey").alias("subject"), (F.col("c_nationkey") < 12).alias("case_"), F.col("l_partkey").alias("feature")]
     values = Scratch(spark).write(rows.groupBy(*keys).agg(F.avg("l_extendedprice").alias("value")))
-    times = nulls.drawn_subjects(values, REPS, SEED, ["profile"], "subject")
     a = affinities(spark, d)
     first = modules.conditioned(disease(spark, d), a).select("profile", "module", F.round("scaled", 9).alias("scaled"))
     second = a.select("profile", "module", F.round("positive", 9).alias("scaled"))
-    out = modules.bootstrap_difference(values, times, F.col("case_"), S.members(spark, d), first, second, 2).withColumn("difference", r("difference", 7))
+    out = modules.bootstrap_difference(values, "case_", S.members(spark, d), first, second, BOOTS, SEED, 2).withColumn("difference", r("difference", 7))
     q = out.groupBy("profile").agg(F.count("*").alias("n"), F.percentile("difference", F.array(*map(F.lit, (0.025, 0.5, 0.975)))).alias("q"))
     return q.select("profile", "n", *[r(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))], (F.col("q")[0] > 0).alias("supported"))
 
@@ -887,12 +891,12 @@ CHAINS, DRAWS, BURN, THIN = 4, 50, 8, 3
 #: Graphs of all rounds of the chains, replayed; of up to rewire.MOST edges, so each chain is one bucket.
 GRAPHS = {
     "steps": f"""select 0::bigint as step, chain, "left", "right" from edges cross join (select unnest(range({CHAINS}))::bigint as chain) union all (
-        with now as (select chain, step + 1 as step, {rewire.mixed_sql(rewire.mixed_sql(str(SEED), 'chain'), 'step + 1')} as h, "left", "right" from steps where step < {BURN + (DRAWS - 1) * THIN}),
-        keyed as (select chain, "left", {rewire.mixed_sql('h', '"left"')} as key from (select distinct chain, h, "left" from now)),
+        with now as (select chain, step + 1 as step, {chained_sql(str(SEED), 'chain', 'step + 1')} as h, "left", "right" from steps where step < {BURN + (DRAWS - 1) * THIN}),
+        keyed as (select chain, "left", {mixed_sql('h', '"left"')} as key from (select distinct chain, h, "left" from now)),
         placed as (select *, row_number() over (partition by chain order by key, "left") - 1 as k from keyed),
         paired as (select chain, "left", k // 2 as pair, k % 2 as side, first_value("left") over w as a, last_value("left") over w as b, first_value(key) over w as ka from placed window w as (partition by chain, k // 2 order by k rows between unbounded preceding and unbounded following)),
         met as (select now.chain, step, pair, "right", count(*) as n, min(side) as side, any_value(a) as a, any_value(b) as b, any_value(ka) as ka from now join paired using (chain, "left") group by now.chain, step, pair, "right"),
-        told as (select *, row_number() over (partition by chain, pair, n order by {rewire.mixed_sql('ka', '"right"')}, "right") as place, sum((side = 0)::int) over (partition by chain, pair, n) as own from met)
+        told as (select *, row_number() over (partition by chain, pair, n order by {mixed_sql('ka', '"right"')}, "right") as place, sum((side = 0)::int) over (partition by chain, pair, n) as own from met)
         select step, chain, unnest(case when n = 2 then [a, b] when place <= own then [a] else [b] end), "right" from told)""",
     "gr": f'select chain, (step - {BURN}) // {THIN} as draw, "left", "right" from steps where step >= {BURN} and (step - {BURN}) % {THIN} = 0',
 }
@@ -969,12 +973,13 @@ def chain_mixing(spark, d):
     return rewire.verdict(out, rules, "STUCK").select("chain", *[r(c, 6).alias(c) for c in ("lag1", "lag5", "lag10", "r_hat")], "mixed", "verdict")
 
 
-@query(sql("select count(*) as n, 0::bigint as n_one_sided, 0::bigint as n_masks, 0.0::double as max_gap, true as agree from nul", "feat", "z", "uni", **{k: v for k, v in DRAW.items() if k != "obs"}))
+@query(sql("select count(*) as n, 0::bigint as n_one_sided, 0::bigint as n_masks, 0.0::double as max_gap, true as agree from nul where rep < 99", "feat", "z", "uni", **{k: v for k, v in DRAW.items() if k != "obs"}))
 def null_replay(spark, d):
-    """NM11: a null drawn anew, from other partitions of its inputs, reproduces the earlier one within 1e-10."""
+    """NM11: a null drawn anew over rows, from other partitions of its inputs, reproduces the one of blocks within 1e-10."""
     w, z, u = S.features(spark, d), S.scores(spark, d), S.universe(spark, d)
-    null = lambda n: nulls.alignment_null(w.repartition(n), z, nulls.permutations(u.repartition(n), REPS, SEED)).select("rep", "profile", "alignment")
-    return mapping.compared(Scratch(spark).write(null(3)), null(5), ["rep", "profile"], "alignment", 1e-10).withColumn("max_gap", r("max_gap", 10))
+    blocks = nulls.alignment_blocks(u.repartition(3), w.repartition(3), z, 99, SEED).select("rep", "profile", "alignment")
+    rows = nulls.alignment_null(w.repartition(5), z, nulls.permutations(u.repartition(5), 99, SEED)).select("rep", "profile", "alignment")
+    return mapping.compared(Scratch(spark).write(blocks), rows, ["rep", "profile"], "alignment", 1e-10).withColumn("max_gap", r("max_gap", 10))
 
 
 @query("select user_id, lag, round(corr(value, y), 7) as autocorrelation from (select user_id, k as lag, value, case k when 1 then lag(value, 1) over w when 5 then lag(value, 5) over w else lag(value, 10) over w end as y from events cross join (select unnest([1, 5, 10]) as k) window w as (partition by user_id, k order by event_id)) where y is not null group by all")

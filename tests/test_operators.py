@@ -3,7 +3,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kalibra.functions import ranks
+from kalibra.functions.keyed import chained, mixed
 from kalibra.operators import divergence, evidence, expression, graph, mapping, modules, nulls, projection, rewire
+from kalibra.storage import Scratch
 
 
 def frame(spark, rows, schema):
@@ -95,6 +98,71 @@ def test_quantile_normalisation(spark):
     assert got["f1", "s"] == 6.0 and got["f2", "s"] == got["f3", "s"] == (12 + 17) / 2 and got["f3", "t"] == 17.0
 
 
+def small_null(spark):
+    rng = np.random.default_rng(12)
+    u = frame(spark, [(i, f"s{i % 3}") for i in range(70)], "feature int, stratum string")
+    w = frame(spark, [(p, i, float(rng.random())) for p in "abc" for i in range(70) if rng.random() < 0.8], "profile string, feature int, weight double")
+    z = frame(spark, [(i, float(rng.normal()) if i % 7 else None) for i in range(65)], "feature int, z double")
+    m = frame(spark, [(int(i), f"m{j}") for j in range(4) for i in rng.choice(70, 30, False)], "feature int, module string")
+    return u, w, z, m
+
+
+@pytest.mark.parametrize("seed", [0, 1, 1729])
+def test_donors_are_random(seed):
+    """All orders of four places come alike, and how many of the first tenth stay there is hypergeometric."""
+    orders = {}
+    for rep in range(12_000):
+        o = tuple(nulls.donors(4, seed, rep, 0))
+        orders[o] = orders.get(o, 0) + 1
+    assert len(orders) == 24 and sum((n - 500) ** 2 / 500 for n in orders.values()) < 50  # chi-square of 23 degrees
+    stay = np.array([(nulls.donors(120, seed, rep, 2)[:12] < 12).sum() for rep in range(4000)])
+    assert abs(stay.mean() - 1.2) < 0.06 and abs(stay.var() - 12 * 0.1 * 0.9 * 108 / 119) < 0.09
+    follow = np.mean([(np.diff(nulls.donors(120, seed, rep, 2)) == 1).sum() for rep in range(2000)])
+    assert abs(follow - 119 / 120) < 0.1
+
+
+def test_blocks_equal_rows(spark):
+    """Sums over blocks of replicates are those over rows within 1e-12, and both ways to permute agree."""
+    u, w, z, m = small_null(spark)
+    reps = nulls.BLOCK + 6
+    drawn = nulls.permutations(u, reps, 7)
+    assert drawn.exceptAll(nulls.permutations(u.repartition(3), reps, 7, large=5)).count() == 0
+    profiles = w.select("profile").distinct()
+    own = nulls.permutations(u, 4, 7, profiles)
+    assert own.count() == 4 * 3 * 70 and own.exceptAll(nulls.permutations(u, 4, 7, profiles, large=5)).count() == 0
+    a = nulls.alignment_null(w, z, drawn).toPandas().sort_values(["rep", "profile"])
+    c = modules.masses(nulls.permuted_weights(w, drawn), m, ["rep", "profile"]).toPandas().sort_values(["rep", "profile", "module"])
+    for large in (5, 1000):
+        b = nulls.alignment_blocks(u, w, z, reps, 7, large=large).toPandas().sort_values(["rep", "profile"])
+        assert list(b.profile) == list(a.profile) and len(b) == 3 * reps
+        assert all(np.abs(a[x].values - b[x].values).max() < 1e-12 for x in ("rep", "num", "den", "alignment"))
+        d = nulls.mass_blocks(u, w, m, reps, 7, large=large).toPandas().sort_values(["rep", "profile", "module"])
+        assert list(d.module) == list(c.module) and np.abs(c.mass.values - d.mass.values).max() < 1e-12
+
+
+def test_numbers_within_groups(spark):
+    rows = [(g, k) for g, n in (("a", 50), ("b", 1), ("c", 9)) for k in range(n)]
+    got = ranks.numbered(frame(spark, rows, "g string, k int").repartition(3), ["g"], ["k"], "n", Scratch(spark)).collect()
+    assert sorted((r.g, r.k, r.n) for r in got) == [(g, k, k) for g, k in rows]
+
+
+def test_resampled_effects_like_pandas(spark):
+    rng = np.random.default_rng(13)
+    rows = [(p, s, s % 2 == 0, f, float(rng.normal())) for p in "ab" for s in range(20) for f in range(9) if rng.random() < 0.6]
+    v = frame(spark, rows, "profile string, subject int, case_ boolean, feature int, value double")
+    got = {(r.rep, r.profile, f): e for r in modules.resampled_effects(v, "case_", 5, 3).collect() for f, e in zip(r.features, r.effects)}
+    times = {(r.rep, r.profile, r.subject): r.times for r in nulls.drawn_subjects(v, 5, 3, ["profile"], "subject").collect()}
+    want = {}
+    for rep in range(5):
+        for p in "ab":
+            for f in range(9):
+                side = {c: [(times.get((rep, q, s), 0), x) for q, s, k, g, x in rows if (q, g, k) == (p, f, c)] for c in (True, False)}
+                if all(sum(t for t, _ in x) >= 2 for x in side.values()):
+                    mean = {c: sum(t * x for t, x in y) / sum(t for t, _ in y) for c, y in side.items()}
+                    want[rep, p, f] = mean[True] - mean[False]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_trigamma_inverse():
     for x in (0.1, 1.0, 7.5, 300.0):
         assert expression.trigamma_inverse(expression.trigamma(x)) == pytest.approx(x, rel=1e-9)
@@ -103,7 +171,9 @@ def test_trigamma_inverse():
 
 def test_bootstrap_draws_as_many_as_there_are(spark):
     s = frame(spark, [(p, i) for p, n in (("a", 7), ("b", 11)) for i in range(n)], "profile string, k int")
-    got = nulls.drawn_subjects(s, 6, 3, ["profile"], "k").groupBy("rep", "profile").agg(F.sum("times").alias("n")).collect()
+    drawn = nulls.drawn_subjects(s, 6, 3, ["profile"], "k")
+    assert drawn.exceptAll(nulls.drawn_subjects(s, 6, 3, ["profile"], "k", large=5)).count() == 0
+    got = drawn.groupBy("rep", "profile").agg(F.sum("times").alias("n")).collect()
     assert {(r.profile, r.n) for r in got} == {("a", 7), ("b", 11)} and len(got) == 12
 
 
@@ -115,12 +185,12 @@ def played_plainly(edges, chain, draws, burn, thin, seed, buckets=1):
     out = []
     for step in range(1, burn + (draws - 1) * thin + 1):
         first = (step - 1) // rewire.EPOCH * rewire.EPOCH if buckets > 1 else 0
-        key = {a: rewire.mixed(rewire.mixed(rewire.mixed(seed, chain), step), a) for a in rows}
-        bucket = {a: rewire.mixed(rewire.mixed(rewire.mixed(seed + 1, chain), first), a) % buckets for a in rows}
+        key = {a: chained(seed, chain, step, a) for a in rows}
+        bucket = {a: chained(seed + 1, chain, first, a) % buckets for a in rows}
         for k in range(buckets):
             order = sorted((a for a in rows if bucket[a] == k), key=lambda a: (key[a], a))
             for a, b in zip(order[::2], order[1::2]):
-                alone, shared = sorted(rows[a] ^ rows[b], key=lambda x: (rewire.mixed(key[a], x), x)), rows[a] & rows[b]
+                alone, shared = sorted(rows[a] ^ rows[b], key=lambda x: (mixed(key[a], x), x)), rows[a] & rows[b]
                 n = len(rows[a]) - len(shared)
                 rows[a], rows[b] = shared | set(alone[:n]), shared | set(alone[n:])
         if step >= burn and (step - burn) % thin == 0:
