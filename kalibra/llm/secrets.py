@@ -1,16 +1,20 @@
 """Secrets by assignment-aware lexing.
 
 Around every assignment sign of a text a small lexer reads the target name on
-the left and an expression on the right: quoted literals, names and bare values,
-joined by plus signs or blanks between quotes.  Constants propagate: a name
+the left and an expression on the right: quoted literals, names, calls and bare
+values, joined by plus signs or blanks between quotes.  Lists of literals, block
+values of indented lines, XML attributes and elements, setters and pairs of
+arguments give names their literals, too.  Constants propagate: a name
 stands for the last expression assigned to it before, or else the first one
 after, and passes on all literals that can be reached so, over any number of
 names.  A literal counts as a secret if the sensitivity of the name that it
 reaches and the shape of all that reaches it score THRESHOLD or more; its span
-is that of the literal.  Three base patterns are searched besides: assign,
-access and hex.
+is that of the literal, however short.  Three base patterns are searched
+besides: assign, access and hex.
 
-Names, expressions and chains of names may be of any length.
+Names, expressions and chains of names may be of any length: what an expression
+amounts to is summed up once, names that define each other together, and
+what an accepted one reaches is marked once.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +41,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words that a text with an assign match holds, lower-cased.
 MARKS = ("passw", "secret", "token", "apikey", "api_key")
 
+#: Texts of up to BRIEF characters are compared with placeholders; counts are kept of up to WIDE different ones.
+BRIEF, WIDE = 64, 256
+#: Small letters, capitals, digits, and all that no name has.
+TESTS = tuple(re.compile(t, re.A).match for t in ("[a-z]", "[A-Z]", r"[0-9]", r"[^\w]"))
+
 #: Sensitivity of the parts of a name.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9,
@@ -56,6 +65,17 @@ TERM = re.compile(
 )
 PLUS = re.compile(r"[ \t]*+[+.][ \t]*+(?=[\"'`$A-Za-z_])")
 QUOTE = re.compile(r"[ \t]*+[\"']")
+BRACKET = re.compile(r"""\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[()\[\]]""")
+LIST = re.compile(r"\s*+\[")
+ITEM = re.compile(r"""\s*+(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')\s*+(?:,|(?=\]))""")
+BLOCK = re.compile(r"[ \t]*+[|>][-+]?\d?[ \t]*+\n")
+INDENT = re.compile(r"[ \t]*+")
+#: A call with a literal, and two literals as arguments, a name and a value.
+SETTER = re.compile(r"(?<![\w$-])(?P<name>[A-Za-z_$][\w$]*+)\([ \t]*+(?=[\"'`])", re.A)
+SETTING = {"set", "with", "add", "put", "use", "update", "configure", "init"}
+ARGUMENTS = re.compile(r"""\([ \t]*+["'](?P<name>[A-Za-z_][\w.-]*+)["'][ \t]*+,[ \t]*+(?=["'])""", re.A)
+ATTRIBUTES = re.compile(r"""(?<![\w.-])(?:key|name|id)[ \t]*+=[ \t]*+["'](?P<name>[^"'\n<>]*+)["']\s++value[ \t]*+=[ \t]*+["'](?P<value>[^"'\n<>]*+)["']""", re.I | re.A)
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*+)>[ \t]*+(?P<value>[^<>\s][^<>\n]*+)</(?P=name)>", re.A)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 
 
@@ -69,41 +89,141 @@ def sensitivity(name: str) -> float:
     return best
 
 
-def shape(value: str) -> float:
-    """From -1, no secret, to 1: length, kinds of characters and entropy."""
-    low = value.lower()
-    if len(value) < 6 or low in PLACEHOLDERS or value[0] in "<{$%" or len(set(value)) < 4 or " " in value.strip() and len(value.split()) > 4:
-        return -1.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search(r"\d", value), re.search(r"[^\w]", value))))
-    return min(1.0, 0.1 * (entropy - 2) + 0.15 * (kinds - 1) + (0.2 if n >= 16 else 0.0) + 0.1)
+class Value:
+    """What a shape depends on of a concatenation: its length, characters, words, first character and, where it is short, text."""
+
+    __slots__ = ("length", "counts", "kinds", "words", "edges", "spaced", "first", "text", "parts")
+
+    def __init__(self, text: str = ""):
+        self.length, self.text, self.parts, self.first = len(text), text, int(bool(text)), text[:1]
+        self.counts: Counter | None = Counter(text)
+        self.kinds = tuple(any(map(test, self.counts)) for test in TESTS)
+        self.words, self.spaced = len(text.split()), " " in text
+        self.edges = (text[:1].isspace(), text[-1:].isspace())
+        self.narrow()
+
+    def narrow(self) -> None:
+        if self.counts is not None and len(self.counts) > WIDE:
+            self.counts = None
+        if self.text is not None and len(self.text) > BRIEF:
+            self.text = None
+
+    def __add__(self, other: Value) -> Value:
+        if not self.length or not other.length:
+            return self if self.length else other
+        out = Value.__new__(Value)
+        out.length, out.parts, out.first = self.length + other.length, self.parts + other.parts, self.first
+        out.text = self.text + other.text if self.text is not None and other.text is not None else None
+        out.counts = self.counts + other.counts if self.counts is not None and other.counts is not None else None
+        out.kinds = tuple(map(any, zip(self.kinds, other.kinds)))
+        joined = self.words and other.words and not self.edges[1] and not other.edges[0]
+        out.words, out.spaced, out.edges = self.words + other.words - bool(joined), self.spaced or other.spaced, (self.edges[0], other.edges[1])
+        out.narrow()
+        return out
+
+    def plain_word(self) -> bool:
+        """One literal of small letters alone."""
+        return self.parts == 1 and self.kinds[0] and not any(self.kinds[1:])
+
+    def shape(self) -> float:
+        """From -1, no secret, to 1: length, kinds of characters and entropy; more than WIDE different characters count as 8 bits."""
+        n = self.length
+        if n < 6 or (self.text or "").lower() in PLACEHOLDERS or self.first in "<{$%" or self.spaced and self.words > 4:
+            return -1.0
+        if self.counts is not None and len(self.counts) < 4:
+            return -1.0
+        entropy = 8.0 if self.counts is None else -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        return min(1.0, 0.1 * (entropy - 2) + 0.15 * (sum(self.kinds) - 1) + (0.2 if n >= 16 else 0.0) + 0.1)
+
+
+Term = tuple[str, int, int]  # literal, item, name, call or bare, and its span
+
+
+def closing(text: str) -> dict[int, int]:
+    """The places of brackets that open, outside of quotes on one line, with those that close them."""
+    out, stack = {}, []
+    for m in BRACKET.finditer(text):
+        if m[0] in ("(", "["):
+            stack.append(m.start())
+        elif m[0] in (")", "]") and stack:
+            out[stack.pop()] = m.start()
+    return out
 
 
-Term = tuple[str, int, int]  # literal, name, call or bare, and its span
+def block(text: str, at: int) -> tuple[list[Term], int]:
+    """The lines indented deeper than the one that a block sign ends, as literals, and where they end."""
+    line = text.rfind("\n", 0, at) + 1
+    depth = INDENT.match(text, line).end() - line
+    at, out = text.find("\n", at) + 1, []
+    while 0 < at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        own = INDENT.match(text, at).end()
+        if own < end and own - at <= depth:
+            break
+        if own < end:
+            out.append(("literal", own, own + len(text[own:end].rstrip())))
+        at = end + 1
+    return out, at
+
+
+def expression(text: str, at: int, closes: Callable[[], dict[int, int]]) -> list[Term]:
+    terms = []
+    while t := TERM.match(text, at):
+        at = t.end()
+        if t["quoted"] is not None:
+            terms.append(("literal", t.start("quoted") + 1, t.end("quoted") - 1))
+        elif t["name"] is not None:
+            called = text[t.end("name") : t.end("name") + 1] in ("(", "[")
+            terms.append(("call" if called else "name", *t.span("name")))
+            if called:  # what it is called with has no part in the value
+                end = closes().get(t.end("name"))
+                if end is None:
+                    break
+                at = end + 1
+        else:
+            terms.append(("bare", *t.span("bare")))
+        if plus := PLUS.match(text, at):
+            at = plus.end()
+        elif t["quoted"] is None or not QUOTE.match(text, at):
+            break
+    return terms
 
 
 def assignments(text: str) -> list[tuple[str, list[Term]]]:
     """(name, terms) in order."""
-    out = []
+    out: list[tuple[int, str, list[Term]]] = []
+    known: list[dict[int, int]] = []
+
+    def closes() -> dict[int, int]:
+        if not known:
+            known.append(closing(text))
+        return known[0]
+
+    until = 0
     for m in TARGET.finditer(text):
-        terms, at = [], m.end()
-        while t := TERM.match(text, at):
-            at = t.end()
-            if t["quoted"] is not None:
-                terms.append(("literal", t.start("quoted") + 1, t.end("quoted") - 1))
-            elif t["name"] is not None:
-                called = text[t.end("name") : t.end("name") + 1] in ("(", "[")
-                terms.append(("call" if called else "name", *t.span("name")))
-            else:
-                terms.append(("bare", *t.span("bare")))
-            if plus := PLUS.match(text, at):
-                at = plus.end()
-            elif t["quoted"] is None or not QUOTE.match(text, at):
-                break
+        terms = expression(text, m.end(), closes)
+        if not terms and (opened := LIST.match(text, m.end())):
+            at = opened.end()
+            while item := ITEM.match(text, at):
+                terms.append(("item", item.start("quoted") + 1, item.end("quoted") - 1))
+                at = item.end()
+        elif m["sign"] == ":" and m.start() >= until and BLOCK.match(text, m.end()):
+            terms, until = block(text, m.end())
         if terms:
-            out.append((m["name"], terms))
-    return out
+            out.append((m.start(), m["name"], terms))
+    if "(" in text:
+        for m in SETTER.finditer(text):
+            parts = [p.lower() for p in PARTS.findall(m["name"])]
+            if parts[0] in SETTING and all(p in SETTING or p == "key" or sensitivity(p) > 0 or p in KEYS for p in parts) and (terms := expression(text, m.end(), closes)):
+                out.append((m.start(), m["name"], terms[:1]))
+        for m in ARGUMENTS.finditer(text):
+            if terms := expression(text, m.end(), closes):
+                out.append((m.start(), m["name"], terms[:1]))
+    if "<" in text:
+        for form in (ATTRIBUTES, ELEMENT):
+            out += [(m.start(), m["name"], [("literal", *m.span("value"))]) for m in form.finditer(text)]
+    return [(name, terms) for _, name, terms in sorted(out, key=lambda x: x[0])]
 
 
 def meant(known: list[int], i: int) -> int:
@@ -112,60 +232,104 @@ def meant(known: list[int], i: int) -> int:
     return known[k - 1] if k else next((j for j in known[:2] if j != i), i)
 
 
-def reached(text: str, pairs: list[tuple[str, list[Term]]], at: dict[str, list[int]], first: int) -> list[tuple[int, int]]:
-    """The spans of the literals that assignment number first reaches, each once, in the order of reading.
-
-    A name without an assignment is a bare value where it stands alone.
-    """
-    out: dict[tuple[int, int], None] = {}
-    seen = {first}
-    stack = [(first, iter(pairs[first][1]))]
-    while stack:
-        i, terms = stack[-1]
-        term = next(terms, None)
-        if term is None:
-            stack.pop()
-            continue
-        what, a, b = term
-        if what == "name":
-            if known := at.get(text[a:b]):
-                to = meant(known, i)
-                if to not in seen:
-                    seen.add(to)
-                    stack.append((to, iter(pairs[to][1])))
-            elif len(pairs[i][1]) == 1:
-                out[a, b] = None
-        elif what != "call":
-            out[a, b] = None
-    return list(out)
+class Program:
+    """The assignments of a text, and what each amounts to."""
+
+    def __init__(self, text: str):
+        self.text, self.pairs = text, assignments(text)
+        self.at: dict[str, list[int]] = {}
+        for i, (name, _) in enumerate(self.pairs):
+            self.at.setdefault(name, []).append(i)
+        self.values: dict[int, Value] = {}
+        self.marked: set[int] = set()
+        self.found: set[tuple[int, int]] = set()
+
+    def uses(self, i: int) -> Iterator[tuple[str, int, int, int]]:
+        """(what, start, end, assignment or -1) of the literals and the names that assignment i takes others' values of.
+
+        A name without an assignment is a bare value where it stands alone.
+        """
+        terms = self.pairs[i][1]
+        for what, a, b in terms:
+            if what != "name":
+                if what != "call":
+                    yield "literal", a, b, -1
+            elif known := self.at.get(self.text[a:b]):
+                if (to := meant(known, i)) != i:
+                    yield "name", a, b, to
+            elif len(terms) == 1:
+                yield "literal", a, b, -1
+
+    def value(self, first: int) -> Value:
+        """What assignment first amounts to; those that define each other have one value, as in Tarjan's order of strong components."""
+        if first in self.values:
+            return self.values[first]
+        order: dict[int, int] = {first: 0}
+        low, path, open_ = {first: 0}, [(first, self.uses(first))], [first]
+        while path:
+            i, terms = path[-1]
+            term = next(terms, None)
+            if term is not None:
+                to = term[3]
+                if to >= 0 and to not in self.values:
+                    if to in order:
+                        low[i] = min(low[i], order[to])
+                    else:
+                        order[to] = low[to] = len(order)
+                        path.append((to, self.uses(to)))
+                        open_.append(to)
+                continue
+            path.pop()
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[i])
+            if low[i] == order[i]:
+                group = set()
+                while i not in group:
+                    group.add(open_.pop())
+                whole = Value()
+                for k in sorted(group):
+                    for _, a, b, to in self.uses(k):
+                        if to not in group:
+                            whole = whole + (self.values[to] if to >= 0 else Value(self.text[a:b]))
+                for k in group:
+                    self.values[k] = whole
+        return self.values[first]
+
+    def mark(self, first: int) -> None:
+        """All literals that assignment first reaches are found."""
+        stack = [first]
+        while stack:
+            i = stack.pop()
+            if i not in self.marked:
+                self.marked.add(i)
+                for _, a, b, to in self.uses(i):
+                    if to >= 0:
+                        stack.append(to)
+                    elif b > a:
+                        self.found.add((a, b))
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """The spans of the literals that reach a sensitive name."""
-    if not any(x in text for x in ":="):
+    if not any(x in text for x in ":=(<"):
         return []
-    pairs = assignments(text)
-    at: dict[str, list[int]] = {}
-    for i, (name, _) in enumerate(pairs):
-        at.setdefault(name, []).append(i)
-    weights = {name: sensitivity(name) for name in at}
-    found, known = set(), {}
-    for i, (name, terms) in enumerate(pairs):
+    program = Program(text)
+    weights = {name: sensitivity(name) for name in program.at}
+    for i, (name, terms) in enumerate(program.pairs):
         if weights[name] <= 0:
             continue
-        own = at.get(text[terms[0][1] : terms[0][2]]) if len(terms) == 1 and terms[0][0] == "name" else None
+        if terms[0][0] == "item":  # each by itself
+            program.found |= {(a, b) for _, a, b in terms if weights[name] + Value(text[a:b]).shape() >= THRESHOLD}
+            continue
+        own = program.at.get(text[terms[0][1] : terms[0][2]]) if len(terms) == 1 and terms[0][0] == "name" else None
         to = meant(own, i) if own else i  # what only names another reaches what that one does
-        if to not in known:
-            known[to] = reached(text, pairs, at, to)
-        parts = known[to] if to != i or not own else []
-        if not parts:
+        if own and to == i:
             continue
-        whole = "".join(text[a:b] for a, b in parts)
+        whole = program.value(to)
         quoted = own is not None or any(t[0] == "literal" for t in terms)
-        word = len(parts) == 1 and not quoted and whole.isalpha() and whole.islower()
-        if not word and weights[name] + shape(whole) >= THRESHOLD:
-            found |= {(a, b) for a, b in parts if b - a >= 3}
-    return sorted(found)
+        if whole.length and (quoted or not whole.plain_word()) and weights[name] + whole.shape() >= THRESHOLD:
+            program.mark(to)
+    return sorted(program.found)
 
 
 def base(text: str) -> list[tuple[int, int, int]]:

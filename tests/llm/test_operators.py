@@ -143,6 +143,17 @@ def test_base_patterns(text):
         ("password_" + "q" * 90 + ' = "Xy9kQz77Ab!"', ["Xy9kQz77Ab!"]),
         ("token=postgres://u:Pw12xyz@h/db", ["postgres://u:Pw12xyz@h/db"]),
         ("secret = " + " + ".join(f'"k{i}Zq"' for i in range(12)), [f"k{i}Zq" for i in range(12)]),
+        ('password = "Xy" + "9k" + "Qz" + "77" + "Ab"', ["Xy", "9k", "Qz", "77", "Ab"]),
+        ("secret = " + " + ".join(f"'{c}'" for c in "Xy9kQz77"), list("Xy9kQz77")),
+        ('api_key = "Xy9k" + f(1, g["x)"]) + "Qz77Ab12"', ["Xy9k", "Qz77Ab12"]),
+        ("password: |\n  Xy9kQz77Ab!\n\n  Zz81Qq\nname: plain", ["Xy9kQz77Ab!", "Zz81Qq"]),
+        ("  private_key: >-\n  other: Xy9kQz77Ab!", []),
+        ('"password": ["Xy9kQz77Ab!", "plain", "Zz81Qq55Rt!"]', ["Xy9kQz77Ab!", "Zz81Qq55Rt!"]),
+        ('<add key="ApiSecret" value="Xy9kQz77Ab!"/>', ["Xy9kQz77Ab!"]),
+        ("<password>Xy9kQz77Ab!</password><title>Xy9kQz77Ab!</title>", ["Xy9kQz77Ab!"]),
+        ('user.set_password("Xy9kQz77Ab!")', ["Xy9kQz77Ab!"]),
+        ('getpass("Xy9kQz77Ab!"); check_password("Xy9kQz77Ab!")', []),
+        ('config.set("api_key", "Xy9kQz77Ab!")', ["Xy9kQz77Ab!"]),
         ('a0 = "Xy9kQz77Ab!"\n' + "".join(f"a{i} = a{i - 1}\n" for i in range(1, 2000)) + "password = a1999", ["Xy9kQz77Ab!"]),
     ],
 )
@@ -205,6 +216,29 @@ def test_long_texts_are_lexed_in_linear_time():
         secrets.lexed(part * (300_000 // len(part)))
 
 
+@pytest.mark.parametrize("alike", ["'x'", "'Zq'", "a0", "a1"])
+def test_long_chains_take_linear_time(alike):
+    """A megabyte of definitions by each other, each reaching a target of its own."""
+    import time
+
+    n = 20_000
+    text = "a0 = 'Xy9kQz77Ab!'\n" + "".join(f"a{i} = a{i - 1} + {alike}\ntoken_{i} = a{i} + 'Zq'\n" for i in range(1, n))
+    assert len(text) > 800_000
+    began = time.process_time()
+    found = secrets.lexed(text)
+    assert time.process_time() - began < 4 and len(found) >= n
+
+
+def test_values_add_up_like_texts():
+    rng = random.Random(8)
+    for _ in range(500):
+        parts = ["".join(rng.choice("aB3 -é") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(1, 5))]
+        whole = secrets.Value()
+        for p in parts:
+            whole = whole + secrets.Value(p)
+        assert whole.shape() == pytest.approx(secrets.Value("".join(parts)).shape())
+
+
 def test_secrets_edges(spark):
     got = secrets.scanned(edge_docs(spark)).collect()
     assert len(got) == len(EDGES) and {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
