@@ -8,13 +8,18 @@ the sequence of its character classes (digit, vowel or consonant of a script).
 The permutation is one cycle through the format, so nothing maps to itself.
 Names keep gender and script: listed given names are permuted within the list of
 their gender and script, listed surnames within that of their script, and of
-others the letters.  Collision checks: a permuted name that hits a listed one is
-walked on until it does not, octets stay octets, card numbers keep whether their
-check digit is right, phone numbers their country code and trunk zero.
+others the letters, whether they are given names or surnames.  Parts after a hyphen, an apostrophe, Mc and Mac are
+permuted by themselves; particles stay.  Collision checks: a permuted name that hits a listed one, or takes or loses
+an ending that tells the gender, is walked on until it does not, so that the three
+kinds never meet; octets stay octets, phone numbers keep their country code and
+trunk zero.  A plain run of digits is a card only if its check digit is right, and
+the surrogate's is right too.
 
 Names are found by titles, by listed given names, by what introduces a name
 ("my name is", "Dear"), by what joins two people of whom one is known ("met",
-"and"), and then wherever else in the text they are mentioned; in capitals too.
+"and"), beside a name that is known, and then wherever else in the text they are
+mentioned; in capitals too.  In scripts without capitals titles, introductions and
+listed names tell where one is.
 
 Whoever has the key can undo the permutations.  So the operator has no key of
 its own: it takes one as an argument, which ``key_of`` reads from the setting
@@ -28,6 +33,7 @@ import hashlib
 import ipaddress
 import re
 import secrets
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,17 +49,37 @@ ROUNDS = 8
 #: Rows whose new texts a task holds at a time.
 SLICE = 256
 
+def extended(base: str) -> str:
+    """Small Latin letters with marks beyond those listed, whose letter without them is one of base."""
+    found = (chr(c) for lo, hi in ((0xE0, 0x250), (0x1E00, 0x1F00)) for c in range(lo, hi))
+    return "".join(c for c in found if c.islower() and len(c.upper()) == 1 and unicodedata.normalize("NFD", c)[0] in base and unicodedata.normalize("NFD", c) != c and c not in MARKED)
+
+
+#: Accented letters that are classes by themselves.
+MARKED = "àáâäèéêëìíîïòóôöùúûüçñšžčřł"
+#: Chinese surnames.
+HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕"
 #: Character classes: each is permuted within itself.
 CLASSES = [
     "0123456789",
     "aeiou",
     "bcdfghjklmnpqrstvwxyz",
     "àáâäèéêëìíîïòóôöùúûü",
-    "çñßšžčřł",
-    "аеиоуыэюя",
-    "бвгджзклмнпрстфхцчшщ",
+    "çñšžčřł",
+    "аеиоуыэюяё",
+    "бвгджзйклмнпрстфхцчшщ",
     "αεηιουω",
     "βγδζθκλμνξπρσστφχψ",
+    "άέήίόύώ",
+    extended("aeiouy"),
+    extended("bcdfghjklmnpqrstvwxz") + "đħŧø",
+    "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "אבגדהוזחטיכלמנסעפצקרשת",
+    "ךםןףץ",
+    "".join(map(chr, range(0x915, 0x93A))),
+    "".join(map(chr, range(0x93E, 0x94D))),
+    "".join(map(chr, range(0x4E00, 0x9FA6))),
+    "".join(map(chr, range(0xAC00, 0xD7A4))),
 ]
 #: Common given names by script and gender, and titles by gender.
 GIVEN = {
@@ -63,10 +89,12 @@ GIVEN = {
     "cyrillic f": "Анна Мария Елена Ольга Наталья Екатерина Татьяна Ирина".split(),
     "greek m": "Γιώργος Νίκος Κώστας Δημήτρης".split(),
     "greek f": "Μαρία Ελένη Κατερίνα Σοφία".split(),
+    "arabic m": "محمد أحمد علي حسن حسين محمود إبراهيم خالد عمر يوسف".split(),
+    "arabic f": "فاطمة مريم عائشة زينب خديجة ليلى سارة".split(),
 }
 TITLES = {
     "m": "Mr Sir Herr Monsieur Señor Sr Господин Κύριος".split(),
-    "f": "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Sra Госпожа Κυρία".split(),
+    "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Mlle Señora Señorita Sra Госпожа Κυρία".split(),
     "": "Dr Prof Doctor Professor Dra Доктор".split(),
 }
 #: Common surnames by script.
@@ -80,9 +108,16 @@ INTRODUCING = ["my name is", "name is", "name:", "named", "called", "dear", "sig
 JOINING = ["and", "met", "with", "called", "married", "told", "asked", "saw", "knows", "und", "traf", "mit", "et", "avec", "y", "con", "и", "και"]
 LISTED = {n.lower(): g for g, names in GIVEN.items() for n in names}
 SURNAMED = {n.lower(): g for g, names in SURNAMES.items() for n in names}
-UPPER = "A-ZÀ-ÖØ-ÞŠŽČŘŁА-ЯΑ-Ω"
-LOW = "a-zà-öø-ÿšžčřłа-яёα-ωάέήίόύώ"
-CAPITAL = f"[{UPPER}][{LOW}]+(?:-[{UPPER}][{LOW}]+)?"
+#: Endings of surnames that tell the gender.
+ENDINGS = ("ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский", "opoulou", "opoulos", "ίδης", "ίδου")
+#: What stands before a surname, and capitalised words that are none after a known name.
+PARTICLES = "de|da|di|del|della|der|den|van|von|vom|zu|zur|la|le|las|los|du|dos|das|ter|ten|bin|ibn|al|el|y|e|af|av"
+NO_NAMES = {"street", "road", "avenue", "lane", "square", "company", "university", "inc", "ltd", "corp", "the", "and", "church", "hospital", "school", "county", "park", "river", "house", "hall", "college", "bank", "says", "said"}
+NO_NAMES |= {t.lower() for ts in TITLES.values() for t in ts}
+LETTERS = [chr(c) for lo, hi in ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for c in range(lo, hi)]
+UPPER, LOW = "".join(filter(str.isupper, LETTERS)), "".join(filter(str.islower, LETTERS))
+#: A name with its parts: Anna-Maria, O'Brien, McDonald.
+CAPITAL = f"[{UPPER}](?:[{LOW}]++|['’](?=[{UPPER}]))(?:-[{UPPER}]?[{LOW}]++|['’]?[{UPPER}][{LOW}]++)*+"
 
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.A)
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)", re.A)
@@ -90,21 +125,38 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 CARD = re.compile(r"(?<![\w+-])(?!00)\d(?:[ -]?\d){12,18}(?![\w-])", re.A)
 PHONE = re.compile(r"(?<![\w+])(?:\+|00)?(?:\(\d{1,4}\)|\d{1,4}+)(?:[ .()/-]{0,3}\d{1,10}+){1,5}+(?!\w)", re.A)
+VERSION = re.compile(r"(?:\b(?:version|ver\.?|v|release|build|section)[ \t:=]*|§ ?)\Z", re.I | re.A)
 DATE = re.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4}", re.A)
 IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:){2,8}(?:[0-9A-Fa-f]{1,4})?(?![\w:])", re.A)
 GIVENS = "|".join(n for ns in GIVEN.values() for n in ns)
 TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-FULL = f"({CAPITAL})(?: (?:[{UPPER}]\\. )?({CAPITAL}))"
-CAPITALS = f"[{UPPER}]{{2,}}+(?:-[{UPPER}]{{2,}}+)?"
-TITLED = re.compile(rf"(?<!\w)(?:{TITLE})\.? ({CAPITAL})(?: (?:[{UPPER}]\. )?({CAPITAL}))?")
-NAMED = re.compile(rf"(?<!\w)({GIVENS}) (?:[{UPPER}]\. )?({CAPITAL})")
+LAST = f"(?:(?:{PARTICLES}) )*+({CAPITAL})"
+FULL = f"({CAPITAL}) (?:[{UPPER}]\\. )?{LAST}"
+CAPITALS = f"(?:[{UPPER}]['’])?[{UPPER}]{{2,}}+(?:-[{UPPER}]{{2,}}+)*+"
+TITLED = re.compile(rf"(?<!\w)(?:(?:{TITLE})\.?|M\.) {LAST}(?: (?:[{UPPER}]\. )?{LAST})?")
+NAMED = re.compile(rf"(?<!\w)((?:{GIVENS})(?:-{CAPITAL})?) (?:[{UPPER}]\. )?{LAST}")
+ALONE = re.compile(rf"(?<!\w)((?:{GIVENS})(?:-{CAPITAL})?)(?!\w)")
 SHOUTED = re.compile(rf"(?<!\w)(?:(?:{TITLE.upper()})\.? ({CAPITALS})(?: ({CAPITALS}))?|({GIVENS.upper()}) ({CAPITALS}))(?!\w)")
 INTRODUCED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, INTRODUCING))})[ \n]{FULL}")
 #: Two people joined, of whom the first or the second is to be known.
-JOINED = re.compile(rf"(?<!\w){FULL} (?:{'|'.join(JOINING)}) (?={FULL})")
-
-
+START = f"(?<![\\w-])(?<![{UPPER}{LOW}]['’])"  # so that no name begins within another
+JOINED = re.compile(rf"{START}{FULL} (?:{'|'.join(JOINING)}) (?={FULL})")
+BESIDE = re.compile(rf"{START}(?={FULL})")
 CAPITALISED = re.compile(rf"(?<!\w)(?:{CAPITAL}|{CAPITALS})(?!\w)")
+#: Names in scripts without capitals, by titles, introductions and listed names.
+UNCASED = re.compile("[\u0590-\u0963\u4e00-\u9fa5\uac00-\ud7a3]")
+ARABIC, HEBREW, HINDI, HANGUL, IDEOGRAPH = "[\u0621-\u064a]{2,}+", "[\u05d0-\u05ea]{2,}+", "[\u0904-\u094d]{2,}+", "[\uac00-\ud7a3]", "[\u4e00-\u9fa5]"
+OTHERS = [
+    re.compile(rf"(?<!\w)(?:السيدة|السيد|الدكتورة|الدكتور|الأستاذة|الأستاذ|اسمي) ({ARABIC})(?: ({ARABIC}))?"),
+    re.compile(rf"(?<!\w)({'|'.join(n for g in ('arabic m', 'arabic f') for n in GIVEN[g])}) ({ARABIC})"),
+    re.compile(rf"(?<!\w)(?:מר|גברת|גב'|ד\"ר|פרופ'|שמי|קוראים לי) ({HEBREW})(?: ({HEBREW}))?"),
+    re.compile(rf"(?<!\w)(?:श्रीमती|श्री|डॉ\.|मेरा नाम) ({HINDI})(?: ({HINDI}))?"),
+    re.compile(rf"(?:我叫|我的名字是|姓名[:：] ?|名字[:：] ?)([{HAN}]{IDEOGRAPH}{{1,2}})"),
+    re.compile(rf"([{HAN}]{IDEOGRAPH}{{1,2}})(?=先生|女士|小姐|老师|博士|教授)"),
+    re.compile(rf"(?<!{IDEOGRAPH})([{HAN}]{IDEOGRAPH}{{1,2}})(?!{IDEOGRAPH})"),
+    re.compile(rf"(?<!\w)({HANGUL}{{2,4}})(?= ?씨| ?님| ?선생님)"),
+    re.compile(rf"(?:제 이름은|저는) ({HANGUL}{{2,4}}?)(?=입니다|이고|\W|$)"),
+]
 
 
 def halves(n: int) -> tuple[int, int]:
@@ -139,12 +191,17 @@ def turned(x: int, n: int, key: bytes) -> int:
     return permuted((permuted(x, n, key) + 1) % n, n, key, True) if n > 1 else x
 
 
-PLACE = {c: (k, i) for k, cs in enumerate(CLASSES) for i, c in enumerate(dict.fromkeys(cs))}
-SIZE = [len(dict.fromkeys(cs)) for cs in CLASSES]
+MEMBERS = [list(dict.fromkeys(cs)) for cs in CLASSES]
+PLACE = {c: (k, i) for k, cs in enumerate(MEMBERS) for i, c in enumerate(cs)}
+SIZE = [len(cs) for cs in MEMBERS]
+#: Longer texts are permuted in parts of so many characters.
+WIDE = 64
 
 
 def letters(text: str, key: bytes) -> str:
     """A permutation of texts of one format; case and all other characters stay."""
+    if len(text) > WIDE:
+        return "".join(letters(text[i : i + WIDE], key + b"|%d" % i) for i in range(0, len(text), WIDE))
     lowered = [c.lower() if len(c.lower()) == 1 else c for c in text]
     places = [PLACE.get(c) for c in lowered]
     n, x = 1, 0
@@ -157,7 +214,7 @@ def letters(text: str, key: bytes) -> str:
     for c, low, p in zip(reversed(text), reversed(lowered), reversed(places)):
         if p:
             x, i = divmod(x, SIZE[p[0]])
-            new = list(dict.fromkeys(CLASSES[p[0]]))[i]
+            new = MEMBERS[p[0]][i]
             out.append(new.upper() if c != low and len(new.upper()) == 1 else new)
         else:
             out.append(c)
@@ -235,44 +292,58 @@ def listed(names: tuple[str, ...], key: bytes) -> dict[str, str]:
     return {a.lower(): b for a, b in zip(order, order[1:] + order[:1])}
 
 
-def word(text: str, key: bytes) -> str:
-    """A part of a name that isn't listed."""
-    new = letters(text, key)
-    while new.lower() in LISTED or new.lower() in SURNAMED:
-        new = letters(new, key)
-    return new
-
-
-def cased(new: str, text: str) -> str:
-    return new.upper() if text.isupper() else new
-
+def ending(low: str) -> str:
+    return next((e for e in ENDINGS if low.endswith(e) and len(low) > len(e) + 1), "")
 
-def given(text: str, key: bytes) -> str:
-    group = LISTED.get(text.lower())
-    return cased(listed(tuple(GIVEN[group]), key)[text.lower()] if group else word(text.capitalize(), key), text)
 
-
-def surname(text: str, key: bytes) -> str:
-    """Endings that tell the gender stay."""
-    group = SURNAMED.get(text.lower())
-    if group:
-        return cased(listed(tuple(SURNAMES[group]), key)[text.lower()], text)
-    stem, end = text.capitalize(), ""
-    for e in ("ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский", "opoulou", "opoulos"):
-        if text.lower().endswith(e) and len(text) > len(e) + 1:
-            stem, end = stem[: -len(e)], e
-            break
-    return cased(word(stem, key + b" surname") + end, text)
+def word(low: str, key: bytes) -> str:
+    """A part of a name that isn't listed, in small letters; an ending that tells the gender stays, and no other gets one."""
+    end = ending(low)
+    stem = low[: len(low) - len(end)]
+    while True:
+        if stem[:1] in HAN and stem:
+            i = HAN.index(stem[0])
+            stem = HAN[turned(i, len(HAN), key)] + letters(stem[1:], key)
+        else:
+            stem = letters(stem, key)
+        new = stem + end
+        if ending(new) == end and new not in LISTED and new not in SURNAMED:
+            return new
+
+
+@lru_cache(1 << 14)
+def part(text: str, key: bytes) -> str:
+    """A name without hyphens and apostrophes; capitals stay where they are."""
+    low = text.lower()
+    for groups, names in ((LISTED, GIVEN), (SURNAMED, SURNAMES)):
+        if low in groups:
+            new = listed(tuple(names[groups[low]]), key)[low]
+            return new.upper() if text.isupper() and len(text) > 1 else new
+    new = word(low, key)
+    if len(new) != len(text):
+        return new.upper() if text.isupper() else new.capitalize()
+    return "".join(n.upper() if c != c.lower() and len(n.upper()) == 1 else n for c, n in zip(text, new))
+
+
+def named(text: str, key: bytes) -> str:
+    """A given name or surname, part by part; single letters, Mc and Mac stay."""
+    out = []
+    for x in re.split("([-'’])", text):
+        m = re.match(r"(?:Mc|Mac)(?=[A-Z])|MC(?=[A-Z]{3})", x)
+        head = m[0] if m else ""
+        rest = x[len(head) :]
+        out.append(head + (part(rest, key) if len(rest) > 1 else rest))
+    return "".join(out)
 
 
-MAKE = {"email": email, "ip": ip, "ipv6": ipv6, "iban": lambda t, k: t[:2] + letters(t[2:], k), "ssn": digits, "card": card, "phone": phone, "given": given, "surname": surname}
+MAKE = {"email": email, "ip": ip, "ipv6": ipv6, "iban": lambda t, k: t[:2] + letters(t[2:], k), "ssn": digits, "card": card, "phone": phone, "given": named, "surname": named}
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
         a = at
-        while a > 0 and at - a < 254 and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+        while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
             a -= 1
         while a < at and text[a] in ".%-":
             a += 1
@@ -301,7 +372,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if any(map(text.__contains__, "0123456789")):
         for kind, form in (("ip", IP), ("iban", IBAN), ("ssn", SSN), ("card", CARD)):
             for m in form.finditer(text):
-                found.add(*m.span(), kind)
+                if sound(kind, text, m):
+                    found.add(*m.span(), kind)
         for m in PHONE.finditer(text):
             own = m.group()
             n = sum(c.isdigit() for c in own)
@@ -315,6 +387,13 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return found.rows
 
 
+def sound(kind: str, text: str, m: re.Match) -> bool:
+    """Not a plain number without a card's check digit, nor a version of four numbers."""
+    if kind == "card" and m[0].isdigit():
+        return luhn(m[0][:-1]) == int(m[0][-1])
+    return kind != "ip" or not VERSION.search(text, max(0, m.start() - 12), m.start())
+
+
 def valid_ipv6(text: str) -> bool:
     try:
         return any(c.isdigit() for c in text) and len(text) > 3 and bool(ipaddress.IPv6Address(text))
@@ -328,7 +407,7 @@ def triggers() -> tuple:
     if "pii triggers" not in cache:
         import ahocorasick
 
-        titles = [t + end for ts in TITLES.values() for t in ts for end in (" ", ".")]
+        titles = ["M. ", *(t + end for ts in TITLES.values() for t in ts for end in (" ", "."))]
         found = []
         for words in ([*titles, *(t.upper() for t in titles), *(n for ns in GIVEN.values() for n in ns), *(n.upper() for n in LISTED)], INTRODUCING):
             one = ahocorasick.Automaton()
@@ -363,9 +442,18 @@ def people(text: str, found: Spans) -> None:
             for one, two in (((1, 2), (3, 4)), ((3, 4), (1, 2))):
                 if all(m[g].lower() in known for g in one) and m[two[0]] != m[two[1]]:
                     name(m, two)
+    for m in ALONE.finditer(text) if cased else ():
+        name(m, (1,))
+    for m in BESIDE.finditer(text) if known else ():
+        if m[1].lower() in known and m[2].lower() not in NO_NAMES and m[1] != m[2] and text[m.end(1) : m.start(2)].count(" ") < 4:
+            name(m, (1, 2))
     for m in CAPITALISED.finditer(text) if known else ():  # later mentions of a name alone
         if m.group().lower() in known:
             found.add(*m.span(), known[m.group().lower()])
+    if not text.isascii() and UNCASED.search(text):
+        for form in OTHERS:
+            for m in form.finditer(text):
+                name(m, (1, 2) if form.groups > 1 else (1,))
 
 
 def key_of(spark: SparkSession) -> bytes:
@@ -388,7 +476,7 @@ def surrogate(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int,
         return text, found
     out, at = [], 0
     for a, b, kind in found:
-        out += [text[at:a], MAKE[kind](text[a:b], key + kind.encode())]
+        out += [text[at:a], MAKE[kind](text[a:b], key + (b"name" if kind in ("given", "surname") else kind.encode()))]
         at = b
     return "".join(out) + text[at:], found
 
