@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kalibra.functions.special import student_two_sided
 from kalibra.storage import Scratch
 
 
@@ -130,6 +131,14 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str], wide: bool = False) -
     return rows.groupBy(*by).agg(F.count("*").alias("n"), pearson("_ra", "_rb").alias("rho"))
 
 
+def spearman_p(rho: DataFrame) -> DataFrame:
+    """rho (..., n, rho) with p: two-sided, by Student's t of n - 2 df; 0 where rho is 1 or -1, null under three rows."""
+    df = (F.col("n") - 2).cast("double")
+    t = F.col("rho") * F.sqrt(df / (1 - F.col("rho") * F.col("rho")))
+    rows = rho.withColumns({"_df": F.when(df > 0, df), "_t": F.when(F.abs("rho") < 1, t)})
+    return rows.withColumn("p", F.when(F.col("_df").isNotNull() & (F.abs("rho") >= 1), F.lit(0.0)).otherwise(student_two_sided("_t", "_df"))).drop("_df", "_t")
+
+
 def lag_correlation(df: DataFrame, x: str, by: list[str], order: str, lags: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(by, lag, autocorrelation): the correlation of a series with itself some rows before."""
     w = Window.partitionBy(*by).orderBy(order)

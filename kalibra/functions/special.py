@@ -1,18 +1,17 @@
 """Special functions that Spark SQL lacks.
 
-Each rational approximation is written out once as SQL text, which Spark and any
-other SQL engine evaluate alike; only Student's t needs an Arrow UDF.
+Each approximation is written out once as SQL text, which Spark and any other SQL
+engine evaluate alike; continued fractions and Newton's steps are folds over a
+sequence, whose syntax alone differs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Coefficients of Wichura's algorithm AS 241 (PPND16), from the constant term up.
 CENTRE = (
@@ -89,42 +88,73 @@ def two_sided_p(z: str) -> Column:
     return F.expr(two_sided_p_sql(z))
 
 
-def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    out = d.copy()
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + num / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            out = out * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return out
+def folded_sql(n: str, body: Callable[[str, str], str], first: str = "1", engine: str = "spark") -> str:
+    """SQL of a number that begins as first and becomes body(itself, m) for m from n down to 1."""
+    first = f"cast({first} as double)"
+    if engine == "spark":
+        return f"aggregate(sequence(cast({n} as int), 1, -1), {first}, (f, m) -> {body('f', 'm')})"
+    steps = f"list_transform(range(cast({n} as bigint), 0, -1), lambda m: cast(m as double))"
+    return f"list_reduce(list_concat([{first}], {steps}), lambda f, m: {body('f', 'm')})"
+
+
+def series(y: str, *terms: tuple[float, int]) -> str:
+    """SQL of a sum of coefficients times negative powers."""
+    return " + ".join(f"({c!r}) / ({' * '.join([y] * k)})" for c, k in terms)
+
+
+#: Arguments are shifted so far before an asymptotic series serves.
+SHIFT = 12
+
+
+def shifted(x: str, power: int) -> str:
+    return " + ".join(f"1 / ({' * '.join([f'({x} + {k})'] * power)})" for k in range(SHIFT))
+
+
+def digamma_sql(x: str) -> str:
+    y = f"({x} + {SHIFT})"
+    return f"(ln({y}) - ({shifted(x, 1)}) + {series(y, (-1 / 2, 1), (-1 / 12, 2), (1 / 120, 4), (-1 / 252, 6), (1 / 240, 8), (-1 / 132, 10))})"
+
+
+def trigamma_sql(x: str) -> str:
+    y = f"({x} + {SHIFT})"
+    return f"({shifted(x, 2)} + {series(y, (1.0, 1), (1 / 2, 2), (1 / 6, 3), (-1 / 30, 5), (1 / 42, 7), (-1 / 30, 9), (5 / 66, 11))})"
+
+
+def tetragamma_sql(x: str) -> str:
+    y = f"({x} + {SHIFT})"
+    return f"(-2 * ({shifted(x, 3)}) + {series(y, (-1.0, 2), (-1.0, 3), (-1 / 2, 4), (1 / 6, 6), (-1 / 6, 8), (3 / 10, 10))})"
+
+
+def trigamma_inverse_sql(x: str, engine: str = "spark") -> str:
+    """SQL of the number whose trigamma is x > 0, by Newton's steps on its reciprocal, which don't overshoot."""
+    step = lambda y, _: f"{y} + {trigamma_sql(y)} * (1 - {trigamma_sql(y)} / ({x})) / {tetragamma_sql(y)}"
+    return folded_sql("40", step, f"(0.5 + 1 / ({x}))", engine)
+
+
+def half_gamma_ratio_sql(a: str) -> str:
+    """SQL of gamma(a + 1/2) / gamma(a)."""
+    y = f"({a} + {SHIFT})"
+    tail = series(y, (-1 / 8, 1), (1 / 192, 3), (-1 / 640, 5), (17 / 14336, 7), (-31 / 18432, 9))
+    return f"(sqrt({y}) * exp({tail}) * {' * '.join(f'(({a} + {k}) / ({a} + {k}.5))' for k in range(SHIFT))})"
+
+
+def student_p_sql(t: str, df: str, engine: str = "spark") -> str:
+    """SQL of the two-sided P of Student's t, of column names: the incomplete beta function by its continued fraction, from a fixed depth inwards."""
+    a, x, rest = f"({df} / 2)", f"({df} / ({df} + {t} * {t}))", f"({t} * {t} / ({df} + {t} * {t}))"
+
+    def fraction(a: str, b: str, x: str) -> str:
+        def step(f: str, m: str) -> str:
+            odd = f"({a} + {m} - 1) * ({a} + {b} + {m} - 1) * {x} / (({a} + 2 * {m} - 2) * ({a} + 2 * {m} - 1))"
+            even = f"{m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m}))"
+            return f"1 - {odd} / (1 + {even} / {f})"
+
+        return folded_sql(f"ceil(30 + 6 * sqrt({df}))", step, engine=engine)
+
+    front = f"({half_gamma_ratio_sql(a)} * cast({1 / math.sqrt(math.pi)!r} as double) * pow({x}, {a}) * sqrt({rest}))"
+    low, high = f"{front} / ({a} * {fraction(a, '0.5', x)})", f"1 - {front} / (0.5 * {fraction('0.5', a, rest)})"
+    return f"(case when {t} is null or {df} is null or not {df} > 0 then null when abs({t}) > 1e100 then 0 when {x} < ({a} + 1) / ({a} + 2.5) then {low} else greatest(0, {high}) end)"
 
 
-def student_p(t, df) -> np.ndarray:
-    """Two-sided P of Student's t, NaN where t is."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    x = np.clip(df / (df + t * t), 0, 1)
-    a, b = df / 2, np.full_like(x, 0.5)
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    with np.errstate(all="ignore"):
-        front = np.exp(lg(np.where(a > 0, a, 1) + b) - lg(np.where(a > 0, a, 1)) - lg(b) + a * np.log(x) + b * np.log1p(-x))
-        direct = x < (a + 1) / (a + b + 2)
-        low = front * beta_fraction(a, b, np.where(direct, x, 0.5)) / a
-        high = 1 - front * beta_fraction(b, a, np.where(direct, 0.5, 1 - x)) / b
-        out = np.where(direct, low, high)
-    out = np.where(t == 0, 1.0, np.where(np.isinf(t), 0.0, out))
-    return np.where(np.isnan(t) | ~(df > 0), np.nan, out)
-
-
-@F.pandas_udf(T.DoubleType())
-def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    found = pd.Series(student_p(t.astype(float), df.astype(float)), index=t.index)
-    return found.where(t.notna() & df.notna(), None)
+def student_two_sided(t: str, df: str) -> Column:
+    """The P value of columns of doubles; null where either is, or df isn't positive."""
+    return F.expr(student_p_sql(t, df))

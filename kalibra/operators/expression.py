@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kalibra.functions.ranks import safe_divide, spread, wide_average_rank
-from kalibra.functions.special import student_two_sided, two_sided_p
+from kalibra.functions.special import digamma_sql, student_two_sided, trigamma_inverse_sql, trigamma_sql, two_sided_p
 from kalibra.storage import Scratch
 
 
@@ -91,55 +91,36 @@ def imputed(df: DataFrame, most_missing: float = 0.2) -> DataFrame:
     return kept.select("feature", "sample", F.coalesce("value", "_mean").alias("value"))
 
 
-def digamma(x: float) -> float:
-    out = 0.0
-    while x < 12:
-        out -= 1 / x
-        x += 1
-    y = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
-
-
-def trigamma(x: float) -> float:
-    out = 0.0
-    while x < 12:
-        out += 1 / (x * x)
-        x += 1
-    y = 1 / (x * x)
-    return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
-
-
-def trigamma_inverse(y: float) -> float:
-    low, high = 1e-8, 1e8
-    for _ in range(200):
-        mid = math.sqrt(low * high)
-        low, high = (mid, high) if trigamma(mid) > y else (low, mid)
-    return math.sqrt(low * high)
+def prior_sql(engine: str = "spark") -> tuple[str, str, str, str]:
+    """SQL of the evidence of a variance (of s2, d), of the prior's df from what varies beyond chance (rest), and of its variance (of centre, d0; and of centre alone where there is no rest)."""
+    return (
+        f"(ln(s2) - {digamma_sql('(d / 2)')} + ln(d / 2))",
+        f"(case when rest > 0 then 2 * {trigamma_inverse_sql('rest', engine)} end)",
+        f"exp(centre + {digamma_sql('(d0 / 2)')} - ln(d0 / 2))",
+        "exp(centre)",
+    )
 
 
 def moderated(tests: DataFrame, by: list[str]) -> DataFrame:
     """(by, effect, t, df, p) of pooled variances shrunk to their common prior.
 
-    tests has n1, n2, effect and s2, the pooled variance; all share one residual
-    df.  The prior's df and variance come from the mean and variance of the
-    logged variances, two aggregates.
+    tests has n1, n2, effect and s2, the pooled variance, each with its own residual
+    df.  What the logged variances vary beyond the sampling of their own df gives the
+    prior's df; without any, all variances are the prior's.  No test has more df
+    than all residuals together.
     """
-    d = F.col("n1") + F.col("n2") - 2
-    stats = tests.where("s2 > 0").agg(F.avg(F.ln("s2")), F.var_samp(F.ln("s2")), F.avg(d)).first()
-    if stats[0] is None:
-        return tests.select(*by, "effect", F.lit(None).cast("double").alias("t"), d.alias("df"), F.lit(1.0).alias("p"))
-    mean, var, df = float(stats[0]), float(stats[1] or 0.0), float(stats[2])
-    rest = var - trigamma(df / 2)
-    e = mean - digamma(df / 2) + math.log(df / 2)
-    if rest > 0:
-        d0 = 2 * trigamma_inverse(rest)
-        s0 = math.exp(e + digamma(d0 / 2) - math.log(d0 / 2))
-        s2 = (F.lit(d0 * s0) + d * F.col("s2")) / (F.lit(d0) + d)
-        total = d + F.lit(d0)
-    else:
-        s2, total = F.lit(math.exp(e)), F.lit(1e6)
+    evidence, d0, shrunk, alone = prior_sql()
+    rows = tests.withColumn("d", F.col("n1") + F.col("n2") - 2)
+    seen = rows.where("s2 > 0").select(F.expr(evidence).alias("e"), F.expr(trigamma_sql("(d / 2)")).alias("v"))
+    prior = seen.agg(F.avg("e").alias("centre"), (F.coalesce(F.var_samp("e"), F.lit(0.0)) - F.avg("v")).alias("rest"))
+    prior = prior.crossJoin(rows.agg(F.sum("d").alias("most")))  # one row each
+    prior = prior.withColumn("d0", F.expr(d0)).withColumn("s0", F.expr(f"case when d0 is null then {alone} else {shrunk} end"))
+    rows = rows.crossJoin(prior.select("d0", "s0", "most"))
+    s2 = F.when(F.col("d0").isNull(), F.col("s0")).otherwise((F.col("d0") * F.col("s0") + F.col("d") * F.col("s2")) / (F.col("d0") + F.col("d")))
+    total = F.least(F.coalesce(F.col("d0") + F.col("d"), F.col("most")), F.col("most"))
     t = F.col("effect") / F.sqrt(s2 * (1 / F.col("n1") + 1 / F.col("n2")))
-    return tests.select(*by, "effect", t.alias("t"), total.cast("double").alias("df")).withColumn("p", student_two_sided("t", "df"))
+    out = rows.select(*by, "effect", t.alias("t"), total.cast("double").alias("df"))
+    return out.withColumn("p", F.when(F.col("t").isNull(), F.lit(1.0)).otherwise(student_two_sided("t", "df")))
 
 
 def pooled(df: DataFrame, by: list[str], case: Column) -> DataFrame:

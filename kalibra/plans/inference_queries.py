@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kalibra.functions import ranks
 from kalibra.functions.keyed import chained_sql, mixed_sql
-from kalibra.functions.special import erfc_sql, signed_z_sql, two_sided_p_sql
+from kalibra.functions.special import erfc_sql, signed_z_sql, student_p_sql, student_two_sided, trigamma_sql, two_sided_p_sql
 from kalibra.operators import expression, graph, mapping, modules, nulls, rewire
 from kalibra.plans import stand_ins as S
 from kalibra.plans.stand_ins import SEED, r, sql
@@ -208,18 +208,20 @@ def bootstrap_interval(spark, d):
 
 # Multiplicity
 
-# Of parts, Welch's test of the prices of open and shipped lines; the tail of the normal law serves, as SQL has it too.
+# Of parts, Welch's test of the prices of open and shipped lines.
+STUDENT = student_p_sql("t", "df", "duckdb")
+TESTED = "round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) as t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) as df"
 P = {
     "pg": "select feature, count(*) filter (o) as n1, count(*) filter (not o) as n2, avg(value) filter (o) as m1, avg(value) filter (not o) as m2, var_samp(value) filter (o) as v1, var_samp(value) filter (not o) as v2 from (select *, status = 'O' as o from px) group by all",
-    "pt": "select feature, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) as t, round(m1 - m2, 4) as effect from pg where n1 >= 2 and n2 >= 2 and v1 + v2 > 0",
-    "t": f"select feature as part, p_brand as family, {two_sided_p_sql('t')} as p, effect from pt join part on p_partkey = feature",
+    "pt": f"select feature, {TESTED}, round(m1 - m2, 4) as effect from pg where n1 >= 2 and n2 >= 2 and v1 + v2 > 0",
+    "t": f"select feature as part, p_brand as family, {STUDENT} as p, effect from pt join part on p_partkey = feature",
 }
 
 
 def tested(rows, case):
-    """(feature, n1, n2, t, p, effect)."""
-    out = expression.welch(rows, ["feature"], case).where("t is not null").withColumns({"t": r("t", 5), "effect": r("effect", 4)})
-    return out.withColumn("p", F.expr(two_sided_p_sql("t")))
+    """(feature, n1, n2, t, df, p, effect)."""
+    out = expression.welch(rows, ["feature"], case).where("t is not null").withColumns({"t": r("t", 5), "df": r("df", 4), "effect": r("effect", 4)})
+    return out.withColumn("p", student_two_sided("t", "df"))
 
 
 def p_values(spark, d):
@@ -251,14 +253,16 @@ def holm(spark, d):
 @query(
     sql(
         f"select context, family, part, {HOLM.format(t='u')}",
-        "px", **P, u="select 'A' as context, 'global' as family, part, p from t where family = 'Brand#1' union all select 'B', 'global', part, p from t where family = 'Brand#2' union all select 'B', 'own', part, p from t where family = 'Brand#3'",
+        "px", "pd", **P, dg=P["pg"].replace("from px", "from pd"), dt=P["pt"].replace("from pg", "from dg"),
+        v=f"select 'price' as context, part, p from t union all select 'discount', feature, {STUDENT} from dt",
+        u="select context, 'global' as family, part, p from v union all select context, context, part, p from v",
     )
 )
 def global_holm(spark, d):
-    """ST5, SE1: one family over two contexts, and one of its own."""
-    t = p_values(spark, d)
-    part = lambda context, family, brand: t.where(F.col("family") == brand).select(F.lit(context).alias("context"), F.lit(family).alias("family"), "part", "p")
-    every = part("A", "global", "Brand#1").unionByName(part("B", "global", "Brand#2")).unionByName(part("B", "own", "Brand#3"))
+    """ST5, SE1: the parts' tests of prices and of discounts as one family over both contexts, and each context as one of its own."""
+    discounts = tested(S.discounts(spark, d), F.col("status") == "O").select(F.lit("discount").alias("context"), F.col("feature").alias("part"), "p")
+    both = Scratch(spark).write(p_values(spark, d).select(F.lit("price").alias("context"), "part", "p").unionByName(discounts))
+    every = both.withColumn("family", F.lit("global")).unionByName(both.withColumn("family", F.col("context")))
     return ranks.with_holm(every, "p", ["family"]).select("context", "family", "part", r("holm", 10).alias("holm"))
 
 
@@ -282,11 +286,11 @@ def welch(spark, d):
     return out.select("feature", "n1", "n2", r("effect", 4).alias("effect"), r("t", 5).alias("t"), r("df", 4).alias("df"))
 
 
-@query()
+@query(sql(f"select feature, round({STUDENT}, 10) as p from (select feature, round((m1 - m2) / sqrt(e1 + e2), 5) as t, round((e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)), 4) as df from wt)", "px", **WELCH))
 def student_p(spark, d):
-    """ST9: P values of welch(), through an Arrow UDF."""
-    out = expression.with_p(expression.welch(S.prices(spark, d), ["feature"], F.col("big")))
-    return out.select("feature", r("p", 10).alias("p"))
+    """ST9: P values of welch()."""
+    out = expression.welch(S.prices(spark, d), ["feature"], F.col("big")).withColumns({"t": r("t", 5), "df": r("df", 4)})
+    return expression.with_p(out).select("feature", r("p", 10).alias("p"))
 
 
 @query(sql(f"select part, round({signed_z_sql('p', 'effect')}, 8) as z, round({two_sided_p_sql('(p * 3)')}, 12) as tail, round({erfc_sql('(p * 3)')}, 12) as erfc from t", "px", **P))
@@ -299,8 +303,9 @@ def signed_z(spark, d):
 # Two cohorts, open and shipped lines, in each of which large and small orders' discounts are compared.
 COHORT = {
     "cg": "select feature, status, count(*) filter (big) as n1, count(*) filter (not big) as n2, avg(value) filter (big) as m1, avg(value) filter (not big) as m2, var_samp(value) filter (big) as v1, var_samp(value) filter (not big) as v2 from pd group by all",
-    "ct": "select feature, status, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) as t, round(m1 - m2, 4) as eff from cg where n1 >= 2 and n2 >= 2 and v1 + v2 > 0",
-    "co": f"select feature, status, {signed_z_sql(two_sided_p_sql('t'), 'eff')} as z from ct",
+    "ct": f"select feature, status, {TESTED}, round(m1 - m2, 4) as eff from cg where n1 >= 2 and n2 >= 2 and v1 + v2 > 0",
+    "cp": f"select feature, status, eff, {STUDENT} as p from ct",
+    "co": f"select feature, status, {signed_z_sql('p', 'eff')} as z from cp",
     "bo": "select a.feature, a.z as za, b.z as zb from co a join co b using (feature) where a.status = 'O' and b.status = 'F'",
     "ne": "select status, count(*) filter (big)::double * count(*) filter (not big) / count(*) as n from pd group by all",
     "nn": "select max(n) filter (status = 'O') as na, max(n) filter (status = 'F') as nb from ne",
@@ -309,7 +314,7 @@ COHORT = {
 
 def cohort(spark, d, status):
     rows = tested(S.discounts(spark, d).where(F.col("status") == status), F.col("big"))
-    return rows.select("feature", F.expr(signed_z_sql("p", "effect")).alias("z"))
+    return Scratch(spark).write(rows.select("feature", "p", "effect")).select("feature", F.expr(signed_z_sql("p", "effect")).alias("z"))
 
 
 def effective_sizes(spark, d):
@@ -372,11 +377,21 @@ def quantile_normalised(spark, d):
     return expression.quantile_normalised(full).select("feature", F.col("sample").alias("status"), r(F.log2("value"), 9).alias("log_value"))
 
 
-@query()
+EVIDENCE, PRIOR_DF, PRIOR, NO_REST = expression.prior_sql("duckdb")
+MODERATED = {
+    "pl": "select feature, n1, n2, m1 - m2 as effect, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) as s2, (n1 + n2 - 2)::double as d from g where n1 >= 2 and n2 >= 2",
+    "pe": f"select avg(e) as centre, var_samp(e) - avg(v) as rest from (select {EVIDENCE} as e, {trigamma_sql('(d / 2)')} as v from pl where s2 > 0)",
+    "p0": f"select centre, {PRIOR_DF} as d0, (select sum(d) from pl) as most from pe",
+    "p1": f"select d0, most, case when d0 is null then {NO_REST} else {PRIOR} end as s0 from p0",
+    "mt": "select feature, effect, effect / sqrt((case when d0 is null then s0 else (d0 * s0 + d * s2) / (d0 + d) end) * (1.0::double / n1 + 1.0::double / n2)) as t, least(coalesce(d0 + d, most), most) as df from pl cross join p1",
+}
+
+
+@query(sql(f"select feature, round(effect, 4) as effect, round(t, 6) as t, round(df, 4) as df, round({STUDENT}, 8) as p from mt", "px", g=WELCH["g"], **MODERATED))
 def moderated_t(spark, d):
-    """R3, R5: variances shrunk to a common prior."""
+    """R3, R5, ST9: variances, each with its own residual df, shrunk to a common prior."""
     out = expression.moderated(expression.pooled(S.prices(spark, d), ["feature"], F.col("big")), ["feature"])
-    return out.select("feature", r("effect", 4).alias("effect"), r("t", 6).alias("t"), r("df", 4).alias("df"), r("p", 9).alias("p"))
+    return out.select("feature", r("effect", 4).alias("effect"), r("t", 6).alias("t"), r("df", 4).alias("df"), r("p", 8).alias("p"))
 
 
 TMM = {
@@ -422,15 +437,43 @@ def imputed(spark, d):
     return expression.imputed(rows).withColumn("value", r("value"))
 
 
-@query(
-    sql(
-        "select from_class, to_class, count(*) as n, round(count(*)::double / sum(count(*)) over (), 8) as share from (select feature, case when za >= 1 then 'Up' when za <= -1 then 'Down' else 'NS' end as from_class, case when zb >= 1 then 'Up' when zb <= -1 then 'Down' else 'NS' end as to_class from bo) group by all",
-        "pd", **COHORT,
-    )
-)
+# Of either status, tests of the logged prices of large against small lines, with q-values over all features.
+FOLDS = {
+    "lg": "select feature, status, count(*) filter (big) as n1, count(*) filter (not big) as n2, avg(x) filter (big) as m1, avg(x) filter (not big) as m2, var_samp(x) filter (big) as v1, var_samp(x) filter (not big) as v2 from (select *, log2(value) as x from px) group by all",
+    "lt": f"select feature, status, {TESTED}, round(m1 - m2, 4) as fold from lg where n1 >= 2 and n2 >= 2 and v1 + v2 > 0",
+    "lp": f"select feature, status, fold, {STUDENT} as p from lt",
+    "lq": "select feature, status, fold, round(least(1, min(p * m / k) over (partition by status order by k desc rows unbounded preceding)), 10) as q from (select *, row_number() over (partition by status order by p, feature) as k, count(*) over (partition by status) as m from lp)",
+    "lc": "select feature, status, fold, q, case when q < 0.05 and fold >= 1 then 'Up' when q < 0.05 and fold <= -1 then 'Down' else 'NS' end as class from lq",
+}
+
+
+def folds(spark, d):
+    """(feature, status, fold, q, class)."""
+    rows, out = S.prices(spark, d).withColumn("value", F.log2("value")), None
+    for status in ("O", "F"):
+        one = tested(rows.where(F.col("status") == status), F.col("big")).select(F.lit(status).alias("status"), "feature", "p", F.col("effect").alias("fold"))
+        out = one if out is None else out.unionByName(one)
+    out = ranks.with_bh(Scratch(spark).write(out), "p", ["status"]).withColumn("q", r("q", 10))
+    return expression.differential(out, effect="fold")
+
+
+@query(sql("select * from lc", "px", **FOLDS))
+def volcano(spark, d):
+    """R8, R6: classes by q-value and fold change."""
+    return folds(spark, d).select("feature", "status", "fold", "q", "class")
+
+
+@query(sql("select feature, status, fold, q from lc where class <> 'NS'", "px", **FOLDS))
+def differential_features(spark, d):
+    """R6: the features of q < .05 and a fold change of two."""
+    return folds(spark, d).where("class <> 'NS'").select("feature", "status", "fold", "q")
+
+
+@query(sql("select a.class as from_class, b.class as to_class, count(*) as n, round(count(*)::double / sum(count(*)) over (), 8) as share from lc a join lc b using (feature) where a.status = 'O' and b.status = 'F' group by all", "px", **FOLDS))
 def direction_flow(spark, d):
     """R8, R9."""
-    one = lambda s: expression.differential(cohort(spark, d, s).withColumn("q", F.lit(0.0)), effect="z")
+    found = Scratch(spark).write(folds(spark, d))
+    one = lambda s: found.where(F.col("status") == s)
     return expression.direction_flow(one("O"), one("F")).withColumn("share", r("share"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kalibra.functions.ranks import average_rank, min_rank, spearman, to_sum_one, top
+from kalibra.functions.ranks import average_rank, min_rank, spearman, spearman_p, to_sum_one, top
+from kalibra.functions.special import student_p_sql
 from kalibra.operators import divergence, evidence, mapping, projection
 from kalibra.plans import stand_ins as S
 from kalibra.plans.stand_ins import r, sql
@@ -301,14 +302,14 @@ def cross_layer(spark, d):
 
 
 @query(
-    sql(
-        "select c_mktsegment as profile, count(*) as n, round(corr(ra, rb), 8) as rho from (select c_mktsegment, rank() over (partition by c_mktsegment order by c_acctbal) + (count(*) over (partition by c_mktsegment, c_acctbal) - 1) / 2.0::double as ra, rank() over (partition by c_mktsegment order by c_nationkey) + (count(*) over (partition by c_mktsegment, c_nationkey) - 1) / 2.0::double as rb from customer) group by all"
-    ).replace("with  ", "")
+    f"""with k as (select c_mktsegment as profile, rank() over (partition by c_mktsegment order by c_acctbal) + (count(*) over (partition by c_mktsegment, c_acctbal) - 1) / 2.0::double as ra, rank() over (partition by c_mktsegment order by c_nationkey) + (count(*) over (partition by c_mktsegment, c_nationkey) - 1) / 2.0::double as rb from customer),
+    c as (select profile, count(*) as n, round(corr(ra, rb), 8) as rho from k group by profile), s as (select profile, n, rho, rho * sqrt((n - 2) / (1 - rho * rho)) as t, (n - 2)::double as df from c)
+    select profile, n, rho, round({student_p_sql('t', 'df', 'duckdb')}, 9) as p from s"""
 )
 def grouped_spearman(spark, d):
-    """ST6, WN3."""
+    """ST6, ST9, WN3: rho and its P by Student's t."""
     out = spearman(S.table(spark, d, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"], wide=True)
-    return out.select(F.col("c_mktsegment").alias("profile"), "n", r("rho").alias("rho"))
+    return spearman_p(out.withColumn("rho", r("rho"))).select(F.col("c_mktsegment").alias("profile"), "n", "rho", r("p", 9).alias("p"))
 
 
 @query(

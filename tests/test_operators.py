@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -163,10 +165,46 @@ def test_resampled_effects_like_pandas(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
-def test_trigamma_inverse():
-    for x in (0.1, 1.0, 7.5, 300.0):
-        assert expression.trigamma_inverse(expression.trigamma(x)) == pytest.approx(x, rel=1e-9)
-    assert expression.digamma(1.0) == pytest.approx(-0.5772156649015329)
+def plain_moderated(rows):
+    """Shrunk variances by the prior of unequal df, step by step."""
+    digamma = lambda x: (math.lgamma(x + 1e-4) - math.lgamma(x - 1e-4)) / 2e-4
+
+    def trigamma(x):
+        out = 0.0
+        while x < 30:
+            out, x = out + 1 / x**2, x + 1
+        return out + 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5)
+
+    d = np.array([a + b - 2 for a, b, _, _ in rows])
+    s2 = np.array([x[3] for x in rows])
+    e = np.array([math.log(s) - digamma(k / 2) + math.log(k / 2) for s, k in zip(s2, d)])
+    rest = e.var(ddof=1) - np.mean([trigamma(k / 2) for k in d])
+    if rest > 0:
+        low, high = 1e-6, 1e6
+        for _ in range(200):
+            mid = math.sqrt(low * high)
+            low, high = (mid, high) if trigamma(mid) > rest else (low, mid)
+        d0 = 2 * low
+        shrunk = (d0 * math.exp(e.mean() + digamma(d0 / 2) - math.log(d0 / 2)) + d * s2) / (d0 + d)
+        total = np.minimum(d + d0, d.sum())
+    else:
+        shrunk, total = np.full(len(d), math.exp(e.mean())), np.full(len(d), d.sum())
+    return [(x[2] / math.sqrt(v * (1 / x[0] + 1 / x[1])), k) for x, v, k in zip(rows, shrunk, total)]
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.0])
+def test_variances_of_unequal_df_are_shrunk(spark, spread):
+    rng = np.random.default_rng(21)
+    rows = []
+    for _ in range(80):
+        a, b = (float(x) for x in rng.integers(2, 12, 2))
+        d = a + b - 2
+        chance = rng.chisquare(d) / d if spread else 1.0 + rng.random() / 100
+        rows.append((a, b, float(rng.normal()), float(chance * math.exp(spread * rng.normal()))))
+    df = frame(spark, [(i, *x) for i, x in enumerate(rows)], "feature int, n1 double, n2 double, effect double, s2 double")
+    got = {r.feature: r for r in expression.moderated(df, ["feature"]).collect()}
+    for i, (t, total) in enumerate(plain_moderated(rows)):
+        assert got[i].t == pytest.approx(t, rel=1e-5) and got[i].df == pytest.approx(total, rel=1e-4) and 0 < got[i].p <= 1
 
 
 def test_bootstrap_draws_as_many_as_there_are(spark):
