@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,20 +147,67 @@ def scored_seeds(start: DataFrame, q: DataFrame) -> DataFrame:
     return start.join(q.select("node", F.col("x").alias("q")), "node").groupBy("profile").agg(F.sum(F.col("x") * F.col("q")).alias("score"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, ancestor): all ancestors over edges (child, parent), the node itself included; cycles end."""
+def walked_together(p: DataFrame, start: DataFrame, restarts: dict[str, float], tolerance: float = 1e-12) -> DataFrame:
+    """(node, names): the limits of many walks at once, a column for each of the names of restarts.
+
+    start has their seeds in columns of these names.  All walks share a pass over
+    the edges, which are written once, in the order of their sources; what a step
+    shuffles is a row of all walks for each node and task.  As a step shrinks the
+    change in L1 by the restart, the steps until no walk changes by more than the
+    tolerance, in L1 and so in any entry, are known before; the last is checked.
+    """
+    names = list(restarts)
+    if len(names) > 200:
+        raise ValueError("more than 200 walks in one pass")
+    scratch = Scratch(start.sparkSession)
+    p = scratch.write(p.select("src", "dst", "p").repartition("src").sortWithinPartitions("src"))
+    start = scratch.write(start.select("node", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names]))
+    back = start.select("node", *[(F.col(n) * restarts[n]).alias(n) for n in names])
+
+    def step(x: DataFrame) -> DataFrame:
+        moved = p.join(x, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), *[(F.col("p") * F.col(n) * (1 - restarts[n])).alias(n) for n in names])
+        return moved.unionByName(back).groupBy("node").agg(*[F.sum(n).alias(n) for n in names])
+
+    x = held = start
+    steps = max(1, math.ceil(math.log(tolerance / 4) / math.log(1 - min(restarts.values()))))
+    for i in range(1, steps + 1):
+        x = step(x)
+        if i % 8 == 0 or i == steps:
+            x = scratch.write(x)
+            if held is not start:
+                scratch.drop(held)
+            held = x
+    new = scratch.write(step(x))
+    both = new.join(x.select("node", *[F.col(n).alias(f"_{n}") for n in names]), "node", "full_outer")
+    gaps = [F.sum(F.abs(F.coalesce(n, F.lit(0.0)) - F.coalesce(f"_{n}", F.lit(0.0)))) for n in names]
+    change = both.agg(F.greatest(*gaps, F.lit(0.0))).first()[0]
+    if change > tolerance:
+        raise RuntimeError(f"still changing by {change} after {steps} steps: rows of p don't sum to 1")
+    return new
+
+
+def closure(edges: DataFrame, most: int = 40) -> DataFrame:
+    """(node, ancestor): all ancestors over edges (child, parent), the node itself included; cycles end.
+
+    Ancestors nearer than a power of two are joined with those just so far, which
+    are then joined with themselves, so there are as many rounds as the depth has
+    bits; a round without new ancestors is the last.
+    """
     scratch = Scratch(edges.sparkSession)
-    edges = edges.select("child", "parent").distinct()
-    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
-    found = scratch.write(nodes.select("node", F.col("node").alias("ancestor")))
-    last = found
+    far = scratch.write(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
+    found = scratch.write(far.select("node").union(far.select("ancestor")).distinct().select("node", F.col("node").alias("ancestor")))
     for _ in range(most):
-        new = last.join(edges, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
+        up = far.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"))
+        new = found.join(up, "ancestor").select("node", F.col("_up").alias("ancestor")).distinct()
         new = scratch.write(new.join(found, ["node", "ancestor"], "left_anti"))
         if new.isEmpty():
             return found
-        found, last = scratch.write(found.union(new)), new
-    raise RuntimeError(f"deeper than {most}")
+        before, found = found, scratch.write(found.union(new))
+        scratch.drop(before)
+        scratch.drop(new)
+        last, far = far, scratch.write(far.join(up, "ancestor").select("node", F.col("_up").alias("ancestor")).distinct())
+        scratch.drop(last)
+    raise RuntimeError(f"deeper than 2 ** {most}")
 
 
 def propagated(annotations: DataFrame, ancestors: DataFrame, live: DataFrame | None = None) -> DataFrame:

@@ -687,6 +687,55 @@ def restart_sensitivity(spark, d):
     return rho.join(top, ["profile", "restart"])
 
 
+# Walks on the graph of customers and suppliers, c and s, with an edge for each pair that trades, by quantity.
+RESTARTS = (0.3, 0.5, 0.7)
+TRADE = {
+    "te": "select 'c' || o_custkey as u, 's' || l_suppkey as v, sum(l_quantity)::double as w from lineitem join orders on l_orderkey = o_orderkey group by all",
+    "tr": "select src, dst, w / sum(w) over (partition by src) as p from (select u as src, v as dst, w from te union all select v, u, w from te)",
+    "ts0": "select distinct c_mktsegment as profile, u as node from te join customer on u = 'c' || c_custkey",
+    "ts": "select profile, node, 1.0::double / count(*) over (partition by profile) as x from ts0",
+    "rr": f"select unnest([{', '.join(f'{x}::double' for x in RESTARTS)}]) as r",
+    "wk": """select 0 as step, profile, r, node, x from ts cross join rr union all (
+        with now as (select * from wk where step < 96)
+        select step, profile, r, node, sum(x) as x from (select step + 1 as step, profile, r, dst as node, (1 - r) * p * x as x from now join tr on src = node
+        union all select step + 1, profile, r, node, r * x from (select distinct step from now) cross join ts cross join rr) group by all)""",
+    "fin": "select profile, r, node, round(x, 12) as x from wk where step = 96",
+    "tp": "select *, row_number() over (partition by profile, r order by x desc, node) as k from fin",
+}
+
+
+def trade_walks(spark, d):
+    """(profile, restart, node, x) of the converged walks of all segments' customers, and the nodes' number."""
+    rows = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = rows.groupBy(F.concat(F.lit("c"), "o_custkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v")).agg(F.sum("l_quantity").cast("double").alias("score"))
+    p = graph.transition(Scratch(spark).write(e))
+    people = S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("profile"), F.concat(F.lit("c"), "c_custkey").alias("node"), F.lit(1.0).alias("weight"))
+    own = Scratch(spark).write(graph.seeds(people, p.select(F.col("src").alias("node"))))
+    profiles = nulls.names_of(own, "profile")
+    walks = {f"x{i}_{j}": (name, x) for i, name in enumerate(profiles) for j, x in enumerate(RESTARTS)}
+    start = own.groupBy("node").agg(*[F.sum(F.when(F.col("profile") == name, F.col("x"))).alias(c) for c, (name, _) in walks.items()])
+    found = graph.walked_together(p, start, {c: x for c, (_, x) in walks.items()})
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("profile"), F.lit(x).alias("restart"), F.round(c, 12).alias("x")) for c, (name, x) in walks.items()]))
+    return found.select("node", each.alias("w")).select("w.profile", "w.restart", "node", "w.x")
+
+
+@query(
+    sql(
+        """select a.profile, a.r as restart, count(b.node)::double / (400 - count(b.node)) as jaccard, any_value(m.mass) as mass from (select * from tp where k <= 200 and r <> 0.5) a left join (select * from tp where k <= 200 and r = 0.5) b using (profile, node)
+        join (select profile, r, round(sum(x), 9) as mass from fin group by all) m on m.profile = a.profile and m.r = a.r group by a.profile, a.r""",
+        **TRADE,
+    ).replace("with ", "with recursive ", 1).replace(" tr as (", " tr as materialized (").replace(" fin as (", " fin as materialized (").replace(" ts as (", " ts as materialized (")
+)
+def restart_stability(spark, d):
+    """GR2, GR4, GR5, GR8: walks of all segments at three restarts on the graph of customers and suppliers, their mass, and how their 200 largest nodes agree with those at 0.5."""
+    found = Scratch(spark).write(trade_walks(spark, d))
+    best = Scratch(spark).write(ranks.top(found, "x", ["profile", "restart"], "node", 200).select("profile", "restart", "node"))
+    middle = best.where("restart = 0.5").select("profile", "node", F.lit(1).alias("on"))
+    rows = best.where("restart <> 0.5").join(middle, ["profile", "node"], "left").groupBy("profile", "restart").agg(F.count("on").alias("n"))
+    mass = found.groupBy("profile", "restart").agg(r(F.sum("x"), 9).alias("mass"))
+    return rows.join(mass, ["profile", "restart"]).select("profile", "restart", (F.col("n") / (400 - F.col("n"))).alias("jaccard"), "mass")
+
+
 DAG = "select distinct 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 'r' || r_regionkey, 'world' from region"
 
 

@@ -294,6 +294,28 @@ def test_layers_of_the_observed_graph(spark):
     assert got.gjsd == pytest.approx(want.gjsd) and got.common_mass == pytest.approx(want.common_mass)
 
 
+def test_closure_takes_as_many_rounds_as_its_depth_has_bits(spark):
+    n = 600
+    got = graph.closure(frame(spark, [(i, i + 1) for i in range(n)], "child int, parent int"), most=11)
+    assert got.count() == (n + 1) * (n + 2) // 2 and got.where("ancestor < node").count() == 0
+    loop = graph.closure(frame(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (2, 3), (0, 3)], "child int, parent int"), most=4)
+    assert sorted(map(tuple, loop.collect())) == sorted([(a, b) for a in range(3) for b in range(4)] + [(3, 3)])
+
+
+def test_walks_together_like_numpy(spark):
+    rng = np.random.default_rng(31)
+    a = rng.random((12, 12)) * (rng.random((12, 12)) < 0.4)
+    a[a.sum(1) == 0, 0] = 1.0
+    p = a / a.sum(1, keepdims=True)
+    rows = [(i, j, float(p[i, j])) for i in range(12) for j in range(12) if p[i, j] > 0]
+    seeds = rng.dirichlet(np.ones(12), 2)
+    start = frame(spark, [(i, float(seeds[0, i]), float(seeds[1, i])) for i in range(12)], "node int, a double, b double")
+    got = {r.node: r for r in graph.walked_together(frame(spark, rows, "src int, dst int, p double"), start, {"a": 0.3, "b": 0.7}).collect()}
+    for k, (name, r) in enumerate((("a", 0.3), ("b", 0.7))):
+        want = r * np.linalg.solve(np.eye(12) - (1 - r) * p.T, seeds[k])
+        assert all(got[i][name] == pytest.approx(want[i], abs=1e-11) for i in range(12) if want[i] > 0)
+
+
 def test_guards(spark):
     m = frame(spark, [("m", 6, False, True)], "module string, n int, broad boolean, eligible boolean")
     with pytest.raises(ValueError):
