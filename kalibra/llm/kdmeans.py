@@ -259,3 +259,21 @@ def clustered(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k
 
 def op11_kdmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def oracle(k: int = K, rounds: int = ROUNDS, size: int = SIZE, scale: int = SCALE, seed: int = SEED) -> str:
+    """The same in SQL, with every distance."""
+    parts = [
+        f"kept as (select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings where len(embedding) = {size} and len(list_filter(embedding, lambda x: isfinite(x))) = {size})",
+        f"c0 as (select row_number() over (order by sha256('{seed}:' || vec_id), v) - 1 as c, v from kept qualify c < {k})",
+    ]
+    for i in range(rounds + 1):
+        apart = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::bigint"
+        parts.append(f"a{i} as (select vec_id, v, min({{'d': d, 'c': c}}) as best from (select k.vec_id, k.v, c.c, {apart} as d from kept k cross join c{i} c) group by vec_id, v)")
+        if i < rounds:
+            parts += [
+                f"s{i} as (select c, i, sum(x)::bigint as s, count(*) as n from (select best.c as c, unnest(v) as x, unnest(range(1, {size + 1})) as i from a{i}) group by c, i)",
+                f"m{i} as (select c, list((s - ((s % n) + n) % n) // n order by i) as v from s{i} group by c)",
+                f"c{i + 1} as (select c{i}.c, coalesce(m{i}.v, c{i}.v) as v from c{i} left join m{i} using (c))",
+            ]
+    return f"with {', '.join(parts)} select vec_id, best.c::int as cluster, best.d as distance, sum(best.d) over (partition by best.c)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256 from a{rounds} join c{rounds} c on c.c = best.c"

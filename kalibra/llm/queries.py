@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from kalibra.llm import warc
+from kalibra.llm import kdmeans, warc
 from kalibra.llm.bpe import op12_bpe
 from kalibra.llm.chat import op9_chat
 from kalibra.llm.decontam import op1_decontaminate
@@ -30,4 +30,4 @@ QUERIES = {
     "op13_runs": op13_runs,
 }
 
-ORACLES = {"op8_merkle": warc.oracle()}
+ORACLES = {"op8_merkle": warc.oracle(), "op11_kdmeans": kdmeans.oracle()}

@@ -10,7 +10,7 @@ import pytest
 
 from kalibra.llm import bpe, kdmeans, runs
 from kalibra.llm.shared import table
-from tests.compare import DATA
+from tests.compare import DATA, assert_same
 
 SF = f"{DATA}/sf0.001"
 sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
@@ -50,6 +50,10 @@ def test_clusters_of_the_table(spark):
     assert sorted(map(tuple, kdmeans.op11_kdmeans(spark, SF).collect()), key=str) == plain_clusters(rows, 16, 3)
 
 
+def test_clusters_in_sql(spark):
+    assert_same(spark, kdmeans.op11_kdmeans, kdmeans.oracle())
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(k, v, 7, "x") for k, v in rows], "vec_id long, embedding array<float>, cluster int, distance string")
 
