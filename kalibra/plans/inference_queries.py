@@ -530,6 +530,14 @@ def clean_edges(spark, d):
     return clean(spark, d).withColumn("score", r("score"))
 
 
+@query(sql("select u, v, round(score, 8) as score from cl", "net0", **(NET | {"sc0": "select u, v, score::double / (select max(score) from net0) as score from net0"})))
+def clean_shares(spark, d):
+    """GR1, FIL11, FIL12: scores that are shares already, and stay."""
+    net = S.network(spark, d)
+    shares = net.crossJoin(net.agg(F.max("score").alias("m"))).select("u", "v", (F.col("score").cast("double") / F.col("m")).alias("score"))  # one row
+    return graph.cleaned(graph.on_unit_scale(shares), 0.3).withColumn("score", r("score"))
+
+
 @query(sql("select src, dst, round(p, 8) as p from tp", "net0", **NET))
 def transitions(spark, d):
     """GR2."""

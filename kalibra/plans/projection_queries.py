@@ -221,8 +221,8 @@ def top_overlap(spark, d):
 @query(sql('select profile, "right" as right_node, rn as rank, rank() over (partition by profile order by sum1 desc) as tied_rank from rk qualify rn <= 100', "prof", **PAIR))
 def top_features(spark, d):
     """PR22, WN1, WN2, WN7."""
-    rows = rounded(spark, d).withColumn("tied_rank", min_rank("sum1", ["profile"]).cast("long"))
-    out = top(rows, "sum1", ["profile"], "right", 100)
+    out = top(rounded(spark, d), "sum1", ["profile"], "right", 100)  # all that are larger than one of them are among them
+    out = out.withColumn("tied_rank", min_rank("sum1", ["profile"]).cast("long"))
     return out.select("profile", F.col("right").alias("right_node"), F.col("rank").cast("long").alias("rank"), "tied_rank")
 
 
