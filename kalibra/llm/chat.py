@@ -18,9 +18,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kalibra.llm.shared import partitions, table
 
@@ -78,18 +77,6 @@ def paths(value, at: str = "") -> set[str]:
     return out
 
 
-def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
-    """The same of a table's type."""
-    out: set[str] = set()
-    if isinstance(kind, T.StructType):
-        for f in kind:
-            path = f"{at}.{f.name}" if at else f.name
-            out |= {path} | schema_paths(f.dataType, path)
-    elif isinstance(kind, T.ArrayType):
-        out |= {f"{at}[]"} | schema_paths(kind.elementType, f"{at}[]")
-    return out
-
-
 def fingerprint(found) -> str:
     return hashlib.sha256("\n".join(sorted(set(found))).encode()).hexdigest()[:16]
 
@@ -108,8 +95,8 @@ def written(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
-    """The turns (role, text) of a record; nulls are empty, and a field that is missing or null makes none."""
+def canonical(record: dict, mapping: Mapping, roles: dict[str, str] = ROLES) -> list[tuple[str, str]]:
+    """The turns (role, text) of a record, roles renamed; nulls are empty, and a field that is missing or null makes none."""
     out = []
     for path, role in mapping.fields:
         values = [written(record[p]) for p in path.split("+") if record.get(p) not in (None, "")]
@@ -119,12 +106,12 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
             out.append((role, ""))
     if not mapping.fields and not mapping.turns:
         role = written(record.get(mapping.role))
-        return [(ROLES.get(role, role), written(record.get(mapping.text)))]
+        return [(roles.get(role, role), written(record.get(mapping.text)))]
     for turn in record[mapping.turns] if mapping.turns else []:
         if not isinstance(turn, dict):
             turn = {mapping.text: turn}
         role = written(turn.get(mapping.role))
-        out.append((ROLES.get(role, role), written(turn.get(mapping.text))))
+        out.append((roles.get(role, role), written(turn.get(mapping.text))))
     return out
 
 
@@ -182,29 +169,92 @@ def formatted(records: DataFrame, key: str, record: str) -> DataFrame:
     return records.select(F.col(key), F.col(record).cast("string")).mapInArrow(run, f"`{key}` {kind}, fingerprint string, layout string, formatted string")
 
 
-def formatted_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, formatted): a row per turn of a table with a row per turn.
+def turn_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): a table with a row per turn, each as a JSON record of that layout."""
+    return rows.select("conv_id", "turn", as_json(F.col("conv_id"), F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))
+
+
+def as_json(*columns) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("record")
 
-    Joined in the order of turn, then of formatted, the texts are the formatted
-    conversation; no conversation need be held whole.  Null roles and texts are
-    empty; repeated rows are turns of their own; a null conv_id is one
-    conversation.
+
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): the same turns in four layouts, which a hash of conversation and turn picks.
+
+    These are rows as they are, messages of role and content, conversations of from
+    and value, and, where a user's turn is followed by an assistant's with the next
+    number, both as prompt and completion, with the turn of the first.  Turns that
+    share their number, or have none, are never joined.
     """
-    rows = rows.select("conv_id", "turn", "role", "text")
-    mapping = selected(schema_paths(rows.schema))
-    kinds = [rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
+    rows = rows.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    at = {c: {k: (F.lead if k > 0 else F.lag)(c, abs(k)).over(w) for k in (-2, -1, 1, 2)} for c in ("turn", "role", "text")}
+    alone = lambda before, own, after: ~before.eqNullSafe(own) & ~after.eqNullSafe(own)
+    own = rows.select(
+        "*",
+        pick.alias("pick"),
+        at["text"][1].alias("answer"),
+        ((F.col("role") == "user") & (at["role"][1] == "assistant") & (at["turn"][1] == F.col("turn") + 1)
+         & alone(at["turn"][-1], F.col("turn"), at["turn"][1]) & alone(F.col("turn"), at["turn"][1], at["turn"][2])).alias("asks"),
+        ((F.col("role") == "assistant") & (at["role"][-1] == "user") & (at["turn"][-1] == F.col("turn") - 1)
+         & alone(at["turn"][-2], at["turn"][-1], F.col("turn")) & alone(at["turn"][-1], F.col("turn"), at["turn"][1])).alias("answers"),
+    )
+    asked = F.pmod(F.xxhash64("conv_id", F.col("turn") - 1), F.lit(4)) == 3
+    own = own.where(~F.coalesce(F.col("answers") & asked, F.lit(False)))
+    one = lambda role, text: F.array(F.struct(F.col("role").alias(role), F.col("text").alias(text)))
+    record = (
+        F.when((F.col("pick") == 3) & F.col("asks"), as_json(F.col("text").alias("prompt"), F.col("answer").alias("completion")))
+        .when(F.col("pick") == 1, as_json(F.col("conv_id").alias("id"), one("role", "content").alias("messages")))
+        .when(F.col("pick") == 2, as_json(one("from", "value").alias("conversations")))
+        .otherwise(as_json("conv_id", "turn", "role", "text"))
+    )
+    return own.select("conv_id", "turn", record.alias("record"))
+
+
+def formatted_records(records: DataFrame, roles: dict[str, str] = ROLES) -> DataFrame:
+    """(conv_id, turn, formatted): a row per turn of JSON records (conv_id, turn, record), mapped by fingerprint.
+
+    The i-th turn of a record has its turn plus i.  Joined in the order of turn,
+    then of formatted, the texts are the formatted conversation; no conversation
+    need be held whole.  A record of no known layout ends the job with its
+    fingerprint, as turns would be lost.
+    """
+    records = records.select("conv_id", "turn", "record")
+    kinds = [records.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Mapping | None] = {}
         for b in batches:
-            texts = [turn(written(r.as_py()), written(t.as_py())) for r, t in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["conv_id", "turn", "formatted"])
+            out = []
+            for c, at, x in zip(*b.columns):
+                value = json.loads(x.as_py() or "null")
+                found = paths(value)
+                mark = fingerprint(found)
+                if mark not in known:
+                    known[mark] = selected(found)
+                if known[mark] is None:
+                    raise ValueError(f"no layout is known for the fingerprint {mark}: {sorted(found)[:20]}")
+                c, at = c.as_py(), at.as_py()
+                out += [(c, at if at is None else at + i, turn(r, t)) for i, (r, t) in enumerate(canonical(value, known[mark], roles))]
+            if out:
+                types = [b.schema.field(0).type, b.schema.field(1).type, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), types)], names=["conv_id", "turn", "formatted"])
+
+    return records.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, formatted string")
+
 
-    own = rows.select("conv_id", "turn", F.col(mapping.role).cast("string"), F.col(mapping.text).cast("string"))
-    return own.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, formatted string")
+def formatted_turns(rows: DataFrame) -> DataFrame:
+    """formatted_records() of a table with a row per turn, which keeps its own words for roles.
+
+    Null roles and texts are empty; repeated rows are turns of their own; a null
+    conv_id is one conversation.
+    """
+    return formatted_records(turn_records(rows), {})
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """What formatted_turns() reads back as: a row per conversation.
+    """What formatted_records() reads back as: a row per conversation.
 
     Conversations stream through their task in order, a turn at a time.
     """
@@ -250,9 +300,9 @@ NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "for
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the probe, whose rows would join those of a conversation -1 of the table."""
+    """All conversations and the probe, whose rows would join those of a conversation -1 of the table, as records of four layouts."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")
     )
-    return digests(formatted_turns(rows.union(probe)))
+    return digests(formatted_records(mixed_records(rows.union(probe)), {}))

@@ -769,6 +769,24 @@ def test_chat_edges(spark):
     assert chat.digests(chat.formatted_turns(df.where("false"))).count() == 0
 
 
+def test_records_of_several_layouts(spark):
+    """Whatever layouts the turns come in, they read back as they were; joined turns are neighbours that no other shares a number with."""
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", "user", "assistant", "system", "bot", None]), rng.choice(["", None, "<|im_end|>", "x\n" * 9, "é\u2028\\"])) for c in [*range(40), None] for t in range(12)]
+    rows += [r for r in rows if rng.random() < 0.1] + [(c, None, "user", "n") for c in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    records = chat.mixed_records(df)
+    marks = {chat.selected(chat.paths(json.loads(r.record))).name for r in records.collect()}
+    assert marks == {"a row per turn", "messages of role and content", "conversations of from and value", "prompt and completion"}
+    assert records.count() < len(rows)
+    got = chat.formatted_records(records, {})
+    assert sorted(map(str, got.collect())) == sorted(map(str, chat.formatted_turns(df).collect()))
+    assert chat.digests(got).exceptAll(chat.digests(chat.formatted_turns(df))).count() == 0
+    assert chat.digests(chat.formatted_records(chat.mixed_records(df.where("false")))).count() == 0
+    with pytest.raises(Exception, match="no layout is known"):
+        chat.formatted_records(spark.createDataFrame([(1, 0, '{"a": 1}')], "conv_id long, turn int, record string")).collect()
+
+
 # Search
 
 
