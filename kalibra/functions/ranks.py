@@ -57,6 +57,23 @@ def wide_average_rank(df: DataFrame, x: str, by: list[str], name: str, least: bo
     return df.join(found.select(*by, x, rank.alias(name)), [*by, x])
 
 
+def exact_quantiles(df: DataFrame, x: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """(by, the names of at): linearly interpolated quantiles of few groups of very many rows.
+
+    The two rows around each are picked by their numbers, so no group's values are
+    held in one task.  Null values have no part; a group without others has no row.
+    """
+    rows = spread(df, x, by, Scratch(df.sparkSession))
+    size = rows.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    rows = rows.join(size, by) if by else rows.crossJoin(size)  # one row
+    place = {n: (F.col("_m") - 1) * F.lit(float(q)) for n, q in at.items()}
+    held = lambda i: F.max(F.when((F.col("_upto") <= i) & (i < F.col("_upto") + F.col("_n")), F.col(x)))
+    both = [c for n, p in place.items() for c in (held(F.floor(p)).alias(f"_a_{n}"), held(F.ceil(p)).alias(f"_b_{n}"))]
+    out = rows.groupBy(*by, "_m").agg(*both)
+    share = {n: p - F.floor(p) for n, p in place.items()}
+    return out.select(*by, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * w).alias(n) for n, w in share.items()])
+
+
 def adjusted(df: DataFrame, p: str, by: list[str], name: str, score, down: bool) -> DataFrame:
     """df with the running extreme of score(p, its first and last rank, the family's size) over a family's P values in order, at most 1.
 

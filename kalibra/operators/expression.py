@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kalibra.functions.ranks import safe_divide, spread, wide_average_rank
+from kalibra.functions.smooth import interpolated, lowess
 from kalibra.functions.special import digamma_sql, student_two_sided, trigamma_inverse_sql, trigamma_sql, two_sided_p
 from kalibra.storage import Scratch
 
@@ -107,8 +108,10 @@ def moderated(tests: DataFrame, by: list[str]) -> DataFrame:
     tests has n1, n2, effect and s2, the pooled variance, each with its own residual
     df.  What the logged variances vary beyond the sampling of their own df gives the
     prior's df; without any, all variances are the prior's.  No test has more df
-    than all residuals together.
+    than all residuals together.  A column u has the effect's variance in units of
+    s2 where rows are weighted; else it is 1 / n1 + 1 / n2.
     """
+    unit = F.col("u") if "u" in tests.columns else 1 / F.col("n1") + 1 / F.col("n2")
     evidence, d0, shrunk, alone = prior_sql()
     rows = tests.withColumn("d", F.col("n1") + F.col("n2") - 2)
     seen = rows.where("s2 > 0").select(F.expr(evidence).alias("e"), F.expr(trigamma_sql("(d / 2)")).alias("v"))
@@ -118,7 +121,7 @@ def moderated(tests: DataFrame, by: list[str]) -> DataFrame:
     rows = rows.crossJoin(prior.select("d0", "s0", "most"))
     s2 = F.when(F.col("d0").isNull(), F.col("s0")).otherwise((F.col("d0") * F.col("s0") + F.col("d") * F.col("s2")) / (F.col("d0") + F.col("d")))
     total = F.least(F.coalesce(F.col("d0") + F.col("d"), F.col("most")), F.col("most"))
-    t = F.col("effect") / F.sqrt(s2 * (1 / F.col("n1") + 1 / F.col("n2")))
+    t = F.col("effect") / F.sqrt(s2 * unit)
     out = rows.select(*by, "effect", t.alias("t"), total.cast("double").alias("df"))
     return out.withColumn("p", F.when(F.col("t").isNull(), F.lit(1.0)).otherwise(student_two_sided("t", "df")))
 
@@ -166,6 +169,49 @@ def tmm_factors(counts: DataFrame, reference: str, trim_m: float = 0.3, trim_a:
     return raw.select("sample", F.pow(F.lit(2.0), F.col("f") - F.avg("f").over(Window.partitionBy())).alias("factor"))
 
 
+def voom(counts: DataFrame, groups: DataFrame, factors: DataFrame | None = None, span: float = 0.5) -> DataFrame:
+    """(feature, sample, case, value, weight): log2 counts per million of complete counts, with the precision of each.
+
+    groups is (sample, case), one row a sample; samples and features without counts are left out.
+    factors (sample, factor) scales the library sizes.  The root of a feature's residual deviation by groups is smoothed
+    over its mean log count; the fit at what a sample's group predicts, to the power of -4, is the weight.
+    """
+    scratch = Scratch(counts.sparkSession)
+    size = counts.groupBy("sample").agg(F.sum("value").cast("double").alias("_lib")).where("_lib > 0")
+    if factors is not None:
+        size = size.join(factors, "sample").withColumn("_lib", F.col("_lib") * F.col("factor")).drop("factor")
+    some = counts.groupBy("feature").agg(F.sum("value").alias("_all")).where("_all > 0").select("feature")
+    size = scratch.write(size.join(groups.select("sample", "case"), "sample"))  # a row for each sample
+    rows = counts.select("feature", "sample", "value").join(some, "feature", "left_semi").join(size, "sample")
+    rows = scratch.write(rows.withColumn("value", F.log2((F.col("value") + 0.5) / (F.col("_lib") + 1) * 1e6)))
+    level = size.agg(F.avg(F.log2(F.col("_lib") + 1)) - math.log2(1e6)).first()[0]
+    on, off = F.when(F.col("case"), F.col("value")), F.when(~F.col("case"), F.col("value"))
+    means = rows.groupBy("feature").agg(
+        F.avg(on).alias("_m1"), F.avg(off).alias("_m2"), F.avg("value").alias("_m"), F.count(on).alias("_n1"), F.count(off).alias("_n2"), F.var_pop(on).alias("_v1"), F.var_pop(off).alias("_v2")
+    )
+    means = scratch.write(means.where("_n1 >= 1 and _n2 >= 1 and _n1 + _n2 > 2"))
+    s2 = (F.col("_n1") * F.col("_v1") + F.col("_n2") * F.col("_v2")) / (F.col("_n1") + F.col("_n2") - 2)
+    at, fits = lowess(means.select((F.col("_m") + F.lit(level)).alias("x"), F.pow(s2, F.lit(0.25)).alias("y")), span=span)
+    predicted = F.when(F.col("case"), F.col("_m1")).otherwise(F.col("_m2")) - math.log2(1e6) + F.log2(F.col("_lib") + 1)
+    out = rows.join(means.select("feature", "_m1", "_m2"), "feature")
+    return out.select("feature", "sample", "case", "value", F.pow(interpolated(predicted, at, fits), F.lit(-4.0)).alias("weight"))
+
+
+def weighted_pooled(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n1, n2, effect, s2, u) of voom()'s rows for moderated(): least squares by groups, each row with its weight."""
+    w, x = F.col("weight"), F.col("value")
+    sums = {}
+    for i, c in (("1", F.col("case")), ("2", ~F.col("case"))):
+        sums |= {f"n{i}": F.sum(c.cast("double")), f"w{i}": F.sum(F.when(c, w)), f"x{i}": F.sum(F.when(c, w * x))}
+    own = rows.join(rows.groupBy(*by).agg(*[v.alias(f"_{n}") for n, v in sums.items()]).where("_n1 >= 2 and _n2 >= 2"), by)
+    off = x - F.when(F.col("case"), F.col("_x1") / F.col("_w1")).otherwise(F.col("_x2") / F.col("_w2"))
+    out = own.groupBy(*by, *[f"_{n}" for n in sums]).agg(F.sum(w * off * off).alias("_q"))
+    return out.select(
+        *by, F.col("_n1").alias("n1"), F.col("_n2").alias("n2"), (F.col("_x1") / F.col("_w1") - F.col("_x2") / F.col("_w2")).alias("effect"),
+        (F.col("_q") / (F.col("_n1") + F.col("_n2") - 2)).alias("s2"), (1 / F.col("_w1") + 1 / F.col("_w2")).alias("u"),
+    )
+
+
 def differential(tests: DataFrame, q: str = "q", effect: str = "effect", most: float = 0.05, least: float = 1.0) -> DataFrame:
     """tests with class: Up, Down or NS by q-value and effect."""
     hit = (F.col(q) < most) & (F.abs(effect) >= least)

@@ -422,6 +422,73 @@ def expressed(spark, d):
     return expression.expressed(counts, 10.0, 2, 15.0)
 
 
+def fit_sql(step: int) -> dict[str, str]:
+    """Tables of one pass of the robust smoother: the lines by the points pt around the places ha, and the weights of the next pass."""
+    w = "(case when abs(x - a) <= 0.001 * h then 1 else pow(1 - pow(abs(x - a) / h, 3), 3) end) * rw"
+    before = "select *, 1.0::double as rw from pt" if not step else f"select * from rw{step}"
+    return {
+        f"su{step}": f"select pos, a, sum(w) as w, sum(w * (x - a)) as u, sum(w * (x - a) * (x - a)) as uu, sum(w * y) as y, sum(w * (x - a) * y) as uy from (select pos, a, x, y, {w} as w from ha, ({before}) p where abs(x - a) <= 0.999 * h and rw > 0) group by all",
+        f"ft{step}": f"select pos, a, y / w - case when uu / w - u / w * u / w > 0 and sqrt(uu / w - u / w * u / w) > 0.001 * (select max(x) - min(x) from pt) then u / w * (uy / w - u / w * y / w) / (uu / w - u / w * u / w) else 0 end as f from su{step}",
+        f"ln{step}": f"select a, f, lead(a) over (order by a) as b, lead(f) over (order by a) as g from ft{step}",
+        f"of{step}": f"select x, y, abs(y - case when b is null then f else f + (x - a) / (b - a) * (g - f) end) as r from pt asof join ln{step} on x >= a",
+        f"sc{step}": f"select 6 * median(r) as s from of{step}",
+        f"rw{step + 1}": f"select x, y, case when r <= 0.001 * s then 1 when r <= 0.999 * s then pow(1 - r / s * r / s, 2) else 0 end as rw from of{step}, sc{step}",
+    }
+
+
+VOOM = {
+    "c0": TMM["ct"],
+    "z0": "select sample, sum(value) as size from c0 group by all",
+    "ct": "select * from c0 where feature in (select feature from c0 join z0 using (sample) where value / size * 1e6 >= 10 / (select quantile_cont(size, 0.5) from z0) * 1e6 group by feature having count(*) >= 2) and feature in (select feature from c0 group by feature having sum(value) >= 15)",
+    **{k: v for k, v in TMM.items() if k != "ct"},
+    "lb": "select sample, sample % 2 = 1 as big, sum(value)::double * any_value(pow(2, f - (select avg(f) from st))) as lib from ct join st using (sample) group by sample",
+    "lc": "select feature, sample, big, lib, log2((coalesce(value, 0) + 0.5) / (lib + 1) * 1e6) as v from (select distinct feature from ct) cross join lb left join ct using (feature, sample)",
+    "mn": "select feature, avg(v) filter (big) as m1, avg(v) filter (not big) as m2, avg(v) as m, count(*) filter (big) as n1, count(*) filter (not big) as n2, var_pop(v) filter (big) as v1, var_pop(v) filter (not big) as v2 from lc group by feature",
+    "pt": "select m + (select avg(log2(lib + 1)) from lb) - log2(1e6) as x, pow((n1 * v1 + n2 * v2) / (n1 + n2 - 2), 0.25) as y from mn",
+    "pl0": "select unnest(range(201)) as pos, (select min(x) from pt) as low, (select max(x) from pt) as high",
+    "pl1": "select pos, low + (high - low) * pos / 200 as a from pl0",
+    "en": "select x, lead(x, greatest(floor(0.5 * (select count(*) from pt) + 1e-7)::int, 2) - 1) over (order by x) as z from pt",
+    "ha": "select pos, a, min(greatest(a - x, z - a)) as h from pl1, en where z is not null group by all",
+    **fit_sql(0), **fit_sql(1), **fit_sql(2), **{k: v for k, v in fit_sql(3).items() if k in ("su3", "ft3", "ln3")},
+    "pr": "select feature, sample, big, v, case when big then m1 else m2 end - log2(1e6) + log2(lib + 1) as x from lc join mn using (feature)",
+    "wt": "select p.*, pow(case when a is null then (select f from ln3 order by a limit 1) when b is null then f else f + (x - a) / (b - a) * (g - f) end, -4) as weight from pr p asof left join ln3 on x >= a",
+}
+VOOM_TEST = {
+    "gw": "select feature, big, count(*) as n, sum(weight) as w, sum(weight * v) / sum(weight) as m from wt group by all",
+    "qw": "select feature, sum(weight * (v - m) * (v - m)) as q from wt join gw using (feature, big) group by feature",
+    "pl": "select feature, effect, u, q / (n1 + n2 - 2) as s2, (n1 + n2 - 2)::double as d from (select feature, any_value(m) filter (big) - any_value(m) filter (not big) as effect, sum(1 / w) as u, sum(n) filter (big) as n1, sum(n) filter (not big) as n2 from gw group by feature) join qw using (feature) where n1 >= 2 and n2 >= 2",
+    **{k: v for k, v in MODERATED.items() if k in ("pe", "p0", "p1")},
+    "mt": MODERATED["mt"].replace("(1.0::double / n1 + 1.0::double / n2)", "u"),
+}
+
+
+def voomed(spark, d):
+    """Counts of parts by nations, those expressed, with every nation; odd nations against even ones."""
+    items = S.table(spark, d, "lineitem").join(S.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    scratch = Scratch(spark)
+    counts = scratch.write(items.groupBy(F.col("l_partkey").alias("feature"), F.col("s_nationkey").alias("sample")).agg(F.sum("l_quantity").alias("value")))
+    kept = scratch.write(expression.expressed(counts, 10.0, 2, 15.0))
+    samples = kept.select("sample").distinct()
+    grid = kept.select("feature").distinct().crossJoin(F.broadcast(samples))  # as many samples as nations
+    full = grid.join(kept, ["feature", "sample"], "left").withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
+    factors = expression.tmm_factors(kept, kept.agg(F.min("sample")).first()[0])
+    return scratch.write(expression.voom(full, samples.withColumn("case", F.col("sample") % 2 == 1), factors))
+
+
+@query(sql("select feature, sample, round(v, 6) as value, round(weight, 5) as weight from wt", **VOOM).replace("with  c0", "with c0"))
+def voom_weights(spark, d):
+    """R4: log counts per million and the precision that the trend of deviations gives each."""
+    return voomed(spark, d).select("feature", "sample", r("value", 6).alias("value"), r("weight", 5).alias("weight"))
+
+
+@query(sql(f"select feature, round(effect, 4) + 0.0 as effect, round(t, 5) + 0.0 as t, round(df, 3) as df, round({STUDENT}, 6) as p from mt", **VOOM, **VOOM_TEST).replace("with  c0", "with c0"))
+def voom_t(spark, d):
+    """R4, R5: weighted least squares of voom_weights, variances shrunk."""
+    out = expression.moderated(expression.weighted_pooled(voomed(spark, d), ["feature"]), ["feature"])
+    signless = lambda c, n: (r(c, n) + 0.0).alias(c)  # noqa: E731, of -0.0
+    return out.select("feature", signless("effect", 4), signless("t", 5), r("df", 3).alias("df"), r("p", 6).alias("p"))
+
+
 IMPUTED = {
     "ga": "select l_partkey as feature, l_linestatus || l_returnflag || (l_linenumber % 2) as sample, avg(case when l_quantity > 6 then l_extendedprice end) as value from lineitem group by all",
     "lg": "select feature, sample, log2(greatest(value, 0) + 1) as value from ga",

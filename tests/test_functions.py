@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kalibra.functions import ranks, special, text
+from kalibra.functions import ranks, smooth, special, text
 
 
 def test_signed_z(spark):
@@ -194,3 +194,55 @@ def test_lag_correlation(spark):
     df = spark.createDataFrame([("c", i, v) for i, v in enumerate(x)], "c string, i int, x double")
     got = {r.lag: r.autocorrelation for r in ranks.lag_correlation(df, "x", ["c"], "i", (1, 2)).collect()}
     assert got == pytest.approx({k: np.corrcoef(x[k:], x[:-k])[0, 1] for k in (1, 2)})
+
+
+def plain_lowess(x, y, at, span: float = 0.5, steps: int = 3):
+    """smooth.lowess() by all pairs."""
+    x, y, at = np.asarray(x, float), np.asarray(y, float), np.asarray(at, float)
+    k = min(max(int(span * len(x) + 1e-7), 2), len(x))
+    robust, fits = np.ones(len(x)), np.zeros(len(at))
+    for step in range(steps + 1):
+        for i, a in enumerate(at):
+            d = abs(x - a)
+            h = np.sort(d)[k - 1]
+            w = np.where(d <= 0.999 * h, np.where(d <= 0.001 * h, 1.0, (1 - (d / (h or 1)) ** 3) ** 3), 0.0) * robust
+            if w.sum() > 0:
+                w /= w.sum()
+                m = w @ x
+                c = w @ (x - m) ** 2
+                slope = (w @ ((x - m) * y)) / c if c**0.5 > 0.001 * (x.max() - x.min()) else 0.0
+                fits[i] = w @ y + slope * (a - m)
+        r = abs(y - np.interp(x, at, fits))
+        scale = 6 * np.median(r)
+        if step == steps or scale < 1e-7 * r.mean() or not scale:
+            return fits
+        robust = np.where(r <= 0.001 * scale, 1.0, np.where(r <= 0.999 * scale, (1 - (r / scale) ** 2) ** 2, 0.0))
+    return fits
+
+
+@pytest.mark.parametrize(("n", "own"), [(60, True), (400, False), (3, True)])
+def test_lowess_like_all_pairs(spark, n, own):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.uniform(0, 12, n), 1)  # with ties
+    y = np.sin(x) + rng.normal(0, 0.1, n)
+    y[::17] += 5  # outliers
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist()), (None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    at, fits = smooth.lowess(df, sorted(set(x.tolist())) if own else None)
+    np.testing.assert_allclose(fits, plain_lowess(x, y, at), atol=1e-9, rtol=0)
+    line = df.where("x >= 0").select("x", smooth.interpolated(F.col("x"), at, fits).alias("f")).toPandas()
+    np.testing.assert_allclose(line.f[~line.x.isna()], np.interp(line.x[~line.x.isna()], at, fits), atol=1e-12)
+
+
+def test_lowess_of_little(spark):
+    empty = spark.createDataFrame([], "x double, y double")
+    assert smooth.lowess(empty) == ([], [])
+    same = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "x double, y double")
+    assert smooth.lowess(same) == ([2.0], [2.0])
+
+
+def test_exact_quantiles_like_percentile(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(700)) / 8.0).alias("x"))
+    at = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.731, "e": 1.0}
+    got = ranks.exact_quantiles(df, "x", ["g"], at).orderBy("g").collect()
+    want = df.groupBy("g").agg(*[F.percentile("x", F.lit(q)).alias(n) for n, q in at.items()]).orderBy("g").collect()
+    np.testing.assert_allclose(np.array(got, float), np.array(want, float), atol=1e-12)
