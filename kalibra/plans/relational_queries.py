@@ -8,7 +8,7 @@ from kalibra.functions import ranks, text
 from kalibra.operators import evidence, mapping
 from kalibra.plans import stand_ins as S
 from kalibra.plans.stand_ins import r
-from kalibra.sources import readers
+from kalibra.sources import readers, tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -239,3 +239,20 @@ def page_inventory(spark, d):
     """The counts of list items, and SC16 of pages."""
     p = S.table(spark, d, "pages")
     return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))).cast("long").alias("items"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("length"))
+
+
+LINKS = r"(?is)<li[^>]*><a href=\"([^\"]*)\"[^>]*>(.*?)</a></li>"
+
+
+@query(
+    f"with li as (select page_id, generate_subscripts(x, 1) as row, unnest(x) as x from (select page_id, regexp_extract_all(html, '{LINKS}') as x from pages)) "
+    f"select page_id, row::int as row, trim(replace(regexp_extract(x, '{LINKS}', 1), '&amp;', '&')) as target, trim(replace(regexp_extract(x, '{LINKS}', 2), '&amp;', '&')) as name, 'nav' as place from li"
+)
+def page_records(spark, d):
+    """SRC21: the links of each page, laid out as a table with a spanned column and no ends of cells, found by header and read back."""
+    pages = S.table(spark, d, "pages")
+    rows = F.regexp_replace("html", LINKS, "<tr><td>$1<td>$2</tr>")
+    first = "<table><tr><th>Other</th></tr></table><table><tr><th>Place<th>Link Target<th>Name</tr>"
+    spanned = F.regexp_replace(rows, "(?is)<ul>(<tr>)(.*?)</ul>", f"{first}<tr><td rowspan=0>nav</td>$2</table>")
+    found = tables.page_records(pages.withColumn("html", spanned), {"target": "link", "name": "name", "place": "place"}, ["target", "name"])
+    return found.select("page_id", "row", "target", "name", "place")

@@ -1,10 +1,13 @@
 import gzip
 import zipfile
+from html import escape
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import types as T
 
-from kalibra.sources import readers, sinks
+from kalibra.sources import readers, sinks, tables
 
 
 def test_csv_with_mark_and_bad_numbers(spark, tmp_path):
@@ -72,10 +75,58 @@ def test_counts_and_annotation(spark, tmp_path):
 def test_pages(spark):
     html = "<h1>A &amp; B</h1><table><tr><th>No</th></tr></table><table><tr><th>Gene</th><th>Class</th></tr><tr><td><b>TP53</b></td><td>x</td></tr></table>"
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
-    assert [tuple(r)[0:1] + (r.cells,) for r in readers.page_cells(pages, ["gene", "class"]).collect()] == [(1, ["TP53", "x"])]
+    assert [tuple(r)[0:1] + (r.cells,) for r in tables.page_cells(pages, ["gene", "class"]).collect()] == [(1, ["TP53", "x"])]
     assert {(r.page_id, r.heading) for r in readers.page_identity(pages).collect()} == {(1, "A & B"), (2, None)}
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<table><tr><td>a<td>b<tr><td>c", [[["a", "b"], ["c"]]]),
+        ("<TABLE><TR><TD ROWSPAN=2>a</TD><TD>b &lt; &eacute;</TD></TR><TR><TD>c<br>d</TD></TR></TABLE>", [[["a", "b < é"], ["a", "c d"]]]),
+        ("<table><td colspan=2>a<td rowspan=9>b<tr><td>c</table>after", [[["a", "a", "b"], ["c", "", "b"]]]),
+        ("<table><tr><td rowspan=0>a<td>1<tr><td>2<tr><td>3</table>", [[["a", "1"], ["a", "2"], ["a", "3"]]]),
+        ("<table><tr><td>out<table><tr><td>in</table>er<td>x</table>", [[["outer", "x"]], [["in"]]]),
+        ("<table><caption>no</caption><thead><tr><th>h</thead><tbody><tr><td> a\n b </tbody></table>", [[["h"], ["a b"]]]),
+        ("<table><tr><td>a<script>var t='</td>';</script>b</table>", [[["ab"]]]),
+        ("<table><tr><td colspan=x rowspan=-1>a</table>", [[["a"]]]),
+        ("<table></table><table><tr></tr></table>", [[], []]),
+        ("<p>none</p>", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_tables_of_pages(html, want):
+    assert [rows for _, rows in tables.tables_of(html)] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.text("ab&<é ", max_size=4), st.integers(1, 3), st.integers(1, 3)), min_size=1, max_size=4), max_size=5))
+def test_spans_like_a_painted_grid(rows):
+    """Every cell paints the next free columns of its row, and as many rows below as it spans."""
+    painted = {}
+    for y, row in enumerate(rows):
+        x = 0
+        for text, across, down in row:
+            for _ in range(across):
+                while (y, x) in painted:
+                    x += 1
+                for k in range(y, min(y + down, len(rows))):
+                    painted.setdefault((k, x), " ".join(text.split()))
+    want = [[painted.get((y, x), "") for x in range(1 + max(b for a, b in painted if a == y))] for y in range(len(rows))]
+    cell = lambda t, a, d: f"<td colspan='{a}' rowspan={d}>{escape(t)}"
+    html = "<table>" + "".join("<tr>" + "".join(cell(*c) for c in row) for row in rows)
+    assert tables.tables_of(html) == [(0, want)]
+
+
+def test_records_of_pages(spark):
+    html = "<table><tr><th>X</table><table><tr><th>Target ID<th>UniProt ID <th>Gene Symbol (HGNC)</tr><tr><td>1<td>P1<td>tp53<tr><td>2</table><table><tr><th>Target ID<th>Gene Symbol<tr><td>no</table>"
+    pages = spark.createDataFrame([(1, html, 0), (2, None, 0), (3, "<table>", 0), (1, html, 0)], "page_id int, html string, cells int")
+    got = tables.page_records(pages, {"target": "target id", "gene": "gene symbol", "class": "target class"}, ["target", "gene"])
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "1", "tp53", "")] * 2 + [(1, 2, "2", "", "")] * 2
+    assert tables.page_tables(pages).count() == 12 and tables.page_tables(pages.where("false")).count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x/a.csv").write_text("1")
