@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,15 +97,59 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+BATCH = "_batch"
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table of append_new(); none if no batch was committed."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(files) or not any(x.getPath().getName().startswith(f"{BATCH}=") for x in system.listStatus(files)):
+        return None
+    return spark.read.parquet(path).drop(BATCH)
+
+
+def lacking(df: DataFrame, table: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys the table hasn't; null keys are alike."""
+    if table is None:
+        return df
+    had = table.select(*[F.col(k).alias(f"_had_{i}") for i, k in enumerate(keys)]).distinct()
+    return df.join(had, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_had_{i}")) for i, k in enumerate(keys)]), "left_anti")
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
-    """SNK8: appends the rows whose keys the table at path lacks, so that a job that was cut off goes on; how many."""
+    """SNK8: appends the rows whose keys the table at path lacks, so that a job that was cut off goes on; how many.
+
+    Rows are written beside the table and become a batch of it by one rename, so a
+    job that is cut off leaves a whole batch or none, where renames are atomic.
+    Of rows with equal keys one is kept; null keys are keys, too.  One job at a time
+    may append.
+    """
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        before = spark.read.parquet(path)
-        had = before.count()
-        df = df.join(before.select(*keys).distinct(), keys, "left_anti")
-    else:
-        had = 0
-    df.dropDuplicates(keys).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - had
+    before = appended(spark, path)
+    df = lacking(df.dropDuplicates(keys), before, keys)
+    mark = uuid.uuid4().hex
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    staged, batch = at(f"{path}/_staged-{mark}"), at(f"{path}/{BATCH}={mark}")
+    df.write.parquet(str(staged.toString()))
+    n = spark.read.schema(df.schema).parquet(staged.toString()).count()
+    system = staged.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not n and before is not None:
+        system.delete(staged, True)
+    elif not system.rename(staged, batch):
+        raise OSError(f"{staged.toString()} can't be renamed")
+    return n
+
+
+def resumed(df: DataFrame, path: str, keys: list[str], work: Callable[[DataFrame], DataFrame], size: int = 100_000) -> DataFrame:
+    """The table at path after work on all rows of df whose keys it lacks, in batches of about size rows that are committed one after another.
+
+    work returns rows with the keys; called again after it was cut off, it is given
+    what no committed batch has.
+    """
+    spark = df.sparkSession
+    n = max(1, -(-lacking(df, appended(spark, path), keys).count() // size))
+    for i in range(n):
+        part = df.where(F.pmod(F.xxhash64(*keys), F.lit(n)) == i)
+        append_new(work(lacking(part, appended(spark, path), keys)), path, keys)
+    return appended(spark, path)

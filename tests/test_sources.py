@@ -1,13 +1,16 @@
 import gzip
+import threading
 import zipfile
+from collections import Counter
 from html import escape
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
-from kalibra.sources import readers, sinks, tables
+from kalibra.sources import fetch, readers, sinks, tables
 
 
 def test_csv_with_mark_and_bad_numbers(spark, tmp_path):
@@ -198,3 +201,67 @@ def test_windowed_counts(spark, tmp_path):
     stream = spark.readStream.schema("t timestamp, k string").parquet(str(tmp_path / "in"))
     counts.into_table(counts.windowed_counts(stream, "t", "1 minute", "1 minute", "k"), "windowed", str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.k, r.n) for r in spark.table("windowed").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_batches_are_whole_or_absent(spark, tmp_path):
+    """A batch whose rename never came is not there; null keys are kept once; nothing is written twice."""
+    out = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c"), (1, "d")], "k int, v string")
+    assert sinks.appended(spark, out) is None
+    df.write.parquet(f"{out}/_staged-cut")
+    assert sinks.appended(spark, out) is None
+    assert sinks.append_new(df, out, ["k"]) == 2 and sinks.append_new(df, out, ["k"]) == 0
+    assert sinks.appended(spark, out).columns == ["k", "v"] and sinks.appended(spark, out).count() == 2
+    empty = str(tmp_path / "e")
+    assert sinks.append_new(df.where("false"), empty, ["k"]) == 0 and sinks.appended(spark, empty).count() == 0
+
+
+@pytest.fixture
+def server():
+    """/ok answers, /late after two failures, /gone never, /busy with 503 for ever; it counts what it was asked."""
+    asked = Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked[self.path] += 1
+            late = self.path.startswith("/late") and asked[self.path] < 3
+            status = 404 if self.path == "/gone" else 503 if late or self.path == "/busy" else 200
+            self.send_response(status)
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write(f"<h1>{self.path} é</h1>".encode("latin-1"))
+
+        def log_message(self, *args):
+            pass
+
+    found = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=found.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{found.server_port}", asked
+    found.shutdown()
+
+
+def test_fetch_and_resume(spark, tmp_path, server):
+    base, asked = server
+    rows = [(0, f"{base}/ok"), (1, f"{base}/late"), (2, f"{base}/gone"), (3, f"{base}/busy"), (4, None), (5, "no address"), (6, "http://127.0.0.1:1/")]
+    urls = spark.createDataFrame(rows, "id int, url string")
+    got = {r.id: r for r in fetch.fetched(urls, "id", "url", tries=3, wait=0.01, tasks=2).collect()}
+    assert got[0].html == "<h1>/ok é</h1>" and [a.status for a in got[1].attempts] == [503, 503, 200] and got[1].html
+    assert [a.waited for a in got[3].attempts] == [0.0, 0.01, 0.02] and got[3].status == 503 and got[3].html is None
+    assert len(got[2].attempts) == 1 and got[4].attempts == [] and got[5].status is None and len(got[6].attempts) == 3
+
+    many = spark.range(20).selectExpr("id", f"concat('{base}/p', id) as url")
+    calls = []
+
+    def work(part):
+        calls.append(part.count())
+        if len(calls) == 3:
+            raise RuntimeError("cut off")
+        return fetch.fetched(part, "id", "url", wait=0.01)
+
+    out = str(tmp_path / "pages")
+    with pytest.raises(RuntimeError):
+        sinks.resumed(many, out, ["id"], work, size=5)
+    had = sinks.appended(spark, out).count()
+    assert 0 < had < 20
+    assert sinks.resumed(many, out, ["id"], work, size=5).select("id").distinct().count() == 20
+    assert sinks.appended(spark, out).count() == 20 and all(asked[f"/p{i}"] == 1 for i in range(20))
