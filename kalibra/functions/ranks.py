@@ -165,15 +165,17 @@ def lag_correlation(df: DataFrame, x: str, by: list[str], order: str, lags: tupl
     return rows.groupBy(*by, "lag").agg(pearson(x, "y").alias("autocorrelation"))
 
 
-def empirical(df: DataFrame, observed: str, null: str, by: list[str], centred: bool = True) -> DataFrame:
+def empirical(df: DataFrame, observed: str, null: str, by: list[str], centred: bool = True, wide: bool = False) -> DataFrame:
     """P values of an observed value against its null, (1 + as extreme) / (1 + n), and the null's moments and quantiles.
 
     The two-sided P counts null values as far from the null's mean as the
     observed one if centred, else it is twice the smaller tail.  df is evaluated
     twice, so it should be a table.  Quantiles are exact, which takes a buffer of
-    a group's distinct null values: some 10,000 replicates at most, as a rule.
+    a group's distinct null values: some 10,000 replicates at most, as a rule.  For
+    more, wide picks them by their ranks over all tasks.
     """
     rows = df.join(df.groupBy(*by).agg(F.avg(null).alias("_mu")), by)
+    at = {"q025": 0.025, "q250": 0.25, "q500": 0.5, "q750": 0.75, "q975": 0.975}
     o, x, mu = F.col(observed), F.col(null), F.col("_mu")
     up, low = F.sum((x >= o).cast("long")), F.sum((x <= o).cast("long"))
     n = F.count(null)
@@ -185,10 +187,12 @@ def empirical(df: DataFrame, observed: str, null: str, by: list[str], centred: b
         ((up + 1) / (n + 1)).alias("p_upper"),
         ((low + 1) / (n + 1)).alias("p_lower"),
         ((F.sum((F.abs(x - mu) >= F.abs(o - mu)).cast("long")) + 1) / (n + 1)).alias("_both"),
-        F.percentile(null, F.array(*[F.lit(q) for q in (0.025, 0.25, 0.5, 0.75, 0.975)])).alias("_q"),
+        *([] if wide else [F.percentile(null, F.array(*map(F.lit, at.values()))).alias("_q")]),
     )
     both = F.col("_both") if centred else F.least(F.lit(1.0), 2 * F.least("p_upper", "p_lower"))
-    quantiles = {f"q{n}": F.col("_q")[i] for i, n in enumerate(("025", "250", "500", "750", "975"))}
+    if wide:
+        out = out.join(exact_quantiles(df, null, by, at), by, "left") if by else out.crossJoin(exact_quantiles(df, null, by, at))  # one row each
+    quantiles = {} if wide else {n: F.col("_q")[i] for i, n in enumerate(at)}
     z = F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_sd"))
     return out.withColumns({"p_two_sided": both, "z": z, **quantiles}).drop("_both", "_q")
 

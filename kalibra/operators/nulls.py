@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kalibra.functions.keyed import chained, chained_sql, mixed, mixed_sql
-from kalibra.functions.ranks import numbered
+from kalibra.functions.ranks import exact_quantiles, numbered
 from kalibra.storage import Scratch
 
 #: Strata of up to LARGE features are worked out in arrays, for BLOCK replicates at a time.
@@ -27,11 +27,22 @@ def with_each_rep(df: DataFrame, replicates: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
 
 
-def quantile_bins(df: DataFrame, x: str, by: list[str], name: str = "bin", n: int = 4) -> DataFrame:
-    """df with bins from 1 by linear quantiles, which keep ties together; equal edges are one, null values have no bin."""
+def quantile_bins(df: DataFrame, x: str, by: list[str], name: str = "bin", n: int = 4, wide: bool = False) -> DataFrame:
+    """df with bins from 1 by linear quantiles, which keep ties together; equal edges are one, null values have no bin.
+
+    wide for few groups with more distinct values than one task should hold; counts,
+    such as degrees, have few.
+    """
     cuts = [i / n for i in range(1, n)]
-    agg = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, cuts))).alias("_q"), F.min(x).alias("_lo"))
-    rows = df.join(agg, by) if by else df.crossJoin(agg)  # one row
+    if wide:
+        found = exact_quantiles(df, x, by, {"_lo": 0.0} | {f"_q{i}": q for i, q in enumerate(cuts)})
+        agg = found.select(*by, F.array(*[f"_q{i}" for i in range(len(cuts))]).alias("_q"), "_lo")
+    else:
+        agg = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, cuts))).alias("_q"), F.min(x).alias("_lo"))
+    if wide:  # groups of null values alone have no quantiles
+        rows = df.join(agg, by, "left") if by else df.join(agg, how="left")
+    else:
+        rows = df.join(agg, by) if by else df.crossJoin(agg)  # one row
     edges = F.array_distinct(F.filter("_q", lambda e: e > F.col("_lo")))
     found = F.when(F.col(x).isNotNull(), 1 + F.size(F.filter(edges, lambda e: F.col(x) > e)))
     return rows.withColumn(name, found).drop("_q", "_lo")

@@ -7,6 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,51 +66,61 @@ def optional(spark: SparkSession, path: str | None, schema: T.StructType) -> Dat
 # Workbooks
 
 
-def _cells(content: bytes) -> dict[str, list[list[str]]]:
-    """The sheets of an XLSX file by name, as rows of strings."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _ended(file, tag: str) -> Iterator[ET.Element]:
+    """The elements of this name as they end, each taken out of its parent after that."""
+    above: list[ET.Element] = []
+    for what, found in ET.iterparse(file, ("start", "end")):
+        if what == "start":
+            above.append(found)
+            continue
+        above.pop()
+        if found.tag == tag:
+            yield found
+            if above:
+                above[-1].remove(found)
+
+
+def _texts(x: ET.Element) -> str:
+    return "".join(t.text or "" for t in x.iter(f"{MAIN}t"))
+
+
+def _column(reference: str | None, default: int) -> int:
+    letters = re.match(r"[A-Z]+", reference or "")
+    return sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters[0]))) - 1 if letters else default
+
+
+def _rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, n, cells) of an XLSX file; only its shared strings and one row are held."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
         shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                shared = [_texts(x) for x in _ended(f, f"{MAIN}si")]
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = {}
-        for s in ET.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", ns):
-            target = targets[s.get(rel)].lstrip("/")
-            target = target if target.startswith("xl/") else f"xl/{target}"
-            rows = []
-            for row in ET.fromstring(z.read(target)).iterfind("m:sheetData/m:row", ns):
-                cells: dict[int, str] = {}
-                for i, c in enumerate(row.iterfind("m:c", ns)):
-                    letters = re.match(r"[A-Z]+", c.get("r") or "")
-                    at = i
-                    if letters:
-                        at = 0
-                        for ch in letters[0]:
-                            at = at * 26 + ord(ch) - 64
-                        at -= 1
-                    v = c.find("m:v", ns)
-                    if c.get("t") == "s" and v is not None:
-                        cells[at] = shared[int(v.text)]
-                    elif c.get("t") == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
-                    else:
-                        cells[at] = v.text if v is not None else None
-                rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-            out[s.get("name")] = rows
-    return out
+        for sheet in ET.fromstring(z.read("xl/workbook.xml")).iterfind(f"{MAIN}sheets/{MAIN}sheet"):
+            target = targets[sheet.get(LINK)].lstrip("/")
+            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
+                for n, row in enumerate(_ended(f, f"{MAIN}row")):
+                    cells: dict[int, str | None] = {}
+                    for i, c in enumerate(row.iterfind(f"{MAIN}c")):
+                        v = c.find(f"{MAIN}v")
+                        own = _texts(c) if c.get("t") == "inlineStr" else v.text if v is not None else None
+                        cells[_column(c.get("r"), i)] = shared[int(own)] if c.get("t") == "s" and v is not None else own
+                    yield sheet.get("name"), n, [cells.get(i) for i in range(max(cells, default=-1) + 1)]
 
 
 def workbook(spark: SparkSession, path: str, required: list[str] = ()) -> dict[str, DataFrame]:
-    """SRC4, SRC5: the sheets of a workbook, parsed in a task; required ones must be there."""
+    """SRC4, SRC5: the sheets of a workbook, parsed row by row in a task; required ones must be there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in (x.as_py() for b in batches for x in b.column(0)):
-            for name, rows in _cells(content).items():
-                cells = [[None if c is None else str(c) for c in r] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["sheet", "n", "cells"])
+            for part in batched(_rows(content), 4096):
+                sheets, numbers, cells = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(sheets, pa.string()), pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["sheet", "n", "cells"])
 
     rows = Scratch(spark).write(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "sheet string, n long, cells array<string>"))
     heads = {r.sheet: r.cells for r in rows.where("n = 0").collect()}  # a row a sheet

@@ -246,3 +246,16 @@ def test_exact_quantiles_like_percentile(spark):
     got = ranks.exact_quantiles(df, "x", ["g"], at).orderBy("g").collect()
     want = df.groupBy("g").agg(*[F.percentile("x", F.lit(q)).alias(n) for n, q in at.items()]).orderBy("g").collect()
     np.testing.assert_allclose(np.array(got, float), np.array(want, float), atol=1e-12)
+
+
+def test_wide_groups_like_narrow_ones(spark):
+    from kalibra.operators.nulls import quantile_bins
+
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.lit(0.4).alias("o"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(900)) / 900.0).alias("x"))
+    bins = lambda wide: sorted(map(str, quantile_bins(df, "x", ["g"], wide=wide).collect()))
+    assert bins(True) == bins(False)
+    one = quantile_bins(df.drop("g"), "x", [], wide=True).groupBy("bin").count().orderBy("bin").collect()
+    assert [r.bin for r in one] == [None, 1, 2, 3, 4]
+    assert quantile_bins(df.where("false"), "x", [], wide=True).count() == 0
+    a, b = (ranks.empirical(df, "o", "x", ["g"], wide=w).toPandas().sort_values("g").set_index("g") for w in (False, True))
+    pd.testing.assert_frame_equal(a[sorted(a.columns)], b[sorted(a.columns)], rtol=0, atol=1e-12)

@@ -265,3 +265,18 @@ def test_fetch_and_resume(spark, tmp_path, server):
     assert 0 < had < 20
     assert sinks.resumed(many, out, ["id"], work, size=5).select("id").distinct().count() == 20
     assert sinks.appended(spark, out).count() == 20 and all(asked[f"/p{i}"] == 1 for i in range(20))
+
+
+def test_sheets_stream(tmp_path):
+    """Of a long sheet only a row is held."""
+    import tracemalloc
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    f = tmp_path / "a.xml"
+    f.write_text(f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{i}"><c r="AB{i}"><v>{i}</v></c></row>' for i in range(60_000)) + "</sheetData></worksheet>")
+    tracemalloc.start()
+    with f.open("rb") as x:
+        assert sum(1 for _ in readers._ended(x, f"{readers.MAIN}row")) == 60_000
+    assert tracemalloc.get_traced_memory()[1] < 5 << 20
+    tracemalloc.stop()
+    assert [readers._column(r, 7) for r in ("A1", "Z1", "AB1", None)] == [0, 25, 27, 7]
