@@ -184,9 +184,11 @@ def mixed_records(rows: DataFrame) -> DataFrame:
     These are rows as they are, messages of role and content, conversations of from
     and value, and, where a user's turn is followed by an assistant's with the next
     number, both as prompt and completion, with the turn of the first.  Turns that
-    share their number, or have none, are never joined.
+    share their number, or have none, are never joined.  Each conversation is dealt
+    out to one task, where it stays.
     """
     rows = rows.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = rows.repartition(partitions(rows.sparkSession), "conv_id")
     w = Window.partitionBy("conv_id").orderBy("turn")
     pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
     at = {c: {k: (F.lead if k > 0 else F.lag)(c, abs(k)).over(w) for k in (-2, -1, 1, 2)} for c in ("turn", "role", "text")}
@@ -253,10 +255,11 @@ def formatted_turns(rows: DataFrame) -> DataFrame:
     return formatted_records(turn_records(rows), {})
 
 
-def digests(turns: DataFrame) -> DataFrame:
+def digests(turns: DataFrame, dealt: bool = False) -> DataFrame:
     """What formatted_records() reads back as: a row per conversation.
 
-    Conversations stream through their task in order, a turn at a time.
+    Conversations stream through their task in order, a turn at a time.  Those of
+    mixed_records() are dealt out already, each to one task, and aren't shuffled again.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
 
@@ -290,8 +293,8 @@ def digests(turns: DataFrame) -> DataFrame:
         kinds = [first, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=NAMES)
 
-    dealt = turns.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return dealt.select("conv_id", "formatted").mapInArrow(
+    turns = turns if dealt else turns.repartition(partitions(turns.sparkSession), "conv_id")
+    return turns.sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted").mapInArrow(
         run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
@@ -305,4 +308,4 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")
     )
-    return digests(formatted_records(mixed_records(rows.union(probe)), {}))
+    return digests(formatted_records(mixed_records(rows.union(probe)), {}), dealt=True)
