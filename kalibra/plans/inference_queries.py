@@ -484,7 +484,8 @@ def voom_weights(spark, d):
 @query(sql(f"select feature, round(effect, 4) + 0.0 as effect, round(t, 5) + 0.0 as t, round(df, 3) as df, round({STUDENT}, 6) as p from mt", **VOOM, **VOOM_TEST).replace("with  c0", "with c0"))
 def voom_t(spark, d):
     """R4, R5: weighted least squares of voom_weights, variances shrunk."""
-    out = expression.moderated(expression.weighted_pooled(voomed(spark, d), ["feature"]), ["feature"])
+    tests = expression.weighted_pooled(voomed(spark, d), ["feature"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each P value is a long fold
+    out = expression.moderated(tests, ["feature"])
     signless = lambda c, n: (r(c, n) + 0.0).alias(c)  # noqa: E731, of -0.0
     return out.select("feature", signless("effect", 4), signless("t", 5), r("df", 3).alias("df"), r("p", 6).alias("p"))
 
