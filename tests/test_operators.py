@@ -94,6 +94,17 @@ def test_welch_and_its_edges(spark):
     assert got["flat"].t is None and got["flat"].p == 1.0
 
 
+def test_welch_takes_no_rounding_for_variance(spark):
+    """Of 0.03 three times and 0.1 five times, sums of squares less their mean's leave some 1e-18; large values lose their variance."""
+    rows = [("flat", x, x < 0.05) for x in [0.03] * 3 + [0.1] * 5] + [("far", 1e9 + x, x < 3) for x in (0.0, 1.0, 2.0, 3.0, 5.0, 10.0)]
+    df = frame(spark, rows, "feature string, value double, case_ boolean").coalesce(1)
+    for weight in (None, F.lit(1.0)):
+        got = {r.feature: r for r in expression.welch(df, ["feature"], F.col("case_"), weight).collect()}
+        assert got["flat"].t is None
+        if weight is None:
+            assert got["far"].t == pytest.approx(-5 / np.sqrt(1 / 3 + 13 / 3))
+
+
 def test_quantile_normalisation(spark):
     rows = [("f1", "s", 2.0), ("f2", "s", 4.0), ("f3", "s", 4.0), ("f1", "t", 10.0), ("f2", "t", 20.0), ("f3", "t", 30.0)]
     got = {(r.feature, r["sample"]): r.value for r in expression.quantile_normalised(frame(spark, rows, "feature string, sample string, value double")).collect()}
