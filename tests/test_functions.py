@@ -259,3 +259,21 @@ def test_wide_groups_like_narrow_ones(spark):
     assert quantile_bins(df.where("false"), "x", [], wide=True).count() == 0
     a, b = (ranks.empirical(df, "o", "x", ["g"], wide=w).toPandas().sort_values("g").set_index("g") for w in (False, True))
     pd.testing.assert_frame_equal(a[sorted(a.columns)], b[sorted(a.columns)], rtol=0, atol=1e-12)
+
+
+def test_student_p_takes_as_long_for_any_df(spark):
+    """The fraction's depth is bounded, and its value that of the full depth."""
+    import time
+
+    from kalibra.functions.special import student_p_sql
+
+    spark.sql(f"select {student_p_sql('t', 'df')} from values (2.0D, 9.0D) as x(t, df)").collect()
+    rows = spark.range(400).selectExpr("cast(id / 40.0 + 0.01 as double) as t", "cast(1e9 as double) as df").coalesce(1)
+    began = time.monotonic()
+    got = rows.select("t", F.expr(student_p_sql("t", "df")).alias("p")).collect()
+    assert time.monotonic() - began < 20
+    assert all(r.p == pytest.approx(math.erfc(r.t / math.sqrt(2)), rel=1e-6) for r in got)
+    some = spark.sql("select t, df from (select explode(array(0.1D, 1.7D, 1.8D, 4.0D)) as t), (select explode(array(1.0D, 40.0D, 3000.0D, 40000.0D)) as df)")
+    full = student_p_sql("t", "df").replace("least(ceil(30 + 6 * sqrt(df)), 80)", "ceil(30 + 6 * sqrt(df))")
+    assert "least(ceil" not in full
+    assert all(r.a == r.b for r in some.select(F.expr(student_p_sql("t", "df")).alias("a"), F.expr(full).alias("b")).collect())
