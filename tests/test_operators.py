@@ -389,3 +389,17 @@ def test_tmm_of_equal_libraries(spark):
     rows = [(f"f{i}", s, float(10 + i)) for i in range(40) for s in ("a", "b")]
     got = expression.tmm_factors(frame(spark, rows, "feature string, sample string, value double"), "a").toPandas()
     assert isinstance(got, pd.DataFrame) and np.allclose(got.factor, 1.0)
+
+
+def test_evidence_is_dealt_out_by_its_size(spark, monkeypatch):
+    """Tasks have about as many rows as they may, however large the tables are."""
+    from kalibra.plans import stand_ins
+    from tests.compare import DATA
+
+    d = f"{DATA}/sf0.001"
+    n = stand_ins.table(spark, d, "lineitem").count()
+    monkeypatch.setattr(stand_ins, "ROWS", n // 12)
+    got = stand_ins.evidence(spark, d)
+    sizes = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(sizes) >= 12 and max(r.n for r in sizes) < n / 4
+    assert got.count() == n
