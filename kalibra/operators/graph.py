@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from kalibra.functions.ranks import safe_divide, to_sum_one
 from kalibra.storage import Scratch
 
+#: Steps of walks planned at a time: the shuffles of that many lie on disk together, each with all edges.
+TOGETHER = 2
+
 
 def on_unit_scale(edges: DataFrame, score: str = "score") -> DataFrame:
     """Scores up to 1000 become shares; those up to 1 stay."""
@@ -172,7 +175,7 @@ def walked_together(p: DataFrame, start: DataFrame, restarts: dict[str, float],
     steps = max(1, math.ceil(math.log(tolerance / 4) / math.log(1 - min(restarts.values()))))
     for i in range(1, steps + 1):
         x = step(x)
-        if i % 8 == 0 or i == steps:
+        if i % TOGETHER == 0 or i == steps:
             x = scratch.write(x)
             if held is not start:
                 scratch.drop(held)
