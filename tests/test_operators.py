@@ -1,10 +1,13 @@
 import math
+import pathlib
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kalibra import storage
 from kalibra.functions import ranks
 from kalibra.functions.keyed import chained, mixed
 from kalibra.operators import divergence, evidence, expression, graph, mapping, modules, nulls, projection, rewire
@@ -403,3 +406,56 @@ def test_evidence_is_dealt_out_by_its_size(spark, monkeypatch):
     sizes = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert len(sizes) >= 12 and max(r.n for r in sizes) < n / 4
     assert got.count() == n
+
+
+def held_at_most(monkeypatch):
+    """The most bytes of tables that a Scratch held at once, at writes, in a list of one."""
+    from kalibra.storage import Scratch
+
+    most, write, append = [0], Scratch.write, Scratch.append
+
+    def seen(f):
+        def run(self, *args):
+            out = f(self, *args)
+            folder = pathlib.Path(self.root).parent
+            most[0] = max(most[0], sum(x.stat().st_size for x in folder.glob("kalibra-*/*/part-*")))
+            return out
+
+        return run
+
+    monkeypatch.setattr(Scratch, "write", seen(write))
+    monkeypatch.setattr(Scratch, "append", seen(append))
+    return most
+
+
+@pytest.mark.parametrize("piece", [1, 1 << 28])
+def test_summarised_graphs_hold_one_epoch(spark, monkeypatch, tmp_path, piece):
+    """Figures are those of all kept graphs, and what lies in the shared folder doesn't grow with the draws."""
+    monkeypatch.setattr(rewire, "PIECE", piece)
+    rows, e = some_edges(spark, 300, 400, 6000)
+    w = frame(spark, [(p, n, 1.0 + (n * k) % 7) for k, p in enumerate("abc", 1) for n in range(300)], "profile string, left int, weight double")
+    rounded = lambda df: {(r.chain, r.draw): (round(r.gjsd, 10), round(r.common_mass, 10)) for r in df.collect()}
+    want = rounded(rewire.layers(rewire.rewired(e, 2, 4, 6, 7, 9, 2000), w, e))
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    most = held_at_most(monkeypatch)
+    assert rounded(rewire.summarised(e, 2, 4, 6, 7, 9, rewire.layered(w, e), 2000)) == want and len(want) == 8
+    few, most[0] = most[0], 0
+    seen = rewire.observed(e)
+    got = rewire.summarised(e, 2, 12, 6, 7, 9, lambda g, _: rewire.against(g, seen), 2000).collect()
+    assert len(got) == 24 and all(r.left_gap == r.right_gap == 0 and r.n_edges == len(rows) for r in got)
+    assert most[0] < 2 * few
+
+
+def test_shuffles_of_scratch_tables_go_with_their_write(spark, tmp_path):
+    from kalibra.storage import TIDY, Scratch
+
+    folder = pathlib.Path(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].getPath())
+    before = set(folder.rglob("shuffle_*.data"))
+    out = Scratch(spark).write(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count())
+    left = []
+    for _ in range(50):  # they are deleted by messages
+        left = [x for x in set(folder.rglob("shuffle_*.data")) - before]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000 and spark.conf.get(TIDY, "false") == "false"
