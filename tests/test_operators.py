@@ -459,3 +459,21 @@ def test_shuffles_of_scratch_tables_go_with_their_write(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not left and out.count() == 1000 and spark.conf.get(TIDY, "false") == "false"
+
+
+def test_articles_are_counted_where_they_lie(spark):
+    """Evidence dealt out by article is shuffled for its few counts only, not by article again; an article counts once for each profile."""
+    rows = [("p", a, n) for a in range(40) for n in range(a % 3 + 1)] + [("q", a, 0) for a in range(7)]
+    dealt = frame(spark, rows + rows, "profile string, article int, left int").repartition(6, "article")
+    first = evidence.Window.partitionBy("profile", "article").orderBy("left")
+    plan = dealt.distinct().withColumn("n", F.row_number().over(first))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r.profile, r.left): (r.support, r.articles) for r in evidence.support_weights(dealt).collect()}
+    assert got == {("p", 0): (40, 40), ("p", 1): (26, 40), ("p", 2): (13, 40), ("q", 0): (7, 7)}
+
+
+def test_mass_check_joins_edges_once(spark):
+    e = frame(spark, [(n, r) for n in range(9) for r in range(n + 1)], "left int, right int")
+    w = frame(spark, [("p", n, 1.0 + n) for n in range(9)], "profile string, left int, weight double")
+    plan = projection.mass_check(w, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
