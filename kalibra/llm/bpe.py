@@ -175,7 +175,7 @@ class Bpe:
 
 def loaded(name: str = TOKENIZER) -> Bpe:
     """The coder of a public vocabulary's file, once a worker."""
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     if name not in cache:
         import base64
 

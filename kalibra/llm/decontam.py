@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalibra.llm.shared import Scratch, table, worker_cache
+from kalibra.llm.shared import Scratch, release, table, worker_cache
 
 WORDS, SIMILARITY = 5, 0.8
 #: Of the fingerprints' BITS, so many may differ; the multi-index looks up BLOCKS blocks.
@@ -226,7 +226,7 @@ class Shared:
         self.mark, self.width, self.similarity = uuid.uuid4().hex, width, similarity
 
     def items(self) -> Items:
-        cache = worker_cache()
+        cache = worker_cache("decontam")
         if cache.get("items", ("",))[0] != self.mark:
             cache["items"] = None, None  # the last block goes before the next one comes
             cache["items"] = self.mark, Items(self.rows.value, self.width, self.similarity)
@@ -285,6 +285,7 @@ def holder(shared: Shared):
         index = shared.items()
         for texts in batches:
             yield pa.array((bool(index.search(x.as_py())) for x in texts), pa.bool_())
+        release()
 
     return holds
 

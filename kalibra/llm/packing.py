@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalibra.llm.shared import table, worker_cache
+from kalibra.llm.shared import released, table, worker_cache
 
 CAPACITY, END = 1024, 0
 LINEAR, QUADRATIC = 4096.0, 1.0
@@ -38,7 +38,7 @@ def encoder(name: str = TOKENIZER):
     Of the two libraries that read this vocabulary the faster one runs; tests
     hold its ids against those of the other.
     """
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if name not in cache:
         import base64
         import json
@@ -140,7 +140,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
         if keys:
             yield flush()
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}{', ids array<int>' if ids else ''}")
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(released(run), f"`{key}` {kind}, {SCHEMA}{', ids array<int>' if ids else ''}")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kalibra.llm.shared import Scratch, components, fresh
+from kalibra.llm.shared import Scratch, components, fresh, released
 
 WORDS, SEED, BITS, BYTES = 3, 42, 3, 8
 LEAST = BYTES - BITS
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(released(run), f"`{key}` {kind}, fp long")
 
 
 def byte_at(column, position: int):
@@ -153,7 +153,7 @@ def links(fps: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     keyed = fps.select(
         F.explode(F.array(*[packed(F.col("fp"), t, i) for i, t in enumerate(POSTINGS)])).alias("k"), F.col("fp")
     )
-    found = scratch.write(dealt(keyed).mapInArrow(first, "kind int, a long, b long"))
+    found = scratch.write(dealt(keyed).mapInArrow(released(first), "kind int, a long, b long"))
     again = []
     for i, t in enumerate(POSTINGS):
         rest = [p for p in range(BYTES) if p not in t]
@@ -162,7 +162,7 @@ def links(fps: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
             for j, two in enumerate(combinations(rest, 2))
         ]
     hot_rows = found.where("kind = 1").select(F.explode(F.array_compact(F.array(*again))).alias("k"), F.col("b").alias("fp"))
-    return found.where("kind = 0").select("a", "b").union(dealt(hot_rows).mapInArrow(second, "a long, b long"))
+    return found.where("kind = 0").select("a", "b").union(dealt(hot_rows).mapInArrow(released(second), "a long, b long"))
 
 
 def near_duplicates(
@@ -288,7 +288,7 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         for b in slices(batches):
             yield long_batch(["h"], np.concatenate([shingles(x.as_py(), words) for x in b.column(0)]).view(np.int64))
 
-    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(every, "h long")
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(released(every), "h long")
     rows = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
     found = rows["h"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -321,7 +321,7 @@ def sketched(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                 cols = [pa.array(rows, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), lists, pa.array(rare, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "d1", "d2", "size", "bits", "own", "rare"])
 
-    return texts.select("row", "text").mapInArrow(run, "row long, d1 long, d2 long, size int, bits binary, own array<bigint>, rare int")
+    return texts.select("row", "text").mapInArrow(released(run), "row long, d1 long, d2 long, size int, bits binary, own array<bigint>, rare int")
 
 
 def able(a_size, a_at, b_size, b_at, similarity: float):
@@ -374,7 +374,7 @@ def short_lists(posted: DataFrame, similarity: float) -> DataFrame:
             yield long_batch(names, none, pairs[:, 0], pairs[:, 1], none, none)
 
     rows = posted.repartition("k").sortWithinPartitions("k")
-    return rows.mapInArrow(run, "kind long, a long, b long, size long, at long")
+    return rows.mapInArrow(released(run), "kind long, a long, b long, size long, at long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, scratch: Scratch, words: int, similarity: float) -> DataFrame:
@@ -407,9 +407,9 @@ def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, scratch: Scra
             pairs = pairs.join(rows.select(F.col("row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols]), side)
         return pairs.select("a", "b", *[f"{c}_{side}" for c in cols for side in "ab"])
 
-    left = scratch.write(beside(pairs, marks, "size", "bits").mapInArrow(likely, "a long, b long"))
+    left = scratch.write(beside(pairs, marks, "size", "bits").mapInArrow(released(likely), "a long, b long"))
     rows = left.select(F.col("a").alias("row")).union(left.select("b")).distinct()
-    return scratch.write(beside(left, texts.join(rows, "row", "left_semi"), "text").mapInArrow(exact, "a long, b long"))
+    return scratch.write(beside(left, texts.join(rows, "row", "left_semi"), "text").mapInArrow(released(exact), "a long, b long"))
 
 
 def similar(texts: DataFrame, groups: DataFrame, scratch: Scratch, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalibra.llm.shared import Scratch, fresh, table
+from kalibra.llm.shared import Scratch, fresh, release, released, table, worker_cache
 
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 1024
 #: A feature's share among positives over that in unlabelled text, in logs, and its test statistic, at least.
@@ -160,6 +160,7 @@ def train(
     texts = texts.groupBy("id").agg(F.min("x").alias("x"), F.max("p").alias("p"), F.max("u").alias("u"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")  # what other operators held goes
         for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             texts = [x.as_py() for x in b.column(0)]
             words = [counted(x) for x in texts]
@@ -172,7 +173,7 @@ def train(
             ]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=["n", "p", "u", "w", "f", "c", "s"])
 
-    rows = texts.select("x", F.xxhash64("id").alias("n"), "p", "u").mapInArrow(run, "n long, p int, u int, w long, f array<string>, c array<long>, s array<long>")
+    rows = texts.select("x", F.xxhash64("id").alias("n"), "p", "u").mapInArrow(released(run), "n long, p int, u int, w long, f array<string>, c array<long>, s array<long>")
     rows = scratch.write(rows)
     marks = rows.select("n", "p", "s").toArrow().to_pylist()
     marks.sort(key=lambda r: (-r["p"], r["n"]))
@@ -204,7 +205,7 @@ def train(
             cols = [pa.array([[p[i] for p in x] for x in pairs], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(3), b.column(4)], names=["w", "f", "c", "p", "u"])
 
-    got = rows.select("w", "f", "c", "p", "u").mapInArrow(only, "w long, f array<long>, c array<long>, p int, u int").toArrow().to_pylist()
+    got = rows.select("w", "f", "c", "p", "u").mapInArrow(released(only), "w long, f array<long>, c array<long>, p int, u int").toArrow().to_pylist()
     k = len(names)
     x = np.zeros((len(got), 2 * k), np.float32)
     for i, r in enumerate(got):
@@ -223,7 +224,9 @@ def scorer(spark: SparkSession, model: Model):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         one = Model(*shared.value).score
-        return pa.array((one(x.as_py()) for x in texts), pa.float64())
+        found = pa.array((one(x.as_py()) for x in texts), pa.float64())
+        release()
+        return found
 
     return score
 

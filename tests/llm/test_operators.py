@@ -867,3 +867,23 @@ def test_pipeline_edges(spark):
         got = docs.collect()
         assert {str(r.doc_id) for r in got} == want
         assert all(r.doc_tokens == 1 for r in got if r.doc_id == 1)
+
+
+def test_workers_hold_one_operators_things():
+    """What an operator kept in a worker goes when another asks for its own, and a task's end gives memory back however it ends."""
+    from kalibra.llm import shared
+
+    first = shared.worker_cache("one")
+    first["x"] = 1
+    assert shared.worker_cache("one") == {"x": 1} and shared.worker_cache("two") == {} and shared.worker_cache("one") == {}
+    calls = []
+    run = shared.released(lambda batches: (x + 1 for x in batches))
+    before, shared.release = shared.release, lambda: calls.append(1)
+    try:
+        assert list(run([1, 2])) == [2, 3] and calls == [1]
+        some = run([1, 2])
+        assert next(some) == 2
+        some.close()
+        assert calls == [1, 1]
+    finally:
+        shared.release = before
