@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kalibra.functions.keyed import chained, chained_sql, mixed, mixed_sql
+from kalibra.functions.keyed import chained, chained_sql, mixed_places, mixed_sql
 from kalibra.functions.ranks import exact_quantiles, numbered
 from kalibra.storage import Scratch
 
@@ -69,7 +69,8 @@ def packs(rows: DataFrame, replicates: int, key: str, *columns: str) -> DataFram
 
 def donors(size: int, seed: int, rep: int, *more: int) -> np.ndarray:
     """The places whose members go to the places 0, 1, ... of a stratum."""
-    return np.argsort(mixed(chained(seed, rep, *more), np.arange(size)), kind="stable")
+    # hashes have 31 bits, so hash and place are sorted as one number
+    return np.sort(mixed_places(chained(seed, rep, *more), size) << 32 | np.arange(size)) & 0xFFFFFFFF
 
 
 def largest_stratum(universe: DataFrame) -> int:
@@ -284,4 +285,4 @@ def drawn_subjects(subjects: DataFrame, replicates: int, seed: int, by: list[str
 
 def hits(size: int, seed: int, rep: int, group: int) -> np.ndarray:
     """How often each of a group's subjects is drawn."""
-    return np.bincount(chained(seed, rep, group, np.arange(size)) % size, minlength=size)
+    return np.bincount(mixed_places(chained(seed, rep, group), size) % size, minlength=size)

@@ -477,3 +477,42 @@ def test_mass_check_joins_edges_once(spark):
     w = frame(spark, [("p", n, 1.0 + n) for n in range(9)], "profile string, left int, weight double")
     plan = projection.mass_check(w, e)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+def test_parts_of_resamples_are_few_and_large():
+    """A part's task draws all subjects, so its rows don't shrink as there are more profiles; small tables still have some parts for the tasks."""
+    rows = 100 * modules.PART
+    assert modules.parts_of(rows, 5, 12) * 5 <= 2 * rows / modules.PART
+    assert modules.parts_of(3_000_000, 5, 12) * 5 >= 12 and modules.parts_of(10, 5, 12) == 1
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e13])
+def test_resampled_modules_like_ranks_of_effects(spark, scale):
+    """Percentiles of packed effects are those of the effects themselves, also of features in several modules or in none, and of values too large to pack."""
+    rng = np.random.default_rng(5)
+    rows = [(p, s, s % 2 == 0, f, float(rng.integers(0, 9)) * scale) for p in "ab" for s in range(30) for f in range(12) if rng.random() < 0.7]
+    v = Scratch(spark).write(frame(spark, rows, "profile string, subject int, case_ boolean, feature int, value double"))
+    pairs = [(f, m) for f in range(11) for m in ("x", "y", "z") if (f + ord(m)) % 3 or f == 4]
+    m = frame(spark, pairs, "feature int, module string")
+    got = modules.resampled_modules(v, "case_", m, 6, 3, 2)
+    got = {(r.rep, r.profile, r.module): (r.n, r.mean) for r in got.collect()}
+    want = {}
+    seen = {}
+    for r in modules.resampled_effects(v, "case_", 6, 3).collect():
+        seen.setdefault((r.rep, r.profile), []).extend(zip(r.features, r.effects))
+    for (rep, p), every in seen.items():
+        rank = {f: (sum(y < x for _, y in every) + (sum(y == x for _, y in every) + 1) / 2) / (len(every) + 1) for f, x in every}
+        for name in "xyz":
+            own = [rank[f] for f, k in pairs if k == name and f in rank]
+            if len(own) >= 2:
+                want[rep, p, name] = (len(own), sum(own) / len(own))
+    assert got.keys() == want.keys() and len(want) == 36
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_hashes_of_places_are_those_of_sql(spark):
+    """Without divisions, as with them, also at hashes next to the prime."""
+    from kalibra.functions import keyed
+
+    for h in (0, 1, 7, keyed.PRIME - 1, keyed.PRIME - 1 - keyed.SHIFT, 2 * keyed.PRIME - keyed.SHIFT - 40_000):
+        assert (keyed.mixed_places(h, 70_000) == keyed.mixed(h, np.arange(70_000))).all()
