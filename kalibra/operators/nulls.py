@@ -6,7 +6,7 @@ the order of evaluation nor on partitions, and any SQL engine can replay them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,9 @@ from kalibra.functions.ranks import exact_quantiles, numbered
 from kalibra.storage import Scratch
 
 #: Strata of up to LARGE features are worked out in arrays, for BLOCK replicates at a time.
-LARGE, BLOCK = 1 << 20, 64
+LARGE, BLOCK = 1 << 22, 64
+#: Replicates whose permutations a task holds at once, and rows of all blocks that are worth a task.
+TOGETHER, SPLIT = 16, 1 << 16
 
 
 def with_each_rep(df: DataFrame, replicates: int) -> DataFrame:
@@ -60,11 +62,44 @@ def strata_of(universe: DataFrame, key: str) -> DataFrame:
     return universe.select("stratum").distinct().withColumn("s", F.row_number().over(Window.orderBy("stratum")) - 1)
 
 
-def packs(rows: DataFrame, replicates: int, key: str, *columns: str) -> DataFrame:
-    """(stratum, s, first, rows): every stratum's features with their columns, in order of the key, once for each block of replicates."""
-    strata = rows.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct(key, *columns))).alias("rows"))
-    strata = strata.join(strata_of(rows, key), "stratum")
-    return strata.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK)))).repartition("stratum", "first")
+def packs(rows: DataFrame, replicates: int, key: str, work: Callable, shape: str) -> DataFrame:
+    """What work(s, first, columns) makes of every stratum's features, in order of the key, for each block of replicates from first.
+
+    rows (stratum, key, ...) are dealt out by stratum and block, and a task gathers
+    one at a time: columns has the arrays of the key and of all other columns, lists
+    of equal length as matrices.
+    """
+    spark = rows.sparkSession
+    names = [c for c in rows.columns if c not in ("stratum", key)]
+    rows = Scratch(spark).write(rows.join(F.broadcast(strata_of(rows, key)), "stratum").select("s", key, *names))
+    blocks = -(-replicates // BLOCK)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows.select("s").distinct().count() * blocks, rows.count() * blocks // SPLIT))
+    every = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))))
+    every = every.select("s", "first", key, *names).repartition(n, "s", "first").sortWithinPartitions("s", "first", key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            s, first = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(s) != 0) | (np.diff(first) != 0)) + 1).tolist(), len(s)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i and (s[i], first[i]) != at:
+                    if held:
+                        yield from work(int(at[0]), int(at[1]), held)
+                    at, held = (s[i], first[i]), []
+                held.append([b.column(c).slice(i, j - i) for c in range(2, b.num_columns)])
+        if held:
+            yield from work(int(at[0]), int(at[1]), held)
+
+    return every.mapInArrow(run, shape)
+
+
+def gathered(held: list, c: int, make: Callable) -> np.ndarray:
+    """make() of a column's pieces, in one array; the pieces go."""
+    out = np.concatenate([make(x[c]) for x in held])
+    for x in held:
+        x[c] = None
+    return out
 
 
 def donors(size: int, seed: int, rep: int, *more: int) -> np.ndarray:
@@ -96,20 +131,26 @@ def permutations(universe: DataFrame, replicates: int, seed: int, by_profile: Da
     keys = ["rep"] if by_profile is None else ["rep", "profile"]
     if largest_stratum(universe) > large:
         return spread_permutations(universe, replicates, seed, names, keys, key)
-    kind = universe.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, first, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                own = rows.values.field(0)
-                for rep in range(first, min(first + BLOCK, replicates)):
-                    for p, name in enumerate(names):
-                        drawn = own.take(pa.array(donors(len(own), seed, rep, s) if name is None else donors(len(own), seed, rep, p, s)))
-                        cols = [pa.array(np.full(len(own), rep)), *([] if name is None else [pa.array([name] * len(own), pa.string())]), own, drawn]
-                        yield pa.RecordBatch.from_arrays(cols, names=[*keys, key, "donor"])
+    kind, each = universe.schema[key].dataType.simpleString(), by_profile is not None
+
+    def work(s: int, first: int, held: list) -> Iterator[pa.RecordBatch]:
+        own = pa.concat_arrays([x[0] for x in held])
+        draws = [(rep, p) for rep in range(first, min(first + BLOCK, replicates)) for p in range(len(names))]
+        for a in range(0, len(draws), TOGETHER):
+            some = draws[a : a + TOGETHER]
+            drawn = np.empty((len(own), len(some)), np.int32)
+            for i, (rep, p) in enumerate(some):
+                drawn[:, i] = donors(len(own), seed, rep, p, s) if each else donors(len(own), seed, rep, s)
+            reps, whose = np.array([rep for rep, _ in some]), [names[p] for _, p in some]
+            step = max(1, (1 << 16) // len(some))
+            for i in range(0, len(own), step):  # a feature's replicates lie together, as runs of one value
+                part = drawn[i : i + step]
+                cols = [pa.array(np.tile(reps, len(part))), *([pa.array(whose * len(part), pa.string())] if each else [])]
+                cols += [own.take(pa.array(np.repeat(np.arange(i, i + len(part)), len(some)))), own.take(pa.array(part.ravel()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, key, "donor"])
 
     shape = f"rep long, {'profile string, ' if len(keys) > 1 else ''}`{key}` {kind}, donor {kind}"
-    return packs(universe.select("stratum", key), replicates, key).select("s", "first", "rows").mapInArrow(run, shape)
+    return packs(universe.select("stratum", key), replicates, key, work, shape)
 
 
 def spread_permutations(universe: DataFrame, replicates: int, seed: int, names: list, keys: list[str], key: str) -> DataFrame:
@@ -160,18 +201,16 @@ def alignment_blocks(universe: DataFrame, weights: DataFrame, scores: DataFrame,
     names = names_of(weights, "profile")
     rows = universe.select("stratum", key).join(wide_weights(weights, names, key), key, "left").join(scores.select(key, "z"), key, "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, first, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                z, w = floats(rows.values.field(1)), matrix(rows.values.field(2), len(names))
-                seen = ~np.isnan(z)
-                left = np.stack((np.where(seen, z, 0.0), seen.astype(float)))
-                reps = range(first, min(first + BLOCK, replicates))
-                both = np.array([left @ w[donors(len(z), seed, rep, s)] for rep in reps])
-                cols = [pa.array(np.repeat(reps, len(names))), pa.array(names * len(reps), pa.string()), pa.array(both[:, 0].ravel()), pa.array(both[:, 1].ravel())]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "profile", "num", "den"])
-
-    parts = packs(rows, replicates, key, "z", "w").select("s", "first", "rows").mapInArrow(run, "rep long, profile string, num double, den double")
+    def work(s: int, first: int, held: list) -> Iterator[pa.RecordBatch]:
+        z, w = gathered(held, 2, floats), gathered(held, 1, lambda x: matrix(x, len(names)))
+        seen = ~np.isnan(z)
+        left = np.stack((np.where(seen, z, 0.0), seen.astype(float)))
+        reps = range(first, min(first + BLOCK, replicates))
+        both = np.array([left @ w[donors(len(z), seed, rep, s)] for rep in reps])
+        cols = [pa.array(np.repeat(reps, len(names))), pa.array(names * len(reps), pa.string()), pa.array(both[:, 0].ravel()), pa.array(both[:, 1].ravel())]
+        yield pa.RecordBatch.from_arrays(cols, names=["rep", "profile", "num", "den"])
+
+    parts = packs(rows, replicates, key, work, "rep long, profile string, num double, den double")
     out = parts.groupBy("rep", "profile").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     return out.withColumn("alignment", F.when(F.col("den") > 0, F.col("num") / F.col("den")))
 
@@ -185,26 +224,25 @@ def mass_blocks(universe: DataFrame, weights: DataFrame, members: DataFrame, rep
     own = members.groupBy(key).agg(F.collect_list("module").alias("modules"))
     rows = universe.select("stratum", key).join(wide_weights(weights, names, key), key, "left").join(own, key, "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, first, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                w, lists = matrix(rows.values.field(1), len(names)), rows.values.field(2)
-                at = pc.list_parent_indices(lists).to_numpy()
-                found = lists.flatten().dictionary_encode()
-                modules, which = found.dictionary, found.indices.to_numpy()
-                if not len(modules):
-                    continue
-                reps, k = range(first, min(first + BLOCK, replicates)), len(modules)
-                out = np.empty((len(reps), len(names), k))
-                for i, rep in enumerate(reps):
-                    given = w[donors(len(w), seed, rep, s)[at]]
-                    for p in range(len(names)):
-                        out[i, p] = np.bincount(which, given[:, p], k)
-                many = len(reps) * len(names)
-                cols = [pa.array(np.repeat(reps, len(names) * k)), pa.array(np.tile(np.repeat(names, k), len(reps)).tolist(), pa.string()), modules.take(pa.array(np.tile(np.arange(k), many))), pa.array(out.ravel())]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "profile", "module", "mass"])
-
-    parts = packs(rows, replicates, key, "w", "modules").select("s", "first", "rows").mapInArrow(run, "rep long, profile string, module string, mass double")
+    def work(s: int, first: int, held: list) -> Iterator[pa.RecordBatch]:
+        w, lists = gathered(held, 1, lambda x: matrix(x, len(names))), pa.concat_arrays([x[2] for x in held])
+        at = pc.list_parent_indices(lists).to_numpy()
+        found = lists.flatten().dictionary_encode()
+        modules, which = found.dictionary, found.indices.to_numpy().astype(np.int64)
+        held.clear()
+        if not len(modules):
+            return
+        reps, k = range(first, min(first + BLOCK, replicates)), len(modules)
+        out = np.empty((len(reps), len(names), k))
+        for i, rep in enumerate(reps):
+            given = w[donors(len(w), seed, rep, s)[at]]
+            for p in range(len(names)):
+                out[i, p] = np.bincount(which, given[:, p], k)
+        many = len(reps) * len(names)
+        cols = [pa.array(np.repeat(reps, len(names) * k)), pa.array(np.tile(np.repeat(names, k), len(reps)).tolist(), pa.string()), modules.take(pa.array(np.tile(np.arange(k), many))), pa.array(out.ravel())]
+        yield pa.RecordBatch.from_arrays(cols, names=["rep", "profile", "module", "mass"])
+
+    parts = packs(rows, replicates, key, work, "rep long, profile string, module string, mass double")
     return parts.groupBy("rep", "profile", "module").agg(F.sum("mass").alias("mass"))
 
 
@@ -252,7 +290,7 @@ def guarded(mass: Column, x: Column, otherwise: float = -1.0) -> Column:
     return F.when(mass <= 0, F.lit(otherwise)).otherwise(x)
 
 
-def drawn_subjects(subjects: DataFrame, replicates: int, seed: int, by: list[str], key: str, large: int = LARGE) -> DataFrame:
+def drawn_subjects(subjects: DataFrame, replicates: int, seed: int, by: list[str], key: str, large: int = 1 << 20) -> DataFrame:
     """(rep, by, key, times): as many draws with replacement as a group has subjects; those not drawn have no row.
 
     A task draws a group's subjects for a block of replicates, by hits(); beyond

@@ -516,3 +516,21 @@ def test_hashes_of_places_are_those_of_sql(spark):
 
     for h in (0, 1, 7, keyed.PRIME - 1, keyed.PRIME - 1 - keyed.SHIFT, 2 * keyed.PRIME - keyed.SHIFT - 40_000):
         assert (keyed.mixed_places(h, 70_000) == keyed.mixed(h, np.arange(70_000))).all()
+
+
+def test_strata_are_gathered_from_rows(spark):
+    """No row holds a stratum, and a feature's replicates lie together where permutations are written."""
+    u, w, z, m = small_null(spark)
+    for out in (nulls.alignment_blocks(u, w, z, 70, 7), nulls.mass_blocks(u, w, m, 70, 7), nulls.permutations(u, 70, 7)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "first" in plan
+    rows = nulls.permutations(u, 5, 7).coalesce(1).collect()
+    assert all([r.rep for r in rows[i : i + 5]] == list(range(5)) and len({r.feature for r in rows[i : i + 5]}) == 1 for i in range(0, len(rows), 5))
+
+
+def test_degrees_of_parts_take_no_doubled_rows(spark):
+    from kalibra.plans import stand_ins
+
+    found = stand_ins.universe(spark, "/root/testdata/sf0.001").select("feature", "network", "ubiquity").collect()
+    items = stand_ins.table(spark, "/root/testdata/sf0.001", "lineitem").toPandas().groupby("l_partkey").agg(n=("l_orderkey", "nunique"), u=("l_suppkey", "nunique"))
+    assert {(r.feature, r.network, r.ubiquity) for r in found} == {(k, float(r.n) if r.n >= 10 else None, float(r.u)) for k, r in items.iterrows()}
