@@ -28,8 +28,8 @@ def named(df):
     return df.withColumnsRenamed({"left": "left_node", "right": "right_node"})
 
 
-def profiles(spark, d):
-    return projection.project(S.weights(spark, d), S.edges(spark, d))
+def profiles(spark, d, weights=None):
+    return projection.project(weights or S.weights(spark, d), S.edges(spark, d))
 
 
 @query(
@@ -292,7 +292,7 @@ def cross_layer(spark, d):
     """MD12's layers, ST13, MD1, WN4."""
     own = S.weights(spark, d)
     left = to_sum_one(own.select("profile", F.col("left").alias("right"), "weight"), "weight", ["profile"], "p")
-    feature = Scratch(spark).write(profiles(spark, d).select("profile", "right", F.col("sum1").alias("p")))
+    feature = Scratch(spark).write(profiles(spark, d, own).select("profile", "right", F.col("sum1").alias("p")))
     module = feature.join(S.members(spark, d).withColumnRenamed("feature", "right"), "right").groupBy("profile", "module").agg(F.sum("p").alias("p")).withColumnRenamed("module", "right")
     out = None
     for name, rows in (("left", left), ("feature", feature), ("module", module)):
@@ -395,6 +395,7 @@ def replay_check(spark, d):
     again = projection.contributions(w, e).groupBy("profile", "right").agg(F.sum("corrected").alias("x"))
     again = to_sum_one(Scratch(spark).write(again), "x", ["profile"], "y").select("profile", "right", F.col("y").alias("x"))
     own = projection.project(w, e).where("contributing > 0").select("profile", "right", F.col("sum1").alias("x"))
+    own = own.repartition(S.tasks(e), "profile", "right")
     return mapping.compared(own, again, ["profile", "right"], "x", 1e-12).withColumn("max_gap", r("max_gap", 10))
 
 

@@ -534,3 +534,22 @@ def test_degrees_of_parts_take_no_doubled_rows(spark):
     found = stand_ins.universe(spark, "/root/testdata/sf0.001").select("feature", "network", "ubiquity").collect()
     items = stand_ins.table(spark, "/root/testdata/sf0.001", "lineitem").toPandas().groupby("l_partkey").agg(n=("l_orderkey", "nunique"), u=("l_suppkey", "nunique"))
     assert {(r.feature, r.network, r.ubiquity) for r in found} == {(k, float(r.n) if r.n >= 10 else None, float(r.u)) for k, r in items.iterrows()}
+
+
+def test_profiles_go_with_an_edge_as_one_row(spark, monkeypatch):
+    """Few profiles don't fan out over the edges, whose tasks are as many as their size asks for; many profiles give the same as rows."""
+    pairs = [(n, r) for n in range(9) for r in range(n % 4 + 1)] + [(50, 70), (50, 1)]
+    e = Scratch(spark).write(frame(spark, pairs, "left int, right int"))
+    w = Scratch(spark).write(frame(spark, [(p, n, 1.0 + n * k) for k, p in enumerate("abc") for n in range(9) if n % 3 != k], "profile string, left int, weight double"))
+    got = {(r.profile, r.right): r for r in projection.project(w, e).collect()}
+    gaps = {r.profile: r.max_gap for r in projection.linear_identity(w, e).collect()}
+    prior = {(r.profile, r.right): r.weight for r in projection.prior(w, e).collect()}
+    monkeypatch.setattr(storage, "ROWS", 2)
+    plan = projection.scores(w, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "profile" in plan and "RepartitionByExpression [left" in plan and f", {-(-len(pairs) // 2)}" in plan and plan.count("Join ") == 3
+    monkeypatch.setattr(projection, "few_profiles", lambda *_: None)
+    want = {(r.profile, r.right): r for r in projection.project(w, e).collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 5
+    assert all(abs(got[k][c] - want[k][c]) < 1e-12 for k in got for c in ("binary_union", "weighted_raw", "degree_normalised", "ubiquity_corrected", "contributing", "sum1"))
+    assert {k: v for k, v in prior.items()} == pytest.approx({(r.profile, r.right): r.weight for r in projection.prior(w, e).collect()})
+    assert gaps.keys() == {"a", "b", "c"} and max(gaps.values()) < 1e-12
