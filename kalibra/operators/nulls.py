@@ -168,22 +168,37 @@ def spread_permutations(universe: DataFrame, replicates: int, seed: int, names:
 
 def alignment(weights: DataFrame, scores: DataFrame, by: list[str], key: str = "feature") -> DataFrame:
     """(by, num, den, alignment): weight times score over the weight of measured features; a null score isn't measured."""
-    rows = weights.join(scores.select(key, "z"), key, "left")
+    return aligned(weights.join(scores.select(key, "z"), key, "left"), by)
+
+
+def aligned(rows: DataFrame, by: list[str]) -> DataFrame:
+    """alignment() of rows (by, weight, z)."""
     out = rows.groupBy(*by).agg(
         F.sum(F.col("weight") * F.coalesce("z", F.lit(0.0))).alias("num"), F.sum(F.when(F.col("z").isNotNull(), F.col("weight")).otherwise(0.0)).alias("den")
     )
     return out.withColumn("alignment", F.when(F.col("den") > 0, F.col("num") / F.col("den")))
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """rows as a side of a join that broadcasts neither: Spark takes what comes from Python to be as small as what goes there, however many replicates that has."""
+    return rows.hint("merge")
+
+
 def permuted_weights(weights: DataFrame, drawn: DataFrame, key: str = "feature") -> DataFrame:
     """(rep, profile, key, weight): every feature has its donor's weight."""
+    return given(weights, drawn, key).select("rep", "profile", key, "weight")
+
+
+def given(weights: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
+    """drawn with the donors' weights, a row for each profile."""
     own = weights.select("profile", F.col(key).alias("donor"), "weight")
     on = ["donor", "profile"] if "profile" in drawn.columns else ["donor"]
-    return drawn.join(own, on).select("rep", "profile", key, "weight")
+    return drawn.join(merged(own), on)
 
 
 def alignment_null(weights: DataFrame, scores: DataFrame, drawn: DataFrame, key: str = "feature") -> DataFrame:
-    return alignment(permuted_weights(weights, drawn, key), scores, ["rep", "profile"], key)
+    """alignment() of permuted_weights(); scores are joined before the weights, as there is a row for each profile after these."""
+    return aligned(given(weights, drawn.join(merged(scores.select(key, "z")), key, "left"), key), ["rep", "profile"])
 
 
 def wide_weights(weights: DataFrame, names: list, key: str) -> DataFrame:
@@ -199,7 +214,7 @@ def alignment_blocks(universe: DataFrame, weights: DataFrame, scores: DataFrame,
     if largest_stratum(universe) > large:
         return alignment_null(weights, scores, Scratch(universe.sparkSession).write(permutations(universe, replicates, seed, key=key, large=large)), key)
     names = names_of(weights, "profile")
-    rows = universe.select("stratum", key).join(wide_weights(weights, names, key), key, "left").join(scores.select(key, "z"), key, "left")
+    rows = universe.select("stratum", key).join(merged(wide_weights(weights, names, key)), key, "left").join(merged(scores.select(key, "z")), key, "left")
 
     def work(s: int, first: int, held: list) -> Iterator[pa.RecordBatch]:
         z, w = gathered(held, 2, floats), gathered(held, 1, lambda x: matrix(x, len(names)))

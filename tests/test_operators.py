@@ -553,3 +553,12 @@ def test_profiles_go_with_an_edge_as_one_row(spark, monkeypatch):
     assert all(abs(got[k][c] - want[k][c]) < 1e-12 for k in got for c in ("binary_union", "weighted_raw", "degree_normalised", "ubiquity_corrected", "contributing", "sum1"))
     assert {k: v for k, v in prior.items()} == pytest.approx({(r.profile, r.right): r.weight for r in projection.prior(w, e).collect()})
     assert gaps.keys() == {"a", "b", "c"} and max(gaps.values()) < 1e-12
+
+
+def test_permuted_rows_are_never_broadcast(spark):
+    """Spark estimates what comes from Python by what goes there, so a null of many replicates looked small enough to send to the driver."""
+    u, w, z, m = small_null(spark)
+    drawn = nulls.permutations(u, 70, 7)
+    for out in (nulls.alignment_null(w, z, drawn), nulls.permuted_weights(w, drawn)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
