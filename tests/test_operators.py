@@ -562,3 +562,29 @@ def test_permuted_rows_are_never_broadcast(spark):
     for out in (nulls.alignment_null(w, z, drawn), nulls.permuted_weights(w, drawn)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("by", [0, 1 << 26])
+def test_figures_of_whole_graphs_are_those_of_their_rows(spark, monkeypatch, tmp_path, by):
+    """Worked out in the tasks that hold the graphs, which are written nowhere; also where right nodes are far above the number of edges."""
+    rows, e = some_edges(spark, 60, 90, 1500)
+    rows, e = [(a, b + by) for a, b in rows], e.withColumn("right", F.col("right") + by)
+    w = frame(spark, [(p, n, 1.0 + (n * k) % 7) for k, p in enumerate("abc", 1) for n in range(70) if n % 5 != k], "profile string, left int, weight double")
+    m = frame(spark, [(r + by, f"m{r % 4}") for r in range(5, 99)] + [(by + 7, "m0"), (3, "m9")], "right int, module string")
+    graphs = Scratch(spark).write(rewire.rewired(e, 2, 12, 6, 2, 9))
+    close = lambda df: {(r.chain, r.draw, r.layer): (pytest.approx(r.gjsd, abs=1e-12), pytest.approx(r.common_mass, abs=1e-12)) for r in df.collect()}
+    want, gaps = close(rewire.layers(graphs, w, e, m)), sorted(map(tuple, rewire.against(graphs, rewire.observed(e)).collect()))
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    most = held_at_most(monkeypatch)
+    got = close(rewire.summarised(e, 2, 12, 6, 2, 9, rewire.layered(w, e, m)))
+    assert got.keys() == want.keys() and len(got) == 48
+    assert all(x.expected == y for k in want for x, y in zip(got[k], want[k]))
+    assert sorted(map(tuple, rewire.summarised(e, 2, 12, 6, 2, 9, rewire.kept_figures(e)).collect())) == gaps and len(gaps) == 24
+    assert most[0] < 24 * 4 * len(rows) / 2
+
+
+def test_fifth_powers_without_divisions():
+    from kalibra.functions.keyed import PRIME, fifths
+
+    x = [0, 1, 2, PRIME - 1, PRIME, PRIME + 1, 2 * PRIME - 2, 2 * PRIME, 123_456_789, 65_536, 3_000_000_000]
+    assert fifths(np.array(x, np.uint64)).tolist() == [pow(v % PRIME, 5, PRIME) for v in x]
