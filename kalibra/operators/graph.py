@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalibra.functions.ranks import safe_divide, to_sum_one
 from kalibra.storage import Scratch
 
-#: Steps of walks planned at a time: the shuffles of that many lie on disk together, each with all edges.
-TOGETHER = 2
+#: Edges of a task whose moves are added up at a time.
+SPAN = 1 << 21
 
 
 def on_unit_scale(edges: DataFrame, score: str = "score") -> DataFrame:
@@ -150,43 +155,95 @@ def scored_seeds(start: DataFrame, q: DataFrame) -> DataFrame:
     return start.join(q.select("node", F.col("x").alias("q")), "node").groupBy("profile").agg(F.sum(F.col("x") * F.col("q")).alias("score"))
 
 
-def walked_together(p: DataFrame, start: DataFrame, restarts: dict[str, float], tolerance: float = 1e-12) -> DataFrame:
-    """(node, names): the limits of many walks at once, a column for each of the names of restarts.
+def by_source(p: DataFrame) -> DataFrame:
+    """(src, dsts, ps): the edges (src, dst, p) of a source as few rows, none longer than a batch of Arrow's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            src = b.column(0).to_numpy()
+            at = np.flatnonzero(np.diff(src, prepend=src[:1] - 1))
+            ends = pa.array([*at, len(src)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(src[at]), *[pa.ListArray.from_arrays(ends, b.column(c)) for c in (1, 2)]], names=["src", "dsts", "ps"])
+
+    long = p.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("p").cast("double").alias("p"))
+    return long.repartition("src").sortWithinPartitions("src").mapInArrow(run, "src long, dsts array<long>, ps array<double>")
+
+
+def moved(p: DataFrame, x: DataFrame, names: list[str]) -> DataFrame:
+    """(node, names): what one move along edges of by_source() makes of x (node, names); tasks add up what goes to a node before they send it."""
+    many, span = len(names), SPAN
+
+    def added(held: list[np.ndarray]) -> list[np.ndarray]:
+        to, *parts = [np.concatenate(x) for x in zip(*held)]
+        nodes, at = np.unique(to, return_inverse=True)
+        return [nodes, *[np.bincount(at, x, len(nodes)) for x in parts]]
+
+    def told(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["node", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            at = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(0)).to_numpy())
+            share = b.column(1).flatten().to_numpy()
+            held.append([b.column(0).flatten().to_numpy(), *[b.column(2 + c).to_numpy()[at] * share for c in range(many)]])
+            n += len(at)
+            if n > span:
+                held = [added(held)]
+                n = len(held[0][0])
+                if n > span // 2:
+                    yield from told(held.pop())
+                    n = 0
+        if held:
+            yield from told(added(held))
+
+    both = p.join(x.withColumnRenamed("node", "src").hint("shuffle_hash"), "src").select("dsts", "ps", *names)
+    return both.mapInArrow(run, ", ".join(["node long", *[f"{n} double" for n in names]])).groupBy("node").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def settled(new: DataFrame, old: DataFrame, names: list[str], most: float) -> bool:
+    """Whether none of the names changed by more in L1, and new has no node that old lacks."""
+    both = new.withColumn("_new", F.lit(1)).join(old.select("node", F.lit(1).alias("_old"), *[F.col(n).alias(f"_{n}") for n in names]), "node", "full_outer")
+    gaps = [F.sum(F.abs(F.coalesce(n, F.lit(0.0)) - F.coalesce(f"_{n}", F.lit(0.0)))) for n in names]
+    change, more = both.agg(F.greatest(*gaps, F.lit(0.0)), F.count(F.when(F.col("_old").isNull(), 1))).first()
+    return change <= most and not more
+
 
-    start has their seeds in columns of these names.  All walks share a pass over
-    the edges, which are written once, in the order of their sources; what a step
-    shuffles is a row of all walks for each node and task.  As a step shrinks the
-    change in L1 by the restart, the steps until no walk changes by more than the
-    tolerance, in L1 and so in any entry, are known before; the last is checked.
+def walked_together(p: DataFrame, start: DataFrame, restarts: dict[str, float], tolerance: float = 1e-12, seeds_of: dict[str, str] | None = None) -> DataFrame:
+    """(node, names): the limits of many walks at once, a column for each of the names of restarts; nodes are whole numbers.
+
+    start has their seeds in columns of these names, or of those that seeds_of gives
+    them, as walks from the same seeds share their moves: a limit is the sum over k of
+    r (1 - r)^k times the seeds after k moves along the edges without restarts.  A move widens no
+    gap in L1, so once two moves change no seeds by more than a share of the tolerance, and reach no more nodes,
+    the last two states serve for all later ones, in turn, and no limit is off by more than the tolerance in L1.
+    Else moves go on until the rest of the sum is as small as that.
     """
-    names = list(restarts)
+    names, of = list(restarts), seeds_of or {n: n for n in restarts}
     if len(names) > 200:
         raise ValueError("more than 200 walks in one pass")
+    each, least = list(dict.fromkeys(of[n] for n in names)), min(restarts.values())
     scratch = Scratch(start.sparkSession)
-    p = scratch.write(p.select("src", "dst", "p").repartition("src").sortWithinPartitions("src"))
-    start = scratch.write(start.select("node", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names]))
-    back = start.select("node", *[(F.col(n) * restarts[n]).alias(n) for n in names])
-
-    def step(x: DataFrame) -> DataFrame:
-        moved = p.join(x, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), *[(F.col("p") * F.col(n) * (1 - restarts[n])).alias(n) for n in names])
-        return moved.unionByName(back).groupBy("node").agg(*[F.sum(n).alias(n) for n in names])
-
-    x = held = start
-    steps = max(1, math.ceil(math.log(tolerance / 4) / math.log(1 - min(restarts.values()))))
-    for i in range(1, steps + 1):
-        x = step(x)
-        if i % TOGETHER == 0 or i == steps:
-            x = scratch.write(x)
-            if held is not start:
-                scratch.drop(held)
-            held = x
-    new = scratch.write(step(x))
-    both = new.join(x.select("node", *[F.col(n).alias(f"_{n}") for n in names]), "node", "full_outer")
-    gaps = [F.sum(F.abs(F.coalesce(n, F.lit(0.0)) - F.coalesce(f"_{n}", F.lit(0.0)))) for n in names]
-    change = both.agg(F.greatest(*gaps, F.lit(0.0))).first()[0]
-    if change > tolerance:
-        raise RuntimeError(f"still changing by {change} after {steps} steps: rows of p don't sum to 1")
-    return new
+    p = scratch.write(by_source(p))
+    sums = p.select("src", F.aggregate("ps", F.lit(0.0), lambda a, b: a + b).alias("p")).groupBy("src").agg(F.sum("p").alias("p"))
+    most = sums.agg(F.max("p")).first()[0]
+    if most is not None and most > 1 + 1e-9:
+        raise RuntimeError(f"rows of p don't sum to 1, but up to {most}")
+    states = [scratch.write(start.select(F.col("node").cast("long").alias("node"), *[F.coalesce(n, F.lit(0.0)).cast("double").alias(n) for n in each]))]
+    for k in range(1, max(2, math.ceil(math.log(tolerance / 4) / math.log(1 - least))) + 1):
+        states.append(scratch.write(moved(p, states[-1], each)))
+        if k >= 2 and settled(states[k], states[k - 2], each, tolerance * least / 4):
+            break
+
+    def share(r: float, k: int) -> float:
+        return r * (1 - r) ** k / (1 - (1 - r) ** 2 if k >= len(states) - 2 else 1)
+
+    rows = [s.select("node", *[(F.col(of[n]) * share(restarts[n], k)).alias(n) for n in names]) for k, s in enumerate(states)]
+    out = scratch.write(functools.reduce(DataFrame.unionByName, rows).groupBy("node").agg(*[F.sum(n).alias(n) for n in names]))
+    for x in [p, *states]:
+        scratch.drop(x)
+    return out.withColumn("node", F.col("node").cast(start.schema["node"].dataType))
 
 
 def closure(edges: DataFrame, most: int = 40) -> DataFrame:

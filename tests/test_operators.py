@@ -588,3 +588,37 @@ def test_fifth_powers_without_divisions():
 
     x = [0, 1, 2, PRIME - 1, PRIME, PRIME + 1, 2 * PRIME - 2, 2 * PRIME, 123_456_789, 65_536, 3_000_000_000]
     assert fifths(np.array(x, np.uint64)).tolist() == [pow(v % PRIME, 5, PRIME) for v in x]
+
+
+@pytest.mark.parametrize("span", [1, 1 << 21])
+def test_walks_from_the_same_seeds_share_their_moves(spark, monkeypatch, span):
+    """Limits are those of numpy, and moves end when two of them change nothing, also where states alternate between two sides."""
+    monkeypatch.setattr(graph, "SPAN", span)
+    rng = np.random.default_rng(5)
+    w = rng.integers(1, 9, (20, 7)).astype(float)
+    both = np.block([[np.zeros((20, 20)), w], [w.T, np.zeros((7, 7))]])
+    p = both / both.sum(1, keepdims=True)
+    rows = [(i, j, float(p[i, j])) for i in range(27) for j in range(27) if p[i, j] > 0]
+    x = np.concatenate((rng.dirichlet(np.ones(20)), np.zeros(7)))
+    start = frame(spark, [(i, float(x[i])) for i in range(20)], "node long, s double")
+    moves, moved = [], graph.moved
+    monkeypatch.setattr(graph, "moved", lambda *a: moves.append(1) or moved(*a))
+    restarts = {"a": 0.3, "b": 0.5, "c": 0.7}
+    got = {r.node: r for r in graph.walked_together(frame(spark, rows, "src long, dst long, p double"), start, restarts, seeds_of=dict.fromkeys(restarts, "s")).collect()}
+    assert len(got) == 27 and len(moves) < 30
+    for name, r in restarts.items():
+        want = r * np.linalg.solve(np.eye(27) - (1 - r) * p.T, x)
+        assert all(abs(got[i][name] - want[i]) < 1e-13 for i in range(27))
+
+
+def test_long_paths_are_walked_to_their_end(spark):
+    """What moves reach later than their change is small is in the limit, too."""
+    rows = [(i, j, 0.999 if j == i else 0.001) for i in range(7) for j in (i, i + 1)] + [(7, 7, 1.0)]
+    got = {r.node: r.a for r in graph.walked_together(frame(spark, rows, "src int, dst int, p double"), frame(spark, [(0, 1.0)], "node int, a double"), {"a": 0.9}).collect()}
+    p = np.zeros((8, 8))
+    for i, j, x in rows:
+        p[i, j] += x
+    want = 0.9 * np.linalg.solve(np.eye(8) - 0.1 * p.T, np.eye(8)[0])
+    assert len(got) == 8 and all(abs(got[i] - want[i]) < 1e-12 for i in range(8))
+    with pytest.raises(RuntimeError, match="don't sum to 1"):
+        graph.walked_together(frame(spark, [(0, 0, 1.5)], "src int, dst int, p double"), frame(spark, [(0, 1.0)], "node int, a double"), {"a": 0.9})
