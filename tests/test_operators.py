@@ -622,3 +622,14 @@ def test_long_paths_are_walked_to_their_end(spark):
     assert len(got) == 8 and all(abs(got[i] - want[i]) < 1e-12 for i in range(8))
     with pytest.raises(RuntimeError, match="don't sum to 1"):
         graph.walked_together(frame(spark, [(0, 0, 1.5)], "src int, dst int, p double"), frame(spark, [(0, 1.0)], "node int, a double"), {"a": 0.9})
+
+
+def test_mixing_needs_no_observed_graph(spark, monkeypatch):
+    """Figures of kept graphs come from the tasks that hold them, and the observed graph's only where they are asked for."""
+    from kalibra.plans.registry import QUERIES
+
+    def fails(*_):
+        raise AssertionError("graphs as rows")
+
+    monkeypatch.setattr(rewire.layered, "__call__", fails)
+    assert QUERIES["chain_mixing"](spark, "/root/testdata/sf0.001").count() == 4
