@@ -277,3 +277,18 @@ def test_student_p_takes_as_long_for_any_df(spark):
     full = student_p_sql("t", "df").replace("least(ceil(30 + 6 * sqrt(df)), 80)", "ceil(30 + 6 * sqrt(df))")
     assert "least(ceil" not in full
     assert all(r.a == r.b for r in some.select(F.expr(student_p_sql("t", "df")).alias("a"), F.expr(full).alias("b")).collect())
+
+
+def test_binary_logarithms_are_right_to_the_last_digit(spark):
+    """The mean of two prices of the tables lies next to half a unit of the ninth digit, where a quotient of natural logarithms is rounded up."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from kalibra.functions.special import log2
+
+    x = [64783.687499999985, 1.0, 2.0, 8.0, 0.1, 3.0, 1e300, 5e-324, 1023.9999999999999]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select("x", log2("x").alias("y"), F.round(log2("x"), 9).alias("z")).collect()
+    assert all(abs(r.y - math.log2(r.x)) <= math.ulp(math.log2(r.x)) for r in rows)
+    assert rows[0].z == 15.983342968
+    assert spark.createDataFrame([(0.0,), (-1.0,), (None,)], "x double").where(log2("x").isNotNull()).count() == 0
